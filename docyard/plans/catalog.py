@@ -174,3 +174,115 @@ def q_new_chunks_per_source(spark, sf):
     counts = D.skipped_counts(chunks, new, by=("tenant_id",))
     return normalize_types(counts.select("tenant_id", "total_chunk_count",
                                          F.col("new_chunk_count").alias("new_chunk_count"), "skipped_count"))
+
+
+# ---------------------------------------------------------------- sentences and sentence packing
+def sentences_sql(src: str = "SELECT doc_id, text AS content FROM documents") -> str:
+    """CTEs ending in ``s2(doc_id, idx, text, start_char, end_char, n_tokens, pa, pb, n)``."""
+    return f"""
+p AS (SELECT doc_id, content, {S.sentence_pieces('content')} AS pieces FROM ({src})),
+e AS (SELECT doc_id, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS pi FROM p),
+o AS (SELECT doc_id, pi, piece,
+             coalesce(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY pi
+                      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM e),
+s0 AS (SELECT doc_id, pi, {S.strip('piece')} AS text,
+              off + length(piece) - length({S.lstrip('piece')}) AS start_char,
+              off + length({S.rstrip('piece')}) AS end_char FROM o),
+s1 AS (SELECT doc_id, text, start_char, end_char, len({S.tokens('text')}) AS n_tokens,
+              row_number() OVER (PARTITION BY doc_id ORDER BY pi) - 1 AS idx FROM s0 WHERE text <> ''),
+s2 AS (SELECT *, sum(n_tokens) OVER (PARTITION BY doc_id ORDER BY idx
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS pa,
+              sum(n_tokens) OVER (PARTITION BY doc_id ORDER BY idx
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - n_tokens AS pb,
+              count(*) OVER (PARTITION BY doc_id) AS n FROM s1)"""
+
+
+def packing_sql(size: int, overlap: int, src: str = "SELECT doc_id, text AS content FROM documents") -> str:
+    """Recursive-CTE statement of sentence packing; ends in ``sem(doc_id, chunk_index, start_char, end_char, n_tokens)``."""
+    return f"""WITH RECURSIVE {sentences_sql(src)},
+en AS (SELECT a.doc_id, a.idx AS i, a.n,
+              greatest(a.idx + 1, coalesce(max(b.idx) + 1, a.idx + 1)) AS e
+       FROM s2 a LEFT JOIN s2 b ON b.doc_id = a.doc_id AND b.idx >= a.idx AND b.pa <= a.pb + {size}
+       GROUP BY a.doc_id, a.idx, a.n),
+ov AS (SELECT en.doc_id, en.i, en.n, en.e,
+              coalesce(max(c.idx) FILTER (WHERE {overlap} > 0 AND last_s.pa - c.pb >= {overlap}), en.i) AS sx
+       FROM en JOIN s2 last_s ON last_s.doc_id = en.doc_id AND last_s.idx = en.e - 1
+               JOIN s2 c ON c.doc_id = en.doc_id AND c.idx >= en.i AND c.idx < en.e
+       GROUP BY en.doc_id, en.i, en.n, en.e),
+nx AS (SELECT doc_id, i, n, e, CASE WHEN sx <= i THEN e ELSE sx END AS nxt FROM ov),
+rec(doc_id, i, chunk_index) AS (
+    SELECT DISTINCT doc_id, 0, 0 FROM s2
+    UNION ALL
+    SELECT r.doc_id, x.nxt, r.chunk_index + 1 FROM rec r JOIN nx x ON x.doc_id = r.doc_id AND x.i = r.i
+    WHERE x.e < x.n),
+sem AS (SELECT r.doc_id, r.chunk_index, f.start_char, l.end_char, l.pa - f.pb AS n_tokens
+        FROM rec r JOIN nx x ON x.doc_id = r.doc_id AND x.i = r.i
+                   JOIN s2 f ON f.doc_id = r.doc_id AND f.idx = r.i
+                   JOIN s2 l ON l.doc_id = r.doc_id AND l.idx = x.e - 1)"""
+
+
+@register("sentences", f"""WITH {sentences_sql()}
+SELECT doc_id, CAST(idx AS BIGINT) AS sentence_index, text, CAST(start_char AS BIGINT) AS start_char,
+       CAST(end_char AS BIGINT) AS end_char, CAST(n_tokens AS BIGINT) AS n_tokens FROM s2
+""")
+def q_sentences(spark, sf):
+    d = read_table(spark, sf, "documents").select("doc_id", F.col("text").alias("content"))
+    return normalize_types(K.sentences(d))
+
+
+@register("chunk_semantic", packing_sql(SIZE, int(SIZE * OVERLAP_PCT)) + """
+SELECT s.doc_id, CAST(s.chunk_index AS BIGINT) AS chunk_index, CAST(s.start_char AS BIGINT) AS start_char,
+       CAST(s.end_char AS BIGINT) AS end_char, CAST(s.n_tokens AS BIGINT) AS n_tokens,
+       sha256(substr(d.text, CAST(s.start_char + 1 AS BIGINT), CAST(s.end_char - s.start_char AS BIGINT))) AS chunk_hash
+FROM sem s JOIN documents d ON d.doc_id = s.doc_id
+""")
+def q_chunk_semantic(spark, sf):
+    d = corpus_documents(spark, sf)
+    c = K.chunk_semantic(d, SIZE, OVERLAP_PCT)
+    return normalize_types(c.select("doc_id", "chunk_index", "start_char", "end_char", "n_tokens",
+                                    chunk_hash("text").alias("chunk_hash")))
+
+
+# The four chunking settings the chunking comparison lists.
+REPORT_SETTINGS = (("fixed", 512, 0.10), ("fixed", 512, 0.20), ("fixed", 1024, 0.15), ("semantic", 512, 0.15))
+
+
+def _fixed_rows_sql(size: int, pct: float) -> str:
+    step = size - int(size * pct)
+    return f"""(WITH t AS (SELECT doc_id, {S.tokens('text')} AS toks FROM documents),
+c AS (SELECT *, len(toks) AS n FROM t WHERE len(toks) > 0),
+k AS (SELECT doc_id, toks, unnest(range(0, {S.chunk_count('n', size, step)})) AS chunk_index FROM c)
+SELECT doc_id, len(toks[chunk_index*{step}+1:chunk_index*{step}+{size}]) AS n_tokens FROM k)"""
+
+
+def _report_sql() -> str:
+    parts = []
+    for strategy, size, pct in REPORT_SETTINGS:
+        ov = int(size * pct)
+        if strategy == "fixed":
+            body = _fixed_rows_sql(size, pct)
+        else:
+            body = f"({packing_sql(size, ov)} SELECT doc_id, n_tokens FROM sem)"
+        parts.append(f"SELECT '{strategy}' AS chunk_strategy, CAST({size} AS BIGINT) AS chunk_size, "
+                     f"CAST({ov} AS BIGINT) AS overlap_tokens, CAST(count(*) AS BIGINT) AS n_chunks, "
+                     f"CAST(count(DISTINCT doc_id) AS BIGINT) AS n_documents, "
+                     f"round(avg(n_tokens), 4) AS avg_chunk_tokens FROM {body}")
+    return "\nUNION ALL\n".join(parts)
+
+
+@register("chunk_report", _report_sql())
+def q_chunk_report(spark, sf):
+    """Chunk count and average tokens for each listed chunking setting, over all documents."""
+    d = read_table(spark, sf, "documents").select("doc_id", F.col("text").alias("content"))
+    runs = []
+    for strategy, size, pct in REPORT_SETTINGS:
+        c = K.chunk(d, strategy, size, pct)
+        runs.append(c.select(F.lit(strategy).alias("chunk_strategy"), F.lit(size).alias("chunk_size"),
+                             F.lit(int(size * pct)).alias("overlap_tokens"), "doc_id", "n_tokens"))
+    u = runs[0]
+    for r in runs[1:]:
+        u = u.unionByName(r)
+    out = u.groupBy("chunk_strategy", "chunk_size", "overlap_tokens").agg(
+        F.count(F.lit(1)).alias("n_chunks"), F.countDistinct("doc_id").alias("n_documents"),
+        F.round(F.avg("n_tokens"), 4).alias("avg_chunk_tokens"))
+    return normalize_types(out)
