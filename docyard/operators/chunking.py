@@ -144,33 +144,32 @@ def bpe_token_count(col: Column | str) -> Column:
     return count(c)
 
 
-def sentence_array(text: Column | str, tokenizer: str = "regex") -> Column:
-    """array<struct<text, start_char, end_char, n_tokens>> of stripped non-empty sentences."""
-    t = F.col(text) if isinstance(text, str) else text
-    pieces = F.regexp_extract_all(t, F.lit(SENTENCE_PIECE), 0)
-    offs = prefix_offsets(F.transform(pieces, lambda p: F.length(p)))
+def with_sentences(df: DataFrame, text_col: str = "content", out_col: str = "_sents") -> DataFrame:
+    """Add array<struct<text, start_char, end_char, n_tokens>> of stripped non-empty sentences.
+
+    Pieces come from one regex pass (materialised once as a column), their
+    running offsets from one Arrow call over the piece lengths.
+    """
+    pieces = F.regexp_extract_all(F.col(text_col), F.lit(SENTENCE_PIECE), 0)
+    w = df.withColumn("_pieces", pieces)
+    w = w.withColumn("_poffs", prefix_offsets(F.transform("_pieces", lambda p: F.length(p))))
 
     def one(p, o):
         lead = F.length(p) - F.length(F.regexp_replace(p, rf"\A{PY_WS}+", ""))
         trail = F.length(p) - F.length(F.regexp_replace(p, rf"{PY_WS}+\z", ""))
         stripped = py_strip(p)
         return F.struct(stripped.alias("text"), (o + lead).alias("start_char"),
-                        (o + F.length(p) - trail).alias("end_char"))
+                        (o + F.length(p) - trail).alias("end_char"),
+                        regex_token_count(stripped).alias("n_tokens"))
 
-    spans = F.filter(F.zip_with(pieces, offs, one), lambda s: s["text"] != F.lit(""))
-    counter = regex_token_count if tokenizer == "regex" else bpe_token_count
-    if tokenizer == "regex":
-        return F.transform(spans, lambda s: F.struct(s["text"].alias("text"), s["start_char"].alias("start_char"),
-                                                      s["end_char"].alias("end_char"),
-                                                      counter(s["text"]).alias("n_tokens")))
-    raise NotImplementedError("sentence token counts use the regex tokenizer")
+    sents = F.filter(F.zip_with("_pieces", "_poffs", one), lambda s: s["text"] != F.lit(""))
+    return w.withColumn(out_col, sents).drop("_pieces", "_poffs")
 
 
 def sentences(df: DataFrame, text_col: str = "content") -> DataFrame:
     """One row per sentence: sentence_index, text, start_char, end_char, n_tokens."""
     keep = [c for c in df.columns if c != text_col]
-    arr = sentence_array(text_col)
-    return (df.select(*keep, F.posexplode(arr).alias("sentence_index", "_s"))
+    return (with_sentences(df, text_col).select(*keep, F.posexplode("_sents").alias("sentence_index", "_s"))
               .select(*keep, "sentence_index", "_s.text", "_s.start_char", "_s.end_char", "_s.n_tokens"))
 
 
@@ -180,15 +179,16 @@ def chunk_semantic(df: DataFrame, size: int = 512, overlap_pct: float = 0.15,
     overlap = overlap_tokens(size, overlap_pct)
     keep = [c for c in df.columns if c != text_col]
     pack = make_pack_udf(size, overlap)
-    w = df.withColumn("_sents", sentence_array(text_col)).filter(F.size("_sents") > 0)
-    w = w.withColumn("_spans", pack(F.transform("_sents", lambda s: s["n_tokens"])))
+    w = with_sentences(df, text_col).filter(F.size("_sents") > 0)
+    w = w.withColumn("_stoks", F.transform("_sents", lambda s: s["n_tokens"]))
+    w = w.withColumn("_spans", pack(F.col("_stoks")))
     chunks = F.transform(
         "_spans",
         lambda sp, i: F.struct(
             i.alias("chunk_index"),
             F.element_at("_sents", sp["first"] + 1)["start_char"].alias("start_char"),
             F.element_at("_sents", sp["last"] + 1)["end_char"].alias("end_char"),
-            F.aggregate(F.slice(F.transform("_sents", lambda s: s["n_tokens"]), sp["first"] + 1,
+            F.aggregate(F.slice("_stoks", sp["first"] + 1,
                                 sp["last"] - sp["first"] + 1), F.lit(0), lambda a, x: a + x).alias("n_tokens"),
         ))
     out = w.select(*keep, text_col, F.inline(chunks))
@@ -216,5 +216,5 @@ def document_id(tenant: Column | str = "tenant_id", source_path: Column | str =
                                      c(source_path).alias("p"), page.alias("n"))), 256)
 
 
-__all__ = ["chunk_fixed", "chunk_semantic", "chunk", "sentences", "sentence_array", "bpe_windows",
+__all__ = ["chunk_fixed", "chunk_semantic", "chunk", "sentences", "with_sentences", "bpe_windows",
            "document_id"]

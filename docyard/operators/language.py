@@ -42,10 +42,8 @@ def normalized_letters(col: Column | str) -> Column:
 
 
 def trigrams(col: Column | str) -> Column:
-    s = normalized_letters(col)
-    return F.when(F.length(s) >= 3,
-                  F.transform(F.sequence(F.lit(1), F.length(s) - 2), lambda i: F.substring(s, i, 3))
-                  ).otherwise(F.array().cast("array<string>"))
+    """All overlapping substrings of length 3 of the normalised text, in one regex pass."""
+    return F.regexp_extract_all(normalized_letters(col), F.lit("(?=(.{3}))"), 1)
 
 
 def detection_sample(col: Column | str, sample_chars: int = 2000) -> Column:

@@ -286,3 +286,136 @@ def q_chunk_report(spark, sf):
         F.count(F.lit(1)).alias("n_chunks"), F.countDistinct("doc_id").alias("n_documents"),
         F.round(F.avg("n_tokens"), 4).alias("avg_chunk_tokens"))
     return normalize_types(out)
+
+
+# ---------------------------------------------------------------- dedup against an index
+# The index is what an earlier run stored: the chunks of the documents that
+# already carry labels (a reviewed batch), keyed by (tenant, hash).
+DEDUP_SQL = f"""
+WITH t AS (SELECT doc_id, source AS tenant_id, printf('%s/%08d.txt', source, doc_id) AS source_path,
+                  {S.tokens('text')} AS toks FROM documents),
+c AS (SELECT *, len(toks) AS n FROM t WHERE len(toks) > 0),
+k AS (SELECT doc_id, tenant_id, source_path, toks, unnest(range(0, {S.chunk_count('n', SIZE, STEP)})) AS chunk_index FROM c),
+h AS (SELECT doc_id, tenant_id, source_path, chunk_index,
+             sha256(array_to_string(toks[chunk_index*{STEP}+1:chunk_index*{STEP}+{SIZE}], '')) AS chunk_hash FROM k),
+idx AS (SELECT DISTINCT tenant_id, chunk_hash FROM h WHERE doc_id IN (SELECT doc_id FROM labels)),
+r AS (SELECT *, row_number() OVER (PARTITION BY nullif(tenant_id, ''), chunk_hash
+                                   ORDER BY source_path, chunk_index) AS rn FROM h),
+new AS (SELECT * FROM r WHERE rn = 1 AND NOT EXISTS (
+          SELECT 1 FROM idx WHERE idx.chunk_hash = r.chunk_hash
+                              AND (nullif(r.tenant_id, '') IS NULL OR idx.tenant_id = r.tenant_id)))
+"""
+
+
+def _dedup_inputs(spark, sf):
+    d = corpus_documents(spark, sf)
+    chunks = D.with_identity(K.chunk_fixed(d, SIZE, OVERLAP_PCT)).select(
+        "doc_id", "tenant_id", "source_path", "chunk_index", "chunk_hash")
+    labelled = read_table(spark, sf, "labels").select("doc_id")
+    index = chunks.join(labelled, "doc_id", "left_semi").select("tenant_id", "chunk_hash")
+    return chunks, index
+
+
+@register("dedup_in_batch", DEDUP_SQL + """
+SELECT doc_id, CAST(chunk_index AS BIGINT) AS chunk_index, chunk_hash FROM r WHERE rn = 1
+""")
+def q_dedup_in_batch(spark, sf):
+    chunks, _ = _dedup_inputs(spark, sf)
+    return normalize_types(D.first_in_batch(chunks).select("doc_id", "chunk_index", "chunk_hash"))
+
+
+@register("dedup_against_index", DEDUP_SQL + """
+SELECT doc_id, CAST(chunk_index AS BIGINT) AS chunk_index, chunk_hash FROM new
+""")
+def q_dedup_against_index(spark, sf):
+    chunks, index = _dedup_inputs(spark, sf)
+    new = D.filter_new_chunks(chunks, index)
+    return normalize_types(new.select("doc_id", "chunk_index", "chunk_hash"))
+
+
+@register("dedup_counts", DEDUP_SQL + """
+SELECT h.tenant_id, CAST(count(*) AS BIGINT) AS total_chunk_count,
+       CAST(count(new.chunk_hash) AS BIGINT) AS new_chunk_count,
+       CAST(count(*) - count(new.chunk_hash) AS BIGINT) AS skipped_count
+FROM h LEFT JOIN new ON new.doc_id = h.doc_id AND new.chunk_index = h.chunk_index
+GROUP BY h.tenant_id
+""")
+def q_dedup_counts(spark, sf):
+    chunks, index = _dedup_inputs(spark, sf)
+    new = D.filter_new_chunks(chunks, index)
+    return normalize_types(D.skipped_counts(chunks, new, by=("tenant_id",)))
+
+
+@register("existing_hashes", DEDUP_SQL + """
+SELECT h.doc_id, CAST(h.chunk_index AS BIGINT) AS chunk_index, h.chunk_hash FROM h
+WHERE EXISTS (SELECT 1 FROM idx WHERE idx.chunk_hash = h.chunk_hash
+                               AND (nullif(h.tenant_id, '') IS NULL OR idx.tenant_id = h.tenant_id))
+""")
+def q_existing_hashes(spark, sf):
+    chunks, index = _dedup_inputs(spark, sf)
+    return normalize_types(D.existing_in_index(chunks, index).select("doc_id", "chunk_index", "chunk_hash"))
+
+
+@register("hashes_by_tenant", DEDUP_SQL + """
+SELECT nullif(tenant_id, '') AS tenant_id, CAST(count(DISTINCT chunk_hash) AS BIGINT) AS distinct_hashes,
+       CAST(count(*) AS BIGINT) AS chunks FROM h GROUP BY 1
+""")
+def q_hashes_by_tenant(spark, sf):
+    chunks, _ = _dedup_inputs(spark, sf)
+    return normalize_types(D.hashes_by_tenant(chunks))
+
+
+# ---------------------------------------------------------------- language id and full cleaning
+def lang_sql(sample_expr_src: str) -> str:
+    """CTEs: a trigram profile trained on all labelled documents, then scores
+    for ``sample_expr_src`` = SELECT doc_id, sample; ends in ``lid(doc_id, language, confidence)``."""
+    norm = lambda e: f"' ' || trim(regexp_replace(lower({e}), '[^\\pL]+', ' ', 'g')) || ' '"
+    return f"""
+tr AS (SELECT lang, {norm('text')} AS s FROM documents WHERE lang IS NOT NULL),
+tg AS (SELECT lang, substr(s, i, 3) AS gram FROM (SELECT lang, s, unnest(range(1, length(s) - 1)) AS i FROM tr)),
+prof AS (SELECT lang, gram, count(*) AS n FROM tg GROUP BY lang, gram),
+den AS (SELECT lang, ln(t + v) AS z FROM (SELECT lang, sum(n) AS t FROM prof GROUP BY lang),
+                                          (SELECT count(DISTINCT gram) AS v FROM prof)),
+smp AS (SELECT doc_id, {S.strip('substr(sample, 1, 2000)')} AS sample FROM ({sample_expr_src})),
+sn AS (SELECT doc_id, {norm('sample')} AS s FROM smp WHERE sample <> ''),
+sg AS (SELECT doc_id, substr(s, i, 3) AS gram FROM (SELECT doc_id, s, unnest(range(1, length(s) - 1)) AS i FROM sn)),
+ng AS (SELECT doc_id, count(*) AS n FROM sg GROUP BY doc_id),
+mw AS (SELECT sg.doc_id, p.lang, sum(ln(p.n + 1)) AS w FROM sg JOIN prof p ON p.gram = sg.gram GROUP BY sg.doc_id, p.lang),
+sc AS (SELECT ng.doc_id, den.lang, coalesce(mw.w, 0) - ng.n * den.z AS score
+       FROM ng CROSS JOIN den LEFT JOIN mw ON mw.doc_id = ng.doc_id AND mw.lang = den.lang),
+best AS (SELECT doc_id, arg_max(lang, score) AS lang, max(score) AS top FROM sc GROUP BY doc_id),
+lid AS (SELECT b.doc_id, CASE WHEN 1.0 / sum(exp(sc.score - b.top)) >= 0.9 THEN b.lang END AS language,
+               1.0 / sum(exp(sc.score - b.top)) AS confidence
+        FROM sc JOIN best b ON b.doc_id = sc.doc_id GROUP BY b.doc_id, b.lang)"""
+
+
+def _language_model(spark, sf):
+    from docyard.operators.language import fit_language_model
+    return fit_language_model(read_table(spark, sf, "documents"), "text", "lang")
+
+
+@register("language_id", f"""WITH {lang_sql('SELECT doc_id, text AS sample FROM documents')}
+SELECT d.doc_id, lid.language, round(lid.confidence, 4) AS confidence
+FROM documents d LEFT JOIN lid ON lid.doc_id = d.doc_id
+""")
+def q_language_id(spark, sf):
+    from docyard.operators.language import detect_language
+    model = _language_model(spark, sf)
+    d = read_table(spark, sf, "documents").select("doc_id", "text")
+    out = detect_language(d, model, "text", 0.9, confidence_col="confidence")
+    return out.select("doc_id", "language", F.round("confidence", 4).alias("confidence"))
+
+
+@register("clean_documents", f"""WITH cl AS (SELECT doc_id, {S.clean('text')} AS content FROM documents),
+kept AS (SELECT * FROM cl WHERE length(content) >= 100),
+{lang_sql('SELECT doc_id, content AS sample FROM kept')}
+SELECT kept.doc_id, kept.content, lid.language FROM kept JOIN lid ON lid.doc_id = kept.doc_id
+WHERE lid.language = 'en'
+""")
+def q_clean_documents(spark, sf):
+    from docyard.config import IngestConfig
+    from docyard.operators.clean import clean_documents
+    model = _language_model(spark, sf)
+    d = corpus_documents(spark, sf)
+    out = clean_documents(d, IngestConfig(), model)
+    return out.select("doc_id", "content", "language")
