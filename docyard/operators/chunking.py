@@ -49,9 +49,11 @@ def chunk_fixed(df: DataFrame, size: int = 512, overlap_pct: float = 0.15, text_
     if tokenizer == "bpe":
         return _chunk_fixed_bpe(df, size, overlap, text_col)
     keep = [c for c in df.columns if c != text_col]
-    w = (df.withColumn("_toks", regex_tokens(text_col))
-           .withColumn("_n", F.size("_toks"))
-           .filter(F.col("_n") > 0))
+    # The tokens are lossless, so "has tokens" is "non-empty text"; filtering on
+    # the text keeps the tokenizer from running twice after filter pushdown.
+    w = (df.filter(F.length(text_col) > 0)
+           .withColumn("_toks", regex_tokens(text_col))
+           .withColumn("_n", F.size("_toks")))
     if step <= 0:
         # Raised lazily, and only when a non-empty text is actually chunked.
         w = w.filter(F.raise_error(F.lit(STEP_ERROR)).isNull())

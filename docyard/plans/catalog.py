@@ -419,3 +419,13 @@ def q_clean_documents(spark, sf):
     d = corpus_documents(spark, sf)
     out = clean_documents(d, IngestConfig(), model)
     return out.select("doc_id", "content", "language")
+
+
+# ---------------------------------------------------------------- loaders
+@register("html_extract", f"""WITH {S.html_extract_sql()}
+SELECT page_id, content, title, url FROM hx WHERE content <> ''
+""")
+def q_html_extract(spark, sf):
+    from docyard.sources.html import html_documents
+    p = read_table(spark, sf, "pages")
+    return html_documents(p).select("page_id", "content", "title", "url")
