@@ -429,3 +429,83 @@ def q_html_extract(spark, sf):
     from docyard.sources.html import html_documents
     p = read_table(spark, sf, "pages")
     return html_documents(p).select("page_id", "content", "title", "url")
+
+
+def _markdown_source_sql() -> str:
+    nl = "chr(10)"
+    return (f"'---' || {nl} || 'source: ' || source || {nl} || 'lang: ' || coalesce(lang, '') || {nl} || '---' "
+            f"|| {nl} || '# ' || replace(text, {nl}, {nl} || {nl} || '## ')")
+
+
+def _markdown_source(d: DataFrame) -> DataFrame:
+    """Markdown derived from each document: front matter, a title line, every later line a heading."""
+    raw = F.concat(F.lit("---\nsource: "), F.col("source"), F.lit("\nlang: "), F.coalesce("lang", F.lit("")),
+                   F.lit("\n---\n# "), F.regexp_replace("text", "\n", "\n\n## "))
+    return d.select("doc_id", raw.alias("raw"))
+
+
+_MD_CONTENT, _MD_TITLE = S.markdown_sql("raw")
+
+
+@register("markdown_extract", f"""
+WITH m AS (SELECT doc_id, {_markdown_source_sql()} AS raw FROM documents),
+x AS (SELECT doc_id, {_MD_CONTENT} AS content, {_MD_TITLE} AS h1_title FROM m)
+SELECT doc_id, content, h1_title FROM x WHERE content <> ''
+""")
+def q_markdown_extract(spark, sf):
+    from docyard.sources.loaders import markdown_documents
+    md = _markdown_source(read_table(spark, sf, "documents"))
+    return markdown_documents(md, "raw").select("doc_id", "content", "h1_title")
+
+
+@register("explode_pages", f"""
+WITH p AS (SELECT doc_id, string_split(text, chr(10)) AS pages FROM documents),
+e AS (SELECT doc_id, pages, generate_subscripts(pages, 1) AS i FROM p)
+SELECT doc_id, CAST(i AS BIGINT) AS page_number, CAST(len(pages) AS BIGINT) AS page_count,
+       {S.strip('pages[i]')} AS content
+FROM e WHERE {S.strip('pages[i]')} <> ''
+""")
+def q_explode_pages(spark, sf):
+    """Each document's lines stand for the pages of a PDF."""
+    from docyard.sources.loaders import explode_pages
+    d = read_table(spark, sf, "documents").select("doc_id", F.split("text", "\n").alias("pages"))
+    return normalize_types(explode_pages(d).select("doc_id", "page_number", "page_count", "content"))
+
+
+@register("flatten_blocks", f"""
+WITH b AS (SELECT conv_id AS doc_id, CASE role WHEN 'system' THEN 'table' ELSE 'paragraph' END AS kind,
+                  turn AS ordinal, CASE role WHEN 'user' THEN 'Heading 2' ELSE 'Normal' END AS style,
+                  {S.strip('text')} AS t FROM conversations),
+g AS (SELECT doc_id,
+             {S.strip("coalesce(string_agg(t, chr(10) || chr(10) ORDER BY (kind = 'table'), ordinal, t) FILTER (WHERE t <> ''), '')")} AS content,
+             CAST(count(*) FILTER (WHERE kind <> 'table' AND t <> '' AND starts_with(coalesce(style, ''), 'Heading')) AS BIGINT) AS heading_count,
+             CAST(count(*) FILTER (WHERE kind = 'table') AS BIGINT) AS table_count
+      FROM b GROUP BY doc_id)
+SELECT * FROM g WHERE content <> ''
+""")
+def q_flatten_blocks(spark, sf):
+    """Conversation turns as Word blocks: system turns are tables, user turns are headings."""
+    from docyard.sources.loaders import flatten_blocks
+    c = read_table(spark, sf, "conversations")
+    blocks = c.select(F.col("conv_id").alias("doc_id"),
+                      F.when(F.col("role") == "system", "table").otherwise("paragraph").alias("kind"),
+                      F.col("turn").alias("ordinal"),
+                      F.when(F.col("role") == "user", "Heading 2").otherwise("Normal").alias("style"),
+                      "text")
+    return normalize_types(flatten_blocks(blocks).select("doc_id", "content", "heading_count", "table_count"))
+
+
+@register("format_dispatch", """
+WITH n AS (SELECT page_id, regexp_extract(regexp_replace(url, '/+$', ''), '([^/]*)$', 1) AS name FROM pages),
+s AS (SELECT page_id, regexp_extract(name, '(?s)^.+(\\.[^.]+)$', 1) AS suffix FROM n),
+f AS (SELECT page_id, suffix,
+             CASE WHEN lower(suffix) IN ('.pdf') THEN 'pdf'
+                  WHEN lower(suffix) IN ('.html', '.htm') THEN 'html'
+                  WHEN lower(suffix) IN ('.md', '.markdown') THEN 'markdown'
+                  WHEN lower(suffix) IN ('.docx') THEN 'docx' END AS format FROM s)
+SELECT page_id, suffix, format, CASE WHEN format IS NULL THEN 'No loader found for ' || suffix END AS error_message FROM f
+""")
+def q_format_dispatch(spark, sf):
+    from docyard.sources.loaders import dispatch
+    p = read_table(spark, sf, "pages").select("page_id", "url")
+    return dispatch(p, "url").select("page_id", "suffix", "format", "error_message")
