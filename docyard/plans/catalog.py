@@ -509,3 +509,146 @@ def q_format_dispatch(spark, sf):
     from docyard.sources.loaders import dispatch
     p = read_table(spark, sf, "pages").select("page_id", "url")
     return dispatch(p, "url").select("page_id", "suffix", "format", "error_message")
+
+
+# ---------------------------------------------------------------- upsert view and job audit trail
+@register("upsert_latest", """
+SELECT user_id, event_type, event_id, value FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events)
+WHERE rn = 1
+""")
+def q_upsert_latest(spark, sf):
+    """Events as an upsert log keyed by (user, event type): the latest row per key wins."""
+    from docyard.sinks.points import latest_by_key
+    e = read_table(spark, sf, "events").withColumn("_seq", F.struct("ts", "event_id"))
+    return latest_by_key(e, ("user_id", "event_type"), "_seq").select("user_id", "event_type", "event_id", "value")
+
+
+JOB_EVENTS_SQL = """
+WITH ev AS (
+  SELECT CAST(user_id AS VARCHAR) AS job_id, 'events/user-' || user_id AS source_path,
+         'tenant-' || CAST(floor(CAST(regexp_extract(props, '"k":\\s*(\\d+)', 1) AS INTEGER) / 20) AS INTEGER) AS tenant_id,
+         CASE event_type WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'running'
+                         WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'failed' END AS status,
+         ts AS event_at, event_id AS seq, value,
+         CAST(regexp_extract(props, '"k":\\s*(\\d+)', 1) AS INTEGER) AS k
+  FROM events),
+je AS (
+  SELECT job_id, source_path, tenant_id, status, event_at, seq,
+         CASE WHEN status = 'failed' THEN 'error event ' || seq END AS error_message,
+         CASE WHEN status = 'done' THEN CAST(floor(value) AS INTEGER) END AS chunk_count,
+         CASE WHEN status = 'done' THEN k END AS skipped_count,
+         CASE WHEN status IN ('done', 'failed') THEN value END AS duration_seconds
+  FROM ev WHERE status IS NOT NULL),
+a AS (SELECT *, sum(CAST(status = 'queued' AS INTEGER)) OVER w AS nq FROM je
+      WINDOW w AS (PARTITION BY job_id ORDER BY event_at, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+b AS (SELECT *, CAST(status = 'running' AND nq >= 1 AS INTEGER) AS relig FROM a),
+c AS (SELECT *, sum(relig) OVER w AS rc FROM b
+      WINDOW w AS (PARTITION BY job_id ORDER BY event_at, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+d AS (SELECT *, CAST(status IN ('done', 'failed') AND rc >= 1 AS INTEGER) AS telig FROM c),
+f AS (SELECT *, sum(telig) OVER w AS tc FROM d
+      WINDOW w AS (PARTITION BY job_id ORDER BY event_at, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+g AS (SELECT *, (status = 'queued' AND nq = 1) AS is_create, (relig = 1 AND rc = 1) AS is_run,
+             (telig = 1 AND tc = 1) AS is_end FROM f),
+h AS (SELECT *, is_create OR is_run OR is_end AS valid,
+             max(CASE WHEN is_end THEN status END) OVER w AS terminal,
+             max(CASE WHEN is_create THEN event_at END) OVER w AS created_at,
+             max(CASE WHEN is_end AND status = 'done' THEN event_at END) OVER w AS indexed_at
+      FROM g
+      WINDOW w AS (PARTITION BY job_id ORDER BY event_at, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+v AS (SELECT *, CASE WHEN valid THEN NULL
+                     WHEN nq - CAST(status = 'queued' AS INTEGER) < 1 THEN 'ingestion job not found: ' || job_id
+                     ELSE 'invalid job status transition: ' ||
+                          CASE WHEN tc - telig >= 1 THEN terminal WHEN rc - relig >= 1 THEN 'running' ELSE 'queued' END
+                          || ' -> ' || status END AS rejection FROM h),
+cur AS (SELECT job_id, source_path, tenant_id, status, error_message, chunk_count, skipped_count,
+               duration_seconds, created_at, indexed_at FROM (
+          SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY event_at DESC, seq DESC) AS rn
+          FROM v WHERE valid) WHERE rn = 1),
+cur0 AS (SELECT v.job_id, first(v.source_path ORDER BY v.event_at, v.seq) AS source_path0,
+                first(v.tenant_id ORDER BY v.event_at, v.seq) AS tenant_id0 FROM v WHERE valid GROUP BY v.job_id),
+jobs AS (SELECT cur.job_id, cur0.source_path0 AS source_path, cur0.tenant_id0 AS tenant_id, status, error_message,
+                chunk_count, skipped_count, duration_seconds, created_at, indexed_at
+         FROM cur JOIN cur0 ON cur0.job_id = cur.job_id)
+"""
+
+
+def _job_events(spark, sf) -> DataFrame:
+    """The events table read as job status requests (click events carry none)."""
+    e = read_table(spark, sf, "events")
+    k = F.regexp_extract("props", r'"k":\s*(\d+)', 1).cast("int")
+    status = (F.when(F.col("event_type") == "signup", "queued").when(F.col("event_type") == "view", "running")
+               .when(F.col("event_type") == "purchase", "done").when(F.col("event_type") == "error", "failed"))
+    ev = e.select(F.col("user_id").cast("string").alias("job_id"),
+                  F.concat(F.lit("events/user-"), F.col("user_id").cast("string")).alias("source_path"),
+                  F.concat(F.lit("tenant-"), F.floor(k / 20).cast("int").cast("string")).alias("tenant_id"),
+                  status.alias("status"), F.col("ts").alias("event_at"), F.col("event_id").alias("seq"),
+                  "value", k.alias("k")).filter(F.col("status").isNotNull())
+    st = F.col("status")
+    return ev.select("job_id", "source_path", "tenant_id", "status", "event_at", "seq",
+                     F.when(st == "failed", F.concat(F.lit("error event "), F.col("seq").cast("string")))
+                      .alias("error_message"),
+                     F.when(st == "done", F.floor("value").cast("int")).alias("chunk_count"),
+                     F.when(st == "done", F.col("k")).alias("skipped_count"),
+                     F.when(st.isin("done", "failed"), F.col("value")).alias("duration_seconds"))
+
+
+def _current_jobs(spark, sf) -> DataFrame:
+    from docyard.sinks.jobs import current_jobs, validate_transitions
+    return current_jobs(validate_transitions(_job_events(spark, sf)))
+
+
+def _micros(c: str):
+    return F.unix_micros(F.col(c).cast("timestamp"))
+
+
+@register("job_transitions", JOB_EVENTS_SQL + """
+SELECT job_id, seq, status, valid, rejection FROM v
+""")
+def q_job_transitions(spark, sf):
+    from docyard.sinks.jobs import validate_transitions
+    v = validate_transitions(_job_events(spark, sf))
+    return v.select("job_id", "seq", "status", "valid", "rejection")
+
+
+@register("job_current", JOB_EVENTS_SQL + """
+SELECT job_id, source_path, tenant_id, status, error_message, CAST(chunk_count AS BIGINT) AS chunk_count,
+       CAST(skipped_count AS BIGINT) AS skipped_count, round(duration_seconds, 6) AS duration_seconds,
+       epoch_us(created_at) AS created_at_us, epoch_us(indexed_at) AS indexed_at_us FROM jobs
+""")
+def q_job_current(spark, sf):
+    j = _current_jobs(spark, sf)
+    return normalize_types(j.select("job_id", "source_path", "tenant_id", "status", "error_message", "chunk_count",
+                                    "skipped_count", F.round("duration_seconds", 6).alias("duration_seconds"),
+                                    _micros("created_at").alias("created_at_us"),
+                                    _micros("indexed_at").alias("indexed_at_us")))
+
+
+@register("job_lookup", JOB_EVENTS_SQL + """
+SELECT job_id, status FROM jobs WHERE job_id IN (SELECT CAST(doc_id AS VARCHAR) FROM labels)
+""")
+def q_job_lookup(spark, sf):
+    """Point lookups of a set of job ids (the labelled ids); unknown ids give no row."""
+    from docyard.sinks.jobs import get_job
+    ids = read_table(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("job_id"))
+    return get_job(_current_jobs(spark, sf), ids).select("job_id", "status")
+
+
+@register("recent_jobs", JOB_EVENTS_SQL + """
+SELECT tenant_id, job_id, CAST(rn AS BIGINT) AS rank, epoch_us(created_at) AS created_at_us FROM (
+  SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY created_at DESC, job_id) AS rn FROM jobs)
+WHERE rn <= 50
+""")
+def q_recent_jobs(spark, sf):
+    from docyard.sinks.jobs import recent_jobs
+    r = recent_jobs(_current_jobs(spark, sf), None, 50)
+    return normalize_types(r.select("tenant_id", "job_id", "rank", _micros("created_at").alias("created_at_us")))
+
+
+@register("audit_report", JOB_EVENTS_SQL + """
+SELECT source_path, status, CAST(chunk_count AS BIGINT) AS chunk_count, CAST(skipped_count AS BIGINT) AS skipped_count
+FROM jobs ORDER BY created_at DESC, job_id LIMIT 10
+""")
+def q_audit_report(spark, sf):
+    from docyard.sinks.jobs import audit_report
+    return normalize_types(audit_report(_current_jobs(spark, sf), 10))
