@@ -652,3 +652,97 @@ FROM jobs ORDER BY created_at DESC, job_id LIMIT 10
 def q_audit_report(spark, sf):
     from docyard.sinks.jobs import audit_report
     return normalize_types(audit_report(_current_jobs(spark, sf), 10))
+
+
+# ---------------------------------------------------------------- vectors, search, recall
+@register("l2_normalize", """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+n AS (SELECT vec_id, e, sqrt(list_reduce(list_transform(e, lambda x: x * x), lambda a, b: a + b)) AS nrm FROM v),
+u AS (SELECT vec_id, nrm, CASE WHEN nrm > 0 THEN list_transform(e, lambda x: x / nrm) ELSE e END AS w FROM n)
+SELECT vec_id, CAST(len(w) AS BIGINT) AS dim, round(nrm, 6) AS norm_in,
+       round(sqrt(list_reduce(list_transform(w, lambda x: x * x), lambda a, b: a + b)), 6) AS norm_out,
+       round(w[1], 6) AS x0 FROM u
+""")
+def q_l2_normalize(spark, sf):
+    from docyard.operators.embed import l2_normalize, vector_norm
+    e = read_table(spark, sf, "embeddings")
+    u = e.select("vec_id", vector_norm("embedding").alias("nrm"), l2_normalize("embedding").alias("w"))
+    return normalize_types(u.select("vec_id", F.size("w").alias("dim"), F.round("nrm", 6).alias("norm_in"),
+                                    F.round(vector_norm("w"), 6).alias("norm_out"),
+                                    F.round(F.element_at("w", 1), 6).alias("x0")))
+
+
+TOPK = 5
+COSINE_SQL = f"""
+WITH x AS (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings),
+q AS (SELECT label AS query_id, pos, avg(CAST(x AS DOUBLE)) AS m FROM x GROUP BY label, pos),
+qn AS (SELECT query_id, sqrt(sum(m * m)) AS nq FROM q GROUP BY query_id),
+vx AS (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings),
+vn AS (SELECT vec_id, sqrt(sum(x * x)) AS nv FROM vx GROUP BY vec_id),
+dt AS (SELECT q.query_id, vx.vec_id, sum(q.m * vx.x) AS d FROM q JOIN vx ON vx.pos = q.pos GROUP BY q.query_id, vx.vec_id),
+sc AS (SELECT dt.query_id, dt.vec_id, dt.d / (qn.nq * vn.nv) AS score
+       FROM dt JOIN qn ON qn.query_id = dt.query_id JOIN vn ON vn.vec_id = dt.vec_id),
+rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM sc),
+top AS (SELECT * FROM rk WHERE rank <= {TOPK})
+"""
+
+
+def _ranked(spark, sf):
+    from docyard.operators.search import centroid_queries, cosine_topk
+    e = read_table(spark, sf, "embeddings")
+    return cosine_topk(e, centroid_queries(e, "label"), TOPK)
+
+
+@register("cosine_topk", COSINE_SQL + """
+SELECT CAST(query_id AS BIGINT) AS query_id, vec_id, CAST(rank AS BIGINT) AS rank, round(score, 6) AS score FROM top
+""")
+def q_cosine_topk(spark, sf):
+    """Top-5 vectors by cosine for each label's centroid."""
+    r = _ranked(spark, sf)
+    return normalize_types(r.select("query_id", "vec_id", "rank", F.round("score", 6).alias("score")))
+
+
+@register("context_assembly", COSINE_SQL + """
+, ctx AS (SELECT top.query_id, count(*) AS n_chunks,
+                 string_agg(d.text, chr(10) || chr(10) ORDER BY top.rank) AS context
+          FROM top JOIN documents d ON d.doc_id = top.vec_id GROUP BY top.query_id)
+SELECT CAST(query_id AS BIGINT) AS query_id, CAST(n_chunks AS BIGINT) AS n_chunks, sha256(context) AS context_sha256,
+       CAST(length(context) AS BIGINT) AS context_chars FROM ctx
+""")
+def q_context_assembly(spark, sf):
+    """Ranked hit texts joined per query (documents paired with vectors by id)."""
+    from docyard.operators.search import assemble_context
+    texts = read_table(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), "text")
+    c = assemble_context(_ranked(spark, sf), texts)
+    return normalize_types(c.select("query_id", "n_chunks", F.sha2("context", 256).alias("context_sha256"),
+                                    F.length("context").alias("context_chars")))
+
+
+@register("recall_at_k", COSINE_SQL + f"""
+, gold AS (SELECT label AS query_id, vec_id FROM embeddings),
+g AS (SELECT query_id, count(*) AS gold_count FROM gold GROUP BY query_id),
+h AS (SELECT top.query_id, count(*) FILTER (WHERE gold.vec_id IS NOT NULL) AS hits
+      FROM top LEFT JOIN gold ON gold.query_id = top.query_id AND gold.vec_id = top.vec_id GROUP BY top.query_id)
+SELECT CAST(h.query_id AS BIGINT) AS query_id, CAST(h.hits AS BIGINT) AS hits, CAST(g.gold_count AS BIGINT) AS gold_count,
+       round(h.hits / g.gold_count, 6) AS recall, round(h.hits / {float(TOPK)}, 6) AS precision
+FROM h JOIN g ON g.query_id = h.query_id
+""")
+def q_recall_at_k(spark, sf):
+    """recall@5 of centroid queries, gold = every vector with the query's label."""
+    from docyard.operators.search import recall_at_k
+    e = read_table(spark, sf, "embeddings")
+    gold = e.select(F.col("label").alias("query_id"), "vec_id")
+    r = recall_at_k(_ranked(spark, sf), gold, TOPK)
+    return normalize_types(r.select("query_id", "hits", "gold_count", F.round("recall", 6).alias("recall"),
+                                    F.round("precision", 6).alias("precision")))
+
+
+@register("embed_hashed")
+def q_embed_hashed(spark, sf):
+    """Fixed chunks of every document embedded in batches of 256 (rows check only)."""
+    from docyard.operators.embed import embed, vector_norm
+    d = corpus_documents(spark, sf)
+    c = K.chunk_fixed(d, SIZE, OVERLAP_PCT)
+    v = embed(c, "text", "embedding", vector_size=64, batch_size=256)
+    return normalize_types(v.select("doc_id", "chunk_index", F.size("embedding").alias("dim"),
+                                    F.round(vector_norm("embedding"), 4).alias("norm")))
