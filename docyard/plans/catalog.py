@@ -746,3 +746,47 @@ def q_embed_hashed(spark, sf):
     v = embed(c, "text", "embedding", vector_size=64, batch_size=256)
     return normalize_types(v.select("doc_id", "chunk_index", F.size("embedding").alias("dim"),
                                     F.round(vector_norm("embedding"), 4).alias("norm")))
+
+
+# ---------------------------------------------------------------- the ingest flow's counters
+INGEST_SQL = f"""WITH cl AS (SELECT doc_id, source AS tenant_id, printf('%s/%08d.txt', source, doc_id) AS source_path,
+                   {S.clean('text')} AS content FROM documents),
+kept AS (SELECT * FROM cl WHERE length(content) >= 100),
+{lang_sql('SELECT doc_id, content AS sample FROM kept')},
+en AS (SELECT kept.* FROM kept JOIN lid ON lid.doc_id = kept.doc_id WHERE lid.language = 'en'),
+t AS (SELECT doc_id, tenant_id, source_path, {S.tokens('content')} AS toks FROM en),
+c AS (SELECT *, len(toks) AS n FROM t WHERE len(toks) > 0),
+k AS (SELECT doc_id, tenant_id, source_path, toks, unnest(range(0, {S.chunk_count('n', SIZE, STEP)})) AS chunk_index FROM c),
+h AS (SELECT doc_id, tenant_id, source_path, chunk_index,
+             sha256(array_to_string(toks[chunk_index*{STEP}+1:chunk_index*{STEP}+{SIZE}], '')) AS chunk_hash FROM k),
+idx AS (SELECT DISTINCT tenant_id, chunk_hash FROM h WHERE doc_id IN (SELECT doc_id FROM labels)),
+r AS (SELECT *, row_number() OVER (PARTITION BY nullif(tenant_id, ''), chunk_hash ORDER BY source_path, chunk_index) AS rn FROM h),
+new AS (SELECT * FROM r WHERE rn = 1 AND NOT EXISTS (
+          SELECT 1 FROM idx WHERE idx.chunk_hash = r.chunk_hash
+                              AND (nullif(r.tenant_id, '') IS NULL OR idx.tenant_id = r.tenant_id))),
+dc AS (SELECT source AS tenant_id, count(*) AS document_count FROM documents GROUP BY 1),
+ec AS (SELECT tenant_id, count(*) AS cleaned_document_count FROM en GROUP BY 1),
+hc AS (SELECT tenant_id, count(*) AS total_chunk_count FROM h GROUP BY 1),
+nc AS (SELECT tenant_id, count(*) AS chunk_count FROM new GROUP BY 1)
+SELECT dc.tenant_id, CAST(document_count AS BIGINT) AS document_count,
+       CAST(coalesce(cleaned_document_count, 0) AS BIGINT) AS cleaned_document_count,
+       CAST(coalesce(total_chunk_count, 0) AS BIGINT) AS total_chunk_count,
+       CAST(coalesce(chunk_count, 0) AS BIGINT) AS chunk_count,
+       CAST(coalesce(total_chunk_count, 0) - coalesce(chunk_count, 0) AS BIGINT) AS skipped_count
+FROM dc LEFT JOIN ec USING (tenant_id) LEFT JOIN hc USING (tenant_id) LEFT JOIN nc USING (tenant_id)
+"""
+
+
+@register("ingest_counters", INGEST_SQL)
+def q_ingest_counters(spark, sf):
+    """The full flow's counters per tenant: clean + language + fixed chunks + dedup against
+    the index an earlier run left (the labelled documents' chunks)."""
+    from docyard.config import IngestConfig
+    from docyard.plans.ingest import counters, plan_ingest
+    model = _language_model(spark, sf)
+    d = corpus_documents(spark, sf)
+    earlier = plan_ingest(d.join(read_table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi"),
+                          IngestConfig(), model)
+    index = earlier.chunks.select("tenant_id", "chunk_hash")
+    plan = plan_ingest(d, IngestConfig(), model, index)
+    return normalize_types(counters(plan, by=("tenant_id",)))
