@@ -161,3 +161,15 @@ def apply_steps(col: Column | str, steps) -> Column:
     for step in steps:
         out = step(out)
     return out
+
+
+def with_column_where(df, name: str, value: Column, predicate) -> "DataFrame":  # noqa: F821
+    """Set column ``name`` to ``value`` and keep the rows where ``predicate(value)`` holds.
+
+    ``value`` is evaluated once per row: it is bound inside a one-element
+    array, filtered there, and exploded. A plain ``withColumn(...).filter(...)``
+    lets the optimizer copy the (costly) expression into the filter and push
+    that below earlier operators, evaluating it twice.
+    """
+    keep = [c for c in df.columns if c != name]
+    return df.select(*keep, F.explode(F.filter(F.array(value), predicate)).alias(name))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docyard.config import IngestConfig
-from docyard.functions.text import apply_steps, default_cleaning_steps
+from docyard.functions.text import apply_steps, default_cleaning_steps, with_column_where
 from docyard.operators.language import LanguageModel, detect_language
 
 
@@ -45,8 +45,9 @@ def clean_documents_with_reasons(df: DataFrame, cfg: IngestConfig = IngestConfig
 def clean_documents(df: DataFrame, cfg: IngestConfig = IngestConfig(), model: LanguageModel | None = None,
                     text_col: str = "content", steps=None) -> DataFrame:
     """Cleaned documents that pass the length and language checks, with ``language``."""
-    cleaned = clean_text(df, text_col, steps, cfg.boilerplate_patterns)
-    kept = cleaned.filter(F.length(text_col) >= F.lit(cfg.min_content_chars))
+    steps = default_cleaning_steps(cfg.boilerplate_patterns) if steps is None else steps
+    kept = with_column_where(df, text_col, apply_steps(F.col(text_col), steps),
+                             lambda c: F.length(c) >= F.lit(cfg.min_content_chars))
     if model is None or cfg.target_language is None:
         return kept.withColumn("language", F.lit(None).cast("string"))
     scored = detect_language(kept, model, text_col, cfg.language_confidence_threshold)

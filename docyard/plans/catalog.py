@@ -389,9 +389,16 @@ lid AS (SELECT b.doc_id, CASE WHEN 1.0 / sum(exp(sc.score - b.top)) >= 0.9 THEN
         FROM sc JOIN best b ON b.doc_id = sc.doc_id GROUP BY b.doc_id, b.lang)"""
 
 
+_MODELS: dict = {}
+
+
 def _language_model(spark, sf):
+    """The language model trained on every labelled document of ``sf`` (fitted once per session)."""
     from docyard.operators.language import fit_language_model
-    return fit_language_model(read_table(spark, sf, "documents"), "text", "lang")
+    key = (id(spark), sf)
+    if key not in _MODELS:
+        _MODELS[key] = fit_language_model(read_table(spark, sf, "documents"), "text", "lang")
+    return _MODELS[key]
 
 
 @register("language_id", f"""WITH {lang_sql('SELECT doc_id, text AS sample FROM documents')}
@@ -782,11 +789,15 @@ def q_ingest_counters(spark, sf):
     """The full flow's counters per tenant: clean + language + fixed chunks + dedup against
     the index an earlier run left (the labelled documents' chunks)."""
     from docyard.config import IngestConfig
-    from docyard.plans.ingest import counters, plan_ingest
+    from docyard.plans.ingest import IngestPlan, counters, plan_ingest
     model = _language_model(spark, sf)
     d = corpus_documents(spark, sf)
-    earlier = plan_ingest(d.join(read_table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi"),
-                          IngestConfig(), model)
-    index = earlier.chunks.select("tenant_id", "chunk_hash")
-    plan = plan_ingest(d, IngestConfig(), model, index)
+    plan = plan_ingest(d, IngestConfig(), model)
+    # the earlier run indexed the labelled documents; their chunks come from the same chunk table
+    from docyard.session import cut_lineage
+    chunks = cut_lineage(plan.chunks)
+    labelled = read_table(spark, sf, "labels").select("doc_id")
+    index = chunks.join(labelled, "doc_id", "left_semi").select("tenant_id", "chunk_hash")
+    new = cut_lineage(D.filter_new_chunks(chunks, index))
+    plan = IngestPlan(plan.documents, plan.cleaned, chunks, new)
     return normalize_types(counters(plan, by=("tenant_id",)))

@@ -53,22 +53,39 @@ def plan_ingest(docs: DataFrame, cfg: IngestConfig = IngestConfig(), model=None,
     return IngestPlan(docs, cleaned, chunks, new)
 
 
-def counters(plan: IngestPlan, by=("tenant_id", "source_path")) -> DataFrame:
+def counters(plan: IngestPlan, by=("tenant_id", "source_path"), doc_key: str = "doc_id",
+             min_content_chars: int = 1) -> DataFrame:
     """Per source: documents, cleaned documents, chunks, new chunks, skipped chunks.
 
     Left-joined from the document list, so sources that yield no text or no
-    new chunks still appear with zeros.
+    new chunks still appear with zeros. A cleaned document is at least
+    ``min_content_chars`` long, so when that is >= 1 every cleaned document
+    has a chunk and the cleaned count is read off the chunk table (one pass
+    over the expensive stages instead of two).
     """
     def count(df, name):
         return df.groupBy(*by).agg(F.count(F.lit(1)).alias(name))
     out = count(plan.documents, "document_count")
-    for df, name in ((plan.cleaned, "cleaned_document_count"), (plan.chunks, "total_chunk_count"),
-                     (plan.new_chunks, "chunk_count")):
-        out = out.join(count(df, name), list(by), "left")
+    if min_content_chars >= 1 and doc_key in plan.chunks.columns:
+        from_chunks = plan.chunks.groupBy(*by).agg(F.countDistinct(doc_key).alias("cleaned_document_count"),
+                                                   F.count(F.lit(1)).alias("total_chunk_count"))
+        out = out.join(from_chunks, list(by), "left")
+    else:
+        out = out.join(count(plan.cleaned, "cleaned_document_count"), list(by), "left")
+        out = out.join(count(plan.chunks, "total_chunk_count"), list(by), "left")
+    out = out.join(count(plan.new_chunks, "chunk_count"), list(by), "left")
     out = out.fillna(0, ["cleaned_document_count", "total_chunk_count", "chunk_count"])
     return out.withColumn("skipped_count", F.col("total_chunk_count") - F.col("chunk_count"))
 
 
+def materialize(plan: IngestPlan, index: DataFrame | None = None,
+                order_cols=("source_path", "chunk_index")) -> IngestPlan:
+    """Checkpoint the chunk table once; dedup and counters then read it, not the text stages."""
+    chunks = cut_lineage(plan.chunks)
+    new = cut_lineage(D.filter_new_chunks(chunks, index, order_cols))
+    return IngestPlan(plan.documents, plan.cleaned, chunks, new)
+
+
 def ingest(docs: DataFrame, points_path: str, cfg: IngestConfig = IngestConfig(), model=None,
            jobs_path: str | None = None, run_id: str | None = None, ingest_seq: int | None = None,
            model_factory=None) -> IngestResult:
@@ -83,15 +100,13 @@ def ingest(docs: DataFrame, points_path: str, cfg: IngestConfig = IngestConfig()
         index = P.read_points(spark, points_path).select("tenant_id", "chunk_hash")
     except ValueError:
         index = None
-    plan = plan_ingest(docs, cfg, model, index)
-    new = cut_lineage(plan.new_chunks)
-    plan = IngestPlan(plan.documents, plan.cleaned, plan.chunks, new)
-    vectors = embed(new, "text", "embedding", model_factory=model_factory, vector_size=cfg.vector_size,
+    plan = materialize(plan_ingest(docs, cfg, model, index), index)
+    vectors = embed(plan.new_chunks, "text", "embedding", model_factory=model_factory, vector_size=cfg.vector_size,
                     batch_size=cfg.embed_batch_size)
     points = P.build_points(vectors)
     seq = ingest_seq if ingest_seq is not None else int(spark.sql("SELECT unix_micros(current_timestamp())").first()[0])
     written = P.upsert(points, points_path, seq)
-    stats = counters(plan)
+    stats = counters(plan, min_content_chars=cfg.min_content_chars)
     events = None
     if jobs_path:
         src = stats.select("tenant_id", "source_path", F.col("source_path").alias("doc_id"),

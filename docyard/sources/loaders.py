@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docyard.functions.text import PY_WS, py_strip, split_lines
+from docyard.functions.text import PY_WS, py_strip, split_lines, with_column_where
 
 # Suffixes each loader accepts (compared in lower case), in dispatch order.
 LOADER_SUFFIXES = (
@@ -49,8 +49,9 @@ def markdown_documents(df: DataFrame, raw_col: str = "raw") -> DataFrame:
     lines = F.transform(split_lines("_md"), lambda l: py_strip(F.regexp_replace(l, HEADING_PREFIX, "")))
     content = py_strip(F.array_join(F.filter(lines, lambda l: l != F.lit("")), "\n"))
     keep = [c for c in df.columns if c != raw_col]
-    out = w.select(*keep, content.alias("content"), h1.alias("h1_title"), F.lit("markdown").alias("format"))
-    return out.filter(F.col("content") != F.lit(""))
+    out = w.select(*keep, "_md", h1.alias("h1_title"), F.lit("markdown").alias("format"))
+    out = with_column_where(out, "content", content, lambda c: c != F.lit(""))
+    return out.select(*keep, "content", "h1_title", "format")
 
 
 def explode_pages(df: DataFrame, pages_col: str = "pages") -> DataFrame:
