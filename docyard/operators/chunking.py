@@ -171,8 +171,12 @@ def with_sentences(df: DataFrame, text_col: str = "content", out_col: str = "_se
 def sentences(df: DataFrame, text_col: str = "content") -> DataFrame:
     """One row per sentence: sentence_index, text, start_char, end_char, n_tokens."""
     keep = [c for c in df.columns if c != text_col]
-    return (with_sentences(df, text_col).select(*keep, F.posexplode("_sents").alias("sentence_index", "_s"))
-              .select(*keep, "sentence_index", "_s.text", "_s.start_char", "_s.end_char", "_s.n_tokens"))
+    # inline over a computed array: an explode over a bare column makes Spark infer
+    # a size filter and push a copy of the whole sentence computation below the input.
+    numbered = F.transform("_sents", lambda s, i: F.struct(
+        i.alias("sentence_index"), s["text"].alias("text"), s["start_char"].alias("start_char"),
+        s["end_char"].alias("end_char"), s["n_tokens"].alias("n_tokens")))
+    return with_sentences(df, text_col).select(*keep, F.inline(numbered))
 
 
 def chunk_semantic(df: DataFrame, size: int = 512, overlap_pct: float = 0.15,

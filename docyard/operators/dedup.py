@@ -89,6 +89,19 @@ def hashes_by_tenant(chunks: DataFrame, tenant_col: str = "tenant_id") -> DataFr
                        F.count(F.lit(1)).alias("chunks")))
 
 
+def in_batch_counts(chunks: DataFrame, by: str = "tenant_id") -> DataFrame:
+    """Per tenant key: total chunks, chunks kept by in-batch dedup, skipped copies.
+
+    The counts do not depend on which copy survives, so this is two
+    aggregations (per (tenant, hash), then per tenant) whose map-side partial
+    aggregation collapses a hot hash before any shuffle.
+    """
+    per_key = chunks.groupBy(tenant_key(by).alias(by), "chunk_hash").agg(F.count(F.lit(1)).alias("_n"))
+    out = per_key.groupBy(by).agg(F.sum("_n").alias("total_chunk_count"),
+                                  F.count(F.lit(1)).alias("new_chunk_count"))
+    return out.withColumn("skipped_count", F.col("total_chunk_count") - F.col("new_chunk_count"))
+
+
 def skipped_counts(chunks: DataFrame, new_chunks: DataFrame, by=("tenant_id", "source_path")) -> DataFrame:
     """Per group: total chunks, new chunks, and skipped = existing + in-batch copies."""
     total = chunks.groupBy(*by).agg(F.count(F.lit(1)).alias("total_chunk_count"))

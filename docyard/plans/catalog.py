@@ -167,13 +167,11 @@ FROM r GROUP BY tenant_id
 def q_new_chunks_per_source(spark, sf):
     """documents -> clean -> min length -> fixed chunks -> hash -> in-batch dedup -> counts."""
     d = corpus_documents(spark, sf)
-    cleaned = clean_text(d, "content").filter(F.length("content") >= 100)
-    chunks = D.with_identity(K.chunk_fixed(cleaned, SIZE, OVERLAP_PCT)).select(
-        "tenant_id", "source_path", "chunk_index", "chunk_hash")
-    new = D.first_in_batch(chunks, ("source_path", "chunk_index"))
-    counts = D.skipped_counts(chunks, new, by=("tenant_id",))
-    return normalize_types(counts.select("tenant_id", "total_chunk_count",
-                                         F.col("new_chunk_count").alias("new_chunk_count"), "skipped_count"))
+    cleaned = T.with_column_where(d, "content", T.apply_steps(F.col("content"), T.default_cleaning_steps()),
+                                  lambda c: F.length(c) >= 100)
+    chunks = D.with_identity(K.chunk_fixed(cleaned, SIZE, OVERLAP_PCT)).select("tenant_id", "chunk_hash")
+    counts = D.in_batch_counts(chunks, "tenant_id")
+    return normalize_types(counts.select("tenant_id", "total_chunk_count", "new_chunk_count", "skipped_count"))
 
 
 # ---------------------------------------------------------------- sentences and sentence packing
