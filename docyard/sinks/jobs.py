@@ -2,8 +2,8 @@
 
 Each status request is an event row (job_id, status, fields, event time,
 sequence). The reference keeps one mutable row per job and validates each
-update against it; here the whole log is validated at once with window
-functions, which is exact because the allowed transitions form a chain
+update against it; here the whole log is validated at once from three
+milestones per job, which is exact because the allowed transitions form a chain
 (queued -> running -> done | failed):
 
 * the first ``queued`` event creates the job; events before it find no job;
@@ -11,10 +11,10 @@ functions, which is exact because the allowed transitions form a chain
 * the first ``done``/``failed`` event after that is valid;
 * every other event is rejected against the state the valid events left.
 
-Windows are partitioned by job and use only running frames, so they stream
-through a sort without buffering whole jobs. The current-state view takes
-every field from the last valid event (a later update overwrites counts and
-errors with NULL unless it gives them) and reuses the same partitioning.
+The milestones are grouped minima joined back by job id, never a window over
+a whole job, so a job holding a large share of the log does not land in one
+task. The current-state view takes every field from the last valid event (a
+later update overwrites counts and errors with NULL unless it gives them).
 """
 
 from __future__ import annotations
@@ -54,33 +54,43 @@ def create_jobs(sources: DataFrame, run_id: str, event_at: Column | None = None)
 
 
 def validate_transitions(events: DataFrame, order_cols=("event_at", "seq")) -> DataFrame:
-    """Add ``valid`` and ``error_message_check`` (why an event was rejected)."""
-    w = Window.partitionBy("job_id").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
+    """Add ``valid``, ``rejection`` (why an event was rejected), ``created_at`` and ``indexed_at``.
+
+    Three milestones per job decide everything: the first ``queued`` event
+    (creation), the first ``running`` event after it, and the first
+    ``done``/``failed`` event after that. Each is a grouped minimum (combined
+    map-side, so a job with a huge share of the events is reduced before any
+    shuffle) joined back to the events on the job id (many-to-one; adaptive
+    execution splits a hot job across tasks).
+    """
+    order = F.struct(*[F.col(c) for c in order_cols])
+    ev = events.withColumn("_ord", order)
     st = F.col("status")
-    q = (st == "queued").cast("int")
-    e = events.withColumn("_nq", F.sum(q).over(w))
-    r_elig = ((st == "running") & (F.col("_nq") >= 1)).cast("int")
-    e = e.withColumn("_relig", r_elig).withColumn("_rc", F.sum("_relig").over(w))
-    t_elig = (st.isin("done", "failed") & (F.col("_rc") >= 1)).cast("int")
-    e = e.withColumn("_telig", t_elig).withColumn("_tc", F.sum("_telig").over(w))
-    is_create = (st == "queued") & (F.col("_nq") == 1)
-    is_run = (F.col("_relig") == 1) & (F.col("_rc") == 1)
-    is_end = (F.col("_telig") == 1) & (F.col("_tc") == 1)
-    e = e.withColumn("_create", is_create).withColumn("_end", is_end)
-    e = e.withColumn("valid", is_create | is_run | is_end)
-    e = e.withColumn("_terminal", F.max(F.when(F.col("_end"), st)).over(w))
-    created_before = (F.col("_nq") - q) >= 1
-    state_before = (F.when((F.col("_tc") - F.col("_telig")) >= 1, F.col("_terminal"))
-                     .when((F.col("_rc") - F.col("_relig")) >= 1, F.lit("running"))
+
+    created = (ev.filter(st == "queued").groupBy("job_id")
+                 .agg(F.min("_ord").alias("_c")))
+    ev = ev.join(created, "job_id", "left")
+    run = (ev.filter((st == "running") & F.col("_c").isNotNull() & (F.col("_ord") > F.col("_c")))
+             .groupBy("job_id").agg(F.min("_ord").alias("_r")))
+    ev = ev.join(run, "job_id", "left")
+    end = (ev.filter(st.isin("done", "failed") & F.col("_r").isNotNull() & (F.col("_ord") > F.col("_r")))
+             .groupBy("job_id").agg(F.min(F.struct(F.col("_ord").alias("o"), st.alias("s"))).alias("_e")))
+    ev = ev.join(end, "job_id", "left")
+
+    o, c, r, e = F.col("_ord"), F.col("_c"), F.col("_r"), F.col("_e.o")
+    valid = F.coalesce((o == c) | (o == r) | (o == e), F.lit(False))
+    state_before = (F.when(e.isNotNull() & (o > e), F.col("_e.s"))
+                     .when(r.isNotNull() & (o > r), F.lit("running"))
                      .otherwise(F.lit("queued")))
-    why = (F.when(F.col("valid"), F.lit(None).cast("string"))
-            .when(~created_before, F.concat(F.lit(NOT_FOUND), F.col("job_id").cast("string")))
+    why = (F.when(valid, F.lit(None).cast("string"))
+            .when(c.isNull() | (o < c), F.concat(F.lit(NOT_FOUND), F.col("job_id").cast("string")))
             .otherwise(F.concat(F.lit(INVALID), state_before, F.lit(" -> "), st)))
-    e = e.withColumn("rejection", why)
-    # carry creation-time fields and completion time forward (running frames only)
-    e = (e.withColumn("created_at", F.max(F.when(F.col("_create"), F.col(order_cols[0]))).over(w))
-          .withColumn("indexed_at", F.max(F.when(F.col("_end") & (st == "done"), F.col(order_cols[0]))).over(w)))
-    return e.drop("_nq", "_relig", "_rc", "_telig", "_tc", "_create", "_end", "_terminal")
+    first = order_cols[0]
+    return (ev.withColumn("valid", valid)
+              .withColumn("rejection", why)
+              .withColumn("created_at", F.col(f"_c.{first}"))
+              .withColumn("indexed_at", F.when(F.col("_e.s") == "done", F.col(f"_e.o.{first}")))
+              .drop("_ord", "_c", "_r", "_e"))
 
 
 def current_jobs(validated: DataFrame, order_cols=("event_at", "seq"),

@@ -79,3 +79,40 @@ def test_lookup_recent_audit(spark):
     jobs = J.create_jobs(spark.createDataFrame([("d", "p", "t")], "doc_id string, source_path string, tenant_id string"), "run1")
     r = jobs.first()
     assert r["status"] == "queued" and len(r["job_id"]) == 36
+
+
+def _fold(statuses, job):
+    """The reference's one-update-at-a-time rules, as a plain Python fold."""
+    allowed = {"queued": {"running"}, "running": {"done", "failed"}, "done": set(), "failed": set()}
+    state, out = None, []
+    for s in statuses:
+        if state is None:
+            if s == "queued":
+                state = "queued"
+                out.append((True, None))
+            else:
+                out.append((False, f"ingestion job not found: {job}"))
+        elif s in allowed[state]:
+            state = s
+            out.append((True, None))
+        else:
+            out.append((False, f"invalid job status transition: {state} -> {s}"))
+    return out
+
+
+def test_transitions_match_fold(spark):
+    import random
+    rnd = random.Random(11)
+    rows = []
+    seqs = {}
+    for j in range(60):
+        seq = [rnd.choice(["queued", "running", "done", "failed"]) for _ in range(rnd.randint(1, 9))]
+        seqs[f"j{j}"] = seq
+        rows += [(f"j{j}", s) for s in seq]
+    rows += [("hot", rnd.choice(["queued", "running", "done", "failed"])) for _ in range(400)]
+    seqs["hot"] = [s for j, s in rows if j == "hot"]
+    got = {}
+    for r in J.validate_transitions(_events(spark, rows)).orderBy("seq").collect():
+        got.setdefault(r["job_id"], []).append((r["valid"], r["rejection"]))
+    for job, seq in seqs.items():
+        assert got[job] == _fold(seq, job), job
