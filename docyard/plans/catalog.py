@@ -799,3 +799,12 @@ def q_ingest_counters(spark, sf):
     new = cut_lineage(D.filter_new_chunks(chunks, index))
     plan = IngestPlan(plan.documents, plan.cleaned, chunks, new)
     return normalize_types(counters(plan, by=("tenant_id",)))
+
+
+@register("chunk_fixed_bpe")
+def q_chunk_fixed_bpe(spark, sf):
+    """Fixed windows over byte-level BPE tokens (rows check; offsets tested against prefix decoding)."""
+    d = corpus_documents(spark, sf)
+    c = K.chunk_fixed(d, SIZE, OVERLAP_PCT, tokenizer="bpe")
+    return normalize_types(c.select("doc_id", "chunk_index", "start_char", "end_char", "n_tokens",
+                                    chunk_hash("text").alias("chunk_hash")))

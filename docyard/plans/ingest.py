@@ -13,6 +13,7 @@ lost executor recomputes from there instead of re-running the text steps.
 
 from __future__ import annotations
 
+import time
 import uuid
 from dataclasses import dataclass
 
@@ -41,6 +42,7 @@ class IngestResult:
     written: int
     counters: DataFrame
     job_events: DataFrame
+    stage_seconds: dict          # wall time per stage of this run (chunk table, dedup, embed + write)
 
 
 def plan_ingest(docs: DataFrame, cfg: IngestConfig = IngestConfig(), model=None,
@@ -100,12 +102,20 @@ def ingest(docs: DataFrame, points_path: str, cfg: IngestConfig = IngestConfig()
         index = P.read_points(spark, points_path).select("tenant_id", "chunk_hash")
     except ValueError:
         index = None
-    plan = materialize(plan_ingest(docs, cfg, model, index), index)
+    t0 = time.perf_counter()
+    base = plan_ingest(docs, cfg, model, index)
+    chunks = cut_lineage(base.chunks)
+    t1 = time.perf_counter()
+    new = cut_lineage(D.filter_new_chunks(chunks, index))
+    t2 = time.perf_counter()
+    plan = IngestPlan(base.documents, base.cleaned, chunks, new)
     vectors = embed(plan.new_chunks, "text", "embedding", model_factory=model_factory, vector_size=cfg.vector_size,
                     batch_size=cfg.embed_batch_size)
     points = P.build_points(vectors)
     seq = ingest_seq if ingest_seq is not None else int(spark.sql("SELECT unix_micros(current_timestamp())").first()[0])
     written = P.upsert(points, points_path, seq)
+    t3 = time.perf_counter()
+    stages = {"chunks": t1 - t0, "dedup": t2 - t1, "embed_write": t3 - t2}
     stats = counters(plan, min_content_chars=cfg.min_content_chars)
     events = None
     if jobs_path:
@@ -122,8 +132,8 @@ def ingest(docs: DataFrame, points_path: str, cfg: IngestConfig = IngestConfig()
                 F.lit(None).cast("string").alias("error_message"),
                 (F.col("chunk_count") if done else F.lit(None)).cast("int").alias("chunk_count"),
                 (F.col("skipped_count") if done else F.lit(None)).cast("int").alias("skipped_count"),
-                F.lit(None).cast("double").alias("duration_seconds"),
+                (F.lit(t3 - t0) if done else F.lit(None)).cast("double").alias("duration_seconds"),
                 now.alias("event_at"), F.lit(i).cast("long").alias("seq")))
         events = rows[0].unionByName(rows[1]).unionByName(rows[2])
         events.write.mode("append").parquet(jobs_path)
-    return IngestResult(run_id, written, stats, events)
+    return IngestResult(run_id, written, stats, events, stages)

@@ -159,3 +159,11 @@ def test_incremental_ingest(spark, lang_model):
                             to_docs, IngestConfig(), lang_model, max_files_per_trigger=5)
     q2.awaitTermination(600)
     assert P.point_count(spark, path) == streamed
+
+
+def test_ingest_reports_stage_times(spark, lang_model):
+    from docyard.plans.ingest import ingest
+    path = tempfile.mkdtemp(prefix="docyard-ingest-")
+    res = ingest(_corpus(spark).limit(20), path, IngestConfig(), lang_model, ingest_seq=1)
+    assert set(res.stage_seconds) == {"chunks", "dedup", "embed_write"}
+    assert all(v >= 0 for v in res.stage_seconds.values())
