@@ -133,14 +133,24 @@ def nfkc(s: pd.Series) -> pd.Series:
     return s.map(_nfkc_one)
 
 
+def nfkc_column(col: Column | str) -> Column:
+    """NFKC of a column; only rows holding a non-ASCII character are sent to Python.
+
+    NFKC leaves ASCII text unchanged, so the UDF gets NULL for pure-ASCII rows
+    (a native scan decides) and the original value is kept for them.
+    """
+    c = _c(col)
+    return F.coalesce(nfkc(F.when(c.rlike(r"[^\x00-\x7F]"), c)), c)
+
+
 def normalize_unicode(col: Column | str) -> Column:
     """NFKC, then typographic quotes/dashes and NBSP to ASCII."""
-    return F.translate(nfkc(_c(col)), TYPOGRAPHY_FROM, TYPOGRAPHY_TO)
+    return F.translate(nfkc_column(col), TYPOGRAPHY_FROM, TYPOGRAPHY_TO)
 
 
 def normalize_query(col: Column | str) -> Column:
     """NFKC, lower case, white-space runs to one space, strip."""
-    return py_strip(F.regexp_replace(F.lower(nfkc(_c(col))), f"{PY_WS}+", " "))
+    return py_strip(F.regexp_replace(F.lower(nfkc_column(col)), f"{PY_WS}+", " "))
 
 
 def is_empty_query(col: Column | str) -> Column:

@@ -25,7 +25,9 @@ def regex_tokens(col: Column | str) -> Column:
 
 
 def regex_token_count(col: Column | str) -> Column:
-    return F.size(regex_tokens(col))
+    """Number of regex tokens, counted without building the token array."""
+    c = F.col(col) if isinstance(col, str) else col
+    return F.regexp_count(c, F.lit(TOKEN_PATTERN))
 
 
 @functools.lru_cache(maxsize=4)
