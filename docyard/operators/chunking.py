@@ -131,7 +131,9 @@ def _make_bpe_udf(size: int, overlap: int):
 def _chunk_fixed_bpe(df: DataFrame, size: int, overlap: int, text_col: str) -> DataFrame:
     keep = [c for c in df.columns if c != text_col]
     udf = _make_bpe_udf(size, overlap)
-    out = df.select(*keep, udf(F.col(text_col)).alias("_w")).select(*keep, F.inline("_w"))
+    # inline the UDF call itself: over a bare column Spark would infer a size
+    # filter and evaluate the UDF a second time below earlier operators
+    out = df.select(*keep, F.inline(udf(F.col(text_col))))
     return out.select(*keep, "text", "chunk_index", "start_char", "end_char", "n_tokens",
                       F.lit("fixed").alias("chunk_strategy"))
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from docyard.functions.text import py_strip, split_lines
+from docyard.functions.text import py_strip, split_lines, with_column_where
 
 # Elements removed with their content.
 STRIP_TAGS = ("nav", "footer", "script", "style", "header")
@@ -127,8 +127,10 @@ def _html_udf(htmls: pa.Array) -> pa.Array:
 def html_documents(pages: DataFrame, html_col: str = "html", url_col: str = "url") -> DataFrame:
     """One document row per page with text; other columns are carried along."""
     keep = [c for c in pages.columns if c != html_col]
-    out = pages.select(*keep, _html_udf(F.col(html_col)).alias("_x"))
-    out = out.filter(F.col("_x.content").isNotNull())
+    # the parse result is bound once and filtered in place, so no copy of the
+    # parse is pushed below earlier operators by the empty-page filter
+    out = with_column_where(pages.select(*keep, html_col), "_x", _html_udf(F.col(html_col)),
+                            lambda x: x["content"].isNotNull())
     return out.select(
         *[c for c in keep if c != url_col],
         F.col("_x.content").alias("content"),
