@@ -306,9 +306,15 @@ new AS (SELECT * FROM r WHERE rn = 1 AND NOT EXISTS (
 
 
 def _dedup_inputs(spark, sf):
+    """(chunk keys of every document, index of the labelled documents' chunks).
+
+    The narrow chunk-key table is checkpointed once, so the batch, the totals
+    and the index check read it instead of re-running tokenising and hashing.
+    """
+    from docyard.session import cut_lineage
     d = corpus_documents(spark, sf)
-    chunks = D.with_identity(K.chunk_fixed(d, SIZE, OVERLAP_PCT)).select(
-        "doc_id", "tenant_id", "source_path", "chunk_index", "chunk_hash")
+    chunks = cut_lineage(D.with_identity(K.chunk_fixed(d, SIZE, OVERLAP_PCT)).select(
+        "doc_id", "tenant_id", "source_path", "chunk_index", "chunk_hash"))
     labelled = read_table(spark, sf, "labels").select("doc_id")
     index = chunks.join(labelled, "doc_id", "left_semi").select("tenant_id", "chunk_hash")
     return chunks, index
