@@ -116,3 +116,31 @@ def test_transitions_match_fold(spark):
         got.setdefault(r["job_id"], []).append((r["valid"], r["rejection"]))
     for job, seq in seqs.items():
         assert got[job] == _fold(seq, job), job
+
+
+def test_streaming_job_state_matches_batch(spark):
+    import os
+    import random
+    from docyard.streaming.job_state import validate_stream
+    rnd = random.Random(4)
+    rows = [(f"j{rnd.randint(0, 20)}", rnd.choice(["queued", "running", "done", "failed"])) for _ in range(300)]
+    ev = _events(spark, rows).select("job_id", "status", "event_at", "seq")
+    src = tempfile.mkdtemp(prefix="docyard-jobstream-")
+    # two arrival batches, in event order
+    ev.filter("seq < 150").coalesce(1).write.parquet(f"{src}/a")
+    ev.filter("seq >= 150").coalesce(1).write.parquet(f"{src}/b")
+    os.makedirs(f"{src}/in")
+    for part in ("a", "b"):
+        for f in os.listdir(f"{src}/{part}"):
+            if f.endswith(".parquet"):
+                os.link(f"{src}/{part}/{f}", f"{src}/in/{part}-{f}")
+    stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(f"{src}/in")
+    q = (validate_stream(stream).writeStream.format("memory").queryName("job_stream_check")
+         .option("checkpointLocation", tempfile.mkdtemp(prefix="docyard-ck-"))
+         .outputMode("append").trigger(availableNow=True).start())
+    q.awaitTermination(300)
+    got = {(r["job_id"], r["seq"]): (r["valid"], r["rejection"])
+           for r in spark.sql("SELECT * FROM job_stream_check").collect()}
+    want = {(r["job_id"], r["seq"]): (r["valid"], r["rejection"])
+            for r in J.validate_transitions(_events(spark, rows)).collect()}
+    assert got == want
