@@ -148,26 +148,34 @@ def bpe_token_count(col: Column | str) -> Column:
     return count(c)
 
 
-def with_sentences(df: DataFrame, text_col: str = "content", out_col: str = "_sents") -> DataFrame:
-    """Add array<struct<text, start_char, end_char, n_tokens>> of stripped non-empty sentences.
+def with_sentences(df: DataFrame, text_col: str = "content", out_col: str = "_sents",
+                   keep_pieces: bool = False) -> DataFrame:
+    """Add array<struct<text, start_char, end_char, n_tokens, piece, piece_offset>> of
+    stripped non-empty sentences.
 
     Pieces come from one regex pass (materialised once as a column), their
-    running offsets from one Arrow call over the piece lengths.
+    running offsets from one Arrow call over the piece lengths. The pieces
+    concatenate to the text, so ``keep_pieces`` lets callers cut slices of
+    the text from them without indexing into the whole document.
     """
     pieces = F.regexp_extract_all(F.col(text_col), F.lit(SENTENCE_PIECE), 0)
     w = df.withColumn("_pieces", pieces)
     w = w.withColumn("_poffs", prefix_offsets(F.transform("_pieces", lambda p: F.length(p))))
 
-    def one(p, o):
+    def one(p, oi):
+        o = oi["o"]
         lead = F.length(p) - F.length(F.regexp_replace(p, rf"\A{PY_WS}+", ""))
         trail = F.length(p) - F.length(F.regexp_replace(p, rf"{PY_WS}+\z", ""))
         stripped = py_strip(p)
         return F.struct(stripped.alias("text"), (o + lead).alias("start_char"),
                         (o + F.length(p) - trail).alias("end_char"),
-                        regex_token_count(stripped).alias("n_tokens"))
+                        regex_token_count(stripped).alias("n_tokens"),
+                        oi["i"].alias("piece"), o.alias("piece_offset"))
 
-    sents = F.filter(F.zip_with("_pieces", "_poffs", one), lambda s: s["text"] != F.lit(""))
-    return w.withColumn(out_col, sents).drop("_pieces", "_poffs")
+    indexed = F.transform("_poffs", lambda o, i: F.struct(o.alias("o"), i.alias("i")))
+    sents = F.filter(F.zip_with("_pieces", indexed, one), lambda s: s["text"] != F.lit(""))
+    w = w.withColumn(out_col, sents).drop("_poffs")
+    return w if keep_pieces else w.drop("_pieces")
 
 
 def sentences(df: DataFrame, text_col: str = "content") -> DataFrame:
@@ -187,23 +195,27 @@ def chunk_semantic(df: DataFrame, size: int = 512, overlap_pct: float = 0.15,
     overlap = overlap_tokens(size, overlap_pct)
     keep = [c for c in df.columns if c != text_col]
     pack = make_pack_udf(size, overlap)
-    w = with_sentences(df, text_col)      # no sentences -> no chunks (inline of an empty array)
+    w = with_sentences(df, text_col, keep_pieces=True)   # no sentences -> no chunks
     w = w.withColumn("_stoks", F.transform("_sents", lambda s: s["n_tokens"]))
     w = w.withColumn("_spans", pack(F.col("_stoks")))
-    chunks = F.transform(
-        "_spans",
-        lambda sp, i: F.struct(
-            i.alias("chunk_index"),
-            F.element_at("_sents", sp["first"] + 1)["start_char"].alias("start_char"),
-            F.element_at("_sents", sp["last"] + 1)["end_char"].alias("end_char"),
-            F.aggregate(F.slice("_stoks", sp["first"] + 1,
-                                sp["last"] - sp["first"] + 1), F.lit(0), lambda a, x: a + x).alias("n_tokens"),
-        ))
-    out = w.select(*keep, text_col, F.inline(chunks))
-    return out.select(
-        *keep,
-        F.expr(f"substring({text_col}, start_char + 1, end_char - start_char)").alias("text"),
-        "chunk_index", "start_char", "end_char", "n_tokens", F.lit("semantic").alias("chunk_strategy"))
+
+    def one_chunk(sp, i):
+        first = F.element_at("_sents", sp["first"] + 1)
+        last = F.element_at("_sents", sp["last"] + 1)
+        # the chunk is the text from its first sentence's start to its last one's end:
+        # join just those pieces and trim, instead of indexing into the whole document
+        joined = F.array_join(F.slice("_pieces", first["piece"] + 1, last["piece"] - first["piece"] + 1), "")
+        text = F.substring(joined, first["start_char"] - first["piece_offset"] + 1,
+                           last["end_char"] - first["start_char"])
+        return F.struct(
+            i.alias("chunk_index"), text.alias("text"),
+            first["start_char"].alias("start_char"), last["end_char"].alias("end_char"),
+            F.aggregate(F.slice("_stoks", sp["first"] + 1, sp["last"] - sp["first"] + 1),
+                        F.lit(0), lambda a, x: a + x).alias("n_tokens"))
+
+    out = w.select(*keep, F.inline(F.transform("_spans", one_chunk)))
+    return out.select(*keep, "text", "chunk_index", "start_char", "end_char", "n_tokens",
+                      F.lit("semantic").alias("chunk_strategy"))
 
 
 def chunk(df: DataFrame, strategy: str = "fixed", size: int = 512, overlap_pct: float = 0.15,
