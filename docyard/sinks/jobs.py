@@ -66,16 +66,19 @@ def validate_transitions(events: DataFrame, order_cols=("event_at", "seq")) -> D
     order = F.struct(*[F.col(c) for c in order_cols])
     ev = events.withColumn("_ord", order)
     st = F.col("status")
-
-    created = (ev.filter(st == "queued").groupBy("job_id")
-                 .agg(F.min("_ord").alias("_c")))
-    ev = ev.join(created, "job_id", "left")
-    run = (ev.filter((st == "running") & F.col("_c").isNotNull() & (F.col("_ord") > F.col("_c")))
-             .groupBy("job_id").agg(F.min("_ord").alias("_r")))
-    ev = ev.join(run, "job_id", "left")
-    end = (ev.filter(st.isin("done", "failed") & F.col("_r").isNotNull() & (F.col("_ord") > F.col("_r")))
-             .groupBy("job_id").agg(F.min(F.struct(F.col("_ord").alias("o"), st.alias("s"))).alias("_e")))
-    ev = ev.join(end, "job_id", "left")
+    keys = ev.select("job_id", "_ord", "status")
+
+    # per-job tables only: each milestone reads the events of one status and
+    # joins the (one row per job) milestone before it
+    created = keys.filter(st == "queued").groupBy("job_id").agg(F.min("_ord").alias("_c"))
+    run = (keys.filter(st == "running").join(created, "job_id")
+               .filter(F.col("_ord") > F.col("_c"))
+               .groupBy("job_id").agg(F.min("_ord").alias("_r")))
+    end = (keys.filter(st.isin("done", "failed")).join(run, "job_id")
+               .filter(F.col("_ord") > F.col("_r"))
+               .groupBy("job_id").agg(F.min(F.struct(F.col("_ord").alias("o"), st.alias("s"))).alias("_e")))
+    milestones = created.join(run, "job_id", "left").join(end, "job_id", "left")
+    ev = ev.join(milestones, "job_id", "left")
 
     o, c, r, e = F.col("_ord"), F.col("_c"), F.col("_r"), F.col("_e.o")
     valid = F.coalesce((o == c) | (o == r) | (o == e), F.lit(False))
