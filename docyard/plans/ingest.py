@@ -97,11 +97,8 @@ def ingest(docs: DataFrame, points_path: str, cfg: IngestConfig = IngestConfig()
 
     spark = docs.sparkSession
     run_id = run_id or uuid.uuid4().hex
-    P.ensure_table(spark, points_path, cfg.vector_size)          # create before reading it
-    try:
-        index = P.read_points(spark, points_path).select("tenant_id", "chunk_hash")
-    except ValueError:
-        index = None
+    P.ensure_table(spark, points_path, cfg.vector_size, key=cfg.upsert_key)   # create before reading it
+    index = P.index_keys(spark, points_path)
     t0 = time.perf_counter()
     base = plan_ingest(docs, cfg, model, index)
     chunks = cut_lineage(base.chunks)

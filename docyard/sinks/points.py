@@ -128,6 +128,39 @@ def read_points(spark: SparkSession, path: str) -> DataFrame:
     return latest_by_key(df, props["key"])
 
 
+def index_keys(spark: SparkSession, path: str) -> DataFrame | None:
+    """(tenant_id, chunk_hash) of every stored point, for the dedup check.
+
+    With the default key (tenant, point id), and the point id derived from the
+    hash, a key once written stays present, so the keys are read straight from
+    the files (two columns of a tenant-partitioned table) without the
+    latest-per-key window, i.e. without shuffling the whole table per run. With the point id alone as key
+    a later tenant may have replaced an earlier one's point, so the latest
+    view decides.
+    """
+    props = table_properties(spark, path)
+    if props is None:
+        return None
+    if list(props["key"]) != list(KEY_COLUMNS):
+        try:
+            return read_points(spark, path).select("tenant_id", "chunk_hash")
+        except ValueError:
+            return None
+    root = path.rstrip("/")
+    parts = []
+    fs, p = _fs(spark, f"{root}/log")
+    if fs.exists(p):
+        parts.append(spark.read.parquet(f"{root}/log").select("tenant_id", "chunk_hash"))
+    if props.get("base"):
+        parts.append(spark.read.parquet(f"{root}/{props['base']}").select("tenant_id", "chunk_hash"))
+    if not parts:
+        return None
+    out = parts[0]
+    for extra in parts[1:]:
+        out = out.unionByName(extra)
+    return out
+
+
 def point_count(spark: SparkSession, path: str) -> int:
     return read_points(spark, path).count()
 

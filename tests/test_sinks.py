@@ -144,3 +144,20 @@ def test_streaming_job_state_matches_batch(spark):
     want = {(r["job_id"], r["seq"]): (r["valid"], r["rejection"])
             for r in J.validate_transitions(_events(spark, rows)).collect()}
     assert got == want
+
+
+def test_index_keys_and_reference_key_mode(spark):
+    path = tempfile.mkdtemp(prefix="docyard-pts-")
+    assert P.index_keys(spark, path) is None
+    P.ensure_table(spark, path, 2)
+    assert P.index_keys(spark, path) is None
+    P.upsert(pts(spark, [("a", "h", "x", [1.0, 0.0])]), path, 1)
+    P.upsert(pts(spark, [("b", "h", "x", [1.0, 0.0])]), path, 2)
+    keys = sorted(tuple(r) for r in P.index_keys(spark, path).collect())
+    assert keys == [("a", "h"), ("b", "h")]            # equal text in two tenants keeps both points
+    # key by point id alone: the second tenant's write replaces the first's point
+    ref = tempfile.mkdtemp(prefix="docyard-pts-")
+    P.ensure_table(spark, ref, 2, key=("point_id",))
+    P.upsert(pts(spark, [("a", "h", "x", [1.0, 0.0])]), ref, 1)
+    P.upsert(pts(spark, [("b", "h", "x", [1.0, 0.0])]), ref, 2)
+    assert [tuple(r) for r in P.index_keys(spark, ref).collect()] == [("b", "h")]
