@@ -814,3 +814,28 @@ def q_chunk_fixed_bpe(spark, sf):
     c = K.chunk_fixed(d, SIZE, OVERLAP_PCT, tokenizer="bpe")
     return normalize_types(c.select("doc_id", "chunk_index", "start_char", "end_char", "n_tokens",
                                     chunk_hash("text").alias("chunk_hash")))
+
+
+@register("build_points", f"""
+WITH t AS (SELECT doc_id, source AS tenant_id, printf('%s/%08d.txt', source, doc_id) AS source_path,
+                  {S.tokens('text')} AS toks FROM documents),
+c AS (SELECT *, len(toks) AS n FROM t WHERE len(toks) > 0),
+k AS (SELECT doc_id, tenant_id, source_path, toks, unnest(range(0, {S.chunk_count('n', SIZE, STEP)})) AS chunk_index FROM c),
+w AS (SELECT doc_id, tenant_id, source_path, chunk_index,
+             length(array_to_string(toks[1:chunk_index*{STEP}], '')) AS start_char,
+             array_to_string(toks[chunk_index*{STEP}+1:chunk_index*{STEP}+{SIZE}], '') AS text FROM k),
+h AS (SELECT *, sha256(text) AS chunk_hash FROM w),
+u AS (SELECT *, {S.sha1_name('chunk_hash')} AS s1 FROM h)
+SELECT {S.uuid5_from_sha1('s1')} AS point_id, tenant_id,
+       CAST(to_json({{'tenant_id': tenant_id, 'source_path': source_path, 'format': 'text', 'chunk_strategy': 'fixed',
+                'doc_id': doc_id, 'chunk_index': CAST(chunk_index AS INTEGER), 'start_char': CAST(start_char AS INTEGER),
+                'end_char': CAST(start_char + length(text) AS INTEGER), 'text': text, 'chunk_hash': chunk_hash}}) AS VARCHAR) AS payload
+FROM u
+""")
+def q_build_points(spark, sf):
+    """Point id and JSON payload (metadata, then the payload fields) of every fixed chunk."""
+    from docyard.sinks.points import build_points, payload_json
+    d = corpus_documents(spark, sf).drop("given_language")
+    c = build_points(K.chunk_fixed(d, SIZE, OVERLAP_PCT))
+    p = payload_json(c, ("tenant_id", "source_path", "format", "chunk_strategy"))
+    return p.select("point_id", "tenant_id", "payload")

@@ -83,6 +83,16 @@ def build_points(chunks_with_vectors: DataFrame, text_col: str = "text", vector_
     return df.withColumn("point_id", point_id("chunk_hash"))
 
 
+# Payload fields every point carries, written after the metadata (they win on a clash).
+PAYLOAD_FIELDS = ("doc_id", "chunk_index", "start_char", "end_char", "text", "chunk_hash")
+
+
+def payload_json(chunks: DataFrame, metadata_cols) -> DataFrame:
+    """Add ``payload``: the chunk's metadata then its payload fields, as one JSON object."""
+    meta = [c for c in metadata_cols if c not in PAYLOAD_FIELDS]
+    return chunks.withColumn("payload", F.to_json(F.struct(*[F.col(c) for c in (*meta, *PAYLOAD_FIELDS)])))
+
+
 def upsert(points: DataFrame, path: str, ingest_seq: int, vector_col: str = "embedding") -> int:
     """Append points under ``ingest_seq``; returns the number written (0 writes nothing)."""
     spark = points.sparkSession
