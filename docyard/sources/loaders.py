@@ -110,8 +110,11 @@ def scan_directory(spark, path: str, suffixes=DIRECTORY_SUFFIXES, case_sensitive
     The directory walk keeps exact-case suffixes by default, as the reference
     does; ``case_sensitive=False`` accepts every suffix a loader accepts.
     """
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-                  .select(F.regexp_replace("path", "^file:", "").alias("source_path"), "content", "length"))
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    if case_sensitive:
+        # the glob prunes files while listing, so other files are never opened
+        reader = reader.option("pathGlobFilter", "*.{" + ",".join(s.lstrip(".") for s in suffixes) + "}")
+    files = reader.load(path).select(F.regexp_replace("path", "^file:", "").alias("source_path"), "content", "length")
     suf = path_suffix("source_path")
     if case_sensitive:
         files = files.filter(suf.isin(*suffixes))
