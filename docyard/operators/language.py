@@ -94,20 +94,24 @@ def fit_language_model(df: DataFrame, text_col: str = "text", label_col: str = "
     if rows > max_profile_rows:
         prof.unpersist()
         raise ValueError(f"language profile has {rows} rows, above the {max_profile_rows} limit")
-    totals = prof.groupBy("lang").agg(F.sum("n").alias("t")).collect()
-    vocab = prof.select("gram").distinct().count()
-    languages = sorted(r["lang"] for r in totals)
-    index = {l: i for i, l in enumerate(languages)}
-    log_den = np.zeros(len(languages))
-    for r in totals:
-        log_den[index[r["lang"]]] = math.log(r["t"] + vocab)
-    weights: dict[str, np.ndarray] = {}
+    counts: dict[str, dict[str, int]] = {}
     for r in prof.toLocalIterator():
-        w = weights.get(r["gram"])
-        if w is None:
-            w = weights[r["gram"]] = np.zeros(len(languages))
-        w[index[r["lang"]]] = math.log(r["n"] + 1)
+        counts.setdefault(r["gram"], {})[r["lang"]] = r["n"]
     prof.unpersist()
+    totals: dict[str, int] = {}
+    for per_lang in counts.values():
+        for lang, n in per_lang.items():
+            totals[lang] = totals.get(lang, 0) + n
+    languages = sorted(totals)
+    index = {lang: i for i, lang in enumerate(languages)}
+    vocab = len(counts)
+    log_den = np.array([math.log(totals[lang] + vocab) for lang in languages])
+    weights: dict[str, np.ndarray] = {}
+    for gram, per_lang in counts.items():
+        w = np.zeros(len(languages))
+        for lang, n in per_lang.items():
+            w[index[lang]] = math.log(n + 1)
+        weights[gram] = w
     return LanguageModel(languages, log_den, weights)
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from docyard.functions.text import py_strip, split_lines, with_column_where
+from docyard.functions.text import with_column_where
 
 # Elements removed with their content.
 STRIP_TAGS = ("nav", "footer", "script", "style", "header")
@@ -140,4 +140,4 @@ def html_documents(pages: DataFrame, html_col: str = "html", url_col: str = "url
     )
 
 
-__all__ = ["html_documents", "extract_html", "STRIP_TAGS", "py_strip", "split_lines"]
+__all__ = ["html_documents", "extract_html", "STRIP_TAGS", "ROOT_TAGS"]
