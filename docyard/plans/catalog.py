@@ -610,7 +610,8 @@ def _current_jobs(spark, sf) -> DataFrame:
 
 
 def _micros(c: str):
-    return F.unix_micros(F.col(c).cast("timestamp"))
+    """Epoch microseconds of a wall-clock (NTZ) timestamp, independent of the session time zone."""
+    return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {c})")
 
 
 @register("job_transitions", JOB_EVENTS_SQL + """
