@@ -75,6 +75,18 @@ def chunk_fixed(df: DataFrame, size: int = 512, overlap_pct: float = 0.15, text_
                       "n_tokens", F.lit("fixed").alias("chunk_strategy"))
 
 
+def fixed_window_counts(n: Column | str, size: int, overlap_pct: float) -> Column:
+    """struct<chunks, tokens>: how many fixed windows a text of ``n`` tokens gives and
+    how many tokens they hold, without cutting them (every window but the last is full)."""
+    n = F.col(n) if isinstance(n, str) else n
+    step = size - overlap_tokens(size, overlap_pct)
+    if step <= 0:
+        raise ValueError(STEP_ERROR)
+    c = F.when(n > 0, _chunk_count(n, size, step)).otherwise(F.lit(0))
+    tokens = F.when(c > 0, (c - 1) * F.lit(size) + (n - (c - 1) * F.lit(step))).otherwise(F.lit(0))
+    return F.struct(c.alias("chunks"), tokens.alias("tokens"))
+
+
 _BPE_CHUNK = ArrayType(StructType([
     StructField("chunk_index", IntegerType()), StructField("text", StringType()),
     StructField("start_char", IntegerType()), StructField("end_char", IntegerType()),

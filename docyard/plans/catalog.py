@@ -270,19 +270,34 @@ def _report_sql() -> str:
 
 @register("chunk_report", _report_sql())
 def q_chunk_report(spark, sf):
-    """Chunk count and average tokens for each listed chunking setting, over all documents."""
+    """Chunk count and average tokens for each listed chunking setting, over all documents.
+
+    Fixed windows are counted from one token count per document (no windows
+    are cut); sentence packing is run for the sentence setting.
+    """
     d = read_table(spark, sf, "documents").select("doc_id", F.col("text").alias("content"))
-    runs = []
+    fixed = [(size, pct) for strategy, size, pct in REPORT_SETTINGS if strategy == "fixed"]
+    counted = d.select("doc_id", regex_token_count("content").alias("n"))
+    per_setting = counted.select("doc_id", F.inline(F.array(*[
+        F.struct(F.lit("fixed").alias("chunk_strategy"), F.lit(size).alias("chunk_size"),
+                 F.lit(int(size * pct)).alias("overlap_tokens"),
+                 K.fixed_window_counts("n", size, pct).alias("w"))
+        for size, pct in fixed])))
+    fixed_stats = per_setting.groupBy("chunk_strategy", "chunk_size", "overlap_tokens").agg(
+        F.sum("w.chunks").alias("n_chunks"), F.count_if(F.col("w.chunks") > 0).alias("n_documents"),
+        F.round(F.sum("w.tokens") / F.sum("w.chunks"), 4).alias("avg_chunk_tokens"))
+    runs = [fixed_stats]
     for strategy, size, pct in REPORT_SETTINGS:
+        if strategy == "fixed":
+            continue
         c = K.chunk(d, strategy, size, pct)
-        runs.append(c.select(F.lit(strategy).alias("chunk_strategy"), F.lit(size).alias("chunk_size"),
-                             F.lit(int(size * pct)).alias("overlap_tokens"), "doc_id", "n_tokens"))
-    u = runs[0]
+        runs.append(c.groupBy(F.lit(strategy).alias("chunk_strategy"), F.lit(size).alias("chunk_size"),
+                              F.lit(int(size * pct)).alias("overlap_tokens")).agg(
+            F.count(F.lit(1)).alias("n_chunks"), F.countDistinct("doc_id").alias("n_documents"),
+            F.round(F.avg("n_tokens"), 4).alias("avg_chunk_tokens")))
+    out = runs[0]
     for r in runs[1:]:
-        u = u.unionByName(r)
-    out = u.groupBy("chunk_strategy", "chunk_size", "overlap_tokens").agg(
-        F.count(F.lit(1)).alias("n_chunks"), F.countDistinct("doc_id").alias("n_documents"),
-        F.round(F.avg("n_tokens"), 4).alias("avg_chunk_tokens"))
+        out = out.unionByName(r)
     return normalize_types(out)
 
 

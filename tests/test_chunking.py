@@ -157,3 +157,24 @@ def test_document_id_deterministic(spark):
                                "tenant_id string, source_path string, page_number int")
     ids = [r["i"] for r in df.select(K.document_id().alias("i")).collect()]
     assert ids[0] == ids[1] != ids[2] and len(ids[0]) == 64
+
+
+def test_fixed_window_counts_match_cut_windows(spark):
+    import regex
+    rnd = random.Random(9)
+    words = ["alpha", "beta", "12345", "!!", "\n", "  ", "é"]
+    texts = ["".join(rnd.choice(words) + " " for _ in range(rnd.randint(0, 400))) for _ in range(30)]
+    pat = regex.compile(TOKEN_PATTERN)
+    df = spark.createDataFrame([(i, len(pat.findall(t))) for i, t in enumerate(texts)], "doc_id int, n int")
+    for size, pct in ((20, 0.1), (16, 0.25), (7, 0.0)):
+        got = {r["doc_id"]: (r["w"]["chunks"], r["w"]["tokens"])
+               for r in df.select("doc_id", K.fixed_window_counts("n", size, pct).alias("w")).collect()}
+        for i, t in enumerate(texts):
+            toks = pat.findall(t)
+            step = size - int(size * pct)
+            sizes = []
+            for start in range(0, len(toks), step):
+                sizes.append(len(toks[start:start + size]))
+                if start + size >= len(toks):
+                    break
+            assert got[i] == (len(sizes), sum(sizes))
