@@ -7,6 +7,7 @@ setting is missing (local tests) do we pick a directory ourselves.
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
 import uuid
@@ -57,21 +58,37 @@ def ship_package(spark: SparkSession) -> None:
 
     UDFs refer to functions of this package by module name, so executors must
     be able to import it; ``addPyFile`` distributes a zip of the package with
-    the application, wherever the driver was started from.
+    the application, wherever the driver was started from. In local mode the
+    zip is built in a temporary folder; on a cluster it is staged in the
+    shared checkpoint folder.
     """
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:
         return
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
     root = os.path.dirname(pkg_dir)
-    target = os.path.join(tempfile.mkdtemp(prefix="docyard-py-"), "docyard.zip")
-    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as zf:
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as zf:
         for dirpath, dirnames, filenames in os.walk(pkg_dir):
             dirnames[:] = [d for d in dirnames if d != "__pycache__"]
-            for name in filenames:
+            for name in sorted(filenames):
                 if name.endswith(".py"):
                     full = os.path.join(dirpath, name)
                     zf.write(full, os.path.relpath(full, root))
+    data = buf.getvalue()
+    if sc.master.startswith("local"):
+        target = os.path.join(tempfile.mkdtemp(prefix="docyard-py-"), "docyard.zip")
+        with open(target, "wb") as fh:
+            fh.write(data)
+    else:
+        target = f"{ensure_checkpoint_dir(spark).rstrip('/')}/pyfiles/{uuid.uuid4().hex[:12]}/docyard.zip"
+        jvm = sc._jvm
+        path = jvm.org.apache.hadoop.fs.Path(target)
+        out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path, True)
+        try:
+            out.write(bytearray(data))
+        finally:
+            out.close()
     sc.addPyFile(target)
     _SHIPPED.add(sc.applicationId)
 
