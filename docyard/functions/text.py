@@ -183,3 +183,15 @@ def with_column_where(df, name: str, value: Column, predicate) -> "DataFrame":
     """
     keep = [c for c in df.columns if c != name]
     return df.select(*keep, F.explode(F.filter(F.array(value), predicate)).alias(name))
+
+
+def bind_column(df, name: str, value: Column) -> "DataFrame":  # noqa: F821
+    """Add column ``name`` computed exactly once per row, even when it has many consumers.
+
+    A column defined by ``withColumn`` may be inlined by the optimizer into
+    each expression that uses it (and into Python UDF inputs), repeating the
+    work; the output of a one-element ``explode`` is a fresh attribute that
+    every consumer reads.
+    """
+    keep = [c for c in df.columns if c != name]
+    return df.select(*keep, F.explode(F.array(value)).alias(name))

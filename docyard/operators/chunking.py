@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from docyard.functions.arrays import make_pack_udf, prefix_offsets
-from docyard.functions.text import PY_WS, py_strip
+from docyard.functions.text import PY_WS, bind_column, py_strip
 from docyard.operators.tokenize import bpe_encoding, regex_token_count, regex_tokens
 
 STEP_ERROR = "chunk_overlap_pct must produce a positive chunk step"
@@ -186,7 +186,7 @@ def with_sentences(df: DataFrame, text_col: str = "content", out_col: str = "_se
 
     indexed = F.transform("_poffs", lambda o, i: F.struct(o.alias("o"), i.alias("i")))
     sents = F.filter(F.zip_with("_pieces", indexed, one), lambda s: s["text"] != F.lit(""))
-    w = w.withColumn(out_col, sents).drop("_poffs")
+    w = bind_column(w, out_col, sents).drop("_poffs")
     return w if keep_pieces else w.drop("_pieces")
 
 
