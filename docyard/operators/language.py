@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from docyard.functions.text import py_strip
+from docyard.functions.text import bind_column, py_strip
 
 MAX_PROFILE_ROWS = 5_000_000
 _NON_LETTERS = regex.compile(r"\P{L}+")
@@ -137,7 +137,8 @@ def detect_language(df: DataFrame, model: LanguageModel, text_col: str = "conten
 
     # Only the sample crosses to Python, never the whole text.
     sample = F.substring(F.col(text_col), 1, sample_chars)
-    out = df.withColumn("_lid", score(sample))
+    # bound once: a later filter on the language must not call the scorer again
+    out = bind_column(df, "_lid", score(sample))
     lang = F.when(F.col("_lid.confidence") >= F.lit(threshold), F.col("_lid.language"))
     out = out.withColumn(out_col, lang)
     if confidence_col:
