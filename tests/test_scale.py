@@ -43,3 +43,14 @@ def test_index_anti_join_uses_distinct_hashes_for_null_tenant(spark):
     idx = spark.createDataFrame([(f"t{i}", h) for i in range(50)], "tenant_id string, chunk_hash string")
     assert D.new_against_index(c, idx).count() == 0
     assert "NestedLoop" not in _plan(D.new_against_index(c, idx))
+
+
+def test_no_python_udf_evaluated_twice_in_any_query(spark):
+    """Every registered query calls each Python UDF in one evaluation node only
+    (a copy pushed below the spread would run it on the unspread input too)."""
+    import re
+    import __spark_entry__ as E
+    for name, fn in E.queries().items():
+        plan = _plan(fn(spark, "/root/testdata/sf0.001"))
+        udfs = re.findall(r"(?:ArrowEvalPython|BatchEvalPython) \[(\w+)\(", plan)
+        assert len(udfs) == len(set(udfs)), (name, udfs)
