@@ -124,7 +124,12 @@ def scan_directory(spark, path: str, suffixes=DIRECTORY_SUFFIXES, case_sensitive
 
 
 def load_files(spark, path: str, tenant_id: str | Column | None = None, case_sensitive: bool = True) -> DataFrame:
-    """Directory -> documents for the text formats (html, markdown), with base metadata."""
+    """Directory -> documents (html, markdown, docx), with base metadata.
+
+    PDF files are listed and dispatched but not decoded (no PDF parser is
+    available); page lists go through ``explode_pages`` instead.
+    """
+    from docyard.sources.docx import docx_documents
     from docyard.sources.html import html_documents
     files = dispatch(scan_directory(spark, path, case_sensitive=case_sensitive), "source_path")
     text = files.withColumn("raw", F.decode("content", "UTF-8")).drop("content")
@@ -132,7 +137,8 @@ def load_files(spark, path: str, tenant_id: str | Column | None = None, case_sen
     html = html_documents(text.filter(F.col("format") == "html")
                           .select("source_path", F.col("raw").alias("html"),
                                   F.concat(F.lit("file://"), F.col("source_path")).alias("url")))
-    docs = md.unionByName(html, allowMissingColumns=True)
+    word = docx_documents(files.filter(F.col("format") == "docx").select("source_path", "content"))
+    docs = md.unionByName(html, allowMissingColumns=True).unionByName(word, allowMissingColumns=True)
     docs = base_metadata(docs)
     return attach_tenant(docs, tenant_id) if tenant_id is not None else docs
 

@@ -129,3 +129,36 @@ def test_directory_load(spark):
     relaxed = L.load_files(spark, root, case_sensitive=False)
     assert sorted(os.path.basename(r["source_path"]) for r in relaxed.collect()) == ["a.md", "b.html", "d.HTM"]
     assert docs.filter(F.col("loaded_at").isNull()).count() == 0
+
+
+def _write_docx(path):
+    import zipfile
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    doc = (f'<w:document {w}><w:body>'
+           '<w:p><w:pPr><w:pStyle w:val="Heading1"/></w:pPr><w:r><w:t>Report Title</w:t></w:r></w:p>'
+           '<w:p><w:r><w:t xml:space="preserve">Body </w:t></w:r><w:r><w:t>text.</w:t></w:r></w:p>'
+           '<w:p><w:r><w:t>   </w:t></w:r></w:p>'
+           '<w:tbl><w:tr><w:tc><w:p><w:r><w:t> Column A </w:t></w:r></w:p></w:tc>'
+           '<w:tc><w:p><w:r><w:t>Column B</w:t></w:r></w:p></w:tc></w:tr>'
+           '<w:tr><w:tc><w:p><w:r><w:t>1</w:t></w:r></w:p></w:tc><w:tc><w:p><w:r><w:t>2</w:t></w:r></w:p></w:tc></w:tr>'
+           '</w:tbl>'
+           '<w:p><w:r><w:t>After table</w:t></w:r></w:p>'
+           '</w:body></w:document>')
+    styles = (f'<w:styles {w}><w:style w:type="paragraph" w:default="1" w:styleId="Normal"><w:name w:val="Normal"/></w:style>'
+              '<w:style w:type="paragraph" w:styleId="Heading1"><w:name w:val="Heading 1"/></w:style></w:styles>')
+    with zipfile.ZipFile(path, "w") as zf:
+        zf.writestr("word/document.xml", doc)
+        zf.writestr("word/styles.xml", styles)
+
+
+def test_docx_files(spark):
+    root = tempfile.mkdtemp(prefix="docyard-docx-")
+    _write_docx(f"{root}/report.docx")
+    with open(f"{root}/notes.md", "w") as fh:
+        fh.write("# Notes\nline")
+    docs = {os.path.basename(r["source_path"]): r for r in L.load_files(spark, root, tenant_id="t").collect()}
+    r = docs["report.docx"]
+    assert "Column A\tColumn B" in r["content"]
+    assert r["content"] == "Report Title\n\nBody text.\n\nAfter table\n\nColumn A\tColumn B\n1\t2"
+    assert (r["heading_count"], r["table_count"], r["format"]) == (1, 1, "docx")
+    assert docs["notes.md"]["h1_title"] == "Notes"
