@@ -59,6 +59,28 @@ def _style_names(zf: zipfile.ZipFile) -> tuple[dict[str, str], str]:
     return names, default
 
 
+def _table_text(tbl: ET.Element) -> str:
+    """Rows by line break, stripped cells by tab; a merged cell counts once per grid
+    cell it covers (across: repeated per spanned column; down: the merge's first cell)."""
+    rows, above = [], {}
+    for tr in tbl.findall(W + "tr"):
+        cells, col = [], 0
+        for tc in tr.findall(W + "tc"):
+            text = "\n".join(_paragraph_text(p) for p in tc.findall(W + "p")).strip()
+            props = tc.find(W + "tcPr")
+            span_el = props.find(W + "gridSpan") if props is not None else None
+            span = int(span_el.get(W + "val", "1")) if span_el is not None else 1
+            vmerge = props.find(W + "vMerge") if props is not None else None
+            if vmerge is not None and vmerge.get(W + "val", "continue") != "restart":
+                text = above.get(col, text)
+            for k in range(span):
+                above[col + k] = text
+                cells.append(text)
+            col += span
+        rows.append("\t".join(cells))
+    return "\n".join(rows).strip()
+
+
 def docx_blocks(data: bytes | None) -> list[tuple[str, int, str | None, str]] | None:
     """(kind, ordinal, style, text) of a document's top-level paragraphs and tables."""
     if data is None:
@@ -75,12 +97,7 @@ def docx_blocks(data: bytes | None) -> list[tuple[str, int, str | None, str]] |
             style = names.get(sid.get(W + "val"), sid.get(W + "val")) if sid is not None else default
             blocks.append(("paragraph", ordinal, style, _paragraph_text(el)))
         elif el.tag == W + "tbl":
-            rows = []
-            for tr in el.findall(W + "tr"):
-                cells = ["\n".join(_paragraph_text(p) for p in tc.findall(W + "p")).strip()
-                         for tc in tr.findall(W + "tc")]
-                rows.append("\t".join(cells))
-            blocks.append(("table", ordinal, None, "\n".join(rows).strip()))
+            blocks.append(("table", ordinal, None, _table_text(el)))
     return blocks
 
 

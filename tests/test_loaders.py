@@ -162,3 +162,17 @@ def test_docx_files(spark):
     assert r["content"] == "Report Title\n\nBody text.\n\nAfter table\n\nColumn A\tColumn B\n1\t2"
     assert (r["heading_count"], r["table_count"], r["format"]) == (1, 1, "docx")
     assert docs["notes.md"]["h1_title"] == "Notes"
+
+
+def test_docx_merged_cells():
+    import xml.etree.ElementTree as ET
+    from docyard.sources.docx import W, _table_text
+    ns = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    tbl = ET.fromstring(
+        f'<w:tbl {ns}>'
+        '<w:tr><w:tc><w:tcPr><w:gridSpan w:val="2"/></w:tcPr><w:p><w:r><w:t>wide</w:t></w:r></w:p></w:tc>'
+        '<w:tc><w:tcPr><w:vMerge w:val="restart"/></w:tcPr><w:p><w:r><w:t>tall</w:t></w:r></w:p></w:tc></w:tr>'
+        '<w:tr><w:tc><w:p><w:r><w:t>a</w:t></w:r></w:p></w:tc><w:tc><w:p><w:r><w:t>b</w:t></w:r></w:p></w:tc>'
+        '<w:tc><w:tcPr><w:vMerge/></w:tcPr><w:p/></w:tc></w:tr></w:tbl>')
+    assert tbl.tag == W + "tbl"
+    assert _table_text(tbl) == "wide\twide\ttall\na\tb\ttall"
