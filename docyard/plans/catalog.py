@@ -815,7 +815,8 @@ def q_ingest_counters(spark, sf):
     plan = plan_ingest(d, IngestConfig(), model)
     # the earlier run indexed the labelled documents; their chunks come from the same chunk table
     from docyard.session import cut_lineage
-    chunks = cut_lineage(plan.chunks)
+    # counting needs only the chunk keys; the text stays out of the checkpoint
+    chunks = cut_lineage(plan.chunks.select("doc_id", "tenant_id", "source_path", "chunk_index", "chunk_hash"))
     labelled = read_table(spark, sf, "labels").select("doc_id")
     index = chunks.join(labelled, "doc_id", "left_semi").select("tenant_id", "chunk_hash")
     new = cut_lineage(D.filter_new_chunks(chunks, index))
