@@ -167,3 +167,14 @@ def test_ingest_reports_stage_times(spark, lang_model):
     res = ingest(_corpus(spark).limit(20), path, IngestConfig(), lang_model, ingest_seq=1)
     assert set(res.stage_seconds) == {"chunks", "dedup", "embed_write"}
     assert all(v >= 0 for v in res.stage_seconds.values())
+
+
+def test_ingest_semantic_strategy(spark, lang_model):
+    from docyard.plans.ingest import ingest
+    from docyard.sinks import points as P
+    path = tempfile.mkdtemp(prefix="docyard-ingest-")
+    cfg = IngestConfig(chunker_strategy="semantic", chunk_size_tokens=128)
+    res = ingest(_corpus(spark).limit(30), path, cfg, lang_model, ingest_seq=1)
+    pts = P.read_points(spark, path)
+    assert res.written == pts.count() > 0
+    assert pts.filter(F.col("chunk_strategy") != "semantic").count() == 0

@@ -161,3 +161,14 @@ def test_index_keys_and_reference_key_mode(spark):
     P.upsert(pts(spark, [("a", "h", "x", [1.0, 0.0])]), ref, 1)
     P.upsert(pts(spark, [("b", "h", "x", [1.0, 0.0])]), ref, 2)
     assert [tuple(r) for r in P.index_keys(spark, ref).collect()] == [("b", "h")]
+
+
+def test_index_keys_after_compact(spark):
+    path = tempfile.mkdtemp(prefix="docyard-pts-")
+    P.ensure_table(spark, path, 2)
+    P.upsert(pts(spark, [("a", "h1", "x", [1.0, 0.0]), ("a", "h2", "y", [0.0, 1.0])]), path, 1)
+    P.compact(spark, path)
+    P.upsert(pts(spark, [("b", "h3", "z", [1.0, 0.0])]), path, 2)
+    keys = {tuple(r) for r in P.index_keys(spark, path).collect()}
+    assert keys == {("a", "h1"), ("a", "h2"), ("b", "h3")}
+    assert P.point_count(spark, path) == 3
