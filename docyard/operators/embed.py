@@ -13,8 +13,8 @@ hashing of lower-case word tokens, L2-normalised, deterministic.
 
 from __future__ import annotations
 
-import hashlib
 import time
+import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -55,9 +55,9 @@ class HashingEmbedder:
         self._words = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 
     def _bucket(self, token: str) -> tuple[int, float]:
-        h = hashlib.blake2b(token.encode("utf-8"), digest_size=8).digest()
-        v = int.from_bytes(h, "little")
-        return v % self.vector_size, (1.0 if (v >> 63) & 1 == 0 else -1.0)
+        # CRC-32 is deterministic on every machine (unlike salted str hashes) and cheap
+        v = zlib.crc32(token.encode("utf-8"))
+        return v % self.vector_size, (1.0 if (v >> 31) & 1 == 0 else -1.0)
 
     def __call__(self, texts: np.ndarray) -> np.ndarray:
         out = np.zeros((len(texts), self.vector_size), dtype=np.float32)
