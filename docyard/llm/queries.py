@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from docyard.llm import quality, toxicity
+from docyard.llm import quality, simhash, toxicity
 
 QUERIES = {
     "op2_toxicity": toxicity.op2,
+    "op5_simhash_near_dedup": simhash.op5,
     "op8_quality_rules": quality.op8,
 }
 
