@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from docyard.llm import quality, simhash, toxicity
+from docyard.llm import linededup, quality, simhash, toxicity
 
 QUERIES = {
     "op2_toxicity": toxicity.op2,
     "op5_simhash_near_dedup": simhash.op5,
+    "op6_line_dedup": linededup.op6,
     "op8_quality_rules": quality.op8,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op6_line_dedup": linededup.SQL,
+}
