@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from docyard.llm import linededup, quality, simhash, toxicity
+from docyard.llm import linededup, packing, quality, simhash, toxicity
 
 QUERIES = {
     "op2_toxicity": toxicity.op2,
+    "op3_packing": packing.op3,
     "op5_simhash_near_dedup": simhash.op5,
     "op6_line_dedup": linededup.op6,
     "op8_quality_rules": quality.op8,
