@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from docyard.llm import linededup, packing, quality, simhash, toxicity
+from docyard.llm import bpe, linededup, packing, quality, simhash, topk, toxicity
 
 QUERIES = {
+    "op1_maxscore_topk": topk.op1,
     "op2_toxicity": toxicity.op2,
     "op3_packing": packing.op3,
     "op5_simhash_near_dedup": simhash.op5,
     "op6_line_dedup": linededup.op6,
     "op8_quality_rules": quality.op8,
+    "op9_bpe": bpe.op9,
 }
 
 ORACLE: dict[str, str] = {
+    "op1_maxscore_topk": topk.SQL,
     "op6_line_dedup": linededup.SQL,
 }
