@@ -28,8 +28,8 @@ BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public l
 _L = "licen[cs]e"
 _V = "(?: v| version)?"
 LICENSES = (
-    ("mit", "mit", f"mit {_L}"), ("mit-0", "mit", f"mit no attribution {_L}"), ("x11", "x11", f"(?:mit )?x11 {_L}"),
-    ("expat", "expat", f"expat {_L}"), ("isc", "isc", f"isc {_L}"),
+    ("mit", "mit licen", f"mit {_L}"), ("mit-0", "mit no attribution", f"mit no attribution {_L}"), ("x11", "x11 licen", f"(?:mit )?x11 {_L}"),
+    ("expat", "expat licen", f"expat {_L}"), ("isc", "isc licen", f"isc {_L}"),
     ("apache-1.1", "apache", f"apache (?:software )?{_L}{_V} 1 1"), ("apache-2.0", "apache", f"apache (?:software )?{_L}{_V} 2(?: 0)?"),
     ("apache", "apache", f"apache (?:software )?{_L}"),
     ("gpl-1.0", "general public", f"(?:gnu )?general public {_L}{_V} 1(?: 0)?"),
@@ -50,9 +50,9 @@ LICENSES = (
     ("mpl", "mozilla", f"mozilla public {_L}"), ("epl-1.0", "eclipse", f"eclipse public {_L}{_V} 1(?: 0)?"),
     ("epl-2.0", "eclipse", f"eclipse public {_L}{_V} 2(?: 0)?"), ("epl", "eclipse", f"eclipse public {_L}"),
     ("cddl", "common development", f"common development and distribution {_L}"), ("cpl", "common public", f"common public {_L}"),
-    ("eupl", "european", f"european union public {_L}"), ("osl", "open software", f"open software {_L}"),
-    ("afl", "academic free", f"academic free {_L}"), ("artistic-1.0", "artistic", f"artistic {_L}{_V} 1(?: 0)?"),
-    ("artistic-2.0", "artistic", f"artistic {_L}{_V} 2(?: 0)?"), ("artistic", "artistic", f"artistic {_L}"),
+    ("eupl", "european union", f"european union public {_L}"), ("osl", "open software", f"open software {_L}"),
+    ("afl", "academic free", f"academic free {_L}"), ("artistic-1.0", "artistic licen", f"artistic {_L}{_V} 1(?: 0)?"),
+    ("artistic-2.0", "artistic licen", f"artistic {_L}{_V} 2(?: 0)?"), ("artistic", "artistic licen", f"artistic {_L}"),
     ("zlib", "zlib", f"zlib(?: libpng)? {_L}"), ("boost", "boost", f"boost software {_L}(?:{_V} 1(?: 0)?)?"),
     ("unlicense", "unlicense", "(?:the )?unlicense"), ("wtfpl", "wtfpl", "wtfpl"),
     ("cc0", "cc0", "cc0(?: 1 0)?(?: universal)?"), ("cc0", "creative commons", "creative commons zero"),
@@ -63,9 +63,9 @@ LICENSES = (
     ("cc-by-sa", "creative commons", f"creative commons attribution share ?alike(?: [1-4] [05])?(?: international)?(?: {_L})?"),
     ("cc-by-nc", "creative commons", f"creative commons attribution non ?commercial(?: [1-4] [05])?(?: international)?(?: {_L})?"),
     ("creative-commons", "creative commons", f"creative commons {_L}"),
-    ("openssl", "openssl", f"openssl {_L}"), ("php", "php", f"php {_L}"), ("python", "python", f"python(?: software foundation)? {_L}"),
-    ("ruby", "ruby", f"ruby {_L}"), ("ofl", "open font", f"(?:sil )?open font {_L}"),
-    ("gfdl", "documentation", f"(?:gnu )?free documentation {_L}"), ("odbl", "open database", f"open database {_L}"),
+    ("openssl", "openssl", f"openssl {_L}"), ("php", "php licen", f"php {_L}"), ("python", "python", f"python(?: software foundation)? {_L}"),
+    ("ruby", "ruby licen", f"ruby {_L}"), ("ofl", "open font", f"(?:sil )?open font {_L}"),
+    ("gfdl", "free documentation", f"(?:gnu )?free documentation {_L}"), ("odbl", "open database", f"open database {_L}"),
     ("ms-pl", "microsoft", f"microsoft public {_L}"), ("ms-rl", "microsoft", f"microsoft reciprocal {_L}"),
     ("postgresql", "postgresql", f"postgresql {_L}"), ("ncsa", "ncsa", f"(?:university of illinois )?ncsa(?: open source)? {_L}"),
     ("upl", "universal permissive", f"universal permissive {_L}"), ("w3c", "w3c", f"w3c(?: software)?(?: notice and)? {_L}"),
@@ -96,8 +96,7 @@ def build_rules() -> list[tuple[int, str, str, str, int, float, bool]]:
     for label, keyword, name in LICENSES:
         words = label.replace("-", " ").replace(".", " ")
         for priority, weight, template in TEMPLATES:
-            # a rule on the licence's id need not hold the keyword of its name
-            gate = words if "ID" in template else keyword
+            gate = "spdx licen" if "ID" in template else keyword  # what every match of this rule holds
             out.append((label, gate, template.replace("NAME", f"(?:{name})").replace("ID", words), priority, weight, False))
     out += [(label, keyword, pattern, priority, weight, False) for label, keyword, priority, weight, pattern in NOTICES]
     out += [(label, phrase, phrase, 4, 0.6, True) for phrase, label in BASE]
@@ -128,8 +127,9 @@ def detections(docs: DataFrame, rules=None) -> DataFrame:
     rules = RULES if rules is None else rules
     lines = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", word_line(F.coalesce("text", F.lit(""))).alias("line"))
     keywords = sorted({gate for _, _, gate, _, _, _, _ in rules})
+    # one test per keyword, not a lambda over the keywords: a lambda would lower-case the text anew for each
     gated = lines.withColumn("low", F.lower("line")).withColumn(
-        "hits", F.filter(F.array(*map(F.lit, keywords)), lambda k: F.contains(F.col("low"), k)))
+        "hits", F.array_compact(F.array(*[F.when(F.contains(F.col("low"), F.lit(k)), F.lit(k)) for k in keywords])))
     found = F.transform(
         F.filter(_rule_table(rules), lambda r: F.array_contains(F.col("hits"), r["keyword"])),
         lambda r: F.struct(r["rule"].alias("rule"),

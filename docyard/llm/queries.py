@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docyard.llm import bpe, linededup, packing, quality, simhash, topk, toxicity
+from docyard.llm import bpe, htmltree, license, linededup, packing, quality, simhash, topk, toxicity
 
 QUERIES = {
     "op1_maxscore_topk": topk.op1,
@@ -10,8 +10,10 @@ QUERIES = {
     "op3_packing": packing.op3,
     "op5_simhash_near_dedup": simhash.op5,
     "op6_line_dedup": linededup.op6,
+    "op7_license_scan": license.op7,
     "op8_quality_rules": quality.op8,
     "op9_bpe": bpe.op9,
+    "op10_html_extraction": htmltree.op10,
 }
 
 ORACLE: dict[str, str] = {
