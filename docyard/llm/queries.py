@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from docyard.llm import bpe, htmltree, license, linededup, packing, quality, simhash, topk, toxicity
+from docyard.llm import bpe, chat, htmltree, license, linededup, packing, quality, simhash, topk, toxicity
 
 QUERIES = {
     "op1_maxscore_topk": topk.op1,
     "op2_toxicity": toxicity.op2,
     "op3_packing": packing.op3,
+    "op4_chat_rotation": chat.op4,
     "op5_simhash_near_dedup": simhash.op5,
     "op6_line_dedup": linededup.op6,
     "op7_license_scan": license.op7,
@@ -18,5 +19,6 @@ QUERIES = {
 
 ORACLE: dict[str, str] = {
     "op1_maxscore_topk": topk.SQL,
+    "op4_chat_rotation": chat.SQL,
     "op6_line_dedup": linededup.SQL,
 }
