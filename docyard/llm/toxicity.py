@@ -17,7 +17,7 @@ UDF with the classifier's weights in its closure (at most ``MAX_FEATURES`` entri
 
 Defined results: a null or empty text holds no feature and gets the classifier's base
 probability; without labelled rows of both classes the hand-written voters alone decide
-(score = share-of-voters posterior under default accuracies); repeated rows get equal scores.
+(score = share-of-voters posterior under default accuracies); repeated rows get equal scores; a row without id is not held out.
 """
 
 from __future__ import annotations
@@ -46,6 +46,8 @@ MIN_SUPPORT = 6
 #: A feature takes part when it is toxic at least so many times as often as not.
 MIN_ODDS = 4
 THRESHOLD = 0.7
+#: Words whose features a task remembers; beyond it the memory starts anew.
+MEMO_WORDS = 60_000
 
 # Hand-written voters. Lexicons hold whole words (lower case), patterns are regular expressions.
 LEXICONS: dict[str, tuple[str, ...]] = {
@@ -97,21 +99,31 @@ def mine_features(rows: DataFrame, n_features: int = MAX_FEATURES) -> pd.DataFra
     """The features that tell toxic texts best: columns feature, pos, neg (documents holding it).
 
     Only features that are clearly more often toxic than not take part: a long clean text holds
-    thousands of words, and many weak cues must not add up to a strong one. ``rows`` has the columns ``text`` and ``toxic`` (0/1). Counted by Spark; the best
-    ``n_features`` by a signed likelihood-ratio weight reach the driver.
+    thousands of words, and many weak cues must not add up to a strong one. ``rows`` has the columns ``text`` and ``toxic`` (0/1) and is a bounded sample. Spark counts
+    the features of toxic rows first, then only those that can still qualify in the others.
     """
     totals = rows.agg(F.sum("toxic"), F.count(F.lit(1))).first()
     n_pos, n = int(totals[0] or 0), int(totals[1])
     if n_pos == 0 or n_pos == n:
         return pd.DataFrame({"feature": [], "pos": [], "neg": []})
-    counts = (rows.select("toxic", F.explode(_distinct_features("text")).alias("feature"))
-              .groupBy("feature").agg(F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg"))
-              .filter((F.col("pos") + F.col("neg") >= MIN_SUPPORT) & (F.col("pos") >= MIN_ODDS * F.col("neg"))))
-    rate_pos = (F.col("pos") + 0.5) / (n_pos + 1.0)
-    rate_neg = (F.col("neg") + 0.5) / (n - n_pos + 1.0)
-    weight = F.log(rate_pos / rate_neg) * F.sqrt(F.greatest(F.col("pos"), F.col("neg") * F.lit(n_pos / (n - n_pos))))
-    return (counts.withColumn("weight", F.round(weight, 9)).orderBy(F.desc(F.abs("weight")), "feature")
-            .limit(n_features).toPandas())
+    least = MIN_SUPPORT * MIN_ODDS / (MIN_ODDS + 1)  # fewer toxic rows cannot reach both limits
+    held = (rows.filter("toxic = 1").select(F.explode(_distinct_features("text")).alias("feature"))
+            .groupBy("feature").agg(F.count(F.lit(1)).alias("pos")).filter(F.col("pos") >= least))
+    likely = held.toPandas()
+    wanted = frozenset(likely["feature"])
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def known_features(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: list({f for w in words_of(t) for f in features_of(w) if f in wanted}), na_action=None)
+
+    against = (rows.filter("toxic = 0").select(F.explode(known_features("text")).alias("feature"))
+               .groupBy("feature").agg(F.count(F.lit(1)).alias("neg")).toPandas())
+    counts = likely.merge(against, "left", "feature").fillna({"neg": 0})
+    counts = counts[(counts["pos"] + counts["neg"] >= MIN_SUPPORT) & (counts["pos"] >= MIN_ODDS * counts["neg"])].copy()
+    rate_pos = (counts["pos"] + 0.5) / (n_pos + 1.0)
+    rate_neg = (counts["neg"] + 0.5) / (n - n_pos + 1.0)
+    counts["weight"] = (np.log(rate_pos / rate_neg) * np.sqrt(counts["pos"])).round(9)
+    return counts.sort_values(["weight", "feature"], ascending=[False, True]).head(n_features).reset_index(drop=True)
 
 
 @dataclass
@@ -281,7 +293,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LAB
     marks = (labels.select("doc_id", "toxic").dropna().filter(training_fold())
              .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")))
     marks = hashed_sample(marks, "doc_id", max_labelled)
-    rows = docs.select("doc_id", "text").join(marks, "doc_id").select("text", "toxic")
+    rows = docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id").select("text", "toxic")
     mined = mine_features(rows)
     if mined.empty:
         return _hand_written()
@@ -311,15 +323,18 @@ def score_column(model: ToxicityModel, text: str = "text") -> Column:
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         memo: dict[str, tuple[str, ...]] = {}
         for texts in batches:
-            if len(memo) > 500_000:
-                memo.clear()
-            yield pd.Series([classifier.score(t, memo) for t in texts], dtype="float64")
+            scores = np.empty(len(texts))
+            for k, t in enumerate(texts):
+                if len(memo) > MEMO_WORDS:
+                    memo.clear()
+                scores[k] = classifier.score(t, memo)
+            yield pd.Series(scores)
 
     return score(F.col(text))
 
 
 def toxicity_report(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    return (docs.select("doc_id", (~training_fold()).alias("held_out"), score_column(model).alias("score"))
+    return (docs.select("doc_id", F.coalesce(~training_fold(), F.lit(False)).alias("held_out"), score_column(model).alias("score"))
             .withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int")))
 
 
