@@ -162,7 +162,9 @@ def _grow(x: dict[str, np.ndarray], bad: np.ndarray, max_conditions: int) -> Rul
                     gain = np.where(p > 0, p * (np.log2(p / np.maximum(rows, 1)) - before), -1.0)
                 k = int(np.argmax(gain))
                 if gain[k] > best_gain:
-                    best, best_gain = Condition(stat, at_least, float(cuts[k])), float(gain[k])
+                    # halfway to the nearest value on the other side, so that a little less of the same still counts
+                    lower = order[below[k] - 1] if below[k] else cuts[k]
+                    best, best_gain = Condition(stat, at_least, float(lower + cuts[k]) / 2), float(gain[k])
         if best is None:
             break
         rule += (best,)
@@ -236,7 +238,7 @@ def fit_rules(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELL
     marks = (labels.select("doc_id", "quality").dropna().groupBy("doc_id")
              .agg((F.avg("quality") < 0.5).alias("bad")))
     marks = hashed_sample(marks, "doc_id", max_labelled)
-    rows = (docs.select("doc_id", "text").join(marks, "doc_id")
+    rows = (docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id")
             .select("bad", (F.pmod(F.xxhash64(F.lit("hold"), "doc_id"), F.lit(3)) == 0).alias("hold"),
                     text_stats("text").alias("s"))
             .select("bad", "hold", "s.*").toPandas())
