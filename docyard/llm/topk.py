@@ -37,6 +37,7 @@ QUERY_BLOCK = 4_096
 BLOCK = 2_048
 #: Terms probed between two looks at which vectors still compete.
 PROBE = 8
+LONGEST = (1 << 63) - 1
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -97,6 +98,7 @@ class Postings:
                 more = slice(t, min(t + PROBE, len(terms)))
                 score = score + q[more] @ self.impact[terms[more], a:a + BLOCK][:, alive] - low[more].sum()
                 t = more.stop
+            score = np.clip(score, -LONGEST - 1, LONGEST) if score.dtype == object else score
             if len(alive) > k:  # the block's k best, ties included
                 bound = np.sort(score)[-k]
                 alive, score = alive[score >= bound], score[score >= bound]
@@ -117,8 +119,7 @@ def search_shard(queries: pd.DataFrame, vectors: pd.DataFrame, k: int) -> pd.Dat
     if kind is object:
         v, q = (np.vectorize(int, otypes=[object])(x) if x.size else x.astype(object) for x in (v, q))
     postings = Postings(vectors["vec_id"].to_numpy(dtype=np.int64), v)
-    top = (1 << 63) - 1
-    rows = [(int(i), doc, max(-top - 1, min(top, s)))
+    rows = [(int(i), doc, s)
             for i, query in zip(queries["query_id"], q) for s, doc in postings.search(int(i), query, k)]
     return pd.DataFrame(rows, columns=columns).astype("int64")
 
