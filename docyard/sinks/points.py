@@ -1,28 +1,35 @@
-"""Vector table: partitioned by tenant, written as an append log with a latest view.
-
-Parquet has no in-place upsert, so an upsert appends rows stamped with an
-``ingest_seq``; readers see, per key, the row with the highest sequence
-(``row_number() = 1``, trimmed map-side by WindowGroupLimit). ``compact``
-writes that view as a new base version and moves the pointer; the old files
-are never overwritten while a reader may use them.
-
-Table properties (vector size, metric, key) live in a small JSON file next to
-the data and are checked on every write (the reference did not check width).
+"""Vector table: Parquet folders per write, versioned by small snapshot files.
+
+Every upsert writes one new folder ``data/batch=<id>/tenant_id=<t>/`` and then commits a
+*version*: a JSON file that lists the live folders. Version files are numbered, written
+aside and renamed into place only when that number is still free, so a crash leaves
+the last complete version and two writers cannot overwrite each other (the
+loser re-reads the newest version and tries the next number). Compaction writes the
+current view as one folder and commits a version in which exactly the folders it has read are
+replaced; folders committed meanwhile stay listed, whatever their sequence.
+
+Readers name their columns and types (the tenant is a string, also when it looks like
+a number) and see, per key, the row with the highest ``ingest_seq`` (``row_number() = 1``,
+trimmed map-side by WindowGroupLimit). Rows are written clustered by tenant and sorted by
+hash; a tenant with much data is split over several files.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from docyard.functions.hashing import chunk_hash, point_id
 
 SIZE_ERROR = "vector_size must be greater than zero"
-PROPS = "_docyard_table.json"
 KEY_COLUMNS = ("tenant_id", "point_id")
+COMMIT_TRIES = 20
+_VERSION = re.compile(r"v(\d{10})\.json$")
 
 
 def _fs(spark: SparkSession, path: str):
@@ -31,47 +38,85 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-def _read_text(spark: SparkSession, path: str) -> str | None:
+def _read_text(spark: SparkSession, path: str) -> str:
     fs, p = _fs(spark, path)
-    if not fs.exists(p):
-        return None
     stream = fs.open(p)
     try:
-        jvm = spark.sparkContext._jvm
-        return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
     finally:
         stream.close()
 
 
-def _write_text(spark: SparkSession, path: str, text: str) -> None:
-    fs, p = _fs(spark, path)
-    tmp = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path + ".tmp-" + uuid.uuid4().hex[:8])
-    out = fs.create(tmp, True)
+def _put_if_absent(spark: SparkSession, path: str, text: str) -> bool:
+    """Write aside, then rename without overwriting; False when the name is taken."""
+    sc = spark.sparkContext
+    jvm = sc._jvm
+    fs, target = _fs(spark, path)
+    aside = jvm.org.apache.hadoop.fs.Path(f"{path}.tmp-{uuid.uuid4().hex[:12]}")
+    out = fs.create(aside, True)
     try:
         out.write(bytearray(text.encode("utf-8")))
     finally:
         out.close()
-    if fs.exists(p):
-        fs.delete(p, False)
-    fs.rename(tmp, p)
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), sc._jsc.hadoopConfiguration())
+    rename = sc._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+    try:
+        context.rename(aside, target, rename)
+        return True
+    except Exception:  # noqa: BLE001  the number was taken by another writer
+        if not fs.exists(target):
+            raise
+        fs.delete(aside, False)
+        return False
+
+
+def _newest(spark: SparkSession, path: str) -> tuple[int, dict | None]:
+    """(number, content) of the newest version; (0, None) when the table does not exist."""
+    folder = f"{path.rstrip('/')}/versions"
+    fs, p = _fs(spark, folder)
+    if not fs.exists(p):
+        return 0, None
+    found = [int(m[1]) for s in fs.listStatus(p) if (m := _VERSION.search(s.getPath().getName()))]
+    if not found:
+        return 0, None
+    return max(found), json.loads(_read_text(spark, f"{folder}/v{max(found):010d}.json"))
+
+
+def _commit(spark: SparkSession, path: str, change) -> dict:
+    """Apply ``change(content) -> content`` to the newest version and commit it as the next one."""
+    for _ in range(COMMIT_TRIES):
+        number, content = _newest(spark, path)
+        new = change(content)
+        if new is content or _put_if_absent(spark, f"{path.rstrip('/')}/versions/v{number + 1:010d}.json", json.dumps(new)):
+            return new
+    raise RuntimeError(f"vector table at {path} is changed by too many writers at once")
 
 
 def table_properties(spark: SparkSession, path: str) -> dict | None:
-    raw = _read_text(spark, f"{path.rstrip('/')}/{PROPS}")
-    return json.loads(raw) if raw else None
+    return _newest(spark, path)[1]
 
 
-def ensure_table(spark: SparkSession, path: str, vector_size: int, metric: str = "cosine",
-                 key=KEY_COLUMNS) -> dict:
-    """Create the table's properties once; an existing table is left as it is."""
+def _properties(spark: SparkSession, path: str) -> dict:
+    props = table_properties(spark, path)
+    if props is None:
+        raise ValueError(f"no vector table at {path}; call ensure_table first")
+    return props
+
+
+def ensure_table(spark: SparkSession, path: str, vector_size: int, metric: str = "cosine", key=KEY_COLUMNS) -> dict:
+    """Create the table once; an existing one must have the same width."""
     if vector_size <= 0:
         raise ValueError(SIZE_ERROR)
-    props = table_properties(spark, path)
-    if props is not None:
-        return props
-    props = {"vector_size": vector_size, "metric": metric, "key": list(key), "partitioned_by": ["tenant_id"],
-             "indexed": ["tenant_id", "chunk_hash"], "base": None, "base_seq": -1}
-    _write_text(spark, f"{path.rstrip('/')}/{PROPS}", json.dumps(props))
+
+    def create(content):
+        if content is not None:
+            return content
+        return {"vector_size": vector_size, "metric": metric, "key": list(key), "partitioned_by": ["tenant_id"],
+                "indexed": ["tenant_id", "chunk_hash"], "fields": [], "batches": []}
+
+    props = _commit(spark, path, create)
+    if int(props["vector_size"]) != vector_size:
+        raise ValueError(f"vector table at {path} holds vectors of width {props['vector_size']}, asked for {vector_size}")
     return props
 
 
@@ -93,23 +138,36 @@ def payload_json(chunks: DataFrame, metadata_cols) -> DataFrame:
     return chunks.withColumn("payload", F.to_json(F.struct(*[F.col(c) for c in (*meta, *PAYLOAD_FIELDS)])))
 
 
+def _merged_fields(old: list, schema: StructType) -> list:
+    """Fields of all batches so far, the tenant apart; a column keeps the type it came with first."""
+    names = {f["name"] for f in old}
+    return old + [f.jsonValue() | {"nullable": True} for f in schema.fields if f.name not in names and f.name != "tenant_id"]
+
+
+def _write_batch(df: DataFrame, path: str, batch: str) -> None:
+    """One folder, clustered by tenant (AQE splits a large and joins small ones), sorted by hash."""
+    out = df.withColumn("tenant_id", F.col("tenant_id").cast("string")).hint("rebalance", F.col("tenant_id"))
+    order = [c for c in ("tenant_id", "chunk_hash") if c in out.columns]
+    out.sortWithinPartitions(*order).write.partitionBy("tenant_id").parquet(f"{path.rstrip('/')}/data/batch={batch}")
+
+
 def upsert(points: DataFrame, path: str, ingest_seq: int, vector_col: str = "embedding") -> int:
-    """Append points under ``ingest_seq``; returns the number written (0 writes nothing)."""
+    """Add points under ``ingest_seq``; returns the number written (0 commits nothing)."""
     spark = points.sparkSession
-    props = table_properties(spark, path)
-    if props is None:
-        raise ValueError(f"no vector table at {path}; call ensure_table first")
-    size = int(props["vector_size"])
+    size = int(_properties(spark, path)["vector_size"])
     checked = points.withColumn(
         vector_col,
         F.when(F.size(vector_col) == size, F.col(vector_col))
          .otherwise(F.raise_error(F.concat(F.lit(f"vector width must be {size}, got "),
                                            F.size(vector_col).cast("string")))))
-    from pyspark.sql import Observation
-    obs = Observation("upsert")
-    out = checked.withColumn("ingest_seq", F.lit(ingest_seq).cast("long")).observe(obs, F.count(F.lit(1)).alias("n"))
-    out.write.mode("append").partitionBy("tenant_id").parquet(f"{path.rstrip('/')}/log")
-    return int(obs.get.get("n", 0))
+    out = checked.withColumn("ingest_seq", F.lit(ingest_seq).cast("long"))
+    batch = uuid.uuid4().hex
+    _write_batch(out, path, batch)
+    # what the files hold, from their footers: no column is read
+    written = spark.read.schema("ingest_seq long").parquet(f"{path.rstrip('/')}/data/batch={batch}").count()
+    if written:
+        _commit(spark, path, lambda c: dict(c, fields=_merged_fields(c["fields"], out.schema), batches=[*c["batches"], batch]))
+    return written
 
 
 def latest_by_key(df: DataFrame, key, order_col: str = "ingest_seq") -> DataFrame:
@@ -118,24 +176,31 @@ def latest_by_key(df: DataFrame, key, order_col: str = "ingest_seq") -> DataFram
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
 
 
-def read_points(spark: SparkSession, path: str) -> DataFrame:
-    """The current points: base version (if compacted) plus newer log rows, latest per key."""
-    props = table_properties(spark, path)
-    if props is None:
-        raise ValueError(f"no vector table at {path}")
-    root = path.rstrip("/")
-    fs, p = _fs(spark, f"{root}/log")
-    parts = []
-    if fs.exists(p):
-        parts.append(spark.read.parquet(f"{root}/log").filter(F.col("ingest_seq") > int(props["base_seq"])))
-    if props.get("base"):
-        parts.append(spark.read.parquet(f"{root}/{props['base']}"))
-    if not parts:
-        raise ValueError(f"vector table at {path} holds no data yet")
+def current_view(parts: list[DataFrame], key, order_col: str = "ingest_seq") -> DataFrame:
+    """The current rows of several batches: all of them together, then the latest per key.
+
+    No batch is left out by its sequence: a late batch with a smaller one adds every key nobody else has.
+    """
     df = parts[0]
-    for extra in parts[1:]:
-        df = df.unionByName(extra, allowMissingColumns=True)
-    return latest_by_key(df, props["key"])
+    for more in parts[1:]:
+        df = df.unionByName(more, allowMissingColumns=True)
+    return latest_by_key(df, key, order_col)
+
+
+def _read_batches(spark: SparkSession, path: str, props: dict) -> DataFrame:
+    if not props["batches"]:
+        raise ValueError(f"vector table at {path} holds no data yet")
+    data = f"{path.rstrip('/')}/data"
+    schema = StructType.fromJson({"type": "struct", "fields": props["fields"]})
+    schema = StructType([*schema.fields, StructField("batch", StringType()), StructField("tenant_id", StringType())])
+    return (spark.read.schema(schema).option("basePath", data)
+            .parquet(*[f"{data}/batch={b}" for b in props["batches"]]).drop("batch"))
+
+
+def read_points(spark: SparkSession, path: str) -> DataFrame:
+    """The current points: every live folder, latest per key."""
+    props = _properties(spark, path)
+    return current_view([_read_batches(spark, path, props)], props["key"])
 
 
 def index_keys(spark: SparkSession, path: str) -> DataFrame | None:
@@ -149,26 +214,16 @@ def index_keys(spark: SparkSession, path: str) -> DataFrame | None:
     view decides.
     """
     props = table_properties(spark, path)
-    if props is None:
+    if props is None or not props["batches"]:
         return None
     if list(props["key"]) != list(KEY_COLUMNS):
-        try:
-            return read_points(spark, path).select("tenant_id", "chunk_hash")
-        except ValueError:
-            return None
-    root = path.rstrip("/")
-    parts = []
-    fs, p = _fs(spark, f"{root}/log")
-    if fs.exists(p):
-        parts.append(spark.read.parquet(f"{root}/log").select("tenant_id", "chunk_hash"))
-    if props.get("base"):
-        parts.append(spark.read.parquet(f"{root}/{props['base']}").select("tenant_id", "chunk_hash"))
-    if not parts:
-        return None
-    out = parts[0]
-    for extra in parts[1:]:
-        out = out.unionByName(extra)
-    return out
+        return read_points(spark, path).select("tenant_id", "chunk_hash")
+    return _read_batches(spark, path, props).select("tenant_id", "chunk_hash")
+
+
+def points_per_tenant(points: DataFrame) -> DataFrame:
+    """How many current points each tenant has."""
+    return points.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("points"))
 
 
 def point_count(spark: SparkSession, path: str) -> int:
@@ -176,12 +231,10 @@ def point_count(spark: SparkSession, path: str) -> int:
 
 
 def compact(spark: SparkSession, path: str) -> str:
-    """Write the latest view as a new base version, then move the pointer to it."""
-    props = table_properties(spark, path)
-    current = read_points(spark, path)
-    top = current.agg(F.max("ingest_seq")).first()[0]
-    name = f"base-{uuid.uuid4().hex[:12]}"
-    current.write.partitionBy("tenant_id").parquet(f"{path.rstrip('/')}/{name}")
-    props = dict(props, base=name, base_seq=int(top if top is not None else -1))
-    _write_text(spark, f"{path.rstrip('/')}/{PROPS}", json.dumps(props))
-    return name
+    """Write the current view as one folder and list it instead of the folders it was read from."""
+    props = _properties(spark, path)
+    folded = set(props["batches"])
+    batch = uuid.uuid4().hex
+    _write_batch(current_view([_read_batches(spark, path, props)], props["key"]), path, batch)
+    _commit(spark, path, lambda c: dict(c, batches=[batch, *[b for b in c["batches"] if b not in folded]]))
+    return batch

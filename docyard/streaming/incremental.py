@@ -2,10 +2,10 @@
 
 New files in a source folder are picked up by the file source (explicit
 schema, ``maxFilesPerTrigger``), and each micro-batch runs the batch ingest
-flow inside ``foreachBatch``. The batch id is the upsert sequence, so a
-batch replayed after a failure rewrites the same keys at the same sequence,
-and chunks it already stored are skipped by the content-hash check: the
-vector table itself is the state, no watermark is needed for late files.
+flow inside ``foreachBatch``. Sequences are the time of the write, as in batch runs, so a stream and
+batch runs may take turns on one table and a stream may start over with a new checkpoint folder.
+A batch replayed after a failure finds the chunks it already stored by their content
+hash and skips them: the vector table itself is the state, no watermark is needed for late files.
 """
 
 from __future__ import annotations
@@ -30,8 +30,7 @@ def incremental_ingest(spark: SparkSession, source_dir: str, schema, points_path
 
     def run_batch(batch: DataFrame, batch_id: int) -> None:
         docs = to_documents(batch)
-        ingest(docs, points_path, cfg, model, jobs_path=jobs_path, run_id=f"batch-{batch_id}",
-               ingest_seq=int(batch_id))
+        ingest(docs, points_path, cfg, model, jobs_path=jobs_path, run_id=f"batch-{batch_id}")
 
     writer = stream.writeStream.foreachBatch(run_batch).option("checkpointLocation", checkpoint_path)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")

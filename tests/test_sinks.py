@@ -20,8 +20,10 @@ def test_table_create_once_and_size_check(spark):
     with pytest.raises(ValueError, match="vector_size must be greater than zero"):
         P.ensure_table(spark, path, 0)
     a = P.ensure_table(spark, path, 4)
-    b = P.ensure_table(spark, path, 8)            # existing table left as it is
+    b = P.ensure_table(spark, path, 4)            # existing table left as it is
     assert a == b and b["vector_size"] == 4 and b["indexed"] == ["tenant_id", "chunk_hash"]
+    with pytest.raises(ValueError, match="holds vectors of width 4, asked for 8"):
+        P.ensure_table(spark, path, 8)
 
 
 def test_upsert_latest_and_compact(spark):
@@ -45,6 +47,54 @@ def test_upsert_width_check(spark):
         P.upsert(pts(spark, [("t", "h", "x", [1.0, 2.0])]), path, 1)
 
 
+def test_nothing_is_lost_after_compaction(spark):
+    """A writer with a smaller sequence, or one that commits while a compaction runs, stays visible."""
+    path = tempfile.mkdtemp(prefix="docyard-pts-")
+    P.ensure_table(spark, path, 2)
+    P.upsert(pts(spark, [("t", "h1", "one", [1.0, 0.0])]), path, 1_700_000_000_000_000)
+    P.compact(spark, path)
+    P.upsert(pts(spark, [("t", "h2", "late", [0.0, 1.0]), ("t", "h1", "older", [0.0, 1.0])]), path, 0)
+    cur = {r["chunk_hash"]: r["text"] for r in P.read_points(spark, path).collect()}
+    assert cur == {"h1": "one", "h2": "late"}
+    real = P._write_batch
+
+    def slow_write(df, where, batch):
+        real(df, where, batch)
+        if not done:  # another writer commits between the compaction's read and its commit
+            done.append(1)
+            P.upsert(pts(spark, [("t", "h3", "meanwhile", [0.0, 1.0])]), path, 5)
+
+    done = []
+    P._write_batch = slow_write
+    try:
+        P.compact(spark, path)
+    finally:
+        P._write_batch = real
+    assert {r["chunk_hash"] for r in P.read_points(spark, path).collect()} == {"h1", "h2", "h3"}
+    assert P.point_count(spark, path) == 3 == P.index_keys(spark, path).count()
+
+
+def test_tenants_that_look_like_numbers_stay_apart(spark):
+    path = tempfile.mkdtemp(prefix="docyard-pts-")
+    P.ensure_table(spark, path, 2)
+    tenants = ["007", "7", "1e3", "1000", "2024-01-01", "true", None]
+    P.upsert(pts(spark, [(t, "h", "x", [1.0, 0.0]) for t in tenants]), path, 1)
+    P.compact(spark, path)
+    assert P.read_points(spark, path).schema["tenant_id"].dataType.simpleString() == "string"
+    assert {r["tenant_id"] for r in P.read_points(spark, path).collect()} == set(tenants)
+    got = {r["tenant_id"]: r["points"] for r in P.points_per_tenant(P.read_points(spark, path)).collect()}
+    assert got == {t: 1 for t in tenants}
+
+
+def test_two_writers_cannot_take_the_same_version(spark):
+    path = tempfile.mkdtemp(prefix="docyard-pts-")
+    P.ensure_table(spark, path, 2)
+    assert not P._put_if_absent(spark, f"{path}/versions/v0000000001.json", "{}")
+    assert P.table_properties(spark, path)["vector_size"] == 2
+    assert P._put_if_absent(spark, f"{path}/versions/v0000000002.json", '{"vector_size": 3}')
+    assert P.table_properties(spark, path) == {"vector_size": 3}
+
+
 def _events(spark, rows):
     t0 = dt.datetime(2024, 1, 1)
     data = [(j, s, t0 + dt.timedelta(seconds=i), i, "t", "p") for i, (j, s) in enumerate(rows)]
