@@ -31,6 +31,8 @@ MIN_CHARS = 12
 LG_K = 12
 #: Lines whose estimate lies within this share of the threshold (two sites at least) are counted exactly.
 NEAR = 0.15
+#: Parts that the occurrences of one line are dealt over in joins (a line may be on a third of all rows).
+SALTS = 32
 
 
 def _lines(text: Column) -> Column:
@@ -44,7 +46,13 @@ def occurrences(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
                       F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
     trimmed = F.trim("line")
     return (row.filter(F.length(trimmed) >= min_chars)
-            .select(F.xxhash64(trimmed).alias("key"), "site", "doc_id", "row_key", "pos"))
+            .select(F.xxhash64(trimmed).alias("key"), "site", "doc_id", "row_key", "pos",
+                    F.pmod("row_key", F.lit(SALTS)).cast("int").alias("salt")))
+
+
+def _salted(lines: DataFrame) -> DataFrame:
+    """Chosen lines (few, next to their occurrences), once per salt."""
+    return lines.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
 
 def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -55,7 +63,7 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MI
         F.hll_sketch_estimate(F.hll_sketch_agg("site", LG_K)).alias("sites"), F.min("doc_id").alias("first_id"))
     likely = cut(spread.filter(F.col("sites") > min_sites - band))
     near = likely.filter(F.col("sites") < min_sites + band)
-    exact = (seen.join(near.select("key"), "key", "left_semi").filter("site is not null")
+    exact = (seen.join(_salted(near.select("key")), ["key", "salt"], "left_semi").filter("site is not null")
              .groupBy("key", "site").agg(F.lit(1).alias("one"))
              .groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_sites))
     return cut(likely.filter(F.col("sites") >= min_sites + band).select("key", "first_id")
@@ -73,7 +81,7 @@ def _without(lines: Column, gone: Column) -> Column:
 def with_removed(docs: DataFrame, lines: DataFrame, min_chars: int = MIN_CHARS) -> tuple[DataFrame, str]:
     """``docs`` plus a column with the sorted positions of its lines to remove (null: none); its name."""
     gone, row_key, owner, key = fresh(docs.columns, "_gone", "_row_key", "_owner", "_hash")
-    hits = (occurrences(docs, min_chars).join(lines, "key")
+    hits = (occurrences(docs, min_chars).join(_salted(lines), ["key", "salt"])
             .filter(F.col("first_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("first_id")))
             .groupBy(F.col("row_key").alias(row_key), F.col("doc_id").alias(owner))
             .agg(F.sort_array(F.collect_set("pos")).alias(gone)))
