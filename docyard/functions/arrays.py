@@ -71,8 +71,6 @@ def pack_spans(counts: np.ndarray, size: int, overlap: int) -> list[tuple[int, i
         # largest s in [i, end) with prefix[end] - prefix[s] >= overlap, else i
         s = int(np.searchsorted(prefix, prefix[end] - overlap, side="right")) - 1
         s = max(s, i)
-        if end - i == 1 and s == i:
-            s = end
         i = end if s <= i else s
     return spans
 

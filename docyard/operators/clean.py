@@ -2,8 +2,7 @@
 
 Order matters and is kept: the text steps run first, the length check drops
 short rows before the (costlier) language step ever sees them, and the
-language filter runs last. ``clean_documents_with_reasons`` keeps every row
-with a ``drop_reason`` (``too_short``/``language``) for counters.
+language filter runs last.
 """
 
 from __future__ import annotations
@@ -22,33 +21,14 @@ def clean_text(df: DataFrame, text_col: str = "content", steps=None, patterns=No
     return df.withColumn(text_col, apply_steps(F.col(text_col), steps))
 
 
-def clean_documents_with_reasons(df: DataFrame, cfg: IngestConfig = IngestConfig(),
-                                 model: LanguageModel | None = None, text_col: str = "content",
-                                 steps=None) -> DataFrame:
-    cleaned = clean_text(df, text_col, steps, cfg.boilerplate_patterns)
-    too_short = F.length(text_col) < F.lit(cfg.min_content_chars)
-    cleaned = cleaned.withColumn("_short", too_short)
-    if model is None or cfg.target_language is None:
-        return (cleaned.withColumn("drop_reason", F.when(F.col("_short"), F.lit("too_short")))
-                       .withColumn("language", F.lit(None).cast("string")).drop("_short"))
-    # Language id runs only on rows that passed the length check.
-    long_rows = cleaned.filter(~F.col("_short"))
-    short_rows = cleaned.filter(F.col("_short")).withColumn("language", F.lit(None).cast("string"))
-    scored = detect_language(long_rows, model, text_col, cfg.language_confidence_threshold)
-    scored = scored.unionByName(short_rows)
-    reason = (F.when(F.col("_short"), F.lit("too_short"))
-               .when(F.col("language").isNull() | (F.col("language") != F.lit(cfg.target_language)),
-                     F.lit("language")))
-    return scored.withColumn("drop_reason", reason).drop("_short")
-
-
 def clean_documents(df: DataFrame, cfg: IngestConfig = IngestConfig(), model: LanguageModel | None = None,
                     text_col: str = "content", steps=None) -> DataFrame:
     """Cleaned documents that pass the length and language checks, with ``language``."""
+    steps = cfg.cleaning_steps if steps is None else steps
     steps = default_cleaning_steps(cfg.boilerplate_patterns) if steps is None else steps
     kept = with_column_where(df, text_col, apply_steps(F.col(text_col), steps),
                              lambda c: F.length(c) >= F.lit(cfg.min_content_chars))
     if model is None or cfg.target_language is None:
         return kept.withColumn("language", F.lit(None).cast("string"))
-    scored = detect_language(kept, model, text_col, cfg.language_confidence_threshold)
+    scored = detect_language(kept, model, text_col, cfg.language_confidence_threshold, cfg.language_sample_chars)
     return scored.filter(F.col("language") == F.lit(cfg.target_language))

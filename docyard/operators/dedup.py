@@ -7,20 +7,24 @@ Semantics kept from the reference:
 * within the batch the first chunk per (tenant, hash) in input order wins,
   NULL tenant being a group of its own.
 
-Plan shape: the in-batch window is ``row_number() = 1`` so Spark inserts a
-WindowGroupLimit that trims every hot (tenant, hash) to one row per map task
-before the shuffle. The index check is two anti joins: an equi-join on
-(tenant, hash) for tenant rows, and an anti join on hash against the
-*distinct* index hashes for NULL-tenant rows, so no key fans out across tenants.
+Plan shape: the decision is made on narrow rows. ``first_keys`` is one grouped minimum
+of the input order per (tenant, hash), combined map-side, so a hash on a third of all rows leaves
+each map task as one row; ``new_keys`` is one anti join of those keys against the index. Both
+tenant rules share that join: the index side lists every hash once under its tenant and once under the empty
+tenant, which is the key of chunks without one. Only then are the chosen chunks picked out of the wide
+table, by one semi join: the text moves at most once, and not at all when Spark broadcasts the keys.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docyard.functions.hashing import chunk_hash, point_id
 
+#: Input order of chunks: the path, the page in the file, the chunk in the page.
+ORDER = ("source_path", "page_number", "chunk_index")
+
 
 def tenant_key(col: Column | str = "tenant_id") -> Column:
     c = F.col(col) if isinstance(col, str) else col
@@ -33,53 +37,68 @@ def with_identity(chunks: DataFrame, text_col: str = "text") -> DataFrame:
                   .withColumn("point_id", point_id("chunk_hash")))
 
 
-def first_in_batch(chunks: DataFrame, order_cols=("source_path", "chunk_index"),
-                   tenant_col: str = "tenant_id") -> DataFrame:
+def _order(chunks: DataFrame, order_cols=ORDER) -> list[str]:
+    return [c for c in order_cols if c in chunks.columns]
+
+
+def first_keys(chunks: DataFrame, order_cols=ORDER, tenant_col: str = "tenant_id") -> DataFrame:
+    """Per (tenant key, hash): the place of its first chunk, as columns ``_t``, ``_h``, ``_o``."""
+    place = F.struct(*[F.col(c) for c in _order(chunks, order_cols)])
+    return (chunks.select(tenant_key(tenant_col).alias("_t"), F.col("chunk_hash").alias("_h"), place.alias("_o"))
+            .groupBy("_t", "_h").agg(F.min("_o").alias("_o")))
+
+
+def _pick(chunks: DataFrame, keys: DataFrame, order_cols, tenant_col: str) -> DataFrame:
+    """The chunks at the places of ``keys``; every other column as it was."""
+    same = tenant_key(chunks[tenant_col]).eqNullSafe(keys["_t"]) & (chunks["chunk_hash"] == keys["_h"])
+    for c in _order(chunks, order_cols):
+        same = same & chunks[c].eqNullSafe(keys[f"_o.{c}"])
+    return chunks.join(keys, same, "left_semi")
+
+
+def first_in_batch(chunks: DataFrame, order_cols=ORDER, tenant_col: str = "tenant_id") -> DataFrame:
     """Keep the first chunk per (tenant key, hash) in input order."""
-    w = Window.partitionBy(tenant_key(tenant_col), F.col("chunk_hash")).orderBy(*[F.col(c) for c in order_cols])
-    return chunks.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
+    return _pick(chunks, first_keys(chunks, order_cols, tenant_col), order_cols, tenant_col)
 
 
 def _index_keys(index: DataFrame, tenant_col: str = "tenant_id") -> DataFrame:
-    return index.select(tenant_key(tenant_col).alias("_it"), F.col("chunk_hash").alias("_ih"))
+    """(tenant, hash) of the index, and every hash once more under the empty tenant."""
+    keys = index.select(tenant_key(tenant_col).alias("_it"), F.col("chunk_hash").alias("_ih"))
+    return keys.filter(F.col("_it").isNotNull()).unionByName(keys.select(F.lit("").alias("_it"), "_ih"))
+
+
+def _against(rows: DataFrame, tenant: Column, digest: Column, index: DataFrame, how: str, tenant_col: str) -> DataFrame:
+    keys = _index_keys(index, tenant_col)
+    return rows.join(keys, (F.coalesce(tenant, F.lit("")) == keys["_it"]) & (digest == keys["_ih"]), how)
+
+
+def new_keys(firsts: DataFrame, index: DataFrame | None, tenant_col: str = "tenant_id") -> DataFrame:
+    """The ``first_keys`` whose hash the index does not hold."""
+    if index is None:
+        return firsts
+    return _against(firsts, firsts["_t"], firsts["_h"], index, "left_anti", tenant_col)
 
 
 def new_against_index(chunks: DataFrame, index: DataFrame, tenant_col: str = "tenant_id") -> DataFrame:
     """Anti join: chunks whose hash the index does not hold (tenant rules above)."""
-    keys = _index_keys(index, tenant_col)
-    with_t = chunks.filter(tenant_key(tenant_col).isNotNull())
-    no_t = chunks.filter(tenant_key(tenant_col).isNull())
-    a = with_t.join(keys.filter(F.col("_it").isNotNull()).distinct(),
-                    (tenant_key(with_t[tenant_col]) == F.col("_it")) & (with_t["chunk_hash"] == F.col("_ih")),
-                    "left_anti")
-    any_hash = keys.select("_ih").distinct()
-    b = no_t.join(any_hash, no_t["chunk_hash"] == any_hash["_ih"], "left_anti")
-    return a.unionByName(b)
+    return _against(chunks, tenant_key(chunks[tenant_col]), chunks["chunk_hash"], index, "left_anti", tenant_col)
 
 
 def existing_in_index(chunks: DataFrame, index: DataFrame, tenant_col: str = "tenant_id") -> DataFrame:
     """Semi join: chunks whose hash the index already holds."""
-    keys = _index_keys(index, tenant_col)
-    with_t = chunks.filter(tenant_key(tenant_col).isNotNull())
-    no_t = chunks.filter(tenant_key(tenant_col).isNull())
-    a = with_t.join(keys.filter(F.col("_it").isNotNull()).distinct(),
-                    (tenant_key(with_t[tenant_col]) == F.col("_it")) & (with_t["chunk_hash"] == F.col("_ih")),
-                    "left_semi")
-    any_hash = keys.select("_ih").distinct()
-    b = no_t.join(any_hash, no_t["chunk_hash"] == any_hash["_ih"], "left_semi")
-    return a.unionByName(b)
-
-
-def filter_new_chunks(chunks: DataFrame, index: DataFrame | None = None,
-                      order_cols=("source_path", "chunk_index"), tenant_col: str = "tenant_id") -> DataFrame:
+    return _against(chunks, tenant_key(chunks[tenant_col]), chunks["chunk_hash"], index, "left_semi", tenant_col)
+
+
+def filter_new_chunks(chunks: DataFrame, index: DataFrame | None = None, order_cols=ORDER,
+                      tenant_col: str = "tenant_id") -> DataFrame:
     """Chunks to embed: first in batch and absent from the index.
 
     ``chunks`` must already carry ``chunk_hash``. Taking the first per key
     before or after the index check keeps the same rows (an indexed hash drops
-    every copy), so the cheap trim runs first and shrinks the join input.
+    every copy), so the cheap minimum runs first and shrinks the join input.
     """
-    firsts = first_in_batch(chunks, order_cols, tenant_col)
-    return firsts if index is None else new_against_index(firsts, index, tenant_col)
+    keys = new_keys(first_keys(chunks, order_cols, tenant_col), index, tenant_col)
+    return _pick(chunks, keys, order_cols, tenant_col)
 
 
 def hashes_by_tenant(chunks: DataFrame, tenant_col: str = "tenant_id") -> DataFrame:

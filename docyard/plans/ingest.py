@@ -3,12 +3,13 @@
 documents -> clean (text steps, length, language) -> chunk -> hash + id ->
 first-in-batch -> not in the index -> embed -> upsert, with per-source
 counters and job events. Within a tenant, sequential file-by-file dedup is
-the same as one in-batch window ordered by (source_path, page, chunk) after
+the same as one in-batch minimum of the order (source_path, page, chunk) after
 one check against the starting index, so the whole corpus is one plan.
 
-The deduplicated chunks are checkpointed to the shared checkpoint folder:
-embedding, the write, the counters and the job events all read them, and a
-lost executor recomputes from there instead of re-running the text steps.
+The chunk table is written once into the shared scratch folder; the dedup decision is made on its
+narrow key columns, and the chosen chunks are read from it for embedding. The folder goes when the run ends.
+Input rows that failed to load (``error_message`` set) end as ``failed`` jobs with their message while the
+others go on; ``queued`` and ``running`` are written before the work.
 """
 
 from __future__ import annotations
@@ -24,16 +25,20 @@ from docyard.config import IngestConfig
 from docyard.operators import chunking as K
 from docyard.operators import dedup as D
 from docyard.operators.clean import clean_documents
-from docyard.operators.embed import embed
-from docyard.session import cut_lineage
+from docyard.operators.embed import RetryPolicy, embed
+from docyard.session import cut_lineage, drop_path, scratch_path
+from docyard.sources.loaders import with_extra
+
+SOURCE = ("tenant_id", "source_path")
+#: Of a broken run's message, what a job event keeps.
+MESSAGE_CHARS = 8_000
 
 
 @dataclass
 class IngestPlan:
     documents: DataFrame
-    cleaned: DataFrame
     chunks: DataFrame
-    new_chunks: DataFrame
+    new_keys: DataFrame
 
 
 @dataclass
@@ -41,51 +46,55 @@ class IngestResult:
     run_id: str
     written: int
     counters: DataFrame
-    job_events: DataFrame
+    job_events: DataFrame | None
     stage_seconds: dict          # wall time per stage of this run (chunk table, dedup, embed + write)
 
 
-def plan_ingest(docs: DataFrame, cfg: IngestConfig = IngestConfig(), model=None,
-                index: DataFrame | None = None, order_cols=("source_path", "chunk_index")) -> IngestPlan:
-    """Lazy plan of every stage up to the chunks to embed."""
-    cleaned = clean_documents(docs, cfg, model)
-    chunks = D.with_identity(K.chunk(cleaned, cfg.chunker_strategy, cfg.chunk_size_tokens,
-                                     cfg.chunk_overlap_pct, tokenizer=cfg.tokenizer))
-    new = D.filter_new_chunks(chunks, index, order_cols)
-    return IngestPlan(docs, cleaned, chunks, new)
+def prepared(docs: DataFrame, cfg: IngestConfig) -> DataFrame:
+    """Documents with an id and the run's extra metadata."""
+    if "doc_id" not in docs.columns:
+        page = "page_number" if "page_number" in docs.columns else None
+        docs = docs.withColumn("doc_id", K.document_id("tenant_id", "source_path", page))
+    return with_extra(docs, cfg.extra)
+
+
+def chunk_table(docs: DataFrame, cfg: IngestConfig = IngestConfig(), model=None, offsets: bool = True) -> DataFrame:
+    """Lazy plan of the chunks, with hash and point id, of the documents that loaded."""
+    good = docs.filter(F.col("error_message").isNull()).drop("error_message") if "error_message" in docs.columns else docs
+    cleaned = clean_documents(good, cfg, model)
+    return D.with_identity(K.chunk(cleaned, cfg.chunker_strategy, cfg.chunk_size_tokens, cfg.chunk_overlap_pct,
+                                   tokenizer=cfg.tokenizer, chunker=cfg.chunker, offsets=offsets))
 
 
-def counters(plan: IngestPlan, by=("tenant_id", "source_path"), doc_key: str = "doc_id",
-             min_content_chars: int = 1) -> DataFrame:
+def counters(plan: IngestPlan, by=SOURCE) -> DataFrame:
     """Per source: documents, cleaned documents, chunks, new chunks, skipped chunks.
 
     Left-joined from the document list, so sources that yield no text or no
-    new chunks still appear with zeros. A cleaned document is at least
-    ``min_content_chars`` long, so when that is >= 1 every cleaned document
-    has a chunk and the cleaned count is read off the chunk table (one pass
-    over the expensive stages instead of two).
+    new chunks still appear with zeros. A cleaned document is one with a chunk. Only ids and keys are read.
     """
-    def count(df, name):
-        return df.groupBy(*by).agg(F.count(F.lit(1)).alias(name))
-    out = count(plan.documents, "document_count")
-    if min_content_chars >= 1 and doc_key in plan.chunks.columns:
-        from_chunks = plan.chunks.groupBy(*by).agg(F.countDistinct(doc_key).alias("cleaned_document_count"),
-                                                   F.count(F.lit(1)).alias("total_chunk_count"))
-        out = out.join(from_chunks, list(by), "left")
-    else:
-        out = out.join(count(plan.cleaned, "cleaned_document_count"), list(by), "left")
-        out = out.join(count(plan.chunks, "total_chunk_count"), list(by), "left")
-    out = out.join(count(plan.new_chunks, "chunk_count"), list(by), "left")
+    out = plan.documents.groupBy(*by).agg(F.count(F.lit(1)).alias("document_count"))
+    chunks = plan.chunks.groupBy(*by).agg(F.countDistinct("doc_id").alias("cleaned_document_count"),
+                                          F.count(F.lit(1)).alias("total_chunk_count"))
+    # a key's first chunk names its source; the key's tenant is missing where the tenant is empty
+    in_key = {"tenant_id": F.col("_t"), "source_path": F.col("_o.source_path")}
+    new = plan.new_keys.select(*[in_key[c].alias(c) for c in by]).groupBy(*by).agg(F.count(F.lit(1)).alias("chunk_count"))
+    out = _left(_left(out, chunks, by), new, by, F.nullif(out["tenant_id"], F.lit("")))
     out = out.fillna(0, ["cleaned_document_count", "total_chunk_count", "chunk_count"])
     return out.withColumn("skipped_count", F.col("total_chunk_count") - F.col("chunk_count"))
 
 
-def materialize(plan: IngestPlan, index: DataFrame | None = None,
-                order_cols=("source_path", "chunk_index")) -> IngestPlan:
-    """Checkpoint the chunk table once; dedup and counters then read it, not the text stages."""
-    chunks = cut_lineage(plan.chunks)
-    new = cut_lineage(D.filter_new_chunks(chunks, index, order_cols))
-    return IngestPlan(plan.documents, plan.cleaned, chunks, new)
+def _left(out: DataFrame, part: DataFrame, by, tenant=None) -> DataFrame:
+    """Left join on ``by``, missing values equal; ``tenant`` stands for the left side's tenant."""
+    right = part.select(*[F.col(c).alias(f"_r_{c}") for c in by], *[c for c in part.columns if c not in by])
+    same = F.lit(True)
+    for c in by:
+        left = tenant if tenant is not None and c == "tenant_id" else out[c]
+        same = same & left.eqNullSafe(right[f"_r_{c}"])
+    return out.join(right, same, "left").drop(*[f"_r_{c}" for c in by])
+
+
+def _no_counts(spark) -> DataFrame:
+    return spark.createDataFrame([], "tenant_id string, source_path string, chunk_count long, skipped_count long")
 
 
 def ingest(docs: DataFrame, points_path: str, cfg: IngestConfig = IngestConfig(), model=None,
@@ -97,40 +106,44 @@ def ingest(docs: DataFrame, points_path: str, cfg: IngestConfig = IngestConfig()
 
     spark = docs.sparkSession
     run_id = run_id or uuid.uuid4().hex
+    docs = prepared(docs, cfg)
     P.ensure_table(spark, points_path, cfg.vector_size, key=cfg.upsert_key)   # create before reading it
     index = P.index_keys(spark, points_path)
     t0 = time.perf_counter()
-    base = plan_ingest(docs, cfg, model, index)
-    chunks = cut_lineage(base.chunks)
-    t1 = time.perf_counter()
-    new = cut_lineage(D.filter_new_chunks(chunks, index))
-    t2 = time.perf_counter()
-    plan = IngestPlan(base.documents, base.cleaned, chunks, new)
-    vectors = embed(plan.new_chunks, "text", "embedding", model_factory=model_factory, vector_size=cfg.vector_size,
-                    batch_size=cfg.embed_batch_size)
-    points = P.build_points(vectors)
-    seq = ingest_seq if ingest_seq is not None else int(spark.sql("SELECT unix_micros(current_timestamp())").first()[0])
-    written = P.upsert(points, points_path, seq)
-    t3 = time.perf_counter()
+    why = F.max("error_message") if "error_message" in docs.columns else F.lit(None).cast("string")
+    # one narrow row per source file: what the job events and the counters start from
+    sources = cut_lineage(docs.groupBy(*SOURCE).agg(F.min("doc_id").cast("string").alias("doc_id"), why.alias("error_message")))
+    if jobs_path:
+        started = J.create_jobs(sources, run_id)
+        running = started.withColumn("status", F.lit("running")).withColumn("seq", F.lit(1).cast("long"))
+        started.unionByName(running).write.mode("append").parquet(jobs_path)
+    folder = scratch_path(spark, f"chunks-{run_id}")
+    try:
+        chunk_table(docs, cfg, model).write.parquet(folder)
+        chunks = spark.read.parquet(folder)
+        t1 = time.perf_counter()
+        keys = cut_lineage(D.new_keys(D.first_keys(chunks), index))
+        t2 = time.perf_counter()
+        retry = RetryPolicy() if cfg.embed_retry == "default" else cfg.embed_retry
+        vectors = embed(D._pick(chunks, keys, D.ORDER, "tenant_id"), "text", "embedding", model_factory=model_factory,
+                        vector_size=cfg.vector_size, batch_size=cfg.embed_batch_size,
+                        max_concurrency=cfg.embed_max_concurrency, retry=retry)
+        seq = ingest_seq if ingest_seq is not None else int(time.time() * 1_000_000)
+        written = P.upsert(P.build_points(vectors), points_path, seq)
+        t3 = time.perf_counter()
+        stats = cut_lineage(counters(IngestPlan(docs.select("doc_id", *SOURCE), chunks, keys)))
+    except Exception as problem:
+        if jobs_path:  # the run as a whole broke off: every file says so
+            broken = sources.withColumn("error_message", F.coalesce("error_message", F.lit(str(problem)[:MESSAGE_CHARS])))
+            J.finish_jobs(broken, _no_counts(spark), run_id, time.perf_counter() - t0).write.mode("append").parquet(jobs_path)
+        raise
+    finally:
+        drop_path(spark, folder)
     stages = {"chunks": t1 - t0, "dedup": t2 - t1, "embed_write": t3 - t2}
-    stats = counters(plan, min_content_chars=cfg.min_content_chars)
     events = None
     if jobs_path:
-        src = stats.select("tenant_id", "source_path", F.col("source_path").alias("doc_id"),
-                           "chunk_count", "skipped_count")
-        base = src.select(J.job_id_for("tenant_id", "source_path", F.lit(run_id)).alias("job_id"),
-                          "doc_id", "source_path", "tenant_id", "chunk_count", "skipped_count")
-        now = F.current_timestamp()
-        rows = []
-        for i, status in enumerate(("queued", "running", "done")):
-            done = status == "done"
-            rows.append(base.select(
-                "job_id", "doc_id", "source_path", "tenant_id", F.lit(status).alias("status"),
-                F.lit(None).cast("string").alias("error_message"),
-                (F.col("chunk_count") if done else F.lit(None)).cast("int").alias("chunk_count"),
-                (F.col("skipped_count") if done else F.lit(None)).cast("int").alias("skipped_count"),
-                (F.lit(t3 - t0) if done else F.lit(None)).cast("double").alias("duration_seconds"),
-                now.alias("event_at"), F.lit(i).cast("long").alias("seq")))
-        events = rows[0].unionByName(rows[1]).unionByName(rows[2])
-        events.write.mode("append").parquet(jobs_path)
+        ended = J.finish_jobs(sources, stats, run_id, t3 - t0)
+        ended.write.mode("append").parquet(jobs_path)
+        events = spark.read.parquet(jobs_path).filter(
+            F.col("job_id") == J.job_id_for("tenant_id", "source_path", F.lit(run_id)))
     return IngestResult(run_id, written, stats, events, stages)

@@ -53,6 +53,20 @@ def create_jobs(sources: DataFrame, run_id: str, event_at: Column | None = None)
         F.lit(0).cast("long").alias("seq"))
 
 
+def finish_jobs(sources: DataFrame, stats: DataFrame, run_id: str, seconds: float) -> DataFrame:
+    """The last event of every source file: ``failed`` with its message, or ``done`` with its counts."""
+    counts = stats.select(F.col("tenant_id").alias("_t"), F.col("source_path").alias("_p"), "chunk_count", "skipped_count")
+    both = sources.join(counts, sources["tenant_id"].eqNullSafe(counts["_t"]) & (sources["source_path"] == counts["_p"]), "left")
+    failed = F.col("error_message").isNotNull()
+    done = lambda value, kind: F.when(~failed, value).cast(kind)
+    return both.select(
+        job_id_for("tenant_id", "source_path", F.lit(run_id)).alias("job_id"),
+        "doc_id", "source_path", "tenant_id", F.when(failed, F.lit("failed")).otherwise(F.lit("done")).alias("status"),
+        "error_message", done(F.col("chunk_count"), "int").alias("chunk_count"),
+        done(F.col("skipped_count"), "int").alias("skipped_count"), F.lit(seconds).cast("double").alias("duration_seconds"),
+        F.current_timestamp().alias("event_at"), F.lit(2).cast("long").alias("seq"))
+
+
 def validate_transitions(events: DataFrame, order_cols=("event_at", "seq")) -> DataFrame:
     """Add ``valid``, ``rejection`` (why an event was rejected), ``created_at`` and ``indexed_at``.
 

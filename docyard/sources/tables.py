@@ -9,31 +9,11 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
-# Text tables whose rows cost far more CPU than I/O, with the key to spread them on.
-TEXT_TABLE_KEYS = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
-
-
-def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table as Spark splits it; no row is moved before the first operator that needs it."""
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    if spread and name in TEXT_TABLE_KEYS:
-        df = spread_for_cpu(df, TEXT_TABLE_KEYS[name])
-    return df
-
-
-def spread_for_cpu(df: DataFrame, key: str, per_core: int = 2) -> DataFrame:
-    """Hash-spread a CPU-heavy table when its scan gives too few tasks.
-
-    A large table arrives in thousands of splits and is left alone (no
-    shuffle). A table stored as a few big row groups would otherwise run on a
-    handful of cores; spreading on the row key is deterministic on retry and
-    leaves the rows partitioned by that key for later joins on it.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores * per_core, key)
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def corpus_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,8 +34,10 @@ for a, b in VALID_TRANSITIONS:
 def _fold(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     job = key[0]
     current = state.get[0] if state.exists else None
-    for pdf in batches:
-        pdf = pdf.sort_values(["event_at", "seq"], kind="stable")
+    # a job's requests of one micro-batch may come as several Arrow batches: together they are put in order
+    arrived = [pdf for pdf in batches if len(pdf)]
+    if arrived:
+        pdf = pd.concat(arrived).sort_values(["event_at", "seq"], kind="stable")
         valid, why, after = [], [], []
         for status in pdf["status"]:
             if current is None:
