@@ -23,10 +23,12 @@ from docyard.functions.text import PY_WS, bind_column, py_strip
 from docyard.operators.tokenize import bpe_encoding, regex_token_count, regex_tokens
 
 STEP_ERROR = "chunk_overlap_pct must produce a positive chunk step"
+TOKENIZER_ERROR = "tokenizer must be one of regex, bpe; bpe counts the tokens of fixed windows only, got "
 
-# Fixed value: a sentence ends after . ! ? (repeated), optional closing quotes or
-# brackets, and white space. Each match below is one lossless piece of the text.
-SENTENCE_END = r"[.!?]+[\"')\]]*[ \t\n\r\f\x0b]+"
+# A sentence ends after . ! ? … (repeated), optional closing quotes or brackets, and white
+# space; ideographic ends need no white space after them. Each match below is one lossless piece of the text.
+CLOSERS = r"[\"')\]\x{201d}\x{2019}\x{bb}\x{ff09}\x{300d}\x{300f}\x{3011}]*"
+SENTENCE_END = rf"(?:[.!?\x{{2026}}]+{CLOSERS}{PY_WS}+|[\x{{3002}}\x{{ff01}}\x{{ff1f}}\x{{ff61}}]+{CLOSERS}{PY_WS}*)"
 SENTENCE_PIECE = rf"(?s).*?(?:{SENTENCE_END}|\z)"
 
 CHUNK_COLUMNS = ("text", "chunk_index", "start_char", "end_char", "n_tokens", "chunk_strategy")
@@ -42,8 +44,11 @@ def _chunk_count(n: Column, size: int, step: int) -> Column:
 
 
 def chunk_fixed(df: DataFrame, size: int = 512, overlap_pct: float = 0.15, text_col: str = "content",
-                tokenizer: str = "regex") -> DataFrame:
-    """Fixed token windows; the last window may be short; empty text gives none."""
+                tokenizer: str = "regex", offsets: bool = True) -> DataFrame:
+    """Fixed token windows; the last window may be short; empty text gives none.
+
+    Without ``offsets`` there are no ``start_char``/``end_char`` columns and nothing leaves the JVM.
+    """
     overlap = overlap_tokens(size, overlap_pct)
     step = size - overlap
     if tokenizer == "bpe":
@@ -59,20 +64,23 @@ def chunk_fixed(df: DataFrame, size: int = 512, overlap_pct: float = 0.15, text_
         w = w.filter(F.raise_error(F.lit(STEP_ERROR)).isNull())
     ks = F.sequence(F.lit(0), _chunk_count(F.col("_n"), size, step) - 1)
     w = w.withColumn("_ks", ks)
-    strides = F.transform("_ks", lambda k: F.length(F.array_join(F.slice("_toks", k * step + 1, step), "")))
-    w = w.withColumn("_starts", prefix_offsets(strides))
-    windows = F.zip_with(
-        "_ks", "_starts",
-        lambda k, s: F.struct(
-            k.alias("chunk_index"),
-            F.array_join(F.slice("_toks", k * step + 1, size), "").alias("text"),
-            s.alias("start_char"),
-            F.size(F.slice("_toks", k * step + 1, size)).alias("n_tokens"),
-        ))
+    def window(k: Column) -> dict[str, Column]:
+        tokens = F.slice("_toks", k * step + 1, size)
+        return {"chunk_index": k, "text": F.array_join(tokens, ""), "n_tokens": F.size(tokens)}
+
+    def struct(fields: dict[str, Column]) -> Column:
+        return F.struct(*[c.alias(name) for name, c in fields.items()])
+
+    if offsets:
+        strides = F.transform("_ks", lambda k: F.length(F.array_join(F.slice("_toks", k * step + 1, step), "")))
+        w = w.withColumn("_starts", prefix_offsets(strides))
+        windows = F.zip_with("_ks", "_starts", lambda k, s: struct({**window(k), "start_char": s}))
+        places = ["start_char", (F.col("start_char") + F.length("text")).alias("end_char")]
+    else:
+        windows = F.transform("_ks", lambda k: struct(window(k)))
+        places = []
     out = w.select(*keep, F.inline(windows))
-    return out.select(*keep, "text", "chunk_index", "start_char",
-                      (F.col("start_char") + F.length("text")).alias("end_char"),
-                      "n_tokens", F.lit("fixed").alias("chunk_strategy"))
+    return out.select(*keep, "text", "chunk_index", *places, "n_tokens", F.lit("fixed").alias("chunk_strategy"))
 
 
 def fixed_window_counts(n: Column | str, size: int, overlap_pct: float) -> Column:
@@ -97,33 +105,26 @@ _BPE_CHUNK = ArrayType(StructType([
 def bpe_windows(text: str, size: int, overlap: int, enc=None) -> list[tuple[int, str, int, int, int]]:
     """BPE windows of one text: (index, text, start_char, end_char, n_tokens).
 
-    A window may cut a multi-byte character (the decoder then yields U+FFFD).
-    The start offset is the length of the decoded token prefix, computed in
-    linear time as the number of UTF-8 lead bytes before the window.
+    Windows follow from the token count alone; one running sum over the tokens' byte lengths places them. A
+    window may cut a multi-byte character (the decoder then yields U+FFFD); a start offset is the
+    number of UTF-8 lead bytes before the window.
     """
     enc = enc or bpe_encoding()
     tokens = enc.encode_ordinary(text)
-    if not tokens:
-        return []
     step = size - overlap
-    if step <= 0:
+    if tokens and step <= 0:
         raise ValueError(STEP_ERROR)
+    count = 0 if not tokens else 1 + max(0, -(-(len(tokens) - size) // step))
     raw = text.encode("utf-8")
-    lead = np.frombuffer(raw, dtype=np.uint8)
-    lead_prefix = np.zeros(len(raw) + 1, dtype=np.int64)
-    np.cumsum((lead & 0xC0) != 0x80, out=lead_prefix[1:])
-    tok_bytes = np.fromiter((len(enc.decode_single_token_bytes(t)) for t in tokens), dtype=np.int64,
-                            count=len(tokens))
-    byte_prefix = np.zeros(len(tokens) + 1, dtype=np.int64)
-    np.cumsum(tok_bytes, out=byte_prefix[1:])
+    pieces = enc.decode_tokens_bytes(tokens)
+    ends = np.concatenate([[0], np.cumsum([len(p) for p in pieces], dtype=np.int64)])
+    leads = np.concatenate([[0], np.cumsum((np.frombuffer(raw, dtype=np.uint8) & 0xC0) != 0x80)])
     out = []
-    for index, start in enumerate(range(0, len(tokens), step)):
-        piece = tokens[start:start + size]
-        chunk_text = enc.decode(piece)
-        char_start = int(lead_prefix[byte_prefix[start]])
-        out.append((index, chunk_text, char_start, char_start + len(chunk_text), len(piece)))
-        if start + size >= len(tokens):
-            break
+    for k in range(count):
+        first, last = k * step, min(k * step + size, len(tokens))
+        body = raw[ends[first]:ends[last]].decode("utf-8", "replace")
+        at = int(leads[ends[first]])
+        out.append((k, body, at, at + len(body), last - first))
     return out
 
 
@@ -150,16 +151,6 @@ def _chunk_fixed_bpe(df: DataFrame, size: int, overlap: int, text_col: str) -> D
                       F.lit("fixed").alias("chunk_strategy"))
 
 
-def bpe_token_count(col: Column | str) -> Column:
-    @F.arrow_udf(IntegerType())
-    def count(texts: pa.Array) -> pa.Array:
-        enc = bpe_encoding()
-        vals = texts.to_pylist()
-        return pa.array([None if t is None else len(enc.encode_ordinary(t)) for t in vals], pa.int32())
-    c = F.col(col) if isinstance(col, str) else col
-    return count(c)
-
-
 def with_sentences(df: DataFrame, text_col: str = "content", out_col: str = "_sents",
                    keep_pieces: bool = False) -> DataFrame:
     """Add array<struct<text, start_char, end_char, n_tokens, piece, piece_offset>> of
@@ -231,10 +222,22 @@ def chunk_semantic(df: DataFrame, size: int = 512, overlap_pct: float = 0.15,
 
 
 def chunk(df: DataFrame, strategy: str = "fixed", size: int = 512, overlap_pct: float = 0.15,
-          text_col: str = "content", tokenizer: str = "regex") -> DataFrame:
-    """Strategy switch: ``fixed`` is token windows, anything else sentence packing."""
+          text_col: str = "content", tokenizer: str = "regex", chunker=None, offsets: bool = True) -> DataFrame:
+    """Strategy switch: ``fixed`` is token windows, anything else sentence packing.
+
+    ``chunker`` (documents -> rows with ``CHUNK_COLUMNS`` besides the carried ones) replaces both. A tokenizer
+    that the strategy cannot count with is refused.
+    """
+    if chunker is not None:
+        out = chunker(df)
+        missing = [c for c in ("text", "chunk_index") if c not in out.columns]
+        if missing:
+            raise ValueError(f"chunker gives no column {', '.join(missing)}")
+        return out
+    if tokenizer not in ("regex", "bpe") or (tokenizer == "bpe" and strategy != "fixed"):
+        raise ValueError(f"{TOKENIZER_ERROR}{tokenizer} with {strategy}")
     if strategy == "fixed":
-        return chunk_fixed(df, size, overlap_pct, text_col, tokenizer)
+        return chunk_fixed(df, size, overlap_pct, text_col, tokenizer, offsets)
     return chunk_semantic(df, size, overlap_pct, text_col)
 
 

@@ -7,14 +7,13 @@ and the declared width (the reference checked only the count). Transient
 errors from remote models are retried with exponential waits; losing a
 worker is handled by Spark's task retry.
 
-``HashingEmbedder`` is the default, download-free model: signed feature
-hashing of lower-case word tokens, L2-normalised, deterministic.
+The default, download-free model is signed feature hashing of lower-case word tokens (MD5 picks
+dimension and sign), L2-normalised, as native column expressions: no Python at all.
 """
 
 from __future__ import annotations
 
 import time
-import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -22,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
+from docyard.functions.text import bind_column
+
 BATCH_ERROR = "embed_batch_size must be greater than 0"
 CONCURRENCY_ERROR = "embed_max_concurrency must be greater than 0"
 
@@ -45,38 +46,31 @@ class RetryPolicy:
         raise RuntimeError("unreachable")
 
 
-class HashingEmbedder:
-    """Signed feature hashing of word tokens into ``vector_size`` dims, unit norm."""
+# Fixed value: what counts as a word of the default model.
+WORD = r"[\p{L}\p{M}\p{N}]+"
+
+
+def hashed_counts(text: Column | str, vector_size: int = 64) -> Column:
+    """Signed feature hashing: per dimension, the words hashed to it counted with their signs.
 
-    def __init__(self, vector_size: int = 64, normalize: bool = True) -> None:
-        import regex
-        self.vector_size = vector_size
-        self.normalize = normalize
-        self._words = regex.compile(r"[\p{L}\p{M}\p{N}]+")
+    A word's first eight MD5 digits choose its dimension, the ninth its sign (8 to f: minus).
+    """
+    c = F.col(text) if isinstance(text, str) else text
 
-    def _bucket(self, token: str) -> tuple[int, float]:
-        # CRC-32 is deterministic on every machine (unlike salted str hashes) and cheap
-        v = zlib.crc32(token.encode("utf-8"))
-        return v % self.vector_size, (1.0 if (v >> 31) & 1 == 0 else -1.0)
+    def signed(word: Column) -> Column:
+        digest = F.md5(word)
+        place = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % vector_size + 1
+        return F.when(F.substring(digest, 9, 1) < "8", place).otherwise(-place).cast("int")
 
-    def __call__(self, texts: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(texts), self.vector_size), dtype=np.float32)
-        for row, text in enumerate(texts):
-            if text is None:
-                continue
-            for tok in self._words.findall(str(text).lower()):
-                b, s = self._bucket(tok)
-                out[row, b] += s
-        if self.normalize:
-            norms = np.linalg.norm(out, axis=1, keepdims=True)
-            np.divide(out, norms, out=out, where=norms > 0)
-        return out
+    words = F.transform(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(WORD), 0), signed)
+    return F.aggregate(words, F.array_repeat(F.lit(0), vector_size), lambda counts, w: F.transform(
+        counts, lambda n, i: n + F.when(w == i + 1, 1).when(w == -1 - i, -1).otherwise(0)))
 
 
-def hashing_model_factory(vector_size: int = 64):
-    def make():
-        return HashingEmbedder(vector_size)
-    return make
+def hashed_embedding(df: DataFrame, text_col: str, out_col: str, vector_size: int = 64) -> DataFrame:
+    """Add the counts at unit length (a text without words is the zero vector)."""
+    counted = bind_column(df, "_counts", hashed_counts(text_col, vector_size))
+    return counted.withColumn(out_col, F.transform(l2_normalize("_counts"), lambda x: x.cast("float"))).drop("_counts")
 
 
 def checked_predict(model, vector_size: int, retry: RetryPolicy | None):
@@ -112,13 +106,14 @@ def embed(df: DataFrame, text_col: str = "text", out_col: str = "embedding", mod
         raise ValueError(BATCH_ERROR)
     if max_concurrency is not None and max_concurrency <= 0:
         raise ValueError(CONCURRENCY_ERROR)
-    factory = model_factory or hashing_model_factory(vector_size)
+    src = df.repartition(max_concurrency) if max_concurrency else df
+    if model_factory is None:
+        return hashed_embedding(src, text_col, out_col, vector_size)
 
     def make_predict_fn():
-        return checked_predict(factory(), vector_size, retry)
+        return checked_predict(model_factory(), vector_size, retry)
 
     udf = predict_batch_udf(make_predict_fn, return_type=ArrayType(FloatType()), batch_size=batch_size)
-    src = df.repartition(max_concurrency) if max_concurrency else df
     return src.withColumn(out_col, udf(F.col(text_col)))
 
 

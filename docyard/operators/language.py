@@ -1,14 +1,15 @@
 """Language identification: character-trigram naive Bayes, trained and applied on Spark.
 
 Training is a Spark aggregation over labelled text (explode trigrams,
-``groupBy(lang, gram).count()`` with map-side partial aggregation). The model
-is small by construction (distinct trigrams x languages); its row count is
-checked before it is shipped to executors as a broadcast variable.
+``groupBy(lang, gram).count()`` with map-side partial aggregation); ``training_share`` bounds
+the labelled rows it reads. The model is the profile as three flat arrays: sorted trigram codes
+(three code points in one integer), their log weights per language, and the languages' totals.
 
-Scoring runs inside each row's partition (an Arrow UDF over the detection
-sample), so attaching a language to a document never shuffles the text.
+Scoring is vectorised per Arrow batch: the samples' code points lie in one array, every trigram is
+one integer, one binary search finds all of them in the profile, and sums per row give the scores. Only the
+detection sample crosses to Python, and attaching a language never shuffles the text.
 
-Text rule: the sample is the first ``sample_chars`` characters, stripped
+Text rule: the sample is the first ``sample_chars`` characters (None: the whole text), stripped
 (empty sample -> NULL); lower case; every run of non-letters becomes one
 space; the result is trimmed and padded with one space on each side; grams
 are all substrings of length 3.
@@ -20,20 +21,18 @@ best language is returned when its probability reaches the threshold.
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import regex
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from docyard.functions.text import bind_column, py_strip
 
-MAX_PROFILE_ROWS = 5_000_000
-_NON_LETTERS = regex.compile(r"\P{L}+")
+_BITS = 21  # a code point
 
 
 def normalized_letters(col: Column | str) -> Column:
@@ -46,9 +45,9 @@ def trigrams(col: Column | str) -> Column:
     return F.regexp_extract_all(normalized_letters(col), F.lit("(?=(.{3}))"), 1)
 
 
-def detection_sample(col: Column | str, sample_chars: int = 2000) -> Column:
+def detection_sample(col: Column | str, sample_chars: int | None = 2000) -> Column:
     c = F.col(col) if isinstance(col, str) else col
-    return py_strip(F.substring(c, 1, sample_chars))
+    return py_strip(c if sample_chars is None else F.substring(c, 1, sample_chars))
 
 
 def train_profile(df: DataFrame, text_col: str = "text", label_col: str = "lang") -> DataFrame:
@@ -58,87 +57,84 @@ def train_profile(df: DataFrame, text_col: str = "text", label_col: str = "lang"
               .groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n")))
 
 
+def gram_codes(points: np.ndarray) -> np.ndarray:
+    """Every three neighbouring code points as one integer."""
+    p = points.astype(np.int64)
+    return (p[:-2] << 2 * _BITS) | (p[1:-1] << _BITS) | p[2:]
+
+
 @dataclass
 class LanguageModel:
     languages: list[str]
     log_denominator: np.ndarray          # log(T[L] + V) per language
-    weights: dict[str, np.ndarray]       # gram -> log(c[L,g] + 1) per language
-
-    def score(self, text: str | None, sample_chars: int = 2000) -> tuple[str | None, float | None]:
-        """Best language and its probability for one text (same rule as the SQL form)."""
-        if text is None:
-            return None, None
-        sample = text[:sample_chars].strip()
-        if not sample:
-            return None, None
-        s = " " + _NON_LETTERS.sub(" ", sample.lower()).strip(" ") + " "
-        if len(s) < 3:
-            return None, None
-        n = len(s) - 2
-        acc = np.zeros(len(self.languages))
-        for i in range(n):
-            w = self.weights.get(s[i:i + 3])
-            if w is not None:
-                acc += w
-        scores = acc - n * self.log_denominator
-        best = int(np.argmax(scores))
-        p = 1.0 / float(np.sum(np.exp(scores - scores[best])))
-        return self.languages[best], p
+    codes: np.ndarray                    # sorted gram codes
+    weights: np.ndarray                  # per code and language: log(c[L,g] + 1)
+
+    def score(self, normalized: list[str | None]) -> tuple[list[str | None], list[float | None]]:
+        """Best language and its probability for each normalised sample (None: nothing to score)."""
+        real = [k for k, s in enumerate(normalized) if s is not None and len(s) >= 3]
+        best: list[str | None] = [None] * len(normalized)
+        sure: list[float | None] = [None] * len(normalized)
+        if not real or not self.languages:
+            return best, sure
+        lengths = np.array([len(normalized[k]) for k in real])
+        points = np.frombuffer("".join(normalized[k] for k in real).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        row = np.repeat(np.arange(len(real)), lengths)
+        codes = gram_codes(points)
+        inside = row[:-2] == row[2:]
+        codes, row = codes[inside], row[:-2][inside]
+        at = np.searchsorted(self.codes, codes)
+        at[at == len(self.codes)] = 0
+        known = self.codes[at] == codes
+        sums = np.column_stack([np.bincount(row[known], self.weights[at[known], j], minlength=len(real))
+                                for j in range(len(self.languages))])
+        scores = sums - (lengths - 2)[:, None] * self.log_denominator
+        top = scores.argmax(axis=1)
+        p = 1.0 / np.exp(scores - scores.max(axis=1, keepdims=True)).sum(axis=1)
+        for k, j, q in zip(real, top, p):
+            best[k], sure[k] = self.languages[j], float(q)
+        return best, sure
 
 
 def fit_language_model(df: DataFrame, text_col: str = "text", label_col: str = "lang",
-                       max_profile_rows: int = MAX_PROFILE_ROWS) -> LanguageModel:
-    """Train on Spark; collect the (size-checked) profile as the model."""
-    prof = train_profile(df, text_col, label_col).cache()
-    rows = prof.count()
-    if rows > max_profile_rows:
-        prof.unpersist()
-        raise ValueError(f"language profile has {rows} rows, above the {max_profile_rows} limit")
-    counts: dict[str, dict[str, int]] = {}
-    for r in prof.toLocalIterator():
-        counts.setdefault(r["gram"], {})[r["lang"]] = r["n"]
-    prof.unpersist()
-    totals: dict[str, int] = {}
-    for per_lang in counts.values():
-        for lang, n in per_lang.items():
-            totals[lang] = totals.get(lang, 0) + n
-    languages = sorted(totals)
-    index = {lang: i for i, lang in enumerate(languages)}
-    vocab = len(counts)
-    log_den = np.array([math.log(totals[lang] + vocab) for lang in languages])
-    weights: dict[str, np.ndarray] = {}
-    for gram, per_lang in counts.items():
-        w = np.zeros(len(languages))
-        for lang, n in per_lang.items():
-            w[index[lang]] = math.log(n + 1)
-        weights[gram] = w
-    return LanguageModel(languages, log_den, weights)
+                       training_share: float = 1.0) -> LanguageModel:
+    """Train on Spark; the profile (distinct trigrams times languages) becomes the model's arrays.
+
+    ``training_share`` < 1 learns from that share of the labelled rows, chosen by a hash of the text.
+    """
+    if training_share < 1:
+        df = df.filter(F.pmod(F.xxhash64(F.col(text_col)), F.lit(1_000_000)) < int(training_share * 1_000_000))
+    prof = train_profile(df, text_col, label_col).toPandas()
+    languages = sorted(prof["lang"].unique())
+    grams, place = np.unique(prof["gram"].to_numpy(dtype=str), return_inverse=True)
+    counts = np.zeros((len(grams), len(languages)))
+    column = prof["lang"].map({lang: j for j, lang in enumerate(languages)}).to_numpy(dtype=int)
+    np.add.at(counts, (place, column), prof["n"].to_numpy(dtype=float))
+    codes = np.array([gram_codes(np.array([ord(c) for c in g]))[0] for g in grams.tolist()], dtype=np.int64)
+    order = np.argsort(codes)
+    log_den = np.log(counts.sum(axis=0) + len(grams)) if len(grams) else np.zeros(0)
+    return LanguageModel(languages, log_den, codes[order], np.log(counts[order] + 1))
 
 
 _RESULT = StructType([StructField("language", StringType()), StructField("confidence", DoubleType())])
 
 
 def detect_language(df: DataFrame, model: LanguageModel, text_col: str = "content",
-                    threshold: float = 0.9, sample_chars: int = 2000,
+                    threshold: float = 0.9, sample_chars: int | None = 2000,
                     out_col: str = "language", confidence_col: str | None = None) -> DataFrame:
     """Add the detected language (NULL when empty or below ``threshold``)."""
-    bc = df.sparkSession.sparkContext.broadcast(model)
-
-    @F.arrow_udf(_RESULT)
-    def score(texts: pa.Array) -> pa.Array:
-        m = bc.value
-        langs, probs = [], []
-        for t in texts.to_pylist():
-            lang, p = m.score(t, sample_chars)
-            langs.append(lang)
-            probs.append(p)
-        return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(probs, pa.float64())],
-                                          names=["language", "confidence"])
-
-    # Only the sample crosses to Python, never the whole text.
-    sample = F.substring(F.col(text_col), 1, sample_chars)
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf(_RESULT)
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for samples in batches:
+            best, sure = shared.value.score(samples.to_list())
+            yield pd.DataFrame({"language": pd.Series(best, dtype="object"), "confidence": pd.Series(sure, dtype="float64")})
+
+    sample = detection_sample(text_col, sample_chars)
+    normalized = F.when(sample != F.lit(""), normalized_letters(sample))
     # bound once: a later filter on the language must not call the scorer again
-    out = bind_column(df, "_lid", score(sample))
+    out = bind_column(df, "_lid", score(normalized))
     lang = F.when(F.col("_lid.confidence") >= F.lit(threshold), F.col("_lid.language"))
     out = out.withColumn(out_col, lang)
     if confidence_col:

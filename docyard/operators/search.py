@@ -1,11 +1,10 @@
 """Exact cosine top-k over a vector table, context assembly and recall@k.
 
-The query set is small and its size is checked before it is broadcast (a
-larger set is processed in blocks of at most ``max_broadcast_queries``, one
-corpus pass per block). Each partition scores its vectors against every
-query with one matrix product and keeps only its own top-k per query; the
-final ``row_number() <= k`` over (score desc, id asc) merges those partial
-lists, so at most partitions x k rows per query are shuffled.
+Vectors are dealt over shards by a hash of their id and every shard meets the queries (of its
+tenant, when there is one) as a cogroup, so nothing is collected and neither side is broadcast. A shard
+multiplies blocks of bounded size and keeps its own top-k per query; the final ``row_number() <= k``
+over (score desc, id asc) merges those lists, so at most shards x k rows per query are shuffled.
+Ids may be of any type that Spark orders.
 """
 
 from __future__ import annotations
@@ -15,7 +14,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_BROADCAST_QUERIES = 4096
+SHARDS = 32
+#: Vectors and queries multiplied at once within a shard.
+BLOCK_VECTORS, BLOCK_QUERIES = 8_192, 256
 
 
 def centroid_queries(vectors: DataFrame, group_col: str = "label", vec_col: str = "embedding") -> DataFrame:
@@ -27,60 +28,51 @@ def centroid_queries(vectors: DataFrame, group_col: str = "label", vec_col: str
                    .select("query_id", F.transform("_c", lambda s: s["m"]).alias("embedding")))
 
 
-def _unit(m: np.ndarray) -> np.ndarray:
+def _unit(vectors: pd.Series) -> np.ndarray:
+    m = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
     n = np.linalg.norm(m, axis=1, keepdims=True)
     return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
 
 
-def _topk_partition(qids: np.ndarray, qmat: np.ndarray, k: int, id_col: str, vec_col: str):
-    def run(batches):
-        best_ids = [np.zeros(0, np.int64) for _ in qids]
-        best_sc = [np.zeros(0, np.float64) for _ in qids]
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            vecs = _unit(np.stack([np.asarray(v, dtype=np.float64) for v in pdf[vec_col]]))
-            ids = pdf[id_col].to_numpy(dtype=np.int64)
-            scores = vecs @ qmat.T
-            for j in range(len(qids)):
-                cand_ids = np.concatenate([best_ids[j], ids])
-                cand_sc = np.concatenate([best_sc[j], scores[:, j]])
-                order = np.lexsort((cand_ids, -cand_sc))[:k]
-                best_ids[j], best_sc[j] = cand_ids[order], cand_sc[order]
-        rows = [(int(qids[j]), int(i), float(s)) for j in range(len(qids))
-                for i, s in zip(best_ids[j], best_sc[j])]
-        if rows:
-            yield pd.DataFrame(rows, columns=["query_id", id_col, "score"])
-    return run
+def _shard_topk(queries: pd.DataFrame, vectors: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The k best of one shard for each query: columns of ``queries``' key, ``_id`` and ``score``."""
+    found = []
+    ids = vectors["_id"].to_numpy()
+    for a in range(0, len(queries) if len(vectors) else 0, BLOCK_QUERIES):
+        block = queries.iloc[a:a + BLOCK_QUERIES]
+        q = _unit(block["_q"])
+        best: list[list[tuple]] = [[] for _ in range(len(block))]
+        for b in range(0, len(vectors), BLOCK_VECTORS):
+            scores = q @ _unit(vectors["_v"].iloc[b:b + BLOCK_VECTORS]).T
+            keep = min(k, scores.shape[1])
+            floor = np.partition(scores, -keep, axis=1)[:, -keep]
+            for j, i in zip(*np.nonzero(scores >= floor[:, None])):
+                best[j].append((-scores[j, i], ids[b + i]))
+            best = [sorted(x)[:k] for x in best]
+        found += [(query, i, -s) for query, mine in zip(block["query_id"], best) for s, i in mine]
+    return pd.DataFrame(found, columns=["query_id", "_id", "score"])
 
 
 def cosine_topk(corpus: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id",
                 vec_col: str = "embedding", query_vec_col: str = "embedding",
-                max_broadcast_queries: int = MAX_BROADCAST_QUERIES) -> DataFrame:
-    """(query_id, id, score, rank) of the k most cosine-similar vectors per query (ties: smaller id)."""
-    spark = corpus.sparkSession
-    n_queries = queries.count()
-    results = []
-    ordered = queries.select("query_id", query_vec_col).orderBy("query_id")
-    for start in range(0, n_queries, max_broadcast_queries):
-        block = ordered.offset(start).limit(max_broadcast_queries).collect()
-        qids = np.array([r["query_id"] for r in block], dtype=np.int64)
-        qmat = _unit(np.array([np.asarray(r[query_vec_col], dtype=np.float64) for r in block]))
-        bq = spark.sparkContext.broadcast((qids, qmat))
-
-        def run(batches, bq=bq):
-            ids, mat = bq.value
-            return _topk_partition(ids, mat, k, id_col, vec_col)(batches)
-
-        results.append(corpus.select(id_col, vec_col).mapInPandas(
-            run, schema=f"query_id long, {id_col} long, score double"))
-    if not results:
-        return spark.createDataFrame([], f"query_id long, {id_col} long, score double, rank int")
-    partial = results[0]
-    for r in results[1:]:
-        partial = partial.unionByName(r)
+                tenant_col: str | None = None, shards: int = SHARDS) -> DataFrame:
+    """(query_id, id, score, rank) of the k most cosine-similar vectors per query (ties: smaller id).
+
+    With ``tenant_col`` (a column of both sides) a query only sees its own tenant's vectors.
+    """
+    tenant = F.col(tenant_col).cast("string") if tenant_col else F.lit(None).cast("string")
+    v = corpus.select(F.col(id_col).alias("_id"), F.col(vec_col).alias("_v"), tenant.alias("_t"),
+                      F.pmod(F.xxhash64(id_col), F.lit(shards)).cast("int").alias("_s"))
+    q = queries.select("query_id", F.col(query_vec_col).alias("_q"), tenant.alias("_t"),
+                       F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("_s"))
+    kinds = {"query_id": queries.schema["query_id"].dataType.simpleString(),
+             "_id": corpus.schema[id_col].dataType.simpleString()}
+    found = (q.groupBy("_t", "_s").cogroup(v.groupBy("_t", "_s"))
+             .applyInPandas(lambda a, b: _shard_topk(a, b, k),
+                            f"query_id {kinds['query_id']}, _id {kinds['_id']}, score double"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc(id_col))
-    return partial.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return (found.withColumnRenamed("_id", id_col)
+            .withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k))
 
 
 def assemble_context(ranked: DataFrame, texts: DataFrame, id_col: str = "vec_id", text_col: str = "text",

@@ -90,12 +90,13 @@ def q_clean_text(spark, sf):
 
 
 @register("normalize_query", f"""
-SELECT conv_id, turn, q AS query, length(q) = 0 AS is_empty
-FROM (SELECT conv_id, turn, {S.normalize_query('text')} AS q FROM conversations WHERE role = 'user')
+SELECT conv_id, turn, role, q AS query, length(q) = 0 AS is_empty
+FROM (SELECT conv_id, turn, role, {S.normalize_query('text')} AS q FROM conversations)
 """)
 def q_normalize_query(spark, sf):
-    c = read_table(spark, sf, "conversations").filter(F.col("role") == "user")
-    q = c.select("conv_id", "turn", T.normalize_query("text").alias("query"))
+    """Every turn as query text."""
+    c = read_table(spark, sf, "conversations")
+    q = c.select("conv_id", "turn", "role", T.normalize_query("text").alias("query"))
     return q.withColumn("is_empty", F.length("query") == 0)
 
 
@@ -140,7 +141,7 @@ SELECT doc_id, CAST(chunk_index AS BIGINT) AS chunk_index, chunk_hash, {S.uuid5_
 """)
 def q_chunk_hash_point_id(spark, sf):
     d = corpus_documents(spark, sf)
-    c = K.chunk_fixed(d, SIZE, OVERLAP_PCT)
+    c = K.chunk_fixed(d, SIZE, OVERLAP_PCT, offsets=False)
     h = c.select("doc_id", "chunk_index", chunk_hash("text").alias("chunk_hash"))
     return normalize_types(h.withColumn("point_id", point_id("chunk_hash")))
 
@@ -169,7 +170,7 @@ def q_new_chunks_per_source(spark, sf):
     d = corpus_documents(spark, sf)
     cleaned = T.with_column_where(d, "content", T.apply_steps(F.col("content"), T.default_cleaning_steps()),
                                   lambda c: F.length(c) >= 100)
-    chunks = D.with_identity(K.chunk_fixed(cleaned, SIZE, OVERLAP_PCT)).select("tenant_id", "chunk_hash")
+    chunks = D.with_identity(K.chunk_fixed(cleaned, SIZE, OVERLAP_PCT, offsets=False)).select("tenant_id", "chunk_hash")
     counts = D.in_batch_counts(chunks, "tenant_id")
     return normalize_types(counts.select("tenant_id", "total_chunk_count", "new_chunk_count", "skipped_count"))
 
@@ -323,13 +324,11 @@ new AS (SELECT * FROM r WHERE rn = 1 AND NOT EXISTS (
 def _dedup_inputs(spark, sf):
     """(chunk keys of every document, index of the labelled documents' chunks).
 
-    The narrow chunk-key table is checkpointed once, so the batch, the totals
-    and the index check read it instead of re-running tokenising and hashing.
+    Both are lazy and narrow: no text is kept behind the hash.
     """
-    from docyard.session import cut_lineage
     d = corpus_documents(spark, sf)
-    chunks = cut_lineage(D.with_identity(K.chunk_fixed(d, SIZE, OVERLAP_PCT)).select(
-        "doc_id", "tenant_id", "source_path", "chunk_index", "chunk_hash"))
+    chunks = D.with_identity(K.chunk_fixed(d, SIZE, OVERLAP_PCT, offsets=False)).select(
+        "doc_id", "tenant_id", "source_path", "chunk_index", "chunk_hash")
     labelled = read_table(spark, sf, "labels").select("doc_id")
     index = chunks.join(labelled, "doc_id", "left_semi").select("tenant_id", "chunk_hash")
     return chunks, index
@@ -386,11 +385,11 @@ def q_hashes_by_tenant(spark, sf):
 
 # ---------------------------------------------------------------- language id and full cleaning
 def lang_sql(sample_expr_src: str) -> str:
-    """CTEs: a trigram profile trained on all labelled documents, then scores
+    """CTEs: a trigram profile trained on the labelled documents with even ids, then scores
     for ``sample_expr_src`` = SELECT doc_id, sample; ends in ``lid(doc_id, language, confidence)``."""
     norm = lambda e: f"' ' || trim(regexp_replace(lower({e}), '[^\\pL]+', ' ', 'g')) || ' '"
     return f"""
-tr AS (SELECT lang, {norm('text')} AS s FROM documents WHERE lang IS NOT NULL),
+tr AS (SELECT lang, {norm('text')} AS s FROM documents WHERE lang IS NOT NULL AND doc_id % 2 = 0),
 tg AS (SELECT lang, substr(s, i, 3) AS gram FROM (SELECT lang, s, unnest(range(1, length(s) - 1)) AS i FROM tr)),
 prof AS (SELECT lang, gram, count(*) AS n FROM tg GROUP BY lang, gram),
 den AS (SELECT lang, ln(t + v) AS z FROM (SELECT lang, sum(n) AS t FROM prof GROUP BY lang),
@@ -408,16 +407,10 @@ lid AS (SELECT b.doc_id, CASE WHEN 1.0 / sum(exp(sc.score - b.top)) >= 0.9 THEN
         FROM sc JOIN best b ON b.doc_id = sc.doc_id GROUP BY b.doc_id, b.lang)"""
 
 
-_MODELS: dict = {}
-
-
 def _language_model(spark, sf):
-    """The language model trained on every labelled document of ``sf`` (fitted once per session)."""
+    """The language model trained on the labelled documents with even ids; the others test it."""
     from docyard.operators.language import fit_language_model
-    key = (id(spark), sf)
-    if key not in _MODELS:
-        _MODELS[key] = fit_language_model(read_table(spark, sf, "documents"), "text", "lang")
-    return _MODELS[key]
+    return fit_language_model(read_table(spark, sf, "documents").filter("doc_id % 2 = 0"), "text", "lang")
 
 
 @register("language_id", f"""WITH {lang_sql('SELECT doc_id, text AS sample FROM documents')}
@@ -537,6 +530,50 @@ def q_format_dispatch(spark, sf):
     return dispatch(p, "url").select("page_id", "suffix", "format", "error_message")
 
 
+FILE_SUFFIXES = (".html", ".htm", ".md", ".pdf", ".txt")
+
+
+@register("load_outcomes", f"""
+WITH f AS (SELECT page_id, 'pages/' || page_id || list_extract({list(FILE_SUFFIXES)}, CAST(page_id % 5 + 1 AS BIGINT)) AS source_path,
+                  page_id % 5 AS kind, CASE WHEN page_id % 7 = 0 THEN '' ELSE html END AS body FROM pages)
+SELECT source_path, CASE kind WHEN 0 THEN 'html' WHEN 1 THEN 'html' WHEN 2 THEN 'markdown' WHEN 3 THEN 'pdf' END AS format,
+       CASE WHEN kind = 4 THEN 'No loader found for .txt'
+            WHEN kind = 3 THEN 'No decoder for pdf files: give their pages or blocks as a table'
+            WHEN body = '' THEN 'File holds no text' END AS error_message,
+       kind < 3 AND body <> '' AS is_document
+FROM f
+""")
+def q_load_outcomes(spark, sf):
+    """Every page as a file of some kind (some of them empty): documents and rejects together are all files."""
+    from docyard.sources.loaders import load_outcomes
+    p = read_table(spark, sf, "pages")
+    suffix = F.get(F.array(*map(F.lit, FILE_SUFFIXES)), (F.col("page_id") % 5).cast("int"))
+    body = F.when(F.col("page_id") % 7 == 0, F.lit("")).otherwise(F.col("html"))
+    files = p.select(F.concat(F.lit("pages/"), F.col("page_id").cast("string"), suffix).alias("source_path"),
+                     body.cast("binary").alias("content"))
+    return load_outcomes(files).select("source_path", "format", "error_message",
+                                       F.col("content").isNotNull().alias("is_document"))
+
+
+@register("html_nested", f"""
+WITH d AS (SELECT doc_id, {S.strip("replace(replace(replace(text, '&', ' '), '<', ' '), '>', ' ')")} AS t FROM documents),
+l AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(t, {S.lit(S.LINE_SEP)}), lambda x: x), lambda x: x <> '') AS lines FROM d)
+SELECT doc_id, {S.strip("array_to_string(lines, chr(10))")} AS content, 'page ' || doc_id AS title, 'doc/' || doc_id AS url
+FROM l WHERE {S.strip("array_to_string(lines, chr(10))")} <> ''
+""")
+def q_html_nested(spark, sf):
+    """Documents as pages with a teaser article inside the header, an empty canonical link and a nav in the article."""
+    from docyard.sources.html import html_documents
+    d = read_table(spark, sf, "documents")
+    body = F.regexp_replace("text", "[&<>]", " ")
+    key = F.col("doc_id").cast("string")
+    page = F.concat(F.lit("<html><head><title>page "), key, F.lit("</title><link rel='canonical' href=''>"
+                    "<link rel='canonical' href='late'></head><body><header><article>teaser</article><main>x</main></header>"
+                    "<nav><p>menu</nav><article><nav>inner</nav>"), body, F.lit("</article><article>second</article><footer>end</footer>"))
+    pages = d.select("doc_id", page.alias("html"), F.concat(F.lit("doc/"), key).alias("url"))
+    return html_documents(pages).select("doc_id", "content", "title", "url")
+
+
 # ---------------------------------------------------------------- upsert view and job audit trail
 @register("upsert_latest", """
 SELECT user_id, event_type, event_id, value FROM (
@@ -764,15 +801,94 @@ def q_recall_at_k(spark, sf):
                                     F.round("precision", 6).alias("precision")))
 
 
-@register("embed_hashed")
+EMBED_SIZE = 64
+
+
+@register("embed_hashed", FIXED_SQL + f"""
+, words AS (SELECT doc_id, chunk_index, unnest(regexp_extract_all(lower(text), {S.lit(S.WORD)})) AS word FROM w),
+hashed AS (SELECT doc_id, chunk_index, md5(word) AS h FROM words),
+signed AS (SELECT doc_id, chunk_index, CAST(('0x' || substr(h, 1, 8)) AS BIGINT) % {EMBED_SIZE} AS pos,
+                  CASE WHEN substr(h, 9, 1) < '8' THEN 1 ELSE -1 END AS s FROM hashed),
+sums AS (SELECT doc_id, chunk_index, pos, sum(s) AS n FROM signed GROUP BY ALL),
+grid AS (SELECT doc_id, chunk_index, pos FROM w, (SELECT unnest(range(0, {EMBED_SIZE})) AS pos)),
+full_grid AS (SELECT g.doc_id, g.chunk_index, g.pos, coalesce(sums.n, 0) AS n
+              FROM grid g LEFT JOIN sums USING (doc_id, chunk_index, pos)),
+vec AS (SELECT doc_id, chunk_index, sum(n * n) AS sq, string_agg(CAST(CAST(n AS BIGINT) AS VARCHAR), ',' ORDER BY pos) AS counts
+        FROM full_grid GROUP BY ALL)
+SELECT doc_id, CAST(chunk_index AS BIGINT) AS chunk_index, CAST({EMBED_SIZE} AS BIGINT) AS dim,
+       CASE WHEN sq > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS norm, counts FROM vec
+""")
 def q_embed_hashed(spark, sf):
-    """Fixed chunks of every document embedded in batches of 256 (rows check only)."""
-    from docyard.operators.embed import embed, vector_norm
+    """Fixed chunks of every document under the default model: width, norm, and the counts behind the vector."""
+    from docyard.operators.embed import embed, hashed_counts, vector_norm
     d = corpus_documents(spark, sf)
-    c = K.chunk_fixed(d, SIZE, OVERLAP_PCT)
-    v = embed(c, "text", "embedding", vector_size=64, batch_size=256)
+    c = T.bind_column(K.chunk_fixed(d, SIZE, OVERLAP_PCT, offsets=False), "counts", hashed_counts("text", EMBED_SIZE))
+    v = embed(c, "text", "embedding", vector_size=EMBED_SIZE, batch_size=256)
     return normalize_types(v.select("doc_id", "chunk_index", F.size("embedding").alias("dim"),
-                                    F.round(vector_norm("embedding"), 4).alias("norm")))
+                                    F.round(vector_norm("embedding"), 4).alias("norm"),
+                                    F.array_join(F.transform("counts", lambda x: x.cast("string")), ",").alias("counts")))
+
+
+# ---------------------------------------------------------------- the stored points
+@register("points_current", """
+SELECT user_id, event_type, event_id, value FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events)
+WHERE rn = 1
+""")
+def q_points_current(spark, sf):
+    """A compacted base and batches committed after it, one with smaller sequences than the base holds."""
+    from docyard.sinks.points import current_view
+    e = read_table(spark, sf, "events").withColumn("ingest_seq", F.struct("ts", "event_id"))
+    key = ("user_id", "event_type")
+    base = current_view([e.filter("event_id % 3 = 0")], key)          # what a compaction has written
+    late, early = e.filter("event_id % 3 = 1"), e.filter("event_id % 3 = 2")
+    return current_view([base, late, early], key).select("user_id", "event_type", "event_id", "value")
+
+
+@register("index_scan", DEDUP_SQL + """
+SELECT tenant_id, chunk_hash FROM idx
+""")
+def q_index_scan(spark, sf):
+    """The (tenant, hash) pairs an earlier run stored."""
+    _, index = _dedup_inputs(spark, sf)
+    return index.distinct()
+
+
+@register("point_count", DEDUP_SQL + """
+SELECT tenant_id, CAST(count(DISTINCT chunk_hash) AS BIGINT) AS points FROM h GROUP BY tenant_id
+""")
+def q_point_count(spark, sf):
+    """Current points per tenant when every document's chunks are upserted."""
+    from docyard.sinks.points import current_view, points_per_tenant
+    chunks, _ = _dedup_inputs(spark, sf)
+    rows = chunks.withColumn("point_id", point_id("chunk_hash")).withColumn("ingest_seq", F.struct("source_path", "chunk_index"))
+    return normalize_types(points_per_tenant(current_view([rows], ("tenant_id", "point_id"))))
+
+
+TENANT_TOPK_SQL = f"""
+WITH v AS (SELECT {S.uuid5_from_sha1('h')} AS id, tenant_id, vec_id, embedding FROM (
+             SELECT vec_id, embedding, 'group-' || (label % 3) AS tenant_id,
+                    {S.sha1_name("CAST(vec_id AS VARCHAR)")} AS h FROM embeddings)),
+vx AS (SELECT id, tenant_id, vec_id, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) AS pos FROM v),
+vn AS (SELECT id, sqrt(sum(x * x)) AS n FROM vx GROUP BY id),
+dt AS (SELECT a.id AS query_id, b.id, sum(a.x * b.x) AS d FROM vx a JOIN vx b
+         ON a.vec_id % 20 = 0 AND a.tenant_id = b.tenant_id AND a.pos = b.pos GROUP BY a.id, b.id),
+sc AS (SELECT dt.query_id, dt.id, d / (q.n * c.n) AS score FROM dt JOIN vn q ON q.id = dt.query_id JOIN vn c ON c.id = dt.id),
+rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sc)
+SELECT query_id, id AS point_id, CAST(rank AS BIGINT) AS rank, round(score, 6) AS score FROM rk WHERE rank <= 5
+"""
+
+
+@register("cosine_topk_by_tenant", TENANT_TOPK_SQL)
+def q_cosine_topk_by_tenant(spark, sf):
+    """Top-5 points (UUID ids) by cosine within the query's own tenant; every 20th vector asks."""
+    from docyard.operators.search import cosine_topk
+    e = read_table(spark, sf, "embeddings")
+    p = e.select(point_id(F.col("vec_id").cast("string")).alias("point_id"), "embedding", "vec_id",
+                 F.concat(F.lit("group-"), (F.col("label") % 3).cast("string")).alias("tenant_id"))
+    q = p.filter("vec_id % 20 = 0").select(F.col("point_id").alias("query_id"), "embedding", "tenant_id")
+    r = cosine_topk(p, q, 5, id_col="point_id", tenant_col="tenant_id")
+    return normalize_types(r.select("query_id", "point_id", "rank", F.round("score", 6).alias("score")))
 
 
 # ---------------------------------------------------------------- the ingest flow's counters
@@ -809,19 +925,18 @@ def q_ingest_counters(spark, sf):
     """The full flow's counters per tenant: clean + language + fixed chunks + dedup against
     the index an earlier run left (the labelled documents' chunks)."""
     from docyard.config import IngestConfig
-    from docyard.plans.ingest import IngestPlan, counters, plan_ingest
+    from docyard.plans.ingest import IngestPlan, chunk_table, counters
+    from docyard.session import cut_lineage
     model = _language_model(spark, sf)
     d = corpus_documents(spark, sf)
-    plan = plan_ingest(d, IngestConfig(), model)
-    # the earlier run indexed the labelled documents; their chunks come from the same chunk table
-    from docyard.session import cut_lineage
-    # counting needs only the chunk keys; the text stays out of the checkpoint
-    chunks = cut_lineage(plan.chunks.select("doc_id", "tenant_id", "source_path", "chunk_index", "chunk_hash"))
+    # the earlier run indexed the labelled documents; the chunks' ids and hashes, which three
+    # readers share behind the cleaning and language steps, are kept once (no text)
+    chunks = cut_lineage(chunk_table(d, IngestConfig(), model, offsets=False)
+                         .select("doc_id", "tenant_id", "source_path", "chunk_index", "chunk_hash"))
     labelled = read_table(spark, sf, "labels").select("doc_id")
     index = chunks.join(labelled, "doc_id", "left_semi").select("tenant_id", "chunk_hash")
-    new = cut_lineage(D.filter_new_chunks(chunks, index))
-    plan = IngestPlan(plan.documents, plan.cleaned, chunks, new)
-    return normalize_types(counters(plan, by=("tenant_id",)))
+    keys = D.new_keys(D.first_keys(chunks), index)
+    return normalize_types(counters(IngestPlan(d, chunks, keys), by=("tenant_id",)))
 
 
 @register("chunk_fixed_bpe")
