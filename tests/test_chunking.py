@@ -1,5 +1,7 @@
 """K1-K7: fixed windows, sentence spans, packing, strategy switch, BPE windows."""
 
+import itertools
+import math
 import random
 
 import pytest
@@ -15,46 +17,24 @@ def docs(spark, texts):
                                  "doc_id int, content string, tenant_id string, source_path string, format string")
 
 
-def python_fixed(tokens, size, overlap):
-    """The reference loop over an already tokenised text (tokens concatenate to the text)."""
-    step = size - overlap
-    out = []
-    for index, start in enumerate(range(0, len(tokens), step)):
-        piece = tokens[start:start + size]
-        text = "".join(piece)
-        cs = len("".join(tokens[:start]))
-        out.append((index, text, cs, cs + len(text)))
-        if start + size >= len(tokens):
-            break
-    return out
+def windows_by_formula(tokens, size, overlap):
+    """Fixed windows from their number: window k covers tokens k*step up to k*step+size."""
+    n, step = len(tokens), size - overlap
+    number = 0 if n == 0 else 1 if n <= size else math.ceil((n - size) / step) + 1
+    place = [0, *itertools.accumulate(map(len, tokens))]
+    return [(k, "".join(tokens[k * step:k * step + size]), place[k * step], place[min(n, k * step + size)]) for k in range(number)]
 
 
-def python_pack(counts, size, overlap):
-    """The reference's greedy packing, step by step."""
-    spans, start = [], 0
-    while start < len(counts):
-        total, end = 0, start
-        while end < len(counts):
-            if end > start and total + counts[end] > size:
-                break
-            total += counts[end]
-            end += 1
-            if total >= size:
-                break
-        spans.append((start, end - 1))
-        if end >= len(counts):
-            break
-        if overlap <= 0:
-            nxt = end
-        else:
-            tok, nxt = 0, end
-            while nxt > start and tok < overlap:
-                nxt -= 1
-                tok += counts[nxt]
-            if end - start == 1 and nxt == start:
-                nxt = end
-        start = end if nxt <= start else nxt
-    return spans
+def spans_by_prefix_sums(counts, size, overlap):
+    """Sentence packing from prefix sums P: the end of a chunk, and where the next one starts, depend on its start only."""
+    total, n = [0, *itertools.accumulate(counts)], len(counts)
+    out, i = [], 0
+    while i < n:
+        end = max(i + 1, max(e for e in range(i, n + 1) if total[e] - total[i] <= size))
+        out.append((i, end - 1))
+        back = [s for s in range(i, end) if total[end] - total[s] >= overlap]
+        i = n if end == n else end if overlap <= 0 or not back or max(back) <= i else max(back)
+    return out
 
 
 def test_fixed_overlap_tokens_equal(spark, sample_text):
@@ -75,7 +55,7 @@ def test_fixed_single_chunk_and_metadata(spark, sample_text):
     assert (rows[0]["start_char"], rows[0]["end_char"]) == (0, len(sample_text))
 
 
-def test_fixed_matches_reference_loop(spark):
+def test_fixed_windows_match_the_formula(spark):
     import regex
     rnd = random.Random(7)
     words = ["alpha", "beta", "γάμμα", "12345", "!!", "\n", "  ", "é", "x.y"]
@@ -87,7 +67,7 @@ def test_fixed_matches_reference_loop(spark):
         for r in K.chunk_fixed(docs(spark, texts), size, pct).collect():
             got.setdefault(r["doc_id"], []).append((r["chunk_index"], r["text"], r["start_char"], r["end_char"]))
         for i, t in enumerate(texts):
-            want = python_fixed(pat.findall(t), size, int(size * pct))
+            want = windows_by_formula(pat.findall(t), size, int(size * pct))
             assert sorted(got.get(i, [])) == want
 
 
@@ -97,12 +77,12 @@ def test_fixed_step_error_only_for_text(spark):
     assert K.chunk_fixed(docs(spark, [""]), 10, 1.0).count() == 0
 
 
-def test_pack_spans_matches_reference_loop():
+def test_pack_spans_match_the_prefix_sums():
     rnd = random.Random(3)
     for _ in range(3000):
         counts = [rnd.randint(1, 30) for _ in range(rnd.randint(0, 25))]
         size, overlap = rnd.randint(1, 60), rnd.randint(0, 20)
-        assert pack_spans(counts, size, overlap) == python_pack(counts, size, overlap)
+        assert pack_spans(counts, size, overlap) == spans_by_prefix_sums(counts, size, overlap)
 
 
 def test_semantic_chunks_end_on_sentences(spark):
@@ -170,11 +150,26 @@ def test_fixed_window_counts_match_cut_windows(spark):
         got = {r["doc_id"]: (r["w"]["chunks"], r["w"]["tokens"])
                for r in df.select("doc_id", K.fixed_window_counts("n", size, pct).alias("w")).collect()}
         for i, t in enumerate(texts):
-            toks = pat.findall(t)
-            step = size - int(size * pct)
-            sizes = []
-            for start in range(0, len(toks), step):
-                sizes.append(len(toks[start:start + size]))
-                if start + size >= len(toks):
-                    break
-            assert got[i] == (len(sizes), sum(sizes))
+            cut = windows_by_formula(pat.findall(t), size, int(size * pct))
+            assert got[i] == (len(cut), sum(len(pat.findall(w[1])) for w in cut))
+
+
+def test_sentences_end_without_blanks_in_ideographic_text(spark):
+    text = "これは一文です。次の文は長い！終わり？「引用。」 最後"
+    got = [r["text"] for r in K.sentences(docs(spark, [text])).orderBy("sentence_index").collect()]
+    assert got == ["これは一文です。", "次の文は長い！", "終わり？", "「引用。」", "最後"]
+    many = "".join(f"第{k}句子就在这里。" for k in range(400))
+    assert K.chunk_semantic(docs(spark, [many]), 64, 0.1).count() > 10
+    assert [r["text"] for r in K.sentences(docs(spark, ["Wait… what?” Yes."])).collect()] == ["Wait…", "what?”", "Yes."]
+
+
+def test_tokenizer_and_chunker_settings(spark, sample_text):
+    d = docs(spark, [sample_text])
+    with pytest.raises(ValueError, match="bpe with semantic"):
+        K.chunk(d, "semantic", tokenizer="bpe")
+    with pytest.raises(ValueError, match="words with fixed"):
+        K.chunk(d, "fixed", tokenizer="words")
+    own = K.chunk(d, chunker=lambda df: df.withColumn("text", F.col("content")).withColumn("chunk_index", F.lit(0)))
+    assert own.first()["text"] == sample_text
+    with pytest.raises(ValueError, match="no column chunk_index"):
+        K.chunk(d, chunker=lambda df: df.withColumnRenamed("content", "text"))

@@ -2,71 +2,73 @@
 
 import os
 import tempfile
+import time
 
 from pyspark.sql import functions as F
 
 from docyard.sources import loaders as L
-from docyard.sources.html import extract_html, html_documents
-
-SAMPLE_HTML = """<!DOCTYPE html>
-<html lang="en">
-<head>
-  <title>Sample HTML Document</title>
-  <link rel="canonical" href="https://example.com/sample">
-</head>
-<body>
-  <header><p>Site header text</p></header>
-  <nav><a href="/">Home</a> <a href="/docs">Docs</a></nav>
-  <main>
-    <h1>Main Heading</h1>
-    <p>This is the main body paragraph with <b>bold</b> text.</p>
-    <section><p>Section &amp; details.</p></section>
-  </main>
-  <footer>Footer links</footer>
-</body>
-</html>"""
-
-SAMPLE_MD = """---
-title: Fixture
-tags: [a, b]
----
-# Markdown Fixture
+from docyard.sources.html import html_documents, text_nodes
+
+PAGE = """<html><head><title> Tide tables </title>
+<link rel="stylesheet" href="x.css"><link rel="alternate canonical" href="https://tides.test/tables"></head>
+<body><header>Harbour office<article>Not this teaser</article></header><nav>Ports | Boats</nav>
+<article><h2>High water</h2>At noon,<i>roughly</i>.
+<ul><li>Low &lt; high<li>Neap tides</ul><style>i{}</style></article>
+<main><p>Main wins over article.</p>  <footer>inner</footer><div>Second &amp; last</div></main><footer>Office hours</footer></body></html>"""
 
-Some introductory text.
+NOTES = """---
+tags: none
+---
 
-## Usage
+Preface line
+#  Rigging notes
+##   Ropes
+  Some text.
 
-More text here.
+###### Deep
+####### seven marks stay
 """
 
 
-def test_html_extract_sample(spark):
-    df = spark.createDataFrame([(1, "file:///x.html", SAMPLE_HTML)], "id long, url string, html string")
-    row = html_documents(df).first()
-    assert row["title"] == "Sample HTML Document"
-    assert row["url"] == "https://example.com/sample"
-    for gone in ("Home", "Footer links", "Site header text", "<"):
-        assert gone not in row["content"]
-    assert row["content"].splitlines() == ["Main Heading", "This is the main body paragraph with", "bold",
-                                           "text.", "Section & details."]
+def pages(spark, *htmls):
+    df = spark.createDataFrame([(k, f"u{k}", h) for k, h in enumerate(htmls)], "id long, url string, html string")
+    return {r["id"]: r for r in html_documents(df).collect()}
+
+
+def test_html_page(spark):
+    row = pages(spark, PAGE)[0]
+    assert (row["title"], row["url"], row["format"]) == ("Tide tables", "https://tides.test/tables", "html")
+    assert row["content"].split("\n") == ["Main wins over article.", "Second & last"]
+    no_main = pages(spark, PAGE.replace("main>", "section>"))[0]
+    assert no_main["content"].split("\n") == ["High water", "At noon,", "roughly", ".", "Low < high", "Neap tides"]
+
+
+def test_html_root_is_looked_for_after_removal(spark):
+    got = pages(spark, "<header><article>teaser</article><main>x</main></header><article>real text</article>",
+                "<body><main></main><article>x</article></body>", "<body>out<article>A</article>B</body>",
+                "<nav><body>no</nav><p>rest", "<p>a<!-- c -->b</p>", "<body><script>var t='</p>';</script>ok</body>")
+    assert {k: r["content"] for k, r in got.items()} == {0: "real text", 2: "A", 3: "rest", 4: "a\nb", 5: "ok"}
+
 
+def test_html_title_and_canonical(spark):
+    got = pages(spark, "<title> </title><body>z</body>", "<body>z</body>", "<title></title><body>z</body>",
+                "<link rel=canonical href=''><link rel=canonical href=late><body>z", "<link rel=canonical><body>z",
+                "<link rel='x' href=no><link rel=Canonical href=yes><body>z")
+    assert [got[k]["title"] for k in range(3)] == ["", None, None]
+    assert [got[k]["url"] for k in range(3, 6)] == ["u3", "u4", "yes"]
 
-def test_html_rules():
-    assert extract_html("<html><body><main></main><article>x</article></body></html>")[0] is None  # empty main wins
-    assert extract_html("<html><body><article>A</article>B</body></html>")[0] == "A"
-    assert extract_html("<p>a<!-- c -->b</p>")[0] == "a\nb"
-    assert extract_html("<body><script>var t='</p>';</script>ok</body>")[0] == "ok"
-    assert extract_html("<title> </title><body>z</body>")[1] == ""
-    assert extract_html("<body>z</body>")[1] is None
 
+def test_html_parsing_is_linear():
+    start = time.time()
+    for page in ("<li>" * 50_000 + "x", "<div>y" * 50_000, "<b>z</i>" * 50_000):
+        text_nodes(page)
+    assert time.time() - start < 6
 
-def test_markdown_sample(spark):
-    df = spark.createDataFrame([("x.md", SAMPLE_MD)], "source_path string, raw string")
-    row = L.markdown_documents(df).first()
-    assert row["content"].splitlines()[0] == "Markdown Fixture"
-    assert row["h1_title"] == "Markdown Fixture"
-    assert "title:" not in row["content"] and "tags:" not in row["content"]
-    assert row["content"] == "Markdown Fixture\nSome introductory text.\nUsage\nMore text here."
+
+def test_markdown_page(spark):
+    row = L.markdown_documents(spark.createDataFrame([("n.md", NOTES)], "source_path string, raw string")).first()
+    assert row["h1_title"] == "Rigging notes"
+    assert row["content"].split("\n") == ["Preface line", "Rigging notes", "Ropes", "Some text.", "Deep", "####### seven marks stay"]
 
 
 def test_markdown_title_rules_match_python(spark):
@@ -112,67 +114,51 @@ def test_dispatch(spark):
     assert got[".bashrc"] == (None, "No loader found for ")
 
 
-def test_directory_load(spark):
+def _files(**content):
     root = tempfile.mkdtemp(prefix="docyard-files-")
     os.makedirs(f"{root}/sub")
-    with open(f"{root}/sub/a.md", "w") as fh:
-        fh.write(SAMPLE_MD)
-    with open(f"{root}/b.html", "w") as fh:
-        fh.write(SAMPLE_HTML)
-    with open(f"{root}/c.txt", "w") as fh:
-        fh.write("ignored")
-    with open(f"{root}/d.HTM", "w") as fh:
-        fh.write("<body>upper</body>")
-    docs = L.load_files(spark, root, tenant_id="dev")
-    got = sorted((os.path.basename(r["source_path"]), r["format"], r["tenant_id"]) for r in docs.collect())
-    assert got == [("a.md", "markdown", "dev"), ("b.html", "html", "dev")]
+    for name, data in content.items():
+        with open(f"{root}/{name.replace('__', '/').replace('_dot_', '.')}", "wb") as fh:
+            fh.write(data if isinstance(data, bytes) else data.encode())
+    return root
+
+
+def test_every_file_gives_documents_or_a_reject(spark):
+    root = _files(sub__a_dot_md=NOTES, b_dot_html=PAGE, bad_dot_md=b"# T\n\xff\xfe broken", empty_dot_html="<nav>only menu</nav>",
+                  paper_dot_pdf=b"%PDF-1.4 ...", report_dot_docx=b"PK...", c_dot_txt="left alone", d_dot_HTM="<body>upper</body>")
+    rows = {os.path.basename(r["source_path"]): r for r in L.load_files(spark, root, tenant_id="harbour").collect()}
+    assert set(rows) == {"a.md", "b.html", "bad.md", "empty.html", "paper.pdf", "report.docx"}
+    why = {k: r["error_message"] for k, r in rows.items()}
+    assert why["a.md"] is None and why["b.html"] is None
+    assert why["bad.md"] == L.BAD_TEXT and why["empty.html"] == L.EMPTY
+    assert why["paper.pdf"].startswith("No decoder for pdf") and why["report.docx"].startswith("No decoder for docx")
+    assert all((r["content"] is None) == (r["error_message"] is not None) for r in rows.values())
+    assert {r["tenant_id"] for r in rows.values()} == {"harbour"} and len({r["doc_id"] for r in rows.values()}) == 6
+    assert all(r["loaded_at"] is not None and r["format"] for r in rows.values())
     relaxed = L.load_files(spark, root, case_sensitive=False)
-    assert sorted(os.path.basename(r["source_path"]) for r in relaxed.collect()) == ["a.md", "b.html", "d.HTM"]
-    assert docs.filter(F.col("loaded_at").isNull()).count() == 0
-
-
-def _write_docx(path):
-    import zipfile
-    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
-    doc = (f'<w:document {w}><w:body>'
-           '<w:p><w:pPr><w:pStyle w:val="Heading1"/></w:pPr><w:r><w:t>Report Title</w:t></w:r></w:p>'
-           '<w:p><w:r><w:t xml:space="preserve">Body </w:t></w:r><w:r><w:t>text.</w:t></w:r></w:p>'
-           '<w:p><w:r><w:t>   </w:t></w:r></w:p>'
-           '<w:tbl><w:tr><w:tc><w:p><w:r><w:t> Column A </w:t></w:r></w:p></w:tc>'
-           '<w:tc><w:p><w:r><w:t>Column B</w:t></w:r></w:p></w:tc></w:tr>'
-           '<w:tr><w:tc><w:p><w:r><w:t>1</w:t></w:r></w:p></w:tc><w:tc><w:p><w:r><w:t>2</w:t></w:r></w:p></w:tc></w:tr>'
-           '</w:tbl>'
-           '<w:p><w:r><w:t>After table</w:t></w:r></w:p>'
-           '</w:body></w:document>')
-    styles = (f'<w:styles {w}><w:style w:type="paragraph" w:default="1" w:styleId="Normal"><w:name w:val="Normal"/></w:style>'
-              '<w:style w:type="paragraph" w:styleId="Heading1"><w:name w:val="Heading 1"/></w:style></w:styles>')
-    with zipfile.ZipFile(path, "w") as zf:
-        zf.writestr("word/document.xml", doc)
-        zf.writestr("word/styles.xml", styles)
-
-
-def test_docx_files(spark):
-    root = tempfile.mkdtemp(prefix="docyard-docx-")
-    _write_docx(f"{root}/report.docx")
-    with open(f"{root}/notes.md", "w") as fh:
-        fh.write("# Notes\nline")
-    docs = {os.path.basename(r["source_path"]): r for r in L.load_files(spark, root, tenant_id="t").collect()}
-    r = docs["report.docx"]
-    assert "Column A\tColumn B" in r["content"]
-    assert r["content"] == "Report Title\n\nBody text.\n\nAfter table\n\nColumn A\tColumn B\n1\t2"
-    assert (r["heading_count"], r["table_count"], r["format"]) == (1, 1, "docx")
-    assert docs["notes.md"]["h1_title"] == "Notes"
-
-
-def test_docx_merged_cells():
-    import xml.etree.ElementTree as ET
-    from docyard.sources.docx import W, _table_text
-    ns = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
-    tbl = ET.fromstring(
-        f'<w:tbl {ns}>'
-        '<w:tr><w:tc><w:tcPr><w:gridSpan w:val="2"/></w:tcPr><w:p><w:r><w:t>wide</w:t></w:r></w:p></w:tc>'
-        '<w:tc><w:tcPr><w:vMerge w:val="restart"/></w:tcPr><w:p><w:r><w:t>tall</w:t></w:r></w:p></w:tc></w:tr>'
-        '<w:tr><w:tc><w:p><w:r><w:t>a</w:t></w:r></w:p></w:tc><w:tc><w:p><w:r><w:t>b</w:t></w:r></w:p></w:tc>'
-        '<w:tc><w:tcPr><w:vMerge/></w:tcPr><w:p/></w:tc></w:tr></w:tbl>')
-    assert tbl.tag == W + "tbl"
-    assert _table_text(tbl) == "wide\twide\ttall\na\tb\ttall"
+    assert "d.HTM" in {os.path.basename(r["source_path"]) for r in relaxed.collect()}
+
+
+def test_own_loader_and_unknown_suffix(spark):
+    files = spark.createDataFrame([("x/a.pdf", bytearray(b"page one")), ("x/b.xyz", bytearray(b"?")), ("x/c.md", bytearray(b"# C"))],
+                                  "source_path string, content binary")
+    own = {"pdf": lambda t: t.withColumnRenamed("raw", "content")}
+    got = {r["source_path"]: (r["format"], r["content"], r["error_message"]) for r in L.load_outcomes(files, own).collect()}
+    assert got == {"x/a.pdf": ("pdf", "page one", None), "x/b.xyz": (None, None, "No loader found for .xyz"),
+                   "x/c.md": ("markdown", "C", None)}
+
+
+def test_urls_and_paths(spark):
+    paths = ["/a b/ü.html", "hdfs://nn/x.html", "s3a://bucket/y.html"]
+    df = spark.createDataFrame([(p,) for p in paths], "p string")
+    assert [r["u"] for r in df.select(L.file_uri("p").alias("u")).collect()] == [
+        "file:///a%20b/%C3%BC.html", "hdfs://nn/x.html", "s3a://bucket/y.html"]
+    df = spark.createDataFrame([("file:/a/b",), ("file:///a/b",), ("hdfs://nn/a",), ("/a/b",)], "p string")
+    assert [r["u"] for r in df.select(L.local_path("p").alias("u")).collect()] == ["/a/b", "/a/b", "hdfs://nn/a", "/a/b"]
+
+
+def test_extra_metadata_wins(spark):
+    df = spark.createDataFrame([(1, {"a": "old", "b": "kept"}), (2, None)], "id int, extra map<string,string>")
+    got = {r["id"]: r["extra"] for r in L.with_extra(df, {"a": "new"}).collect()}
+    assert got == {1: {"a": "new", "b": "kept"}, 2: {"a": "new"}}
+    assert L.with_extra(df.drop("extra"), {"k": "v"}).first()["extra"] == {"k": "v"}

@@ -13,15 +13,31 @@ from docyard.operators.search import assemble_context, cosine_topk, recall_at_k
 SMOKE = "/root/testdata/sf0.001"
 
 
-def test_embed_aligned_and_empty(spark):
-    texts = [("c0", "alpha beta"), ("c1", "gamma"), ("c2", "alpha beta"), ("c3", "")]
+def test_default_embedding_is_signed_hashing(spark):
+    import hashlib
+    import re
+
+    texts = [("c0", "alpha Beta beta"), ("c1", "gamma é1"), ("c2", "beta alpha  BETA"), ("c3", ""), ("c4", None)]
     df = spark.createDataFrame(texts, "id string, text string")
     got = {r["id"]: r["embedding"] for r in E.embed(df, batch_size=2, vector_size=8).collect()}
-    ref = E.HashingEmbedder(8)(np.array([t for _, t in texts], dtype=object))
-    for i, (k, _) in enumerate(texts):
-        assert np.allclose(got[k], ref[i])
-    assert np.isclose(np.linalg.norm(got["c0"]), 1.0) and np.allclose(got["c3"], 0)
+    for k, text in texts:
+        want = np.zeros(8)
+        for word in re.findall(r"\w+", (text or "").lower()):
+            h = hashlib.md5(word.encode()).hexdigest()
+            want[int(h[:8], 16) % 8] += 1 if h[8] < "8" else -1
+        norm = np.linalg.norm(want)
+        assert np.allclose(got[k], want / norm if norm else want)
     assert E.embed(df.limit(0), batch_size=2).count() == 0
+    assert E.embed(df, vector_size=8, max_concurrency=2).rdd.getNumPartitions() == 2
+
+
+def test_own_model_is_batched_and_aligned(spark):
+    def factory():
+        return lambda texts: np.array([[len(t), 1.0] for t in texts])
+
+    df = spark.createDataFrame([(k, "x" * k) for k in range(1, 12)], "id int, text string")
+    got = {r["id"]: r["embedding"] for r in E.embed(df, model_factory=factory, vector_size=2, batch_size=3).collect()}
+    assert got == {k: [float(k), 1.0] for k in range(1, 12)}
 
 
 def test_embed_argument_checks():
@@ -69,7 +85,7 @@ def test_cosine_topk_brute_force(spark):
     qs = rng.normal(size=(7, 8))
     corpus = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs)], "vec_id long, embedding array<double>")
     queries = spark.createDataFrame([(100 + j, q.tolist()) for j, q in enumerate(qs)], "query_id long, embedding array<double>")
-    got = cosine_topk(corpus.repartition(5), queries, k=4, max_broadcast_queries=3).collect()
+    got = cosine_topk(corpus.repartition(5), queries, k=4, shards=3).collect()
     vn = vecs / np.linalg.norm(vecs, axis=1, keepdims=True)
     for j, q in enumerate(qs):
         s = vn @ (q / np.linalg.norm(q))
@@ -84,6 +100,17 @@ def test_cosine_topk_brute_force(spark):
     assert (r["hits"], r["gold_count"], r["recall"], r["precision"]) == (1, 2, 0.5, 0.5)
 
 
+def test_topk_over_stored_points_by_tenant(spark):
+    """Any id type; a query only sees its tenant; equal scores go to the smaller id."""
+    rows = [(f"id-{k:02d}", "ab"[k % 2], [1.0, float(k % 4)]) for k in range(20)]
+    corpus = spark.createDataFrame(rows, "point_id string, tenant_id string, embedding array<double>")
+    queries = spark.createDataFrame([("q1", "a", [1.0, 0.0]), ("q2", "b", [1.0, 3.0]), ("q3", "none", [1.0, 0.0])],
+                                    "query_id string, tenant_id string, embedding array<double>")
+    got = cosine_topk(corpus, queries, 3, id_col="point_id", tenant_col="tenant_id").orderBy("query_id", "rank").collect()
+    assert [(r["query_id"], r["point_id"]) for r in got] == [("q1", "id-00"), ("q1", "id-04"), ("q1", "id-08"),
+                                                             ("q2", "id-03"), ("q2", "id-07"), ("q2", "id-11")]
+
+
 @pytest.fixture(scope="module")
 def lang_model(spark):
     from docyard.operators.language import fit_language_model
@@ -102,15 +129,31 @@ def test_language_detection(spark, lang_model):
     assert [r["language"] for r in detect_language(empty, lang_model, "text").collect()] == [None, None]
 
 
+def test_language_scores_equal_the_formula(spark, lang_model):
+    import math
+
+    m = lang_model
+    place = {int(c): k for k, c in enumerate(m.codes)}
+    text = " the onhe ßx and "
+    want = []
+    for j in range(len(m.languages)):
+        grams = [sum(ord(c) << s for c, s in zip(text[i:i + 3], (42, 21, 0))) for i in range(len(text) - 2)]
+        want.append(sum(m.weights[place[g], j] if g in place else 0 for g in grams) - len(grams) * m.log_denominator[j])
+    best, p = m.score([None, text, "x"])
+    top = max(range(len(want)), key=want.__getitem__)
+    assert best == [None, m.languages[top], None]
+    assert math.isclose(p[1], 1 / sum(math.exp(w - want[top]) for w in want))
+
+
 def test_clean_documents_drops(spark, lang_model):
-    from docyard.operators.clean import clean_documents, clean_documents_with_reasons
-    rows = [("too short", "en"), ("  “Hello”   world  \n\nPage 1 of 3\n\nUseful section  ", "en")]
+    from docyard.operators.clean import clean_documents
+    rows = [("too short", "en"), ("\t “A”  title \n\npage 7 of 9\n\n  body of it ", "en")]
     df = spark.createDataFrame(rows, "content string, lang string")
     cfg = IngestConfig(min_content_chars=10, target_language=None)
-    got = [r["content"] for r in clean_documents(df, cfg).collect()]
-    assert got == ["\"Hello\" world\n\nUseful section"]
-    reasons = [r["drop_reason"] for r in clean_documents_with_reasons(df, IngestConfig(), lang_model).collect()]
-    assert sorted(reasons) == ["too_short", "too_short"]
+    assert [r["content"] for r in clean_documents(df, cfg).collect()] == ["\"A\" title\n\nbody of it"]
+    assert clean_documents(df, IngestConfig(), lang_model).count() == 0
+    own = IngestConfig(min_content_chars=1, target_language=None, cleaning_steps=(F.upper, F.trim))
+    assert clean_documents(df, own).first()["content"] == "TOO SHORT"
 
 
 def _corpus(spark):
@@ -142,7 +185,7 @@ def test_incremental_ingest(spark, lang_model):
     from docyard.streaming.incremental import incremental_ingest
     from docyard.sources.tables import read_table
     src = tempfile.mkdtemp(prefix="docyard-src-")
-    raw = read_table(spark, SMOKE, "documents", spread=False)
+    raw = read_table(spark, SMOKE, "documents")
     raw.repartition(3, "doc_id").write.mode("overwrite").parquet(src + "/in")
     path = tempfile.mkdtemp(prefix="docyard-stream-")
 
@@ -178,3 +221,54 @@ def test_ingest_semantic_strategy(spark, lang_model):
     pts = P.read_points(spark, path)
     assert res.written == pts.count() > 0
     assert pts.filter(F.col("chunk_strategy") != "semantic").count() == 0
+
+
+def test_ingest_of_files_with_a_bad_one(spark):
+    """Rejects end as failed jobs with their message, the others are done; ids and page order are kept."""
+    import os
+
+    from docyard.plans.ingest import ingest
+    from docyard.sinks import points as P
+    from docyard.sinks.jobs import current_jobs, validate_transitions
+    from docyard.sources.loaders import load_files
+    root = tempfile.mkdtemp(prefix="docyard-files-")
+    for name, data in {"a.md": b"# A\nsome words of text here", "b.md": b"\xff\xfe", "c.pdf": b"%PDF",
+                       "d.html": b"<body>some other words</body>"}.items():
+        with open(f"{root}/{name}", "wb") as fh:
+            fh.write(data)
+    path, jobs = tempfile.mkdtemp(prefix="docyard-pts-"), tempfile.mkdtemp(prefix="docyard-jobs-") + "/events"
+    cfg = IngestConfig(min_content_chars=1, target_language=None, extra={"origin": "test"})
+    res = ingest(load_files(spark, root, "t"), path, cfg, jobs_path=jobs)
+    assert res.written == 2
+    stored = P.read_points(spark, path).collect()
+    assert all(len(r["doc_id"]) == 64 and r["extra"] == {"origin": "test"} for r in stored)
+    ended = {os.path.basename(r["source_path"]): (r["status"], r["error_message"], r["chunk_count"])
+             for r in current_jobs(validate_transitions(spark.read.parquet(jobs))).collect()}
+    assert ended["a.md"] == ("done", None, 1) and ended["d.html"] == ("done", None, 1)
+    assert ended["b.md"] == ("failed", "File is not valid UTF-8", None) and ended["c.pdf"][0] == "failed"
+    assert {r["status"] for r in res.job_events.collect()} == {"queued", "running", "done", "failed"}
+
+
+def test_broken_run_leaves_failed_jobs(spark):
+    from docyard.plans.ingest import ingest
+    from docyard.sinks.jobs import current_jobs, validate_transitions
+
+    def broken():
+        def model(texts):
+            raise ValueError("model is down")
+        return model
+
+    jobs = tempfile.mkdtemp(prefix="docyard-jobs-") + "/events"
+    with pytest.raises(Exception, match="model is down"):
+        ingest(_corpus(spark).limit(5), tempfile.mkdtemp(prefix="docyard-pts-"), IngestConfig(target_language=None), jobs_path=jobs,
+               model_factory=broken)
+    ended = current_jobs(validate_transitions(spark.read.parquet(jobs))).collect()
+    assert len(ended) == 5 and {r["status"] for r in ended} == {"failed"} and all("model is down" in r["error_message"] for r in ended)
+
+
+def test_page_order_decides_in_a_batch(spark):
+    from docyard.operators import dedup as D
+    rows = [("dup", "f.pdf", 2, 0), ("dup", "f.pdf", 1, 3), ("dup", "f.pdf", 1, 1)]
+    c = D.with_identity(spark.createDataFrame([(*r, "t") for r in rows],
+                                              "text string, source_path string, page_number int, chunk_index int, tenant_id string"))
+    assert [(r["page_number"], r["chunk_index"]) for r in D.filter_new_chunks(c).collect()] == [(1, 1)]

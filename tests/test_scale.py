@@ -19,15 +19,33 @@ def test_hot_hash_dedup_is_exact_and_trimmed_map_side(spark):
     c = D.with_identity(spark.createDataFrame(rows, "text string, doc_id string, chunk_index int, "
                                                     "source_path string, tenant_id string").repartition(8))
     new = D.filter_new_chunks(c, None)
-    plan = _plan(new)
     assert new.count() == n - n // 3 + 1
     assert new.filter(F.col("text") == "hot").first()["source_path"] == "p00000"
-    assert "WindowGroupLimit" in plan and "Partial" in plan
+    assert "partial_min" in _plan(D.first_keys(c))
     counts = D.in_batch_counts(c).first()
     assert (counts["total_chunk_count"], counts["new_chunk_count"]) == (n, n - n // 3 + 1)
     assert "partial_count" in _plan(D.in_batch_counts(c))
 
 
+def test_dedup_decides_on_narrow_rows(spark):
+    """No exchange of the decision carries text, and the chunks are grouped once."""
+    import re
+    from docyard.operators import chunking as K
+    docs = spark.createDataFrame([(k, "word " * 50, "t", f"p{k}") for k in range(40)],
+                                 "doc_id int, content string, tenant_id string, source_path string")
+    chunks = D.with_identity(K.chunk_fixed(docs, 20, 0.1))
+    index = spark.createDataFrame([("t", "x")], "tenant_id string, chunk_hash string")
+    keys = D.new_keys(D.first_keys(chunks), index)
+    keys.explain("formatted")
+    plan = keys._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"partial_min", plan)) == 1 and "Window" not in plan
+    below = keys._jdf.queryExecution().toString()
+    assert keys.columns == ["_t", "_h", "_o"]
+    for line in below.split("== Physical Plan ==")[1].splitlines():
+        if "Exchange" in line:
+            assert "text#" not in line and "content#" not in line
+
+
 def test_costly_column_evaluated_once(spark):
     df = spark.createDataFrame([(1, "  a  b \n\n c "), (2, "x")], "id int, content string").repartition(4, "id")
     out = T.with_column_where(df, "content", T.normalize_whitespace("content"), lambda c: F.length(c) >= 3)
@@ -47,7 +65,7 @@ def test_index_anti_join_uses_distinct_hashes_for_null_tenant(spark):
 
 def test_no_python_udf_evaluated_twice_in_any_query(spark):
     """Every registered query calls each Python UDF in one evaluation node only
-    (a copy pushed below the spread would run it on the unspread input too)."""
+    (a copy pushed below another operator would run it twice)."""
     import re
     import __spark_entry__ as E
     for name, fn in E.queries().items():
