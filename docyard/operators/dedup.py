@@ -41,11 +41,14 @@ def _order(chunks: DataFrame, order_cols=ORDER) -> list[str]:
     return [c for c in order_cols if c in chunks.columns]
 
 
-def first_keys(chunks: DataFrame, order_cols=ORDER, tenant_col: str = "tenant_id") -> DataFrame:
-    """Per (tenant key, hash): the place of its first chunk, as columns ``_t``, ``_h``, ``_o``."""
-    place = F.struct(*[F.col(c) for c in _order(chunks, order_cols)])
+def first_keys(chunks: DataFrame, order_cols=ORDER, tenant_col: str = "tenant_id", carry=()) -> DataFrame:
+    """Per (tenant key, hash): its first chunk's place (and ``carry`` columns) as ``_o``, and its copies ``_n``.
+
+    Columns ``_t``, ``_h``, ``_o``, ``_n``. A narrow column that the caller wants of the first chunk rides along.
+    """
+    place = F.struct(*[F.col(c) for c in (*_order(chunks, order_cols), *carry)])
     return (chunks.select(tenant_key(tenant_col).alias("_t"), F.col("chunk_hash").alias("_h"), place.alias("_o"))
-            .groupBy("_t", "_h").agg(F.min("_o").alias("_o")))
+            .groupBy("_t", "_h").agg(F.min("_o").alias("_o"), F.count(F.lit(1)).alias("_n")))
 
 
 def _pick(chunks: DataFrame, keys: DataFrame, order_cols, tenant_col: str) -> DataFrame:
@@ -121,6 +124,15 @@ def in_batch_counts(chunks: DataFrame, by: str = "tenant_id") -> DataFrame:
     return out.withColumn("skipped_count", F.col("total_chunk_count") - F.col("new_chunk_count"))
 
 
+def tenant_counts(firsts: DataFrame, new: DataFrame) -> DataFrame:
+    """Per tenant key, from ``first_keys`` and its ``new_keys``: total, new and skipped chunks."""
+    total = firsts.groupBy("_t").agg(F.sum("_n").alias("total_chunk_count"))
+    fresh = new.groupBy(F.col("_t").alias("_t2")).agg(F.count(F.lit(1)).alias("new_chunk_count"))
+    out = total.join(fresh, total["_t"].eqNullSafe(fresh["_t2"]), "left").fillna(0, ["new_chunk_count"])
+    return out.select(F.col("_t").alias("tenant_id"), "total_chunk_count", "new_chunk_count",
+                      (F.col("total_chunk_count") - F.col("new_chunk_count")).alias("skipped_count"))
+
+
 def skipped_counts(chunks: DataFrame, new_chunks: DataFrame, by=("tenant_id", "source_path")) -> DataFrame:
     """Per group: total chunks, new chunks, and skipped = existing + in-batch copies."""
     total = chunks.groupBy(*by).agg(F.count(F.lit(1)).alias("total_chunk_count"))

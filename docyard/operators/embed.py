@@ -67,10 +67,13 @@ def hashed_counts(text: Column | str, vector_size: int = 64) -> Column:
         counts, lambda n, i: n + F.when(w == i + 1, 1).when(w == -1 - i, -1).otherwise(0)))
 
 
-def hashed_embedding(df: DataFrame, text_col: str, out_col: str, vector_size: int = 64) -> DataFrame:
-    """Add the counts at unit length (a text without words is the zero vector)."""
-    counted = bind_column(df, "_counts", hashed_counts(text_col, vector_size))
-    return counted.withColumn(out_col, F.transform(l2_normalize("_counts"), lambda x: x.cast("float"))).drop("_counts")
+def hashed_embedding(df: DataFrame, text_col: str, out_col: str, vector_size: int = 64,
+                     counts_col: str | None = None) -> DataFrame:
+    """Add the counts at unit length (a text without words is the zero vector), and on request the counts."""
+    at = counts_col or "_counts"
+    counted = bind_column(df, at, hashed_counts(text_col, vector_size))
+    out = counted.withColumn(out_col, F.transform(l2_normalize(at), lambda x: x.cast("float")))
+    return out if counts_col else out.drop(at)
 
 
 def checked_predict(model, vector_size: int, retry: RetryPolicy | None):

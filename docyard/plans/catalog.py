@@ -334,12 +334,16 @@ def _dedup_inputs(spark, sf):
     return chunks, index
 
 
+def _first_chunks(keys: DataFrame) -> DataFrame:
+    return normalize_types(keys.select("_o.doc_id", "_o.chunk_index", F.col("_h").alias("chunk_hash")))
+
+
 @register("dedup_in_batch", DEDUP_SQL + """
 SELECT doc_id, CAST(chunk_index AS BIGINT) AS chunk_index, chunk_hash FROM r WHERE rn = 1
 """)
 def q_dedup_in_batch(spark, sf):
     chunks, _ = _dedup_inputs(spark, sf)
-    return normalize_types(D.first_in_batch(chunks).select("doc_id", "chunk_index", "chunk_hash"))
+    return _first_chunks(D.first_keys(chunks, carry=("doc_id",)))
 
 
 @register("dedup_against_index", DEDUP_SQL + """
@@ -347,8 +351,7 @@ SELECT doc_id, CAST(chunk_index AS BIGINT) AS chunk_index, chunk_hash FROM new
 """)
 def q_dedup_against_index(spark, sf):
     chunks, index = _dedup_inputs(spark, sf)
-    new = D.filter_new_chunks(chunks, index)
-    return normalize_types(new.select("doc_id", "chunk_index", "chunk_hash"))
+    return _first_chunks(D.new_keys(D.first_keys(chunks, carry=("doc_id",)), index))
 
 
 @register("dedup_counts", DEDUP_SQL + """
@@ -360,8 +363,8 @@ GROUP BY h.tenant_id
 """)
 def q_dedup_counts(spark, sf):
     chunks, index = _dedup_inputs(spark, sf)
-    new = D.filter_new_chunks(chunks, index)
-    return normalize_types(D.skipped_counts(chunks, new, by=("tenant_id",)))
+    firsts = D.first_keys(chunks)
+    return normalize_types(D.tenant_counts(firsts, D.new_keys(firsts, index)))
 
 
 @register("existing_hashes", DEDUP_SQL + """
@@ -820,10 +823,10 @@ SELECT doc_id, CAST(chunk_index AS BIGINT) AS chunk_index, CAST({EMBED_SIZE} AS
 """)
 def q_embed_hashed(spark, sf):
     """Fixed chunks of every document under the default model: width, norm, and the counts behind the vector."""
-    from docyard.operators.embed import embed, hashed_counts, vector_norm
+    from docyard.operators.embed import hashed_embedding, vector_norm
     d = corpus_documents(spark, sf)
-    c = T.bind_column(K.chunk_fixed(d, SIZE, OVERLAP_PCT, offsets=False), "counts", hashed_counts("text", EMBED_SIZE))
-    v = embed(c, "text", "embedding", vector_size=EMBED_SIZE, batch_size=256)
+    c = K.chunk_fixed(d, SIZE, OVERLAP_PCT, offsets=False).select("doc_id", "chunk_index", "text")
+    v = hashed_embedding(c, "text", "embedding", EMBED_SIZE, counts_col="counts")
     return normalize_types(v.select("doc_id", "chunk_index", F.size("embedding").alias("dim"),
                                     F.round(vector_norm("embedding"), 4).alias("norm"),
                                     F.array_join(F.transform("counts", lambda x: x.cast("string")), ",").alias("counts")))
