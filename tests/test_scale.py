@@ -40,7 +40,7 @@ def test_dedup_decides_on_narrow_rows(spark):
     plan = keys._jdf.queryExecution().executedPlan().toString()
     assert len(re.findall(r"partial_min", plan)) == 1 and "Window" not in plan
     below = keys._jdf.queryExecution().toString()
-    assert keys.columns == ["_t", "_h", "_o"]
+    assert keys.columns == ["_t", "_h", "_o", "_n"]
     for line in below.split("== Physical Plan ==")[1].splitlines():
         if "Exchange" in line:
             assert "text#" not in line and "content#" not in line
