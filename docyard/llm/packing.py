@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docyard.llm.common import table
+from docyard.session import ship_package
 
 CAPACITY = 2048
 END_ID = 1
@@ -199,6 +200,7 @@ def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAP
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship_package(spark)
     return pack_documents(docs)
 
 

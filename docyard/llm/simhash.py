@@ -37,6 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docyard.llm.common import cut, fresh, table
+from docyard.session import ship_package
 
 SHINGLE_WORDS = 3
 MAX_BITS = 2
@@ -302,12 +303,15 @@ def keep_one(docs: DataFrame, width: int = SHINGLE_WORDS, limit: int = MAX_BITS)
     (keep, turn) = fresh(docs.columns, "_keep", "_turn")
     heads = found.filter("component_id is not null").select(F.col("component_id").alias(keep)).distinct()
     stay = docs.join(heads, docs["doc_id"] == heads[keep], "left_semi")
-    once = stay.withColumn(turn, F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id")))
+    # repeated rows leave one; different texts under one id are different documents
+    same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id")
+    once = stay.withColumn(turn, F.row_number().over(same))
     return (once.filter(F.col(turn) == 1).select(*docs.columns)
             .unionByName(docs.filter(F.col("doc_id").isNull())))
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship_package(spark)
     return keep_one(docs)
 
 

@@ -86,5 +86,10 @@ def test_keep_one_keeps_columns_and_one_row_of_each_group(spark):
     assert sorted((r["doc_id"] for r in kept.collect()), key=str) == [2, 5, 7, None]
 
 
+def test_different_texts_under_one_id_both_stay(spark):
+    df = docs(spark, [(1, "first text of this id here"), (1, "something else entirely, though"), (1, "first text of this id here")])
+    assert sorted(r["text"] for r in S.keep_one(df).collect()) == ["first text of this id here", "something else entirely, though"]
+
+
 def test_empty_table(spark):
     assert S.keep_one(docs(spark, [])).count() == 0
