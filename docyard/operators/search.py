@@ -88,10 +88,11 @@ def assemble_context(ranked: DataFrame, texts: DataFrame, id_col: str = "vec_id"
 def recall_at_k(ranked: DataFrame, gold: DataFrame, k: int, id_col: str = "vec_id") -> DataFrame:
     """Per query: hits among the top k, gold size, recall = hits/gold, precision = hits/k."""
     g = gold.select("query_id", id_col).distinct()
-    hits = ranked.join(g, ["query_id", id_col], "left_semi").groupBy("query_id").agg(F.count(F.lit(1)).alias("hits"))
     sizes = g.groupBy("query_id").agg(F.count(F.lit(1)).alias("gold_count"))
-    out = (ranked.select("query_id").distinct().join(sizes, "query_id", "left")
-                 .join(hits, "query_id", "left").fillna(0, ["hits", "gold_count"]))
+    # the ranking is read once: every query keeps a row, its hits are counted beside it
+    out = (ranked.select("query_id", id_col).join(g.withColumn("_hit", F.lit(1)), ["query_id", id_col], "left")
+                 .groupBy("query_id").agg(F.count("_hit").alias("hits"))
+                 .join(sizes, "query_id", "left").fillna(0, ["gold_count"]))
     return out.select("query_id", "hits", "gold_count",
                       F.when(F.col("gold_count") > 0, F.col("hits") / F.col("gold_count")).alias("recall"),
                       (F.col("hits") / F.lit(k)).alias("precision"))
