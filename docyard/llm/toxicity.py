@@ -45,6 +45,8 @@ MINED_PATTERNS = 24
 MIN_SUPPORT = 6
 #: A feature takes part when it is toxic at least so many times as often as not.
 MIN_ODDS = 4
+#: A feature held by this share of the toxic rows is penalised at the nominal strength, a rarer one more.
+SUPPORT_SHARE = 0.017
 THRESHOLD = 0.7
 #: Words whose features a task remembers; beyond it the memory starts anew.
 MEMO_WORDS = 60_000
@@ -311,7 +313,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LAB
     votes = np.column_stack([np.vstack(seen["votes"].to_list()), seen["toxic"].to_numpy(dtype=int)])
     label_model = fit_label_model(votes)  # the last voter is the annotator
     posterior = label_model.posterior(votes)
-    w, b = train_linear([np.asarray(h, dtype=int) for h in seen["held"]], posterior, len(features))
+    w, b = train_linear([np.asarray(h, dtype=int) for h in seen["held"]], posterior, len(features),
+                        support=SUPPORT_SHARE * float(posterior.sum()))
     weights = {f: float(w[k]) for f, k in features.items() if abs(w[k]) > 1e-6}
     return ToxicityModel(voters, label_model, Classifier(weights, b))
 
