@@ -44,6 +44,10 @@ BLOCKS = frozenset("html body main article section div p h1 h2 h3 h4 h5 h6 ul ol
                    "tr td th blockquote pre figure figcaption nav header footer aside form fieldset legend address "
                    "details summary dialog menu hr center hgroup search".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Start tags that leave an open head open; any other one, and text, ends it (its end tag is optional).
+HEAD_PARTS = frozenset("html head title meta link style script base basefont bgsound noframes noscript template".split())
+#: Elements that a slash in the start tag closes.
+FOREIGN = frozenset(("svg", "math"))
 #: A start tag closes an open element of these kinds, unless one of the stoppers lies between.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
           "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
@@ -129,7 +133,17 @@ class _Builder(HTMLParser):
         while len(self.open) > at > 0:
             self._pop()
 
+    def _end_head(self) -> None:
+        if self.open[-1][0] == "head":
+            self._pop()
+
     def handle_starttag(self, tag, attrs):
+        if tag == "head" and self.count["head"]:
+            return
+        if tag not in HEAD_PARTS:
+            self._end_head()
+        if tag == "body" and self.count["head"]:
+            self._close({"head"}, {"template"})
         if tag in BLOCKS and self.count["p"]:
             self._close({"p"}, {"table", "td", "th", "button", "object"})
         if tag in CLOSES:
@@ -157,12 +171,16 @@ class _Builder(HTMLParser):
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)  # a slash closes nothing in HTML
+        if tag in FOREIGN:
+            self._pop()
 
     def handle_endtag(self, tag):
         if tag not in VOID and self.count[tag]:
             self._close({tag}, set())
 
     def handle_data(self, data):
+        if data.strip():
+            self._end_head()
         if not self.silent:
             self.parts.append(data)
             if self.links:

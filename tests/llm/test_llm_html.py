@@ -45,6 +45,20 @@ def test_parser_blocks():
     assert blocks("<div>a<div>b</div>c</div>") == ["a", "b", "c"] and blocks("") == [] and blocks(None) == []
 
 
+def test_head_without_end_tag():
+    for start in ("<html><head><title>x</title><body>", "<head><meta charset=utf-8><title>x</title>\n<style>p{}</style>",
+                  "<head><head><title>x</title><body>", "<head><noscript><link href=x><p>no</p><body>", "<head><title>x</title><br>"):
+        assert blocks(start + "<article><p>one</p></head><p>two</p></article>") == ["one", "two"]
+    assert blocks("<head><title>x</title>one<p>two") == ["one", "two"]
+    assert blocks("<head><noscript><p>no</p></noscript><title>a <b>b</b></title></head><p>one<head><p>two") == ["one", "two"]
+
+
+def test_self_closed_svg_and_math():
+    for tag in ("<svg/>", "<svg class='i' />", "<math/>", "<svg><svg/><path d='x'/><text>no</text></svg>"):
+        assert blocks(f"<div>one {tag}two<p>three</p></div><p>four</p>") == ["one two", "three", "four"]
+        assert blocks(f"<head><title>x</title>{tag}<p>one</p>") == ["one"]
+
+
 def test_parsing_is_linear():
     t0 = time.time()
     for html in ("<div>" * 50_000 + "x", "<li>x" * 50_000, "<b>x</i>" * 50_000, "<p><span>" * 30_000, "<td>x" * 50_000):
