@@ -1,7 +1,8 @@
 """License scans: ordered signature rules over whole texts, in DataFrame functions only.
 
 A text's words (runs of digits, ASCII letters and non-ASCII characters) are put side by side with single blanks.
-Rules are regular expressions over that line of words, each with a keyword, a priority, a weight and a label. A keyword prefilter
+Rules find licence names in phrases, passages of licence bodies and file headers, and notices that name no licence; other bodies
+(most long licences) are found by the name they hold. They are regular expressions over that line of words, each with a keyword, a priority, a weight and a label. A keyword prefilter
 decides per text which rules run at all; most texts run none. Every match becomes a detection, an interval of words.
 Detections compete per text: one whose interval lies inside another of at least its priority is suppressed (of equal
 intervals the first rule stays), and one that overlaps a stronger one is suppressed as well. Labels and the score come from the
@@ -78,6 +79,69 @@ TEMPLATES = (
     (2, 0.9, "(?:a )?copy of (?:the )?NAME"),
     (3, 0.7, "NAME"),
 )
+# Passages of licence bodies and file headers, found without the licence's name. _then: a passage that follows after at most so many words;
+# it is no part of the match, so what else stands between is not suppressed.
+def _then(words: int, passage: str) -> str:
+    return "(?=(?: [^ ]++){0,%d}? (?:%s) )" % (words, passage)
+
+
+_MIT = "permission is hereby granted free of charge to any person obtaining a copy of this software"
+_BSD = ("redistribution and use in source and binary forms with or without modification are permitted "
+        "provided that the following conditions are met")
+_ISC = "permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted"
+_GNU = f"general public {_L} as published by the free software foundation (?:either )?version"
+_FREEDOM = "designed to take away your freedom to share and change"
+_CHARGE, _USE, _FORMS = "permission is hereby granted free of charge", "permission to use copy modify", "in source and binary forms"
+_GNU_GATE, _GRANT = "as published by the free software foundation", "hereby grants"
+# Label, keyword, priority, weight, pattern. A passage that only one member of a family has is the stronger one.
+BODIES = (
+    ("mit-0", _CHARGE, 1, 0.9, _MIT + _then(60, "furnished to do so the software is provided")),
+    ("ncsa", _CHARGE, 1, 0.9, _MIT + _then(12, "to deal with the software")),
+    ("x11", _CHARGE, 1, 0.9, _MIT + _then(220, "except as contained in this notice the names?")),
+    ("mit", _CHARGE, 2, 0.9, _MIT),
+    ("boost", _CHARGE, 2, 0.9, "permission is hereby granted free of charge to any person or organization obtaining a copy of the software"),
+    ("ofl", _CHARGE, 2, 0.9, "permission is hereby granted free of charge to any person obtaining a copy of the font software"),
+    ("upl", "associated documentation and or data", 2, 0.9,
+     "permission is hereby granted to any person obtaining a copy of this software associated documentation and or data"),
+    ("isc", _USE, 2, 0.9, f"{_ISC} provided that"), ("0bsd", _USE, 2, 0.9, f"{_ISC} the software is provided"),
+    ("postgresql", _USE, 2, 0.9, "permission to use copy modify and distribute this software and its documentation for any purpose "
+                                 "without fee and without a written agreement"),
+    ("hpnd", _USE, 2, 0.9, "permission to use copy modify (?:and )?distribute(?: and sell)? this software and its documentation "
+                           "for any purpose (?:and without fee is hereby granted|is hereby granted without fee)"),
+    ("w3c", "permission to copy modify", 2, 0.9, "permission to copy modify and distribute this software and its documentation "
+                                                 "with or without modification for any purpose and without fee or royalty"),
+    ("apache-1.1", _FORMS, 1, 0.9, _BSD + _then(90, "the end user documentation included with the redistribution")),
+    ("bsd-4-clause", _FORMS, 1, 0.9, _BSD + _then(90, "all advertising materials mentioning features or use of this software")),
+    ("bsd-3-clause", _FORMS, 2, 0.9, _BSD + _then(90, "neither the names?|may not be used to endorse or promote products")),
+    ("bsd-2-clause", _FORMS, 2, 0.9, _BSD + _then(70, "provided with the distribution this software is provided by")),
+    ("bsd", _FORMS, 3, 0.7, _BSD),
+    ("zlib", "origin of this software", 2, 0.9,
+     "the origin of this software must not be misrepresented you must not claim that you wrote the original software"),
+    ("unlicense", "unencumbered software", 2, 0.9, "this is free and unencumbered software released into the public domain"),
+    ("wtfpl", "what the fuck you want to", 2, 0.9,
+     f"(?:do what the fuck you want to public {_L}|you just do what the fuck you want to)"),
+    ("apache-2.0", "except in compliance with the licen", 2, 0.9,
+     f"you may not use this (?:file|work|software|project|library|product) except in compliance with the {_L}"),
+    ("apache-2.0", _GRANT, 2, 0.9, "each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free"),
+    ("mpl-2.0", _GRANT, 2, 0.9, "each contributor hereby grants you a world wide royalty free non exclusive license"),
+    ("cddl", _GRANT, 2, 0.9, "claims the initial developer hereby grants you a world wide royalty free non exclusive license"),
+    ("mpl-1.1", _GRANT, 3, 0.7, "the initial developer hereby grants you a world wide royalty free non exclusive license"),
+    ("python", _GRANT, 2, 0.9, "psf hereby grants licensee a non ?exclusive royalty free world wide license"),
+    ("gpl-1.0", _GNU_GATE, 1, 1.0, f"gnu {_GNU} 1"), ("gpl-2.0", _GNU_GATE, 1, 1.0, f"gnu {_GNU} 2"),
+    ("gpl-3.0", _GNU_GATE, 1, 1.0, f"gnu {_GNU} 3"), ("lgpl-2.1", _GNU_GATE, 1, 1.0, f"(?:lesser|library) {_GNU} 2(?: 1)?"),
+    ("lgpl-3.0", _GNU_GATE, 1, 1.0, f"lesser {_GNU} 3"), ("agpl-3.0", _GNU_GATE, 1, 1.0, f"affero {_GNU} 3"),
+    ("gpl-2.0", _FREEDOM, 2, 0.9, f"{_FREEDOM} it by contrast the gnu general public {_L} is intended"),
+    ("lgpl", _FREEDOM, 2, 0.9, f"{_FREEDOM} it by contrast the gnu general public licenses are intended"),
+    ("gpl-3.0", _FREEDOM, 2, 0.9, f"{_FREEDOM} the works by contrast the gnu general public {_L} is intended"),
+    ("agpl-3.0", _FREEDOM, 2, 0.9, f"{_FREEDOM} the works by contrast our general public licenses are intended"),
+    ("lgpl-3.0", "incorporates the terms and conditions", 2, 0.9,
+     f"lesser general public {_L} incorporates the terms and conditions of version 3"),
+    ("cc0", "permanently relinquish those rights", 2, 0.9, "certain owners wish to permanently relinquish those rights to a work"),
+    ("artistic-1.0", "the intent of this document", 2, 0.9,
+     "the intent of this document is to state the conditions under which a package may be copied"),
+    ("artistic-2.0", "a given free software package", 2, 0.9,
+     "establishes the terms under which a given free software package may be copied modified distributed"),
+)
 # Signatures that name no licence: label, keyword, priority, weight, pattern.
 NOTICES = (
     ("all-rights-reserved", "all rights reserved", 3, 0.5, "all rights reserved"),
@@ -98,7 +162,7 @@ def build_rules() -> list[tuple[int, str, str, str, int, float, bool]]:
         for priority, weight, template in TEMPLATES:
             gate = "spdx licen" if "ID" in template else keyword  # what every match of this rule holds
             out.append((label, gate, template.replace("NAME", f"(?:{name})").replace("ID", words), priority, weight, False))
-    out += [(label, keyword, pattern, priority, weight, False) for label, keyword, priority, weight, pattern in NOTICES]
+    out += [(label, keyword, pattern, priority, weight, False) for label, keyword, priority, weight, pattern in BODIES + NOTICES]
     out += [(label, phrase, phrase, 4, 0.6, True) for phrase, label in BASE]
     return [(k, label, gate, f"(?i)(?<= )(?:{pattern})(?= )", priority, weight, base)
             for k, (label, gate, pattern, priority, weight, base) in enumerate(out)]

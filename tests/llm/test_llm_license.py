@@ -71,3 +71,49 @@ def test_hundreds_of_rules_hold_their_keywords(spark):
 def test_no_python_in_the_plan(spark, capsys):
     L.scan(docs(spark, [(1, "x")])).explain("formatted")
     assert not PYTHON_NODES.search(capsys.readouterr().out)
+
+
+AS_IS = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED.'
+MIT = ('Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation '
+       'files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, '
+       'modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the '
+       'Software is furnished to do so')
+MIT_TERMS = (", subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all "
+             f"copies or substantial portions of the Software.\n\n{AS_IS}")
+ISC = ("Permission to use, copy, modify, and/or distribute this software for any\n * purpose with or without fee is hereby granted")
+BSD = ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
+       "conditions are met:\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the "
+       "following disclaimer.\n2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions "
+       "and the following disclaimer in the documentation and/or other materials provided with the distribution.\n")
+BSD_3 = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products."
+BSD_4 = "3. All advertising materials mentioning features or use of this software must display the following acknowledgement:\n4. "
+BSD_END = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"'
+GNU = "under the terms of the GNU {} as published by\nthe Free Software Foundation, either version {} of the License"
+BODIES = [
+    ("mit,no-warranty", MIT + MIT_TERMS), ("mit-0,no-warranty", f"{MIT}.\n\n{AS_IS}"),
+    ("no-warranty,x11", f"{MIT}{MIT_TERMS}\n\nExcept as contained in this notice, the name of the X Consortium shall not be used"),
+    ("ncsa", MIT.replace("deal in", "deal with")),
+    ("isc", f"{ISC}, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("0bsd", f'{ISC}.\n\nTHE SOFTWARE IS PROVIDED "AS IS"'), ("bsd-2-clause", BSD + BSD_END),
+    ("bsd-3-clause", f"{BSD}3. {BSD_3}\n\n{BSD_END}"), ("bsd-4-clause", f"{BSD}{BSD_4}{BSD_3}\n\n{BSD_END}"), ("bsd", BSD[:160]),
+    ("zlib", "The origin of this software must not be misrepresented; you must not claim that you wrote the original software."),
+    ("boost", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and"),
+    ("unlicense", "This is free and unencumbered software released into the public domain."),
+    ("wtfpl", "0. You just DO WHAT THE FUCK YOU WANT TO."),
+    ("apache-2.0", "you may not use this file except in compliance with the License."),
+    ("gpl,gpl-2.0", GNU.format("General Public License", 2)), ("gpl,gpl-3.0", GNU.format("General Public License", 3)),
+    ("gpl,lgpl-2.1", GNU.format("Lesser General Public License", 2.1)), ("agpl-3.0,gpl", GNU.format("Affero General Public License", 3)),
+    ("", "Permission is hereby granted, free of charge. Redistribution and use are fine."),
+]
+
+
+def test_bodies_without_a_name(spark):
+    got = {r["doc_id"]: columns(r) for r in L.scan(docs(spark, [(k, t) for k, (_, t) in enumerate(BODIES)])).collect()}
+    for k, (labels, text) in enumerate(BODIES):
+        assert got[k] == brute(text), text
+        assert got[k][5] == labels, text
+
+
+def test_bodies_hold_their_keywords():
+    for label, keyword, _, _, pattern in L.BODIES:
+        assert keyword in pattern, label
