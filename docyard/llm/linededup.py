@@ -10,6 +10,9 @@ leaves the corpus altogether.
 Only hashes, ids and positions are exploded and shuffled; the text itself moves once, in the
 join that brings each document its removed positions.
 
+Both thresholds are absolute: on a table with fewer than ``MIN_SITES`` distinct sources nothing is removed at all, a line on
+fewer sites stays on however many documents it is, and a line shorter than ``MIN_CHARS`` stays on however many sites.
+
 Defined results: null and empty texts keep their value and have no removable line; lines shorter
 than ``MIN_CHARS`` after trimming blanks stay; rows without a source count for no site; of rows that
 repeat with the same id all hold the same lines; a line seen only in rows without id stays; an empty
