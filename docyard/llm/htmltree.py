@@ -401,7 +401,10 @@ def labelled_pages(htmls: list[str], seed: int = 7) -> list[Tree]:
 
 
 def fit_pages(pages: DataFrame, max_pages: int = MAX_PAGES) -> Model:
-    rows = hashed_sample(pages.filter("html is not null").select("page_id", "html"), "page_id", max_pages, pages.count())
+    """Trained on one page per id (the least html of an id's rows); rows without an id train nothing."""
+    known = pages.filter("html is not null and page_id is not null").select("page_id", "html")
+    rows = (hashed_sample(known, "page_id", max_pages, known.select("page_id").distinct().count())
+            .groupBy("page_id").agg(F.min("html").alias("html")))
     return train(labelled_pages([r["html"] for r in rows.orderBy("page_id").collect()]))
 
 

@@ -110,3 +110,12 @@ def test_pages_table(spark, model):
     assert next(r["text"] for r in out if r["page_id"] == 4) == "\n\n".join([want] * 400)
     none = df.limit(0)
     assert H.extract_pages(none, H.fit_pages(none)).count() == 0
+
+
+def test_training_sample_is_bounded_by_ids(spark, monkeypatch):
+    monkeypatch.setattr(H, "train", lambda trees: None)
+    taken = []
+    monkeypatch.setattr(H, "labelled_pages", taken.extend)
+    rows = [(None, f"<p>{k}") for k in range(50)] + [(1, f"<p>one {k}") for k in range(50)] + [(2, "<p>two"), (3, None)]
+    H.fit_pages(spark.createDataFrame(rows, "page_id long, html string"))
+    assert taken == ["<p>one 0", "<p>two"]
