@@ -50,21 +50,50 @@ class RetryPolicy:
 WORD = r"[\p{L}\p{M}\p{N}]+"
 
 
-def hashed_counts(text: Column | str, vector_size: int = 64) -> Column:
-    """Signed feature hashing: per dimension, the words hashed to it counted with their signs.
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` refers to it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def hashed_runs(text: Column | str, vector_size: int = 64) -> Column:
+    """Signed feature hashing, sparse: (place, n) per dimension that a word falls on, by place.
 
-    A word's first eight MD5 digits choose its dimension, the ninth its sign (8 to f: minus).
+    A word's first eight MD5 digits choose its dimension, the ninth its sign (8 to f: minus). The words' codes (place
+    and sign in one integer) are sorted; a run of one place is one entry: n is its words counted with their signs.
     """
     c = F.col(text) if isinstance(text, str) else text
 
-    def signed(word: Column) -> Column:
-        digest = F.md5(word)
-        place = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % vector_size + 1
-        return F.when(F.substring(digest, 9, 1) < "8", place).otherwise(-place).cast("int")
+    def code(word: Column) -> Column:
+        return _let(F.md5(word), lambda digest: (
+            F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % vector_size * 2
+            + F.when(F.substring(digest, 9, 1) < "8", 0).otherwise(1)).cast("int"))
+
+    place = lambda x: F.shiftright(x, 1)
+
+    def runs(codes: Column) -> Column:
+        marked = F.transform(codes, lambda x, i: F.named_struct(
+            F.lit("place"), place(x), F.lit("at"), i, F.lit("before"), place(F.get(codes, i - 1))))
+        return _let(F.filter(marked, lambda r: r["before"].isNull() | (r["before"] != r["place"])), lambda first: F.transform(
+            first, lambda r, j: F.named_struct(F.lit("place"), r["place"], F.lit("n"), F.aggregate(
+                F.slice(codes, r["at"] + 1, F.coalesce(F.get(first, j + 1)["at"], F.size(codes)) - r["at"]),
+                F.lit(0), lambda n, x: n + F.lit(1) - F.lit(2) * x.bitwiseAND(F.lit(1))))))
+
+    words = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(WORD), 0)
+    return _let(F.array_sort(F.transform(words, code)), runs)
+
+
+def hashed_counts(text: Column | str, vector_size: int = 64) -> Column:
+    """``hashed_runs`` as a dense vector of integers: the gaps between the places are filled with zeros, in one pass.
+
+    The work grows with words + width, not with their product.
+    """
+    def dense(runs: Column) -> Column:
+        gap = lambda a, b: F.array_repeat(F.lit(0), b - a - 1)
+        before = lambda j: F.coalesce(F.get(runs, j - 1)["place"], F.lit(-1))
+        filled = F.flatten(F.transform(runs, lambda r, j: F.concat(gap(before(j), r["place"]), F.array(r["n"]))))
+        return F.concat(filled, gap(before(F.size(runs)), F.lit(vector_size)))
 
-    words = F.transform(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(WORD), 0), signed)
-    return F.aggregate(words, F.array_repeat(F.lit(0), vector_size), lambda counts, w: F.transform(
-        counts, lambda n, i: n + F.when(w == i + 1, 1).when(w == -1 - i, -1).otherwise(0)))
+    return _let(hashed_runs(text, vector_size), dense)
 
 
 def hashed_embedding(df: DataFrame, text_col: str, out_col: str, vector_size: int = 64,

@@ -974,3 +974,7 @@ def q_build_points(spark, sf):
     c = build_points(K.chunk_fixed(d, SIZE, OVERLAP_PCT))
     p = payload_json(c, ("tenant_id", "source_path", "format", "chunk_strategy"))
     return p.select("point_id", "tenant_id", "payload")
+
+
+# further queries register themselves in the same tables
+from docyard.plans import retrieval  # noqa: E402,F401
