@@ -44,7 +44,7 @@ SHARD_VECTORS = 16_384
 MIN_SHARDS = 16
 ANCHOR_BLOCK = 4_096
 #: Vectors a leaf and boxes a parent.
-LEAF = 64
+LEAF = 256
 FAN = 16
 
 
