@@ -20,7 +20,7 @@ from docyard.operators import dedup as D
 from docyard.operators.clean import clean_text
 from docyard.operators.tokenize import regex_token_count
 from docyard.plans import sqltext as S
-from docyard.sources.tables import corpus_documents, read_table
+from docyard.sources.tables import corpus_documents, read_table, stream_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -639,9 +639,9 @@ jobs AS (SELECT cur.job_id, cur0.source_path0 AS source_path, cur0.tenant_id0 AS
 """
 
 
-def _job_events(spark, sf) -> DataFrame:
-    """The events table read as job status requests (click events carry none)."""
-    e = read_table(spark, sf, "events")
+def _job_events(spark, sf, events: DataFrame | None = None) -> DataFrame:
+    """The events table (or a stream of it) read as job status requests (click events carry none)."""
+    e = read_table(spark, sf, "events") if events is None else events
     k = F.regexp_extract("props", r'"k":\s*(\d+)', 1).cast("int")
     status = (F.when(F.col("event_type") == "signup", "queued").when(F.col("event_type") == "view", "running")
                .when(F.col("event_type") == "purchase", "done").when(F.col("event_type") == "error", "failed"))
@@ -678,6 +678,16 @@ def q_job_transitions(spark, sf):
     return v.select("job_id", "seq", "status", "valid", "rejection")
 
 
+@register("job_transitions_stream", JOB_EVENTS_SQL + """
+SELECT job_id, seq, status, valid, rejection FROM v
+""")
+def q_job_transitions_stream(spark, sf):
+    """The same log as a stream, checked against per-job state."""
+    from docyard.streaming.job_state import validated_log
+    v = validated_log(_job_events(spark, sf, stream_table(spark, sf, "events")))
+    return v.select("job_id", "seq", "status", "valid", "rejection")
+
+
 @register("job_current", JOB_EVENTS_SQL + """
 SELECT job_id, source_path, tenant_id, status, error_message, CAST(chunk_count AS BIGINT) AS chunk_count,
        CAST(skipped_count AS BIGINT) AS skipped_count, round(duration_seconds, 6) AS duration_seconds,
@@ -698,7 +708,7 @@ def q_job_lookup(spark, sf):
     """Point lookups of a set of job ids (the labelled ids); unknown ids give no row."""
     from docyard.sinks.jobs import get_job
     ids = read_table(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("job_id"))
-    return get_job(_current_jobs(spark, sf), ids).select("job_id", "status")
+    return get_job(_job_events(spark, sf), ids).select("job_id", "status")
 
 
 @register("recent_jobs", JOB_EVENTS_SQL + """

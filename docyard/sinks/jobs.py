@@ -2,18 +2,15 @@
 
 Each status request is an event row (job_id, status, fields, event time,
 sequence). The reference keeps one mutable row per job and validates each
-update against it; here the whole log is validated at once from three
-milestones per job, which is exact because the allowed transitions form a chain
-(queued -> running -> done | failed):
-
-* the first ``queued`` event creates the job; events before it find no job;
-* the first ``running`` event after creation is valid;
-* the first ``done``/``failed`` event after that is valid;
-* every other event is rejected against the state the valid events left.
-
-The milestones are grouped minima joined back by job id, never a window over
-a whole job, so a job holding a large share of the log does not land in one
-task. The current-state view takes every field from the last valid event (a
+update against it; here the whole log is validated at once.
+
+Every event is a map from state to state: where it is an allowed transition it moves the state, elsewhere it leaves it. A
+job's events are cut into blocks of time. Within a block, for each state the block may begin in, the first events that
+move it are grouped minima (the states have no cycle, so there are at most three moves); together they are the
+block's own map. A second, narrow pass over the blocks finds the state each block begins in, and with it every event knows the state
+before it. A job that holds a third of the log is many blocks, so it never lands in one task; the log is shuffled once.
+
+The current-state view takes every field from the last valid event (a
 later update overwrites counts and errors with NULL unless it gives them).
 """
 
@@ -67,47 +64,91 @@ def finish_jobs(sources: DataFrame, stats: DataFrame, run_id: str, seconds: floa
         F.current_timestamp().alias("event_at"), F.lit(2).cast("long").alias("seq"))
 
 
-def validate_transitions(events: DataFrame, order_cols=("event_at", "seq")) -> DataFrame:
+#: Place of each state in a map; the first is "no job yet".
+_STATES = (None, *JOB_STATES)
+#: Blocks of a job's events (a unit of ``date_trunc``).
+BLOCK = "hour"
+
+
+def _moves() -> dict[str, list[int]]:
+    """Per requested status: the state (as its place) after it, for each state before it."""
+    allowed = {(None, JOB_STATES[0]), *VALID_TRANSITIONS}
+    return {to: [_STATES.index(to) if (at, to) in allowed else n for n, at in enumerate(_STATES)] for to in JOB_STATES}
+
+
+def _depth(state: int) -> int:
+    """How often a job in this state can still move."""
+    return max((1 + _depth(m[state]) for m in _moves().values() if m[state] != state), default=0)
+
+
+def _first_moves(rows: DataFrame, group, place: str, map_col: str, out: dict[int, str]) -> DataFrame:
+    """Add, per state that a group may begin in, its moves (place, state after) in order; null where there are fewer.
+
+    ``out`` names the column of each state. The n-th moves of all states are one window.
+    """
+    for n in range(max(map(_depth, out))):
+        found = {}
+        for start, name in out.items():
+            if n >= _depth(start):
+                continue
+            state, after = F.lit(start), F.lit(True)
+            if n:
+                last = F.col(f"{name}_{n - 1}")
+                state, after = last["to"], F.col(place) > last["at"]
+            to = F.get(F.col(map_col), state)
+            move = F.when(after & (to != state), F.struct(F.col(place).alias("at"), to.alias("to")))
+            found[f"{name}_{n}"] = F.min(move).over(group)
+        rows = rows.withColumns(found)
+    steps = {name: [f"{name}_{n}" for n in range(_depth(start))] for start, name in out.items()}
+    return rows.withColumns({name: F.array(*own) for name, own in steps.items()}).drop(*sum(steps.values(), []))
+
+
+def _state_after(moves: Column, start: Column, before: Column | None = None) -> Column:
+    """The state the moves lead to (those strictly before a place, when given)."""
+    done = F.filter(moves, lambda m: m.isNotNull() if before is None else m["at"] < before)
+    return F.coalesce(F.get(done, F.size(done) - 1)["to"], start)
+
+
+def validate_transitions(events: DataFrame, order_cols=("event_at", "seq"), block: str = BLOCK) -> DataFrame:
     """Add ``valid``, ``rejection`` (why an event was rejected), ``created_at`` and ``indexed_at``.
 
-    Three milestones per job decide everything: the first ``queued`` event
-    (creation), the first ``running`` event after it, and the first
-    ``done``/``failed`` event after that. Each is a grouped minimum (combined
-    map-side, so a job with a huge share of the events is reduced before any
-    shuffle) joined back to the events on the job id (many-to-one; adaptive
-    execution splits a hot job across tasks).
+    ``block`` is the unit of time that cuts a job's events; the result does not depend on it. Rows of no job are rejected.
     """
-    order = F.struct(*[F.col(c) for c in order_cols])
-    ev = events.withColumn("_ord", order)
-    st = F.col("status")
-    keys = ev.select("job_id", "_ord", "status")
-
-    # per-job tables only: each milestone reads the events of one status and
-    # joins the (one row per job) milestone before it
-    created = keys.filter(st == "queued").groupBy("job_id").agg(F.min("_ord").alias("_c"))
-    run = (keys.filter(st == "running").join(created, "job_id")
-               .filter(F.col("_ord") > F.col("_c"))
-               .groupBy("job_id").agg(F.min("_ord").alias("_r")))
-    end = (keys.filter(st.isin("done", "failed")).join(run, "job_id")
-               .filter(F.col("_ord") > F.col("_r"))
-               .groupBy("job_id").agg(F.min(F.struct(F.col("_ord").alias("o"), st.alias("s"))).alias("_e")))
-    milestones = created.join(run, "job_id", "left").join(end, "job_id", "left")
-    ev = ev.join(milestones, "job_id", "left")
-
-    o, c, r, e = F.col("_ord"), F.col("_c"), F.col("_r"), F.col("_e.o")
-    valid = F.coalesce((o == c) | (o == r) | (o == e), F.lit(False))
-    state_before = (F.when(e.isNotNull() & (o > e), F.col("_e.s"))
-                     .when(r.isNotNull() & (o > r), F.lit("running"))
-                     .otherwise(F.lit("queued")))
+    moving = [s for s in range(len(_STATES)) if _depth(s)]
+    kept = F.array(*[F.lit(s) for s in range(len(_STATES))])
+    own_map = kept
+    for status, to in _moves().items():
+        own_map = F.when((F.col("status") == status) & F.col("job_id").isNotNull(), F.array(*map(F.lit, to))).otherwise(own_map)
+    ev = events.withColumns({"_ord": F.struct(*[F.col(c) for c in order_cols]), "_map": own_map,
+                             "_block": F.date_trunc(block, order_cols[0])})
+    within = Window.partitionBy("job_id", "_block")
+    ev = _first_moves(ev, within, "_ord", "_map", {s: f"_moves_{s}" for s in moving})
+
+    # one narrow row per block: its moves from every state, and its map
+    names = [f"_moves_{s}" for s in moving]
+    blocks = ev.select("job_id", "_block", *names).groupBy("job_id", "_block").agg(*[F.first(n).alias(n) for n in names])
+    after = [_state_after(F.col(f"_moves_{s}"), F.lit(s)) if s in moving else F.lit(s) for s in range(len(_STATES))]
+    blocks = _first_moves(blocks.withColumn("_map", F.array(*after)), Window.partitionBy("job_id"), "_block", "_map", {0: "_steps"})
+    blocks = blocks.withColumn("_start", _state_after(F.col("_steps"), F.lit(0), F.col("_block")))
+    moves = F.array().cast(blocks.schema["_moves_0"].dataType)
+    for s in moving:
+        moves = F.when(F.col("_start") == s, F.col(f"_moves_{s}")).otherwise(moves)
+    blocks = blocks.withColumn("_moves", F.filter(moves, lambda m: m.isNotNull()))
+    moment = lambda state: F.max(F.get(F.filter("_moves", lambda m: m["to"] == _STATES.index(state)), 0)
+                                 ["at"][order_cols[0]]).over(Window.partitionBy("job_id"))
+    blocks = blocks.withColumns({"created_at": moment("queued"), "indexed_at": moment("done")}).select(
+        F.col("job_id").alias("_job"), F.col("_block").alias("_b"), "_start", "_moves", "created_at", "indexed_at")
+
+    ev = ev.drop(*names, "created_at", "indexed_at").join(
+        blocks, ev["job_id"].eqNullSafe(blocks["_job"]) & ev["_block"].eqNullSafe(blocks["_b"]), "left")
+    before = _state_after(F.col("_moves"), F.col("_start"), F.col("_ord"))
+    named = F.get(F.array(*map(F.lit, _STATES)), before)
+    valid = F.exists("_moves", lambda m: m["at"] == F.col("_ord"))
     why = (F.when(valid, F.lit(None).cast("string"))
-            .when(c.isNull() | (o < c), F.concat(F.lit(NOT_FOUND), F.col("job_id").cast("string")))
-            .otherwise(F.concat(F.lit(INVALID), state_before, F.lit(" -> "), st)))
-    first = order_cols[0]
-    return (ev.withColumn("valid", valid)
-              .withColumn("rejection", why)
-              .withColumn("created_at", F.col(f"_c.{first}"))
-              .withColumn("indexed_at", F.when(F.col("_e.s") == "done", F.col(f"_e.o.{first}")))
-              .drop("_ord", "_c", "_r", "_e"))
+            .when(before == 0, F.concat(F.lit(NOT_FOUND), F.col("job_id").cast("string")))
+            .otherwise(F.concat(F.lit(INVALID), named, F.lit(" -> "), F.col("status"))))
+    return (ev.withColumns({"valid": valid, "rejection": why})
+              .drop("_ord", "_map", "_block", "_job", "_b", "_start", "_moves"))
 
 
 def current_jobs(validated: DataFrame, order_cols=("event_at", "seq"),
@@ -122,9 +163,16 @@ def current_jobs(validated: DataFrame, order_cols=("event_at", "seq"),
     return out.select("job_id", *extra, *[F.col(f"_l.{f}").alias(f) for f in fields])
 
 
-def get_job(current: DataFrame, job_ids: DataFrame) -> DataFrame:
-    """Point lookups for a set of ids (0 or 1 row per id)."""
-    return current.join(job_ids.select("job_id").distinct(), "job_id", "left_semi")
+def get_job(events: DataFrame, job_ids: DataFrame, order_cols=("event_at", "seq")) -> DataFrame:
+    """Point lookups in the log for a set of ids (0 or 1 row per id): only the events of these jobs are validated."""
+    return current_jobs(validate_transitions(events.join(job_ids.select("job_id"), "job_id", "left_semi"), order_cols), order_cols)
+
+
+def tenant_jobs(events: DataFrame, tenant_id: str, order_cols=("event_at", "seq")) -> DataFrame:
+    """The current jobs of one tenant: only jobs with an event of the tenant are validated."""
+    own = events.filter(F.col("tenant_id") == tenant_id).select("job_id")
+    return (current_jobs(validate_transitions(events.join(own, "job_id", "left_semi"), order_cols), order_cols)
+            .filter(F.col("tenant_id") == tenant_id))
 
 
 def recent_jobs(current: DataFrame, tenant_id: str | None = None, limit: int = 50) -> DataFrame:

@@ -31,3 +31,17 @@ def corpus_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("text").alias("format"),
         F.col("lang").alias("given_language"),
     )
+
+
+def stream_table(spark: SparkSession, sf_dir: str, name: str, files_per_trigger: int | None = None) -> DataFrame:
+    """A given table (one file or a folder of files) as a stream of its files, with the table's schema."""
+    schema = read_table(spark, sf_dir, name).schema
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    files = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder = files.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(files).isDirectory()
+    reader = spark.readStream.schema(schema)
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    if folder:
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)

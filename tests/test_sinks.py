@@ -123,7 +123,8 @@ def test_lookup_recent_audit(spark):
     ev = _events(spark, [("a", "queued"), ("b", "queued"), ("b", "running")])
     cur = J.current_jobs(J.validate_transitions(ev))
     ids = spark.createDataFrame([("a",), ("zz",)], "job_id string")
-    assert [r["job_id"] for r in J.get_job(cur, ids).collect()] == ["a"]
+    assert [(r["job_id"], r["status"]) for r in J.get_job(ev, ids).collect()] == [
+        (r["job_id"], r["status"]) for r in cur.collect() if r["job_id"] == "a"]
     assert [r["job_id"] for r in J.recent_jobs(cur, "t").collect()] == ["b", "a"]
     assert J.audit_report(cur, 1).columns == ["source_path", "status", "chunk_count", "skipped_count"]
     jobs = J.create_jobs(spark.createDataFrame([("d", "p", "t")], "doc_id string, source_path string, tenant_id string"), "run1")
@@ -161,39 +162,105 @@ def test_transitions_match_fold(spark):
         rows += [(f"j{j}", s) for s in seq]
     rows += [("hot", rnd.choice(["queued", "running", "done", "failed"])) for _ in range(400)]
     seqs["hot"] = [s for j, s in rows if j == "hot"]
-    got = {}
-    for r in J.validate_transitions(_events(spark, rows)).orderBy("seq").collect():
-        got.setdefault(r["job_id"], []).append((r["valid"], r["rejection"]))
-    for job, seq in seqs.items():
-        assert got[job] == _fold(seq, job), job
-
-
-def test_streaming_job_state_matches_batch(spark):
-    import os
+    # however a job's events are cut into blocks
+    for block in ("second", "minute", "hour"):
+        got = {}
+        for r in J.validate_transitions(_events(spark, rows), block=block).orderBy("seq").collect():
+            got.setdefault(r["job_id"], []).append((r["valid"], r["rejection"]))
+        for job, seq in seqs.items():
+            assert got[job] == _fold(seq, job), (block, job)
+
+
+def test_moments_of_a_job_and_rows_of_no_job(spark):
+    ev = _events(spark, [("j", "running"), ("j", "queued"), (None, "queued"), ("j", "failed"), ("j", "running"), ("j", "queued"),
+                         ("j", "done"), ("j", "failed"), (None, "running"), ("k", "odd")])
+    t0 = dt.datetime(2024, 1, 1)
+    for block in ("second", "minute"):
+        v = {r["seq"]: r for r in J.validate_transitions(ev, block=block).collect()}
+        assert len(v) == 10 and {q for q, r in v.items() if r["valid"]} == {1, 4, 6}
+        assert all(v[q]["created_at"] == t0 + dt.timedelta(seconds=1) and v[q]["indexed_at"] == t0 + dt.timedelta(seconds=6)
+                   for q in (0, 1, 3, 7))
+        assert v[7]["rejection"] == "invalid job status transition: done -> failed"
+        assert v[9]["rejection"] == "ingestion job not found: k" and not v[2]["valid"] and not v[8]["valid"]
+
+
+def test_log_is_read_twice_and_shuffled_once(spark):
+    """The job queries read the log in two scans; a job is never one window."""
+    import re
+    import __spark_entry__ as E
+    for name in ("job_transitions", "job_current", "recent_jobs", "audit_report", "job_lookup"):
+        plan = E.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert len(re.findall(r"FileScan parquet .*event_type", plan)) <= 2, name
+        windows = re.findall(r"Window \[min\(.*?\], \[([^\]]*)\]\s*$", plan, re.M)
+        assert windows and sum("_block" in w for w in windows) == 3, name
+
+
+def test_streaming_job_state_matches_batch(spark, tmp_path):
+    """Three micro-batches, with a stop and a start between them; a hot job comes in several Arrow batches."""
     import random
-    from docyard.streaming.job_state import validate_stream
+    from docyard.streaming import job_state as T
     rnd = random.Random(4)
-    rows = [(f"j{rnd.randint(0, 20)}", rnd.choice(["queued", "running", "done", "failed"])) for _ in range(300)]
+    rows = [(f"j{rnd.randint(0, 20)}" if rnd.random() < 0.6 else "hot", rnd.choice(["queued", "running", "done", "failed"]))
+            for _ in range(600)]
     ev = _events(spark, rows).select("job_id", "status", "event_at", "seq")
-    src = tempfile.mkdtemp(prefix="docyard-jobstream-")
-    # two arrival batches, in event order
-    ev.filter("seq < 150").coalesce(1).write.parquet(f"{src}/a")
-    ev.filter("seq >= 150").coalesce(1).write.parquet(f"{src}/b")
-    os.makedirs(f"{src}/in")
-    for part in ("a", "b"):
-        for f in os.listdir(f"{src}/{part}"):
-            if f.endswith(".parquet"):
-                os.link(f"{src}/{part}/{f}", f"{src}/in/{part}-{f}")
-    stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(f"{src}/in")
-    q = (validate_stream(stream).writeStream.format("memory").queryName("job_stream_check")
-         .option("checkpointLocation", tempfile.mkdtemp(prefix="docyard-ck-"))
-         .outputMode("append").trigger(availableNow=True).start())
-    q.awaitTermination(300)
-    got = {(r["job_id"], r["seq"]): (r["valid"], r["rejection"])
-           for r in spark.sql("SELECT * FROM job_stream_check").collect()}
     want = {(r["job_id"], r["seq"]): (r["valid"], r["rejection"])
             for r in J.validate_transitions(_events(spark, rows)).collect()}
-    assert got == want
+    limit = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, 20)
+
+    def run():
+        stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        with T.state_store(spark):
+            q = (T.validate_stream(stream).writeStream.format("parquet").option("path", f"{tmp_path}/out")
+                 .option("checkpointLocation", f"{tmp_path}/progress").trigger(availableNow=True).start())
+        assert q.awaitTermination(200)
+        return q
+
+    try:
+        for at, part in enumerate((ev.filter("seq < 200"), ev.filter("seq >= 200 and seq < 400"))):
+            part.orderBy("seq" if at else F.desc("seq")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        assert len([p for p in run().recentProgress if p["numInputRows"]]) == 2
+        ev.filter("seq >= 400").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        run()
+        run()  # nothing new
+    finally:
+        spark.conf.set(limit, before)
+    out = spark.read.parquet(f"{tmp_path}/out").collect()
+    assert len(out) == len(rows) and {(r["job_id"], r["seq"]): (r["valid"], r["rejection"]) for r in out} == want
+
+
+def test_sorted_runs_are_merged_piece_by_piece(monkeypatch):
+    import pandas as pd
+    from docyard.streaming import job_state as T
+
+    class Value:
+        kept = None
+        def get(self): return self.kept
+        def update(self, v): self.kept = v
+
+    class Map(dict):
+        most = 0
+        def updateValue(self, k, v):
+            self[k] = v
+            self.most = max(self.most, len(v[0]))
+        def getValue(self, k): return self[k]
+        def removeKey(self, k): del self[k]
+
+    monkeypatch.setattr(T, "PIECE", 7)
+    job = T.JobState()
+    job.current, job.aside = Value(), Map()
+    import random
+    rnd = random.Random(9)
+    seq = [rnd.choice(["queued", "running", "done", "failed"]) for _ in range(100)]
+    order = list(range(100))
+    rnd.shuffle(order)
+    frames = [pd.DataFrame({"at": [i // 2 for i in part], "seq": part, "status": [seq[i] for i in part]})
+              for part in (order[a:a + 30] for a in range(0, 100, 30))]
+    out = pd.concat(job.handleInputRows(("j",), iter(frames), None))
+    assert out["seq"].tolist() == list(range(100)) and not job.aside and job.aside.most == 7
+    got = [(bool(v), None if pd.isna(w) else w) for v, w in zip(out["valid"], out["rejection"])]
+    assert got == _fold(seq, "j") and list(job.handleInputRows(("j",), iter([]), None)) == []
 
 
 def test_index_keys_and_reference_key_mode(spark):
