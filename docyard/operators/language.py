@@ -1,13 +1,14 @@
-"""Language identification: character-trigram naive Bayes, trained and applied on Spark.
+"""Language identification: character-trigram naive Bayes, trained and applied as joins and sums.
 
 Training is a Spark aggregation over labelled text (explode trigrams,
 ``groupBy(lang, gram).count()`` with map-side partial aggregation); ``training_share`` bounds
-the labelled rows it reads. The model is the profile as three flat arrays: sorted trigram codes
-(three code points in one integer), their log weights per language, and the languages' totals.
+the labelled rows it reads. The model is a written table: one row per gram with its weight in every language. Nothing
+of it passes through the driver but the languages' names, so it may grow with the corpus and its scripts.
 
-Scoring is vectorised per Arrow batch: the samples' code points lie in one array, every trigram is
-one integer, one binary search finds all of them in the profile, and sums per row give the scores. Only the
-detection sample crosses to Python, and attaching a language never shuffles the text.
+Scoring: the distinct grams of a sample with their counts meet the profile on the gram, one sum per
+language is combined map-side for each sample, and the best language is the largest sum. Spark sees the profile's
+size on disk and broadcasts it where its own limit allows; a larger one is joined by sort and merge. Equal
+samples are one key (their hash), and only (hash, language, confidence) rows are joined back to the documents.
 
 Text rule: the sample is the first ``sample_chars`` characters (None: the whole text), stripped
 (empty sample -> NULL); lower case; every run of non-letters becomes one
@@ -16,23 +17,21 @@ are all substrings of length 3.
 Score of language L: sum over the sample's grams of log((c[L,g]+1)/(T[L]+V)),
 with c the training count, T[L] the training gram total of L, V the number of
 distinct training grams. Probabilities are the softmax over languages; the
-best language is returned when its probability reaches the threshold.
+best language (ties: the first by name) is returned when its probability reaches the threshold.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from docyard.functions.text import bind_column, py_strip
+from docyard.session import drop_path, scratch_path
 
-_BITS = 21  # a code point
+#: A row of the profile that is no gram: what every gram of a sample costs in each language.
+COST = "#cost"
 
 
 def normalized_letters(col: Column | str) -> Column:
@@ -57,86 +56,82 @@ def train_profile(df: DataFrame, text_col: str = "text", label_col: str = "lang"
               .groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n")))
 
 
-def gram_codes(points: np.ndarray) -> np.ndarray:
-    """Every three neighbouring code points as one integer."""
-    p = points.astype(np.int64)
-    return (p[:-2] << 2 * _BITS) | (p[1:-1] << _BITS) | p[2:]
+def gram_counts(normalized: Column) -> Column:
+    """The distinct grams of a normalised text and how often each occurs, by gram."""
+    grams = F.array_sort(F.regexp_extract_all(normalized, F.lit("(?=(.{3}))"), 1))
+    firsts = F.transform(F.array(grams), lambda g: F.struct(g.alias("g"), F.filter(
+        F.transform(g, lambda x, i: F.named_struct(F.lit("gram"), x, F.lit("at"), i, F.lit("first"),
+                                                   ~x.eqNullSafe(F.get(g, i - 1)))), lambda r: r["first"]).alias("f")))
+    return F.get(F.transform(firsts, lambda s: F.transform(s["f"], lambda r, j: F.named_struct(
+        F.lit("gram"), r["gram"], F.lit("n"), F.coalesce(F.get(s["f"], j + 1)["at"], F.size(s["g"])) - r["at"]))), 0)
 
 
 @dataclass
 class LanguageModel:
+    """A written profile: ``gram`` and ``weights``, one per language in the order of ``languages``."""
+
+    path: str
     languages: list[str]
-    log_denominator: np.ndarray          # log(T[L] + V) per language
-    codes: np.ndarray                    # sorted gram codes
-    weights: np.ndarray                  # per code and language: log(c[L,g] + 1)
-
-    def score(self, normalized: list[str | None]) -> tuple[list[str | None], list[float | None]]:
-        """Best language and its probability for each normalised sample (None: nothing to score)."""
-        real = [k for k, s in enumerate(normalized) if s is not None and len(s) >= 3]
-        best: list[str | None] = [None] * len(normalized)
-        sure: list[float | None] = [None] * len(normalized)
-        if not real or not self.languages:
-            return best, sure
-        lengths = np.array([len(normalized[k]) for k in real])
-        points = np.frombuffer("".join(normalized[k] for k in real).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        row = np.repeat(np.arange(len(real)), lengths)
-        codes = gram_codes(points)
-        inside = row[:-2] == row[2:]
-        codes, row = codes[inside], row[:-2][inside]
-        at = np.searchsorted(self.codes, codes)
-        at[at == len(self.codes)] = 0
-        known = self.codes[at] == codes
-        sums = np.column_stack([np.bincount(row[known], self.weights[at[known], j], minlength=len(real))
-                                for j in range(len(self.languages))])
-        scores = sums - (lengths - 2)[:, None] * self.log_denominator
-        top = scores.argmax(axis=1)
-        p = 1.0 / np.exp(scores - scores.max(axis=1, keepdims=True)).sum(axis=1)
-        for k, j, q in zip(real, top, p):
-            best[k], sure[k] = self.languages[j], float(q)
-        return best, sure
+    profile: DataFrame
+
+    def drop(self) -> None:
+        """Delete the written profile."""
+        drop_path(self.profile.sparkSession, self.path)
 
 
 def fit_language_model(df: DataFrame, text_col: str = "text", label_col: str = "lang",
                        training_share: float = 1.0) -> LanguageModel:
-    """Train on Spark; the profile (distinct trigrams times languages) becomes the model's arrays.
+    """Train on Spark and write the profile into the shared scratch folder.
 
     ``training_share`` < 1 learns from that share of the labelled rows, chosen by a hash of the text.
     """
     if training_share < 1:
         df = df.filter(F.pmod(F.xxhash64(F.col(text_col)), F.lit(1_000_000)) < int(training_share * 1_000_000))
-    prof = train_profile(df, text_col, label_col).toPandas()
-    languages = sorted(prof["lang"].unique())
-    grams, place = np.unique(prof["gram"].to_numpy(dtype=str), return_inverse=True)
-    counts = np.zeros((len(grams), len(languages)))
-    column = prof["lang"].map({lang: j for j, lang in enumerate(languages)}).to_numpy(dtype=int)
-    np.add.at(counts, (place, column), prof["n"].to_numpy(dtype=float))
-    codes = np.array([gram_codes(np.array([ord(c) for c in g]))[0] for g in grams.tolist()], dtype=np.int64)
-    order = np.argsort(codes)
-    log_den = np.log(counts.sum(axis=0) + len(grams)) if len(grams) else np.zeros(0)
-    return LanguageModel(languages, log_den, codes[order], np.log(counts[order] + 1))
-
-
-_RESULT = StructType([StructField("language", StringType()), StructField("confidence", DoubleType())])
+    spark = df.sparkSession
+    counted = scratch_path(spark, "language-counts")
+    path = scratch_path(spark, "language-profile")
+    try:
+        train_profile(df, text_col, label_col).groupBy("gram").agg(
+            F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("counts")).write.parquet(counted)
+        counts = spark.read.parquet(counted)
+        vocabulary = float(counts.count())
+        # one total per language: as many numbers as there are languages
+        totals = counts.select(F.explode("counts").alias("lang", "n")).groupBy("lang").agg(F.sum("n").alias("t")).collect()
+        totals = {r["lang"]: float(r["t"]) for r in sorted(totals, key=lambda r: r["lang"])}
+        weight = lambda lang: F.log(F.coalesce(F.try_element_at("counts", F.lit(lang)), F.lit(0)) + 1.0)
+        grams = counts.select("gram", F.array(*map(weight, totals)).cast("array<double>").alias("weights"))
+        cost = spark.range(1).select(F.lit(COST).alias("gram"), F.array(
+            *[-F.log(F.lit(t + vocabulary)) for t in totals.values()]).cast("array<double>").alias("weights"))
+        grams.unionByName(cost).write.parquet(path)
+    finally:
+        drop_path(spark, counted)
+    return LanguageModel(path, list(totals), spark.read.parquet(path))
+
+
+def language_scores(samples: DataFrame, model: LanguageModel) -> DataFrame:
+    """(_key, _lang, _sure) of each distinct ``_key``; ``samples``: _key and the normalised text _norm."""
+    cost = F.array(F.named_struct(F.lit("gram"), F.lit(COST), F.lit("n"), F.length("_norm") - 2))
+    grams = samples.select("_key", F.inline(F.concat(gram_counts(F.col("_norm")), cost)))
+    scores = [F.sum(F.col("n") * F.get("weights", F.lit(j))) for j in range(len(model.languages))]
+    per = grams.join(model.profile, "gram").groupBy("_key").agg(
+        F.count_if(F.col("gram") == COST).alias("_copies"), F.array(*scores).cast("array<double>").alias("_all"))
+    names = F.array(*map(F.lit, model.languages)).cast("array<string>")
+    best = F.array_max("_all")
+    odds = F.aggregate("_all", F.lit(0.0), lambda acc, s: acc + F.exp((s - best) / F.col("_copies")))
+    return per.filter(F.size("_all") > 0).select(
+        "_key", F.get(names, F.array_position("_all", best).cast("int") - 1).alias("_lang"), (F.lit(1.0) / odds).alias("_sure"))
 
 
 def detect_language(df: DataFrame, model: LanguageModel, text_col: str = "content",
                     threshold: float = 0.9, sample_chars: int | None = 2000,
                     out_col: str = "language", confidence_col: str | None = None) -> DataFrame:
     """Add the detected language (NULL when empty or below ``threshold``)."""
-    shared = df.sparkSession.sparkContext.broadcast(model)
-
-    @F.pandas_udf(_RESULT)
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for samples in batches:
-            best, sure = shared.value.score(samples.to_list())
-            yield pd.DataFrame({"language": pd.Series(best, dtype="object"), "confidence": pd.Series(sure, dtype="float64")})
-
     sample = detection_sample(text_col, sample_chars)
-    normalized = F.when(sample != F.lit(""), normalized_letters(sample))
-    # bound once: a later filter on the language must not call the scorer again
-    out = bind_column(df, "_lid", score(normalized))
-    lang = F.when(F.col("_lid.confidence") >= F.lit(threshold), F.col("_lid.language"))
-    out = out.withColumn(out_col, lang)
-    if confidence_col:
-        out = out.withColumn(confidence_col, F.col("_lid.confidence"))
-    return out.drop("_lid")
+    keyed = bind_column(df, "_norm", F.when(sample != F.lit(""), normalized_letters(sample)))
+    own = F.when(F.length("_norm") >= 3, F.md5("_norm"))   # shorter: nothing to score
+    scores = language_scores(keyed.select(own.alias("_key"), "_norm").filter(F.col("_key").isNotNull()), model)
+    lang = F.when(F.col("_sure") >= F.lit(threshold), F.col("_lang"))
+    found = scores.select(F.col("_key").alias("_lid"), lang.alias(out_col), F.col("_sure").alias(confidence_col or "_conf"))
+    rest = [c for c in df.columns if c not in (out_col, confidence_col)]
+    out = keyed.withColumn("_key", own).select(*rest, "_key").join(found, F.col("_key") == F.col("_lid"), "left")
+    return out.select(*rest, out_col, *([confidence_col] if confidence_col else []))

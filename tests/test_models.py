@@ -130,19 +130,50 @@ def test_language_detection(spark, lang_model):
 
 
 def test_language_scores_equal_the_formula(spark, lang_model):
+    """Against plain counting; equal samples are scored once, texts too short or without letters not at all."""
     import math
+    from collections import Counter
+    from docyard.operators.language import detect_language, train_profile
+    from docyard.sources.tables import read_table
 
-    m = lang_model
-    place = {int(c): k for k, c in enumerate(m.codes)}
-    text = " the onhe ßx and "
-    want = []
-    for j in range(len(m.languages)):
-        grams = [sum(ord(c) << s for c, s in zip(text[i:i + 3], (42, 21, 0))) for i in range(len(text) - 2)]
-        want.append(sum(m.weights[place[g], j] if g in place else 0 for g in grams) - len(grams) * m.log_denominator[j])
-    best, p = m.score([None, text, "x"])
-    top = max(range(len(want)), key=want.__getitem__)
-    assert best == [None, m.languages[top], None]
-    assert math.isclose(p[1], 1 / sum(math.exp(w - want[top]) for w in want))
+    counts = Counter({(r["lang"], r["gram"]): r["n"] for r in
+                      train_profile(read_table(spark, SMOKE, "documents")).collect()})
+    languages = sorted({lang for lang, _ in counts})
+    size = len({g for _, g in counts})
+    total = {x: sum(n for (lang, _), n in counts.items() if lang == x) for x in languages}
+    texts = [" the onhe ßx and ", "und die Straße  und die", "qqq zzz", "a", "12 34", None, "the the the"] + ["the onhe ßx and"] * 5
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, text string").withColumn("language", F.lit("old"))
+    out = detect_language(df, lang_model, "text", 0.0, confidence_col="sure")
+    assert out.columns == ["k", "text", "language", "sure"]
+    got = {r["k"]: (r["language"], r["sure"]) for r in out.collect()}
+    assert len(got) == len(texts) and got[4] == got[5] == (None, None)
+    for k, t in enumerate(texts):
+        if got[k][0] is None:
+            continue
+        s = " " + " ".join("".join(c if c.isalpha() else " " for c in t.lower()).split()) + " "
+        grams = [s[i:i + 3] for i in range(len(s) - 2)]
+        score = {x: sum(math.log((counts[x, g] + 1) / (total[x] + size)) for g in grams) for x in languages}
+        top = max(score, key=score.get)
+        assert got[k][0] == top and math.isclose(got[k][1], 1 / sum(math.exp(w - score[top]) for w in score.values())), t
+
+
+def test_language_model_stays_off_the_driver(spark, lang_model):
+    """The profile is joined, on narrow rows; no Python, and the documents move once at most."""
+    import re
+    from docyard.operators.language import detect_language
+    df = spark.createDataFrame([(1, "the text")], "k int, text string")
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    for size in ("10485760", "-1"):
+        before = spark.conf.get(limit)
+        spark.conf.set(limit, size)
+        try:
+            out = detect_language(df, lang_model, "text")
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            assert not re.search("Python|Pandas|NestedLoop|Cartesian", plan)
+            assert ("BroadcastHashJoin [gram" in plan) == (size != "-1")
+            assert len(out.collect()) == 1
+        finally:
+            spark.conf.set(limit, before)
 
 
 def test_clean_documents_drops(spark, lang_model):
