@@ -11,7 +11,13 @@ sample of pages whose markup names its parts (article, nav, footer ...) labels i
 which those parts carry other tags and class names and further kinds of boilerplate are mixed in, teach
 the model pages that do not.
 
-All pages of an Arrow batch are swept together, level by level, in numpy. Parsing is linear in the page.
+A name is read by whole class tokens: a token with a word like ``sidebar`` marks boilerplate unless another of its words says that it
+states something (``no-sidebar``, ``comments-open``). What such a name is worth depends on what it covers: ``html`` and ``body`` are
+never marked, an ``article`` only by a token made of such words alone, and a node with most of the page's text only so and
+if no article lies in it. Only marked nodes hand their mark on to what is below them.
+
+All pages of an Arrow batch are swept together, level by level, in numpy. Parsing is linear in the page. A comment or tag without an
+end runs to the end of the page. Labels are read from re-dressed pages only, never from a page's own attributes.
 
 Defined results: a null or empty page, or one without content, gives an empty text; repeated rows give equal texts;
 an empty table gives an empty result (and a model trained on built-in layouts); other columns are ignored.
@@ -21,7 +27,7 @@ from __future__ import annotations
 
 import random
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html import escape
@@ -63,13 +69,23 @@ BAD_WORDS = frozenset("""nav navbar navigation menu header footer sidebar aside
     masthead toolbar skip tags rail outbrain taboola complementary contentinfo dialog""".split())
 GOOD_WORDS = frozenset("article content post entry story main body text prose blog page articlebody".split())
 
+#: A class token with one of these says what a page has or does, not what a box is.
+STATE_WORDS = frozenset("""no not non has have with without is are off on out in open opened closed close enabled disabled set unset
+    active inactive hide hidden show shown logged loaded ready js""".split())
+#: Words of readers' comments: a token with one of them is a box of comments, whatever else it says.
+COMMENT_WORDS = frozenset("comment comments reply replies respond discussion disqus".split())
+#: Node names: marks boilerplate, made of such words alone, marks an article.
+BAD, WHOLLY_BAD, GOOD = 1, 2, 4
+#: Share of the page's text from which a node is a container rather than a box.
+MOST = 0.5
+
 _SPACE = re.compile(r"\s+")
 _TOKENS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _ENDS = re.compile(r"[.!?]")
 
 FEATURES = ("bias", "leaf", "page_part", "content_part", "heading", "list_part", "paragraph", "bad_word", "good_word",
             "hidden", "link_share", "all_links", "no_links_long", "log_words", "short", "sentence_ends", "boxes",
-            "under_bad", "under_good")
+            "under_bad", "under_good", "bad_cover", "beside_article")
 EDGES = 2  # parent to block, parent to text block
 
 
@@ -79,19 +95,36 @@ class Tree:
 
     parent: list[int]
     tag: list[str]
-    words: list[frozenset]
+    name: list[int]  # BAD, WHOLLY_BAD, GOOD
     hidden: list[bool]
     text: list[str]  # of text blocks; empty for elements
     linked: list[int]  # characters inside links, of text blocks
     label: list[int]  # training only: 1 content, 0 other
 
 
+def name_of(attrs: dict[str, str]) -> int:
+    """What a node's class, id, role and itemprop call it."""
+    out = 0
+    for key in ("class", "id", "role", "itemprop"):
+        for token in attrs.get(key, "").split():
+            words = [w.lower() for w in _TOKENS.findall(token)]
+            bad = [w in BAD_WORDS for w in words]
+            if any(w in STATE_WORDS for w in words):
+                continue
+            if any(bad):
+                out |= BAD | (WHOLLY_BAD if all(bad) or not COMMENT_WORDS.isdisjoint(words) else 0)
+            elif any(w in GOOD_WORDS for w in words):
+                out |= GOOD
+    return out
+
+
 class _Builder(HTMLParser):
-    def __init__(self):
+    def __init__(self, labelled: bool):
         super().__init__(convert_charrefs=True)
-        self.tree = Tree([-1], ["#page"], [frozenset()], [False], [""], [0], [-1])
+        self.labelled = labelled
+        self.tree = Tree([-1], ["#page"], [0], [False], [""], [0], [-1])
         self.open: list[tuple[str, int]] = [("#page", 0)]  # tag, node (-1: not a block)
-        self.count: Counter = Counter()
+        self.at: dict[str, list[int]] = defaultdict(list)  # places of the open elements of each kind
         self.block = [0]
         self.silent = 0
         self.links = 0
@@ -101,19 +134,19 @@ class _Builder(HTMLParser):
     def _flush(self) -> None:
         text = _SPACE.sub(" ", "".join(self.parts)).strip()
         if text:
-            self._node("#text", frozenset(), False, text, min(self.link_chars, len(text)))
+            self._node("#text", 0, False, text, min(self.link_chars, len(text)))
         self.parts, self.link_chars = [], 0
 
-    def _node(self, tag, words, hidden, text="", linked=0, label=-1) -> int:
+    def _node(self, tag, name, hidden, text="", linked=0, label=-1) -> int:
         t = self.tree
-        for column, value in ((t.parent, self.block[-1]), (t.tag, tag), (t.words, words), (t.hidden, hidden),
+        for column, value in ((t.parent, self.block[-1]), (t.tag, tag), (t.name, name), (t.hidden, hidden),
                               (t.text, text), (t.linked, linked), (t.label, label)):
             column.append(value)
         return len(t.tag) - 1
 
     def _pop(self) -> None:
         tag, node = self.open.pop()
-        self.count[tag] -= 1
+        self.at[tag].pop()
         if tag in SILENT:
             self.silent -= 1
         if tag == "a":
@@ -123,28 +156,25 @@ class _Builder(HTMLParser):
             self.block.pop()
 
     def _close(self, kinds: set, stoppers: set) -> None:
-        if not any(self.count[k] for k in kinds):
-            return
-        at = len(self.open) - 1
-        while at > 0 and self.open[at][0] not in kinds:
-            if self.open[at][0] in stoppers:
-                return
-            at -= 1
-        while len(self.open) > at > 0:
-            self._pop()
+        """Close the nearest open element of these kinds and all within it, unless a stopper lies between."""
+        nearest = lambda tags: max((self.at[t][-1] for t in tags if self.at[t]), default=0)
+        at = nearest(kinds)
+        if at > nearest(stoppers):
+            while len(self.open) > at:
+                self._pop()
 
     def _end_head(self) -> None:
         if self.open[-1][0] == "head":
             self._pop()
 
     def handle_starttag(self, tag, attrs):
-        if tag == "head" and self.count["head"]:
+        if tag == "head" and self.at["head"]:
             return
         if tag not in HEAD_PARTS:
             self._end_head()
-        if tag == "body" and self.count["head"]:
+        if tag == "body" and self.at["head"]:
             self._close({"head"}, {"template"})
-        if tag in BLOCKS and self.count["p"]:
+        if tag in BLOCKS and self.at["p"]:
             self._close({"p"}, {"table", "td", "th", "button", "object"})
         if tag in CLOSES:
             self._close(*CLOSES[tag])
@@ -154,10 +184,10 @@ class _Builder(HTMLParser):
         if tag in BLOCKS and not self.silent:
             self._flush()
             own = {k: v or "" for k, v in attrs}
-            words = frozenset(w.lower() for k in ("class", "id", "role", "itemprop") for w in _TOKENS.findall(own.get(k, "")))
             hidden = ("hidden" in own or own.get("aria-hidden") == "true"
                       or "display:none" in own.get("style", "").replace(" ", "").lower())
-            node = self._node(tag, words, hidden, label=int(own["data-label"]) if own.get("data-label") in ("0", "1") else -1)
+            given = own.get("data-label") if self.labelled else None
+            node = self._node(tag, name_of(own), hidden, label=int(given) if given in ("0", "1") else -1)
         if tag in VOID:
             return
         if node >= 0:
@@ -166,8 +196,8 @@ class _Builder(HTMLParser):
             self.silent += 1
         if tag == "a":
             self.links += 1
+        self.at[tag].append(len(self.open))
         self.open.append((tag, node))
-        self.count[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)  # a slash closes nothing in HTML
@@ -175,9 +205,28 @@ class _Builder(HTMLParser):
             self._pop()
 
     def handle_endtag(self, tag):
-        if tag not in VOID and self.count[tag]:
+        if tag not in VOID and self.at[tag]:
             self._close({tag}, set())
 
+    # the whole page is fed at once: what has no end runs to the end of the page
+    def _to_end(self, k: int) -> int:
+        return len(self.rawdata) if k < 0 else k
+
+    def parse_comment(self, i, report=1):
+        return self._to_end(super().parse_comment(i, report))
+
+    def parse_pi(self, i):
+        return self._to_end(super().parse_pi(i))
+
+    def parse_html_declaration(self, i):
+        return self._to_end(super().parse_html_declaration(i))
+
+    def parse_starttag(self, i):
+        return self._to_end(super().parse_starttag(i))
+
+    def parse_endtag(self, i):
+        return self._to_end(super().parse_endtag(i))
+
     def handle_data(self, data):
         if data.strip():
             self._end_head()
@@ -194,12 +243,30 @@ class _Builder(HTMLParser):
         return self.tree
 
 
-def parse(html: str | None) -> Tree:
-    builder = _Builder()
+def parse(html: str | None, labelled: bool = False) -> Tree:
+    """The page's tree; ``labelled``: with the labels that ``redress`` has written into it."""
+    builder = _Builder(labelled)
     builder.feed((html or "").replace("\x00", ""))
     return builder.finish()
 
 
+def named_parts(tree: Tree, cover: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per node: whether its tag or name marks it as boilerplate, and whether as an article. ``cover``: its share of the text."""
+    n = len(tree.tag)
+    article = np.array([tag in CONTENT_PARTS for tag in tree.tag])
+    bad, wholly, good = (np.array([bool(x & flag) for x in tree.name]) for flag in (BAD, WHOLLY_BAD, GOOD))
+    top = np.array([tag in ("html", "body", "#page") for tag in tree.tag])
+    part = np.array([tag in PAGE_PARTS for tag in tree.tag])
+    good = (good | article) & ~top
+    holds = (good & ~wholly) | np.array([tag == "h1" for tag in tree.tag])  # an article lies in it, or its title
+    for k in range(n - 1, 0, -1):
+        holds[tree.parent[k]] |= holds[k]
+    most = cover >= MOST
+    marked = np.where(article, wholly, np.where(most, wholly & ~holds, bad)) | (part & ~(most & holds))
+    marked &= ~top
+    return marked, good & ~marked
+
+
 def node_features(tree: Tree) -> np.ndarray:
     """One row of FEATURES per node; an element's text figures are those of all text below it."""
     n = len(tree.tag)
@@ -216,15 +283,22 @@ def node_features(tree: Tree) -> np.ndarray:
         ends[p] += ends[k]
         boxes[p] += boxes[k]
     share = linked / np.maximum(chars, 1)
+    cover = chars / max(1, chars[0])
+    marked, good = named_parts(tree, cover)
+    # an article holds text, and this node is neither in it nor around it
+    article = np.array([tag in CONTENT_PARTS for tag in tree.tag]) & ~marked & (chars > 0)
+    inside, around = article.copy(), article.copy()
+    for k in range(n - 1, 0, -1):
+        around[tree.parent[k]] |= around[k]
     out = np.zeros((n, len(FEATURES)))
-    under = [0] * n  # what the nearest named element around a node is called: -1 boilerplate, 1 article
+    under = [0] * n  # what the nearest marked element around a node is: -1 boilerplate, 1 article
     for k, tag in enumerate(tree.tag):
-        bad = not BAD_WORDS.isdisjoint(tree.words[k])
-        good = not bad and not GOOD_WORDS.isdisjoint(tree.words[k])
-        around = under[tree.parent[k]] if k else 0
-        under[k] = -1 if bad or tag in PAGE_PARTS else 1 if good or tag in CONTENT_PARTS else around
+        up = tree.parent[k]
+        inside[k] |= k > 0 and inside[up]
+        under[k] = -1 if marked[k] else 1 if good[k] else under[up] if k else 0
         out[k] = (1, tag == "#text", tag in PAGE_PARTS, tag in CONTENT_PARTS, tag in HEADINGS, tag in LIST_PARTS, tag == "p",
-                  bad, good, tree.hidden[k], 0, 0, 0, 0, 0, 0, 0, under[k] < 0, under[k] > 0)
+                  bool(tree.name[k] & BAD), good[k], tree.hidden[k], 0, 0, 0, 0, 0, 0, 0, under[k] < 0, under[k] > 0,
+                  bool(tree.name[k] & BAD) * cover[k], article.any() and not inside[k] and not around[k])
     out[:, 10] = share
     out[:, 11] = share > 0.9
     out[:, 12] = (share < 0.1) & (words >= 20)
@@ -327,13 +401,16 @@ def train(trees: list[Tree], iterations: int = ITERATIONS, l2: float = 0.002) ->
 
 def self_label(tree: Tree) -> bool:
     """Label a page by the names of its parts; False when it names no article."""
+    chars = np.array([float(len(t)) for t in tree.text])
+    for k in range(len(chars) - 1, 0, -1):
+        chars[tree.parent[k]] += chars[k]
+    marked, _ = named_parts(tree, chars / max(1.0, chars[0]))
     named = False
     for k, tag in enumerate(tree.tag):
-        bad = tag in PAGE_PARTS or not BAD_WORDS.isdisjoint(tree.words[k])
-        if tag in CONTENT_PARTS and not bad:
-            tree.label[k], named = 1, True
-        elif bad:
+        if marked[k]:
             tree.label[k] = 0
+        elif tag in CONTENT_PARTS:
+            tree.label[k], named = 1, True
     return named
 
 
@@ -343,6 +420,10 @@ _BOXES = (("header", ("site-header", "masthead", "top-banner")), ("nav", ("menu"
           ("section", ("comments", "comment-list", "discussion", "replies")), ("div", ("share-buttons", "social")),
           ("footer", ("site-footer", "copyright")))
 _ARTICLES = (("article", ""), ("main", ""), ("div", "post-content"), ("div", "article-body"), ("section", "story"), ("div", "entry"))
+#: Names that containers and articles carry besides: layouts and states, no boxes.
+_LAYOUTS = ("single-post no-sidebar", "has-header", "page with-nav", "layout sidebar-left", "logged-out cookies-not-set", "comments-open",
+            "widget-area-off", "grid", "site", "home page-template", "footer-fixed")
+_STYLES = ("story-more", "post more-info", "article-tags-x", "h-entry", "featured", "post comments-open")
 _FILLER = ("This line stands for a paragraph of an article, long enough to read like one, with a clause and an end. ",
            "Another paragraph follows it, and tells a little more about the same thing before the page goes on.")
 
@@ -366,7 +447,16 @@ def redress(blocks: list[str], scraps: list[str], rng: random.Random) -> str:
             inner = "".join(f"<p>{t}</p>" for t in texts) if rng.random() < 0.5 else " ".join(texts)
         return f'<{shown}{mark} data-label="0">{inner}</{shown}>'
 
+    def remarks() -> str:
+        """Readers' comments in a list or boxes that no name tells."""
+        texts = [escape(t) for t in rng.choices(blocks, k=rng.randint(1, 4))]
+        if rng.random() < 0.5:
+            return '<ol data-label="0">' + "".join(f"<li><p>{t}</p></li>" if rng.random() < 0.5 else f"<li>{t}</li>" for t in texts) + "</ol>"
+        return '<div data-label="0">' + "".join(f"<div><p>{t}</p></div>" for t in texts) + "</div>"
+
     tag, name = rng.choice(_ARTICLES)
+    if rng.random() < 0.4:
+        name = " ".join(filter(None, (name, rng.choice(_STYLES))))
     if rng.random() < 0.3:  # a very short article: its place has to tell
         blocks = [" ".join(b.split()[:rng.randint(1, 6)]) for b in blocks[:rng.randint(1, 2)]]
     inside = [f"<h1>{escape(blocks[0][:60])}</h1>"]
@@ -379,8 +469,14 @@ def redress(blocks: list[str], scraps: list[str], rng: random.Random) -> str:
     body = [box() for _ in range(rng.randint(1, 4))]
     article = f'<{tag}{f" class={chr(34)}{name}{chr(34)}" if name else ""} data-label="1">{"".join(inside)}</{tag}>'
     tail = [box() for _ in range(rng.randint(0, 3))]
+    if tag in CONTENT_PARTS and rng.random() < 0.4:
+        tail.insert(0, remarks())
     page = "".join(body) + article + "".join(tail)
-    return f"<body><div id='wrap'>{page}</div></body>" if rng.random() < 0.4 else f"<body>{page}</body>"
+    layout = lambda: f' class="{rng.choice(_LAYOUTS)}"' if rng.random() < 0.5 else ""
+    if rng.random() < 0.5:
+        shell = rng.choice(("div", "div", "section", "form"))
+        page = f"<{shell}{layout() or ' id=wrap'}>{page}</{shell}>"
+    return f"<body{layout()}>{page}</body>"
 
 
 def labelled_pages(htmls: list[str], seed: int = 7) -> list[Tree]:
@@ -397,7 +493,7 @@ def labelled_pages(htmls: list[str], seed: int = 7) -> list[Tree]:
             out.append(tree)
             material.append((good[:12], scraps or list(_FILLER)))
     material = material or [(list(_FILLER), ["Home", "About us", "Subscribe now", "All rights reserved."])] * 40
-    return out + [parse(redress(*m, rng)) for m in material for _ in range(2)]
+    return out + [parse(redress(*m, rng), True) for m in material for _ in range(2)]
 
 
 def fit_pages(pages: DataFrame, max_pages: int = MAX_PAGES) -> Model:

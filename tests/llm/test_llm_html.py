@@ -59,6 +59,34 @@ def test_self_closed_svg_and_math():
         assert blocks(f"<head><title>x</title>{tag}<p>one</p>") == ["one"]
 
 
+def test_what_has_no_end_runs_to_the_end_of_the_page():
+    for tail in ("<!-- never closed <p>tail", "<div class='x' <p>tail", "<!doctype x <p", "<?php <p", "</div <p"):
+        assert blocks(f"<p>one</p><!-- c --><p>two</p>{tail}")[:2] == ["one", "two"]
+    assert blocks("<p>one<!-- never closed <p>tail") == ["one"] and blocks("<p>one<!-- a --><p>two<!-- b <p>x") == ["one", "two"]
+    assert blocks("<p>1 < 2 & 3 <b>x") == ["1 < 2 & 3 x"]
+
+
+def test_a_page_labels_nothing_by_attributes():
+    assert set(H.parse("<div data-label='1'><p data-label=0>x</p></div>").label) == {-1}
+    assert set(H.parse("<div data-label='1'><p data-label=0>x</p></div>", True).label) == {-1, 0, 1}
+
+
+def test_names_are_whole_tokens():
+    name = lambda **a: H.name_of(a)
+    for state in ("no-sidebar", "has-header", "widget-area-off", "logged-out cookies-not-set", "comments-open", "isNav", "x"):
+        assert name(**{"class": state}) == 0, state
+    assert name(**{"class": "sidebar"}) == H.BAD | H.WHOLLY_BAD and name(id="side sidebar-left") == H.BAD
+    assert name(**{"class": "commentList"}) == H.BAD | H.WHOLLY_BAD and name(role="navigation") == H.BAD | H.WHOLLY_BAD
+    assert name(itemprop="articleBody") == H.GOOD and name(**{"class": "post more-info"}) == H.BAD | H.GOOD
+
+
+def test_deep_pages_are_linear():
+    t0 = time.time()
+    H.parse("<p><object>" + "<div>" * 50_000)
+    H.parse("<table>" + "<li>" * 30_000 + "<td>" * 30_000)
+    assert time.time() - t0 < 2
+
+
 def test_parsing_is_linear():
     t0 = time.time()
     for html in ("<div>" * 50_000 + "x", "<li>x" * 50_000, "<b>x</i>" * 50_000, "<p><span>" * 30_000, "<td>x" * 50_000):
@@ -81,7 +109,7 @@ def model():
 def test_held_out_accuracy_on_other_layouts(model):
     rng, right, n = random.Random(77), 0, 0
     for _ in range(200):
-        tree = H.parse(H.redress(rng.choices(FILL, k=4), ["Home", "Read also: this and that.", "Sign up"], rng))
+        tree = H.parse(H.redress(rng.choices(FILL, k=4), ["Home", "Read also: this and that.", "Sign up"], rng), True)
         truth = H._spread_labels(tree)
         p, _ = H.sweep(model, *H.flatten([tree]))
         for k, text in enumerate(tree.text):
@@ -98,6 +126,39 @@ def test_main_text_leaves_everything_else_out(model):
     assert H.extract_batch(model, [page]) == [f"Title\n\n{FILL[1]} <b>\n\n{FILL[2]}"]
 
 
+CLASSES = ("single-post no-sidebar", "has-header", "page with-nav", "widget-area-off", "logged-out cookies-not-set", "comments-open",
+           "story-more", "post more-info", "article-tags-x", "layout sidebar-left")
+
+
+@pytest.mark.parametrize("cls", CLASSES)
+def test_ordinary_class_names_lose_no_article(model, cls):
+    """On the body, on a wrapper and on the article, with and without an ``article`` element."""
+    ps = "".join(f"<p>{t}</p>" for t in FILL)
+    rest = ("<nav><ul><li><a href=x>Home</a></li></ul></nav>", "<footer>(c) me</footer>")
+    pages = [f"<body class='{cls}'><div>{ps}</div></body>", f"<body><div class='{cls}'>{ps}</div></body>",
+             f"<body class='{cls}'><article>{ps}</article></body>", f"<body><article class='{cls}'>{ps}</article></body>",
+             f"<body class='{cls}'>{rest[0]}<div class='{cls}'><article>{ps}</article></div>{rest[1]}</body>",
+             f"<body>{rest[0]}<form class='{cls}'><article class='{cls}'>{ps}</article></form>{rest[1]}</body>"]
+    assert H.extract_batch(model, pages) == ["\n\n".join(FILL)] * len(pages)
+
+
+def test_whole_pages(model):
+    """Hand-made pages with their full expected texts."""
+    ps, want = "".join(f"<p>{t}</p>" for t in FILL), "\n\n".join(FILL)
+    remark = "I like it a lot, thank you. It was a good read."
+    pages = {
+        f"<article>{ps}</article><ol><li>{remark}</li><li><p>{remark}</p></li></ol>": want,
+        f"<article>{ps}</article><section class='comments'><ol>{f'<li><p>{remark}</p></li>' * 9}</ol></section>": want,
+        f"<article>{ps}</article><div class='comment-list'>{f'<div><p>{FILL[0]}</p></div>' * 9}</div>": want,
+        f"<article>{ps}</article><div data-label='1'><nav><ul><li><a href=x>Home</a></li></ul></nav></div>": want,
+        f"<main><h1>Title</h1>{ps}<aside><p>Buy now.</p></aside></main><!-- never closed <p>tail": f"Title\n\n{want}",
+        f"<header><p>Site</p></header><article><blockquote><p>{FILL[1]}</p></blockquote><ul><li>{FILL[0]}</ul></article>":
+            f"{FILL[1]}\n\n{FILL[0]}",
+        f"<nav><ul><li><a href=x>Home</a></li></ul></nav><footer>(c) me</footer>": "",
+    }
+    assert H.extract_batch(model, list(pages)) == list(pages.values())
+
+
 def test_pages_table(spark, model):
     page = f"<nav>menu</nav><article><p>{FILL[0]}</p><p>é 😀</p></article>"
     rows = [(1, "u", page), (1, "u", page), (2, None, None), (3, "v", ""), (None, "w", "<nav><a>x</a></nav>"), (4, "x", page * 400)]
