@@ -1,8 +1,8 @@
 """Packing: documents as token sequences of near-equal length by Karmarkar-Karp differencing.
 
 Every document becomes its token ids plus an end id and is cut into pieces of at most ``PIECE`` ids
-(whole sequences of ``CAPACITY`` first). Pieces are spread over groups of bounded size; each group is one
-task's work and is solved by multiway differencing: every piece starts as a partial partition with one
+(whole sequences of ``CAPACITY`` first, which need no group). The remainders are counted and spread over groups of bounded size; each
+group is one task's work and is solved by multiway differencing: every piece starts as a partial partition with one
 filled window, and the two partial partitions with the largest imbalance are merged so that the fullest
 windows of one meet the emptiest of the other, until one partition is left. When its fullest window exceeds
 the capacity, the number of windows rises to the least count at which that imbalance would fit, and the group is
@@ -28,6 +28,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docyard.llm.common import cut as lineage_cut
 from docyard.llm.common import table
 from docyard.session import ship_package
 
@@ -37,6 +38,8 @@ END_ID = 1
 PIECE = 512
 #: Wanted pieces per group (one task's work).
 GROUP_PIECES = 2048
+#: Sequence numbers of full pieces start here, above those of the groups.
+FULL = 1 << 62
 
 #: Stands for a null id inside the tasks (pandas would turn a column with nulls into floats).
 NO_ID = -(1 << 63)
@@ -177,16 +180,19 @@ def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAP
                    group_pieces: int = GROUP_PIECES) -> DataFrame:
     """One row per piece with its sequence and its offset there."""
     path = path or public_tokenizers.path("byte_bpe_50k.json")
-    groups = max(1, -(-docs.count() // group_pieces))
-    grouped = pieces(docs, path, capacity, piece).withColumn(
-        "grp", F.pmod(F.xxhash64("salt"), F.lit(groups)))
+    cuts = lineage_cut(pieces(docs, path, capacity, piece))  # narrow rows, kept once: they are counted before they are grouped
+    # a full piece is a sequence of its own; groups hold remainders only, so their size does not depend on how long documents are
+    full = cuts.filter(F.col("length") == capacity).select(
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.lit(FULL) + F.col("salt")).alias("sequence_id"),
+        F.lit(0).cast("long").alias("offset"))
+    rest = cuts.filter(F.col("length") < capacity)
+    groups = max(1, -(-rest.count() // group_pieces))
+    grouped = rest.withColumn("grp", F.pmod(F.xxhash64("salt"), F.lit(groups)))
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("salt", kind="stable").reset_index(drop=True)
         sizes = pdf["length"].to_numpy(dtype=np.int64)
-        full = np.nonzero(sizes == capacity)[0]
-        rest = np.nonzero(sizes < capacity)[0]
-        windows = [[int(k)] for k in full] + [[int(k) for k in rest[w]] for w in pack(sizes[rest], capacity)]
+        windows = pack(sizes, capacity)
         sequence, offset = np.zeros(len(pdf), dtype=np.int64), np.zeros(len(pdf), dtype=np.int64)
         for number, items in enumerate(windows):
             sequence[items] = number
@@ -195,7 +201,7 @@ def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAP
         pdf["offset"] = offset
         return pdf[["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]]
 
-    return (grouped.groupBy("grp").applyInPandas(solve, PACKED_TYPE)
+    return (grouped.groupBy("grp").applyInPandas(solve, PACKED_TYPE).unionByName(full)
             .withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID))))
 
 

@@ -46,6 +46,19 @@ def test_every_id_once_and_sequences_gapless(spark):
     assert filled / (P.CAPACITY * len(sequences)) > 0.9
 
 
+def test_groups_follow_the_remainders_not_the_documents(spark, monkeypatch):
+    """A few very long documents are not one group; full sequences are in none."""
+    rows = [(k, "word " * 40_000) for k in range(6)] + [(10 + k, "a b c") for k in range(300)]
+    seen = P.pack_documents(docs(spark, rows), group_pieces=20).collect()
+    sequences = check(rows, seen)
+    assert sum(r["sequence_id"] >= P.FULL for r in seen) == sum(r["length"] == P.CAPACITY for r in seen) > 100
+    groups = {}
+    for r in seen:
+        if r["length"] < P.CAPACITY:
+            groups.setdefault(r["sequence_id"] >> 32, []).append(r)
+    assert len(groups) > 8 and max(map(len, groups.values())) <= 60 and sequences
+
+
 def test_differencing_balances_and_keeps_every_item():
     rng = np.random.default_rng(3)
     for n, m in ((1, 1), (3, 5), (40, 7), (500, 60)):
