@@ -1,6 +1,6 @@
 """Exact top-k inner-product search by MaxScore over sharded impact postings.
 
-A vector's dimensions are its terms. Vectors are dealt over shards by a hash of their id; a shard keeps one
+A vector's dimensions are its terms. Vectors are dealt over shards by a hash of id, vector and input partition (an id on a third of all rows is spread, too); a shard keeps one
 posting list of integer impacts per dimension with the list's least and largest impact. Queries meet the
 shards in blocks. For a query and a shard, every term has a score bound (its largest possible gain
 over its least one); terms in order of their bounds split into *non-essential* ones, whose gains together cannot
@@ -131,7 +131,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
                .agg(F.min("embedding").alias("embedding")))
     shards = int(max(MIN_SHARDS, -(-vectors.count() // SHARD_VECTORS)))
     blocks = int(max(1, -(-queries.count() // QUERY_BLOCK)))
-    dealt = (vectors.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
+    dealt = (vectors.withColumn("shard", F.pmod(F.xxhash64("vec_id", "embedding", F.spark_partition_id()), F.lit(shards)).cast("int"))
              .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))))
     asked = (queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
              .withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))))

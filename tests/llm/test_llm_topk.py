@@ -35,6 +35,20 @@ def test_matches_brute_force_with_ties_and_odd_rows(spark, monkeypatch):
     assert run(spark, rows, queries) == brute(rows, queries, 5)
 
 
+def test_an_id_on_a_third_of_the_rows_is_spread(spark, monkeypatch):
+    """No shard is larger than its share, and the answer is the brute force's."""
+    rng = np.random.default_rng(6)
+    rows = [(7 if i % 3 == 0 else i, rng.normal(size=8).astype(np.float32).tolist()) for i in range(900)]
+    sizes = []
+    kept = K.search_shard
+    monkeypatch.setattr(K, "search_shard", lambda q, v, k: kept(q, v, k).assign(vec_id=len(v)))
+    df = spark.createDataFrame([(i, e, 0) for i, e in rows], SCHEMA).repartition(6)
+    sizes = [r["vec_id"] for r in K.top_k(df, df.filter("vec_id = 8"), 900).collect()]
+    assert sizes and max(sizes) < 3 * 900 / K.MIN_SHARDS
+    monkeypatch.setattr(K, "search_shard", kept)
+    assert run(spark, rows, {8, 10}) == brute(rows, {8, 10}, 5)
+
+
 def test_fewer_rows_than_k_and_no_rows(spark):
     rows = [(1, [0.5, 0.25]), (2, [0.1, -0.9])]
     assert run(spark, rows, {1}) == brute(rows, {1}, 5)
