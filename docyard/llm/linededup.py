@@ -34,7 +34,7 @@ MIN_CHARS = 12
 LG_K = 12
 #: Lines whose estimate lies within this share of the threshold (two sites at least) are counted exactly.
 NEAR = 0.15
-#: Parts that the occurrences of one line are dealt over in joins (a line may be on a third of all rows).
+#: Parts that the occurrences of one line are dealt over in joins, also those of one repeated row (a third of all rows).
 SALTS = 32
 
 
@@ -50,7 +50,7 @@ def occurrences(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     trimmed = F.trim("line")
     return (row.filter(F.length(trimmed) >= min_chars)
             .select(F.xxhash64(trimmed).alias("key"), "site", "doc_id", "row_key", "pos",
-                    F.pmod("row_key", F.lit(SALTS)).cast("int").alias("salt")))
+                    F.pmod(F.xxhash64("row_key", F.spark_partition_id()), F.lit(SALTS)).cast("int").alias("salt")))
 
 
 def _salted(lines: DataFrame) -> DataFrame:
