@@ -231,15 +231,16 @@ def base_failed(prefix: str = "") -> Column:
 
 
 def fit_rules(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> list[Rule]:
-    """Learn the list from at most about ``max_labelled`` labelled rows (chosen by a hash of the id).
+    """Learn the list from at most about ``max_labelled`` labelled ids (chosen by a hash), one row each (the least of its texts).
 
     Only rows that pass the base rule train it: the others are rejected anyway.
     """
     marks = (labels.select("doc_id", "quality").dropna().groupBy("doc_id")
              .agg((F.avg("quality") < 0.5).alias("bad")))
     marks = hashed_sample(marks, "doc_id", max_labelled)
-    rows = (docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id")
-            .select("bad", (F.pmod(F.xxhash64(F.lit("hold"), "doc_id"), F.lit(3)) == 0).alias("hold"),
+    one = docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id").groupBy("doc_id").agg(
+        F.min("text").alias("text"), F.first("bad").alias("bad"))
+    rows = (one.select("bad", (F.pmod(F.xxhash64(F.lit("hold"), "doc_id"), F.lit(3)) == 0).alias("hold"),
                     text_stats("text").alias("s"))
             .select("bad", "hold", "s.*").toPandas())
     if rows.empty:

@@ -88,6 +88,17 @@ def test_filter_rejects_bad_and_keeps_clean(spark):
     assert len(report) == df.count() and all(r["kept"] is not None and r["base_failed"] is not None for r in report)
 
 
+def test_one_labelled_id_on_very_many_rows(spark, monkeypatch):
+    """The bound on labelled ids bounds the rows that reach the driver."""
+    rows, marks = labelled(spark)
+    hot = docs(spark, rows + [(1, rows[1][1] + f" {k}") for k in range(30_000)])
+    taken = []
+    monkeypatch.setattr(Q, "learn_rules", lambda stats, bad, hold: taken.append(len(stats)) or [])
+    Q.fit_rules(hot, marks)
+    Q.fit_rules(hot, marks.filter("doc_id = 1"), 1)
+    assert taken == [240, 1]
+
+
 def test_without_labels_or_rows(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     df = docs(spark, edge_rows())
