@@ -295,7 +295,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LAB
     marks = (labels.select("doc_id", "toxic").dropna().filter(training_fold())
              .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")))
     marks = hashed_sample(marks, "doc_id", max_labelled)
-    rows = docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id").select("text", "toxic")
+    # one row per labelled id (the least of its texts), so the bound on ids bounds the rows that are fitted on
+    rows = (docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id")
+            .groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic"))
     mined = mine_features(rows)
     if mined.empty:
         return _hand_written()
