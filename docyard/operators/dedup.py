@@ -10,14 +10,14 @@ Semantics kept from the reference:
 Plan shape: the decision is made on narrow rows. ``first_keys`` is one grouped minimum
 of the input order per (tenant, hash), combined map-side, so a hash on a third of all rows leaves
 each map task as one row; ``new_keys`` is one anti join of those keys against the index. Both
-tenant rules share that join: the index side lists every hash once under its tenant and once under the empty
-tenant, which is the key of chunks without one. Only then are the chosen chunks picked out of the wide
+tenant rules share that join: its key is the hash, the tenants are compared in what is left of the condition. An index bucketed by
+hash (``docyard.sinks.hash_index``) is then read bucket by bucket and never shuffled. Only then are the chosen chunks picked out of the wide
 table, by one semi join: the text moves at most once, and not at all when Spark broadcasts the keys.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docyard.functions.hashing import chunk_hash, point_id
@@ -64,15 +64,10 @@ def first_in_batch(chunks: DataFrame, order_cols=ORDER, tenant_col: str = "tenan
     return _pick(chunks, first_keys(chunks, order_cols, tenant_col), order_cols, tenant_col)
 
 
-def _index_keys(index: DataFrame, tenant_col: str = "tenant_id") -> DataFrame:
-    """(tenant, hash) of the index, and every hash once more under the empty tenant."""
-    keys = index.select(tenant_key(tenant_col).alias("_it"), F.col("chunk_hash").alias("_ih"))
-    return keys.filter(F.col("_it").isNotNull()).unionByName(keys.select(F.lit("").alias("_it"), "_ih"))
-
-
 def _against(rows: DataFrame, tenant: Column, digest: Column, index: DataFrame, how: str, tenant_col: str) -> DataFrame:
-    keys = _index_keys(index, tenant_col)
-    return rows.join(keys, (F.coalesce(tenant, F.lit("")) == keys["_it"]) & (digest == keys["_ih"]), how)
+    """Join on the hash alone; the tenant rules are the rest of the condition, so the index is read as it lies."""
+    keys = index.select(tenant_key(tenant_col).alias("_it"), F.col("chunk_hash").alias("_ih"))
+    return rows.join(keys, (digest == keys["_ih"]) & (tenant.isNull() | (tenant == keys["_it"])), how)
 
 
 def new_keys(firsts: DataFrame, index: DataFrame | None, tenant_col: str = "tenant_id") -> DataFrame:
@@ -124,13 +119,25 @@ def in_batch_counts(chunks: DataFrame, by: str = "tenant_id") -> DataFrame:
     return out.withColumn("skipped_count", F.col("total_chunk_count") - F.col("new_chunk_count"))
 
 
-def tenant_counts(firsts: DataFrame, new: DataFrame) -> DataFrame:
-    """Per tenant key, from ``first_keys`` and its ``new_keys``: total, new and skipped chunks."""
-    total = firsts.groupBy("_t").agg(F.sum("_n").alias("total_chunk_count"))
-    fresh = new.groupBy(F.col("_t").alias("_t2")).agg(F.count(F.lit(1)).alias("new_chunk_count"))
-    out = total.join(fresh, total["_t"].eqNullSafe(fresh["_t2"]), "left").fillna(0, ["new_chunk_count"])
-    return out.select(F.col("_t").alias("tenant_id"), "total_chunk_count", "new_chunk_count",
-                      (F.col("total_chunk_count") - F.col("new_chunk_count")).alias("skipped_count"))
+def marked_keys(chunks: DataFrame, held: str, order_cols=ORDER, tenant_col: str = "tenant_id", carry=()) -> DataFrame:
+    """``first_keys`` with ``_held``: whether the index holds the key, where column ``held`` tells which chunks are indexed.
+
+    One pass over the chunks answers first places, copies and index: the key of a tenant is held when one of its own chunks
+    is, a key without tenant when any tenant's is (a window over the distinct keys of a hash).
+    """
+    place = F.struct(*[F.col(c) for c in (*_order(chunks, order_cols), *carry)])
+    keys = (chunks.select(tenant_key(tenant_col).alias("_t"), F.col("chunk_hash").alias("_h"), place.alias("_o"),
+                          F.coalesce(F.col(held), F.lit(False)).alias("_own"))
+            .groupBy("_t", "_h").agg(F.min("_o").alias("_o"), F.count(F.lit(1)).alias("_n"), F.max("_own").alias("_own")))
+    of_any = F.max(F.col("_own")).over(Window.partitionBy("_h"))
+    return keys.withColumn("_held", F.when(F.col("_t").isNull(), of_any).otherwise(F.col("_own"))).drop("_own")
+
+
+def tenant_counts(marked: DataFrame) -> DataFrame:
+    """Per tenant key, from ``marked_keys``: total, new and skipped chunks."""
+    out = marked.groupBy(F.col("_t").alias("tenant_id")).agg(F.sum("_n").alias("total_chunk_count"),
+                                                             F.count_if(~F.col("_held")).alias("new_chunk_count"))
+    return out.withColumn("skipped_count", F.col("total_chunk_count") - F.col("new_chunk_count"))
 
 
 def skipped_counts(chunks: DataFrame, new_chunks: DataFrame, by=("tenant_id", "source_path")) -> DataFrame:

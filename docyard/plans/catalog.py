@@ -321,17 +321,16 @@ new AS (SELECT * FROM r WHERE rn = 1 AND NOT EXISTS (
 """
 
 
-def _dedup_inputs(spark, sf):
-    """(chunk keys of every document, index of the labelled documents' chunks).
+def _chunk_keys(spark, sf) -> DataFrame:
+    """Chunk keys of every document: lazy and narrow, no text is kept behind the hash."""
+    chunks = K.chunk_fixed(corpus_documents(spark, sf), SIZE, OVERLAP_PCT, offsets=False)
+    return chunks.select("doc_id", "tenant_id", "source_path", "chunk_index", chunk_hash("text").alias("chunk_hash"))
 
-    Both are lazy and narrow: no text is kept behind the hash.
-    """
-    d = corpus_documents(spark, sf)
-    chunks = D.with_identity(K.chunk_fixed(d, SIZE, OVERLAP_PCT, offsets=False)).select(
-        "doc_id", "tenant_id", "source_path", "chunk_index", "chunk_hash")
-    labelled = read_table(spark, sf, "labels").select("doc_id")
-    index = chunks.join(labelled, "doc_id", "left_semi").select("tenant_id", "chunk_hash")
-    return chunks, index
+
+def _indexed_keys(spark, sf) -> DataFrame:
+    """The chunk keys, marked where an earlier run has indexed them (the labelled documents): one chunking, narrow rows joined."""
+    labelled = read_table(spark, sf, "labels").select("doc_id").distinct().withColumn("indexed", F.lit(True))
+    return _chunk_keys(spark, sf).join(labelled, "doc_id", "left")
 
 
 def _first_chunks(keys: DataFrame) -> DataFrame:
@@ -342,16 +341,33 @@ def _first_chunks(keys: DataFrame) -> DataFrame:
 SELECT doc_id, CAST(chunk_index AS BIGINT) AS chunk_index, chunk_hash FROM r WHERE rn = 1
 """)
 def q_dedup_in_batch(spark, sf):
-    chunks, _ = _dedup_inputs(spark, sf)
-    return _first_chunks(D.first_keys(chunks, carry=("doc_id",)))
+    return _first_chunks(D.first_keys(_chunk_keys(spark, sf), carry=("doc_id",)))
 
 
 @register("dedup_against_index", DEDUP_SQL + """
 SELECT doc_id, CAST(chunk_index AS BIGINT) AS chunk_index, chunk_hash FROM new
 """)
 def q_dedup_against_index(spark, sf):
-    chunks, index = _dedup_inputs(spark, sf)
-    return _first_chunks(D.new_keys(D.first_keys(chunks, carry=("doc_id",)), index))
+    return _first_chunks(D.marked_keys(_indexed_keys(spark, sf), "indexed", carry=("doc_id",)).filter("not _held"))
+
+
+@register("dedup_bucketed_index", DEDUP_SQL + """
+SELECT doc_id, CAST(chunk_index AS BIGINT) AS chunk_index, chunk_hash FROM new
+""")
+def q_dedup_bucketed_index(spark, sf):
+    """The same check against an index kept as a table bucketed by hash, as a large one would be."""
+    from docyard.session import cut_lineage, drop_path, scratch_path
+    from docyard.sinks.hash_index import append_index, drop_index, read_index
+    keys = cut_lineage(_indexed_keys(spark, sf))
+    folder = scratch_path(spark, "hash-index")
+    name = "index_" + folder[-12:]
+    append_index(keys.filter("indexed"), name, 8, folder)
+    try:
+        firsts = D.first_keys(keys, carry=("doc_id",))
+        return _first_chunks(cut_lineage(D.new_keys(firsts, read_index(spark, name))))
+    finally:
+        drop_index(spark, name)
+        drop_path(spark, folder)
 
 
 @register("dedup_counts", DEDUP_SQL + """
@@ -362,9 +378,7 @@ FROM h LEFT JOIN new ON new.doc_id = h.doc_id AND new.chunk_index = h.chunk_inde
 GROUP BY h.tenant_id
 """)
 def q_dedup_counts(spark, sf):
-    chunks, index = _dedup_inputs(spark, sf)
-    firsts = D.first_keys(chunks)
-    return normalize_types(D.tenant_counts(firsts, D.new_keys(firsts, index)))
+    return normalize_types(D.tenant_counts(D.marked_keys(_indexed_keys(spark, sf), "indexed")))
 
 
 @register("existing_hashes", DEDUP_SQL + """
@@ -373,8 +387,10 @@ WHERE EXISTS (SELECT 1 FROM idx WHERE idx.chunk_hash = h.chunk_hash
                                AND (nullif(h.tenant_id, '') IS NULL OR idx.tenant_id = h.tenant_id))
 """)
 def q_existing_hashes(spark, sf):
-    chunks, index = _dedup_inputs(spark, sf)
-    return normalize_types(D.existing_in_index(chunks, index).select("doc_id", "chunk_index", "chunk_hash"))
+    from docyard.session import cut_lineage
+    keys = cut_lineage(_indexed_keys(spark, sf))  # read twice: as the index, and against it
+    return normalize_types(D.existing_in_index(keys, keys.filter("indexed").select("tenant_id", "chunk_hash").distinct())
+                           .select("doc_id", "chunk_index", "chunk_hash"))
 
 
 @register("hashes_by_tenant", DEDUP_SQL + """
@@ -382,8 +398,7 @@ SELECT nullif(tenant_id, '') AS tenant_id, CAST(count(DISTINCT chunk_hash) AS BI
        CAST(count(*) AS BIGINT) AS chunks FROM h GROUP BY 1
 """)
 def q_hashes_by_tenant(spark, sf):
-    chunks, _ = _dedup_inputs(spark, sf)
-    return normalize_types(D.hashes_by_tenant(chunks))
+    return normalize_types(D.hashes_by_tenant(_chunk_keys(spark, sf)))
 
 
 # ---------------------------------------------------------------- language id and full cleaning
@@ -863,8 +878,7 @@ SELECT tenant_id, chunk_hash FROM idx
 """)
 def q_index_scan(spark, sf):
     """The (tenant, hash) pairs an earlier run stored."""
-    _, index = _dedup_inputs(spark, sf)
-    return index.distinct()
+    return _indexed_keys(spark, sf).filter("indexed").select("tenant_id", "chunk_hash").distinct()
 
 
 @register("point_count", DEDUP_SQL + """
@@ -873,8 +887,7 @@ SELECT tenant_id, CAST(count(DISTINCT chunk_hash) AS BIGINT) AS points FROM h GR
 def q_point_count(spark, sf):
     """Current points per tenant when every document's chunks are upserted."""
     from docyard.sinks.points import current_view, points_per_tenant
-    chunks, _ = _dedup_inputs(spark, sf)
-    rows = chunks.withColumn("point_id", point_id("chunk_hash")).withColumn("ingest_seq", F.struct("source_path", "chunk_index"))
+    rows = _chunk_keys(spark, sf).withColumn("point_id", point_id("chunk_hash")).withColumn("ingest_seq", F.struct("source_path", "chunk_index"))
     return normalize_types(points_per_tenant(current_view([rows], ("tenant_id", "point_id"))))
 
 
@@ -948,7 +961,7 @@ def q_ingest_counters(spark, sf):
                          .select("doc_id", "tenant_id", "source_path", "chunk_index", "chunk_hash"))
     labelled = read_table(spark, sf, "labels").select("doc_id")
     index = chunks.join(labelled, "doc_id", "left_semi").select("tenant_id", "chunk_hash")
-    keys = D.new_keys(D.first_keys(chunks), index)
+    keys = D.new_keys(D.first_keys(chunks), index.distinct())
     return normalize_types(counters(IngestPlan(d, chunks, keys), by=("tenant_id",)))
 
 

@@ -18,7 +18,7 @@ import time
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from docyard.config import IngestConfig
@@ -107,6 +107,11 @@ def ingest(docs: DataFrame, points_path: str, cfg: IngestConfig = IngestConfig()
     spark = docs.sparkSession
     run_id = run_id or uuid.uuid4().hex
     docs = prepared(docs, cfg)
+    kept = None
+    if "error_message" in docs.columns:  # rows of loaders: parsed once, not again by every reader
+        kept = scratch_path(spark, f"documents-{run_id}")
+        docs.write.parquet(kept)
+        docs = spark.read.schema(docs.schema).parquet(kept)
     P.ensure_table(spark, points_path, cfg.vector_size, key=cfg.upsert_key)   # create before reading it
     index = P.index_keys(spark, points_path)
     t0 = time.perf_counter()
@@ -119,7 +124,8 @@ def ingest(docs: DataFrame, points_path: str, cfg: IngestConfig = IngestConfig()
         started.unionByName(running).write.mode("append").parquet(jobs_path)
     folder = scratch_path(spark, f"chunks-{run_id}")
     try:
-        chunk_table(docs, cfg, model).write.parquet(folder)
+        cut = Observation()
+        chunk_table(docs, cfg, model).observe(cut, F.count(F.lit(1)).alias("rows")).write.parquet(folder)
         chunks = spark.read.parquet(folder)
         t1 = time.perf_counter()
         keys = cut_lineage(D.new_keys(D.first_keys(chunks), index))
@@ -139,10 +145,13 @@ def ingest(docs: DataFrame, points_path: str, cfg: IngestConfig = IngestConfig()
         raise
     finally:
         drop_path(spark, folder)
+        if kept:
+            drop_path(spark, kept)
     stages = {"chunks": t1 - t0, "dedup": t2 - t1, "embed_write": t3 - t2}
     events = None
     if jobs_path:
-        ended = J.finish_jobs(sources, stats, run_id, t3 - t0)
+        ended = J.finish_jobs(sources, stats, run_id, t3 - t0, {k: int(1000 * s) for k, s in stages.items()},
+                              {"chunks": int(cut.get.get("rows") or 0), "written": written})
         ended.write.mode("append").parquet(jobs_path)
         events = spark.read.parquet(jobs_path).filter(
             F.col("job_id") == J.job_id_for("tenant_id", "source_path", F.lit(run_id)))

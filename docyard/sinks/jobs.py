@@ -28,7 +28,8 @@ NOT_FOUND = "ingestion job not found: "
 INVALID = "invalid job status transition: "
 
 EVENT_COLUMNS = ("job_id", "doc_id", "source_path", "tenant_id", "status", "error_message",
-                 "chunk_count", "skipped_count", "duration_seconds", "event_at", "seq")
+                 "chunk_count", "skipped_count", "duration_seconds", "stage_ms", "stage_rows", "event_at", "seq")
+STAGES = "map<string,bigint>"
 
 
 def job_id_for(tenant: Column | str, source_path: Column | str, run_id: Column | str) -> Column:
@@ -46,12 +47,22 @@ def create_jobs(sources: DataFrame, run_id: str, event_at: Column | None = None)
         "doc_id", "source_path", "tenant_id", F.lit("queued").alias("status"),
         F.lit(None).cast("string").alias("error_message"), F.lit(None).cast("int").alias("chunk_count"),
         F.lit(None).cast("int").alias("skipped_count"), F.lit(None).cast("double").alias("duration_seconds"),
+        F.lit(None).cast(STAGES).alias("stage_ms"), F.lit(None).cast(STAGES).alias("stage_rows"),
         (event_at if event_at is not None else F.current_timestamp()).alias("event_at"),
         F.lit(0).cast("long").alias("seq"))
 
 
-def finish_jobs(sources: DataFrame, stats: DataFrame, run_id: str, seconds: float) -> DataFrame:
-    """The last event of every source file: ``failed`` with its message, or ``done`` with its counts."""
+def _stages(values: dict[str, int] | None) -> Column:
+    items = [x for k, v in (values or {}).items() for x in (F.lit(k), F.lit(v).cast("long"))]
+    return (F.create_map(*items) if items else F.lit(None)).cast(STAGES)
+
+
+def finish_jobs(sources: DataFrame, stats: DataFrame, run_id: str, seconds: float, stage_ms: dict[str, int] | None = None,
+                stage_rows: dict[str, int] | None = None) -> DataFrame:
+    """The last event of every source file: ``failed`` with its message, or ``done`` with its counts.
+
+    ``stage_ms`` and ``stage_rows`` are the run's time and rows per stage.
+    """
     counts = stats.select(F.col("tenant_id").alias("_t"), F.col("source_path").alias("_p"), "chunk_count", "skipped_count")
     both = sources.join(counts, sources["tenant_id"].eqNullSafe(counts["_t"]) & (sources["source_path"] == counts["_p"]), "left")
     failed = F.col("error_message").isNotNull()
@@ -61,6 +72,7 @@ def finish_jobs(sources: DataFrame, stats: DataFrame, run_id: str, seconds: floa
         "doc_id", "source_path", "tenant_id", F.when(failed, F.lit("failed")).otherwise(F.lit("done")).alias("status"),
         "error_message", done(F.col("chunk_count"), "int").alias("chunk_count"),
         done(F.col("skipped_count"), "int").alias("skipped_count"), F.lit(seconds).cast("double").alias("duration_seconds"),
+        _stages(stage_ms).alias("stage_ms"), _stages(stage_rows).alias("stage_rows"),
         F.current_timestamp().alias("event_at"), F.lit(2).cast("long").alias("seq"))
 
 

@@ -1,122 +1,59 @@
-"""Vector table: Parquet folders per write, versioned by small snapshot files.
-
-Every upsert writes one new folder ``data/batch=<id>/tenant_id=<t>/`` and then commits a
-*version*: a JSON file that lists the live folders. Version files are numbered, written
-aside and renamed into place only when that number is still free, so a crash leaves
-the last complete version and two writers cannot overwrite each other (the
-loser re-reads the newest version and tries the next number). Compaction writes the
-current view as one folder and commits a version in which exactly the folders it has read are
-replaced; folders committed meanwhile stay listed, whatever their sequence.
-
-Readers name their columns and types (the tenant is a string, also when it looks like
-a number) and see, per key, the row with the highest ``ingest_seq`` (``row_number() = 1``,
-trimmed map-side by WindowGroupLimit). Rows are written clustered by tenant and sorted by
-hash; a tenant with much data is split over several files.
+"""Vector table: Spark's own partitioned Parquet, one ``run`` partition per write, and the latest row per key as its view.
+
+Every upsert appends ``data/run=<sequence>/tenant=<t>/`` with Spark's writer; nothing is rewritten, so a run that is repeated after a
+failure only adds rows that the view resolves. Readers see, per key, the row with the highest ``ingest_seq``
+(``row_number() = 1``, trimmed map-side by WindowGroupLimit). ``tenant`` and ``run`` are folder names only; ``tenant_id`` is a column
+of the files as well, so a tenant that looks like a number stays a string. Rows are clustered by tenant (a large one over
+several files) and sorted by hash.
 """
 
 from __future__ import annotations
 
-import json
-import re
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
 from docyard.functions.hashing import chunk_hash, point_id
 
 SIZE_ERROR = "vector_size must be greater than zero"
 KEY_COLUMNS = ("tenant_id", "point_id")
-COMMIT_TRIES = 20
-_VERSION = re.compile(r"v(\d{10})\.json$")
-
-
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
-def _read_text(spark: SparkSession, path: str) -> str:
-    fs, p = _fs(spark, path)
-    stream = fs.open(p)
-    try:
-        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-    finally:
-        stream.close()
-
-
-def _put_if_absent(spark: SparkSession, path: str, text: str) -> bool:
-    """Write aside, then rename without overwriting; False when the name is taken."""
-    sc = spark.sparkContext
-    jvm = sc._jvm
-    fs, target = _fs(spark, path)
-    aside = jvm.org.apache.hadoop.fs.Path(f"{path}.tmp-{uuid.uuid4().hex[:12]}")
-    out = fs.create(aside, True)
-    try:
-        out.write(bytearray(text.encode("utf-8")))
-    finally:
-        out.close()
-    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), sc._jsc.hadoopConfiguration())
-    rename = sc._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
-    try:
-        context.rename(aside, target, rename)
-        return True
-    except Exception:  # noqa: BLE001  the number was taken by another writer
-        if not fs.exists(target):
-            raise
-        fs.delete(aside, False)
-        return False
-
-
-def _newest(spark: SparkSession, path: str) -> tuple[int, dict | None]:
-    """(number, content) of the newest version; (0, None) when the table does not exist."""
-    folder = f"{path.rstrip('/')}/versions"
-    fs, p = _fs(spark, folder)
-    if not fs.exists(p):
-        return 0, None
-    found = [int(m[1]) for s in fs.listStatus(p) if (m := _VERSION.search(s.getPath().getName()))]
-    if not found:
-        return 0, None
-    return max(found), json.loads(_read_text(spark, f"{folder}/v{max(found):010d}.json"))
-
-
-def _commit(spark: SparkSession, path: str, change) -> dict:
-    """Apply ``change(content) -> content`` to the newest version and commit it as the next one."""
-    for _ in range(COMMIT_TRIES):
-        number, content = _newest(spark, path)
-        new = change(content)
-        if new is content or _put_if_absent(spark, f"{path.rstrip('/')}/versions/v{number + 1:010d}.json", json.dumps(new)):
-            return new
-    raise RuntimeError(f"vector table at {path} is changed by too many writers at once")
+
+
+def _found(spark: SparkSession, pattern: str) -> bool:
+    """Whether a path (or a pattern of paths) is there."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p))
+
+
+def _at(path: str, name: str) -> str:
+    return f"{path.rstrip('/')}/{name}"
 
 
 def table_properties(spark: SparkSession, path: str) -> dict | None:
-    return _newest(spark, path)[1]
+    """What the table was made with; None when there is none."""
+    if not _found(spark, _at(path, "properties")):
+        return None
+    return spark.read.schema(PROPERTIES).json(_at(path, "properties")).first().asDict()
 
 
-def _properties(spark: SparkSession, path: str) -> dict:
-    props = table_properties(spark, path)
-    if props is None:
-        raise ValueError(f"no vector table at {path}; call ensure_table first")
-    return props
+PROPERTIES = "vector_size int, metric string, key array<string>, partitioned_by array<string>, indexed array<string>"
 
 
 def ensure_table(spark: SparkSession, path: str, vector_size: int, metric: str = "cosine", key=KEY_COLUMNS) -> dict:
     """Create the table once; an existing one must have the same width."""
     if vector_size <= 0:
         raise ValueError(SIZE_ERROR)
+    made = spark.createDataFrame([(vector_size, metric, list(key), ["tenant_id"], ["tenant_id", "chunk_hash"])], PROPERTIES)
+    made.coalesce(1).write.mode("ignore").json(_at(path, "properties"))
+    props = table_properties(spark, path)
+    if props["vector_size"] != vector_size:
+        raise ValueError(f"vector table at {path} holds vectors of width {props['vector_size']}, asked for {vector_size}")
+    return props
 
-    def create(content):
-        if content is not None:
-            return content
-        return {"vector_size": vector_size, "metric": metric, "key": list(key), "partitioned_by": ["tenant_id"],
-                "indexed": ["tenant_id", "chunk_hash"], "fields": [], "batches": []}
 
-    props = _commit(spark, path, create)
-    if int(props["vector_size"]) != vector_size:
-        raise ValueError(f"vector table at {path} holds vectors of width {props['vector_size']}, asked for {vector_size}")
+def _properties(spark: SparkSession, path: str) -> dict:
+    props = table_properties(spark, path)
+    if props is None:
+        raise ValueError(f"no vector table at {path}; call ensure_table first")
     return props
 
 
@@ -138,36 +75,21 @@ def payload_json(chunks: DataFrame, metadata_cols) -> DataFrame:
     return chunks.withColumn("payload", F.to_json(F.struct(*[F.col(c) for c in (*meta, *PAYLOAD_FIELDS)])))
 
 
-def _merged_fields(old: list, schema: StructType) -> list:
-    """Fields of all batches so far, the tenant apart; a column keeps the type it came with first."""
-    names = {f["name"] for f in old}
-    return old + [f.jsonValue() | {"nullable": True} for f in schema.fields if f.name not in names and f.name != "tenant_id"]
-
-
-def _write_batch(df: DataFrame, path: str, batch: str) -> None:
-    """One folder, clustered by tenant (AQE splits a large and joins small ones), sorted by hash."""
-    out = df.withColumn("tenant_id", F.col("tenant_id").cast("string")).hint("rebalance", F.col("tenant_id"))
-    order = [c for c in ("tenant_id", "chunk_hash") if c in out.columns]
-    out.sortWithinPartitions(*order).write.partitionBy("tenant_id").parquet(f"{path.rstrip('/')}/data/batch={batch}")
-
-
 def upsert(points: DataFrame, path: str, ingest_seq: int, vector_col: str = "embedding") -> int:
-    """Add points under ``ingest_seq``; returns the number written (0 commits nothing)."""
-    spark = points.sparkSession
-    size = int(_properties(spark, path)["vector_size"])
+    """Add points under ``ingest_seq``; returns the number written, counted by the write itself."""
+    size = _properties(points.sparkSession, path)["vector_size"]
     checked = points.withColumn(
         vector_col,
         F.when(F.size(vector_col) == size, F.col(vector_col))
          .otherwise(F.raise_error(F.concat(F.lit(f"vector width must be {size}, got "),
                                            F.size(vector_col).cast("string")))))
-    out = checked.withColumn("ingest_seq", F.lit(ingest_seq).cast("long"))
-    batch = uuid.uuid4().hex
-    _write_batch(out, path, batch)
-    # what the files hold, from their footers: no column is read
-    written = spark.read.schema("ingest_seq long").parquet(f"{path.rstrip('/')}/data/batch={batch}").count()
-    if written:
-        _commit(spark, path, lambda c: dict(c, fields=_merged_fields(c["fields"], out.schema), batches=[*c["batches"], batch]))
-    return written
+    out = checked.withColumns({"ingest_seq": F.lit(ingest_seq).cast("long"), "tenant_id": F.col("tenant_id").cast("string"),
+                               "run": F.lit(ingest_seq).cast("string"), "tenant": F.col("tenant_id").cast("string")})
+    seen = Observation()
+    order = [c for c in ("tenant", "chunk_hash") if c in out.columns]
+    (out.hint("rebalance", F.col("tenant")).sortWithinPartitions(*order).observe(seen, F.count(F.lit(1)).alias("written"))
+     .write.mode("append").partitionBy("run", "tenant").parquet(_at(path, "data")))
+    return int(seen.get.get("written") or 0)
 
 
 def latest_by_key(df: DataFrame, key, order_col: str = "ingest_seq") -> DataFrame:
@@ -187,20 +109,19 @@ def current_view(parts: list[DataFrame], key, order_col: str = "ingest_seq") ->
     return latest_by_key(df, key, order_col)
 
 
-def _read_batches(spark: SparkSession, path: str, props: dict) -> DataFrame:
-    if not props["batches"]:
-        raise ValueError(f"vector table at {path} holds no data yet")
-    data = f"{path.rstrip('/')}/data"
-    schema = StructType.fromJson({"type": "struct", "fields": props["fields"]})
-    schema = StructType([*schema.fields, StructField("batch", StringType()), StructField("tenant_id", StringType())])
-    return (spark.read.schema(schema).option("basePath", data)
-            .parquet(*[f"{data}/batch={b}" for b in props["batches"]]).drop("batch"))
+def _rows(spark: SparkSession, path: str) -> DataFrame | None:
+    """All rows of all runs; None while no run has written any."""
+    if not _found(spark, _at(path, "data/run=*")):
+        return None
+    return spark.read.option("mergeSchema", True).parquet(_at(path, "data")).drop("run", "tenant")
 
 
 def read_points(spark: SparkSession, path: str) -> DataFrame:
-    """The current points: every live folder, latest per key."""
-    props = _properties(spark, path)
-    return current_view([_read_batches(spark, path, props)], props["key"])
+    """The current points: every run, latest per key."""
+    props, rows = _properties(spark, path), _rows(spark, path)
+    if rows is None:
+        raise ValueError(f"vector table at {path} holds no data yet")
+    return latest_by_key(rows, props["key"])
 
 
 def index_keys(spark: SparkSession, path: str) -> DataFrame | None:
@@ -208,17 +129,18 @@ def index_keys(spark: SparkSession, path: str) -> DataFrame | None:
 
     With the default key (tenant, point id), and the point id derived from the
     hash, a key once written stays present, so the keys are read straight from
-    the files (two columns of a tenant-partitioned table) without the
+    the files (two columns) without the
     latest-per-key window, i.e. without shuffling the whole table per run. With the point id alone as key
     a later tenant may have replaced an earlier one's point, so the latest
     view decides.
     """
     props = table_properties(spark, path)
-    if props is None or not props["batches"]:
+    rows = _rows(spark, path) if props else None
+    if rows is None:
         return None
-    if list(props["key"]) != list(KEY_COLUMNS):
-        return read_points(spark, path).select("tenant_id", "chunk_hash")
-    return _read_batches(spark, path, props).select("tenant_id", "chunk_hash")
+    if tuple(props["key"]) != KEY_COLUMNS:
+        rows = latest_by_key(rows, props["key"])
+    return rows.select("tenant_id", "chunk_hash")
 
 
 def points_per_tenant(points: DataFrame) -> DataFrame:
@@ -227,14 +149,5 @@ def points_per_tenant(points: DataFrame) -> DataFrame:
 
 
 def point_count(spark: SparkSession, path: str) -> int:
-    return read_points(spark, path).count()
-
-
-def compact(spark: SparkSession, path: str) -> str:
-    """Write the current view as one folder and list it instead of the folders it was read from."""
-    props = _properties(spark, path)
-    folded = set(props["batches"])
-    batch = uuid.uuid4().hex
-    _write_batch(current_view([_read_batches(spark, path, props)], props["key"]), path, batch)
-    _commit(spark, path, lambda c: dict(c, batches=[batch, *[b for b in c["batches"] if b not in folded]]))
-    return batch
+    rows = _rows(spark, path)
+    return 0 if rows is None else latest_by_key(rows, _properties(spark, path)["key"]).count()

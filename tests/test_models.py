@@ -238,9 +238,15 @@ def test_incremental_ingest(spark, lang_model):
 def test_ingest_reports_stage_times(spark, lang_model):
     from docyard.plans.ingest import ingest
     path = tempfile.mkdtemp(prefix="docyard-ingest-")
-    res = ingest(_corpus(spark).limit(20), path, IngestConfig(), lang_model, ingest_seq=1)
+    jobs = tempfile.mkdtemp(prefix="docyard-jobs-") + "/events"
+    res = ingest(_corpus(spark).limit(20), path, IngestConfig(), lang_model, ingest_seq=1, jobs_path=jobs)
     assert set(res.stage_seconds) == {"chunks", "dedup", "embed_write"}
     assert all(v >= 0 for v in res.stage_seconds.values())
+    # the trail holds them, too: times and rows as the writes themselves counted them
+    ended = [r for r in res.job_events.collect() if r["status"] == "done"]
+    total = res.counters.agg(F.sum("total_chunk_count")).first()[0]
+    assert ended and all(set(r["stage_ms"]) == {"chunks", "dedup", "embed_write"} and
+                         r["stage_rows"] == {"chunks": total, "written": res.written} for r in ended)
 
 
 def test_ingest_semantic_strategy(spark, lang_model):

@@ -26,7 +26,7 @@ def test_table_create_once_and_size_check(spark):
         P.ensure_table(spark, path, 8)
 
 
-def test_upsert_latest_and_compact(spark):
+def test_upsert_and_latest(spark):
     path = tempfile.mkdtemp(prefix="docyard-pts-")
     P.ensure_table(spark, path, 2)
     assert P.upsert(pts(spark, [("t", "h1", "one", [1.0, 0.0]), ("t", "h2", "two", [0.0, 1.0])]), path, 1) == 2
@@ -34,7 +34,6 @@ def test_upsert_latest_and_compact(spark):
     assert P.upsert(pts(spark, []), path, 3) == 0
     cur = {(r["tenant_id"], r["chunk_hash"]): r["text"] for r in P.read_points(spark, path).collect()}
     assert cur == {("t", "h1"): "one again", ("t", "h2"): "two", ("u", "h1"): "other"}
-    P.compact(spark, path)
     P.upsert(pts(spark, [("t", "h2", "two v3", [0.0, 1.0])]), path, 4)
     cur = {(r["tenant_id"], r["chunk_hash"]): r["text"] for r in P.read_points(spark, path).collect()}
     assert cur[("t", "h2")] == "two v3" and P.point_count(spark, path) == 3
@@ -47,31 +46,18 @@ def test_upsert_width_check(spark):
         P.upsert(pts(spark, [("t", "h", "x", [1.0, 2.0])]), path, 1)
 
 
-def test_nothing_is_lost_after_compaction(spark):
-    """A writer with a smaller sequence, or one that commits while a compaction runs, stays visible."""
+def test_no_run_hides_another(spark):
+    """A run with a smaller sequence adds its keys; a run that is repeated changes nothing; runs may bring columns."""
     path = tempfile.mkdtemp(prefix="docyard-pts-")
     P.ensure_table(spark, path, 2)
+    assert P.point_count(spark, path) == 0
     P.upsert(pts(spark, [("t", "h1", "one", [1.0, 0.0])]), path, 1_700_000_000_000_000)
-    P.compact(spark, path)
-    P.upsert(pts(spark, [("t", "h2", "late", [0.0, 1.0]), ("t", "h1", "older", [0.0, 1.0])]), path, 0)
+    late = pts(spark, [("t", "h2", "late", [0.0, 1.0]), ("t", "h1", "older", [0.0, 1.0])])
+    assert P.upsert(late, path, 0) == P.upsert(late, path, 0) == 2
     cur = {r["chunk_hash"]: r["text"] for r in P.read_points(spark, path).collect()}
-    assert cur == {"h1": "one", "h2": "late"}
-    real = P._write_batch
-
-    def slow_write(df, where, batch):
-        real(df, where, batch)
-        if not done:  # another writer commits between the compaction's read and its commit
-            done.append(1)
-            P.upsert(pts(spark, [("t", "h3", "meanwhile", [0.0, 1.0])]), path, 5)
-
-    done = []
-    P._write_batch = slow_write
-    try:
-        P.compact(spark, path)
-    finally:
-        P._write_batch = real
-    assert {r["chunk_hash"] for r in P.read_points(spark, path).collect()} == {"h1", "h2", "h3"}
-    assert P.point_count(spark, path) == 3 == P.index_keys(spark, path).count()
+    assert cur == {"h1": "one", "h2": "late"} and P.point_count(spark, path) == 2
+    P.upsert(pts(spark, [("t", "h3", "x", [0.0, 1.0])]).withColumn("page", F.lit(7)), path, 5)
+    assert {(r["chunk_hash"], r["page"]) for r in P.read_points(spark, path).collect()} == {("h1", None), ("h2", None), ("h3", 7)}
 
 
 def test_tenants_that_look_like_numbers_stay_apart(spark):
@@ -79,22 +65,12 @@ def test_tenants_that_look_like_numbers_stay_apart(spark):
     P.ensure_table(spark, path, 2)
     tenants = ["007", "7", "1e3", "1000", "2024-01-01", "true", None]
     P.upsert(pts(spark, [(t, "h", "x", [1.0, 0.0]) for t in tenants]), path, 1)
-    P.compact(spark, path)
     assert P.read_points(spark, path).schema["tenant_id"].dataType.simpleString() == "string"
     assert {r["tenant_id"] for r in P.read_points(spark, path).collect()} == set(tenants)
     got = {r["tenant_id"]: r["points"] for r in P.points_per_tenant(P.read_points(spark, path)).collect()}
     assert got == {t: 1 for t in tenants}
 
 
-def test_two_writers_cannot_take_the_same_version(spark):
-    path = tempfile.mkdtemp(prefix="docyard-pts-")
-    P.ensure_table(spark, path, 2)
-    assert not P._put_if_absent(spark, f"{path}/versions/v0000000001.json", "{}")
-    assert P.table_properties(spark, path)["vector_size"] == 2
-    assert P._put_if_absent(spark, f"{path}/versions/v0000000002.json", '{"vector_size": 3}')
-    assert P.table_properties(spark, path) == {"vector_size": 3}
-
-
 def _events(spark, rows):
     t0 = dt.datetime(2024, 1, 1)
     data = [(j, s, t0 + dt.timedelta(seconds=i), i, "t", "p") for i, (j, s) in enumerate(rows)]
@@ -280,12 +256,39 @@ def test_index_keys_and_reference_key_mode(spark):
     assert [tuple(r) for r in P.index_keys(spark, ref).collect()] == [("b", "h")]
 
 
-def test_index_keys_after_compact(spark):
+def test_written_count_needs_no_second_read(spark, monkeypatch):
     path = tempfile.mkdtemp(prefix="docyard-pts-")
     P.ensure_table(spark, path, 2)
-    P.upsert(pts(spark, [("a", "h1", "x", [1.0, 0.0]), ("a", "h2", "y", [0.0, 1.0])]), path, 1)
-    P.compact(spark, path)
-    P.upsert(pts(spark, [("b", "h3", "z", [1.0, 0.0])]), path, 2)
-    keys = {tuple(r) for r in P.index_keys(spark, path).collect()}
-    assert keys == {("a", "h1"), ("a", "h2"), ("b", "h3")}
-    assert P.point_count(spark, path) == 3
+    rows = pts(spark, [("a", f"h{k}", "x", [1.0, 0.0]) for k in range(50)]).repartition(4)
+    monkeypatch.setattr(P, "_rows", None)
+    assert P.upsert(rows, path, 1) == 50 and P.upsert(rows.limit(0), path, 2) == 0
+    assert P.upsert(rows.filter("chunk_hash = 'none'"), path, 3) == 0
+
+
+def test_bucketed_index_is_not_shuffled(spark):
+    import re
+    import uuid
+    from docyard.operators import dedup as D
+    from docyard.sinks import hash_index as X
+    name, where = "idx_" + uuid.uuid4().hex[:10], tempfile.mkdtemp(prefix="docyard-idx-") + "/t"
+    assert X.read_index(spark, name) is None
+    keys = spark.createDataFrame([("a", f"h{k}") for k in range(100)] + [("b", "h7"), (None, "h200")], "tenant_id string, chunk_hash string")
+    X.append_index(keys, name, 4, where)
+    X.append_index(keys.limit(3), name, 4, where)
+    chunks = spark.createDataFrame([("a", "h1", "p", 0), ("b", "h1", "p", 1), (None, "h1", "p", 2), ("", "h300", "p", 3), ("b", "h7", "p", 4)],
+                                   "tenant_id string, chunk_hash string, source_path string, chunk_index int")
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "-1")
+    try:
+        left = D.new_keys(D.first_keys(chunks), X.read_index(spark, name))
+        plan = left._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r["_o"]["chunk_index"] for r in left.collect()) == [1, 3]
+        index_side = plan[plan.index("SortMergeJoin"):].split("FileScan")[0].split("\n")
+        scan = next(n for n, line in enumerate(plan.split("\n")) if "FileScan" in line)
+        above = plan.split("\n")[scan - 4:scan]
+        assert "Bucketed: true" in plan and not any("Exchange" in line for line in above), plan
+        assert index_side and re.search(r"SelectedBucketsCount: 4 out of 4", plan)
+    finally:
+        spark.conf.set(limit, before)
+        X.drop_index(spark, name)
