@@ -7,7 +7,10 @@ language filter runs last.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docyard.config import IngestConfig
@@ -15,8 +18,21 @@ from docyard.functions.text import apply_steps, default_cleaning_steps, with_col
 from docyard.operators.language import LanguageModel, detect_language
 
 
+def python_step(fn: Callable[[str], str]) -> Callable[[Column], Column]:
+    """A Python ``str -> str`` function as a cleaning step: one Arrow batch at a time, null stays null.
+
+    A built-in expression is faster; this is for rules that have none. The function must be importable on the workers.
+    """
+    @F.pandas_udf("string")
+    def step(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([None if t is None else fn(t) for t in texts], dtype="object")
+
+    return lambda text: step(text)
+
+
 def clean_text(df: DataFrame, text_col: str = "content", steps=None, patterns=None) -> DataFrame:
-    """Apply the ordered ``Column -> Column`` steps to one column, in one projection."""
+    """Apply the ordered ``Column -> Column`` steps (``python_step`` makes one of a ``str`` function) to one column, in one projection."""
     steps = default_cleaning_steps(patterns) if steps is None else steps
     return df.withColumn(text_col, apply_steps(F.col(text_col), steps))
 

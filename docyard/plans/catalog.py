@@ -864,11 +864,11 @@ SELECT user_id, event_type, event_id, value FROM (
 WHERE rn = 1
 """)
 def q_points_current(spark, sf):
-    """A compacted base and batches committed after it, one with smaller sequences than the base holds."""
+    """A base and runs appended after it, one with smaller sequences than the base holds."""
     from docyard.sinks.points import current_view
     e = read_table(spark, sf, "events").withColumn("ingest_seq", F.struct("ts", "event_id"))
     key = ("user_id", "event_type")
-    base = current_view([e.filter("event_id % 3 = 0")], key)          # what a compaction has written
+    base = current_view([e.filter("event_id % 3 = 0")], key)
     late, early = e.filter("event_id % 3 = 1"), e.filter("event_id % 3 = 2")
     return current_view([base, late, early], key).select("user_id", "event_type", "event_id", "value")
 
@@ -965,15 +965,6 @@ def q_ingest_counters(spark, sf):
     return normalize_types(counters(IngestPlan(d, chunks, keys), by=("tenant_id",)))
 
 
-@register("chunk_fixed_bpe")
-def q_chunk_fixed_bpe(spark, sf):
-    """Fixed windows over byte-level BPE tokens (rows check; offsets tested against prefix decoding)."""
-    d = corpus_documents(spark, sf)
-    c = K.chunk_fixed(d, SIZE, OVERLAP_PCT, tokenizer="bpe")
-    return normalize_types(c.select("doc_id", "chunk_index", "start_char", "end_char", "n_tokens",
-                                    chunk_hash("text").alias("chunk_hash")))
-
-
 @register("build_points", f"""
 WITH t AS (SELECT doc_id, source AS tenant_id, printf('%s/%08d.txt', source, doc_id) AS source_path,
                   {S.tokens('text')} AS toks FROM documents),
@@ -1000,4 +991,4 @@ def q_build_points(spark, sf):
 
 
 # further queries register themselves in the same tables
-from docyard.plans import retrieval  # noqa: E402,F401
+from docyard.plans import flows, retrieval  # noqa: E402,F401

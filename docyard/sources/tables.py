@@ -22,7 +22,11 @@ def corpus_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     ``source`` plays the tenant; the source path is a stable per-document name
     so that ordering by it reproduces a sorted directory walk.
     """
-    d = read_table(spark, sf_dir, "documents")
+    return as_documents(read_table(spark, sf_dir, "documents"))
+
+
+def as_documents(d: DataFrame) -> DataFrame:
+    """Rows of the ``documents`` table (or of a stream of it) in the canonical document shape."""
     return d.select(
         "doc_id",
         F.col("text").alias("content"),
@@ -33,6 +37,15 @@ def corpus_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def with_file_rows(df: DataFrame) -> DataFrame:
+    """Rows of files with where they lie: ``file_name``, ``file_size``, ``file_row`` (from 0), from the reader's hidden columns.
+
+    (``file_name``, ``file_row``) names a row that has no id of its own, and orders rows as they were written.
+    """
+    at = {"file_name": "file_name", "file_size": "file_size", "file_row": "row_index"}
+    return df.select("*", *[F.col(f"_metadata.{c}").alias(name) for name, c in at.items()])
+
+
 def stream_table(spark: SparkSession, sf_dir: str, name: str, files_per_trigger: int | None = None) -> DataFrame:
     """A given table (one file or a folder of files) as a stream of its files, with the table's schema."""
     schema = read_table(spark, sf_dir, name).schema

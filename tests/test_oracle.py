@@ -27,7 +27,7 @@ def test_entry_runs(spark):
 def test_every_query_has_a_callable_and_most_have_sql():
     qs, sql = E.queries(), E.oracle_sql()
     assert set(sql) <= set(qs)
-    assert {q for q in set(qs) - set(sql) if not q.startswith("op") and q != "pipeline"} == {"chunk_fixed_bpe"}
+    assert {q for q in set(qs) - set(sql) if not q.startswith("op") and q != "pipeline"} == set()
 
 
 @pytest.mark.parametrize("name", sorted(E.oracle_sql()))
