@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from docyard.functions.arrays import make_pack_udf, prefix_offsets
@@ -241,6 +242,46 @@ def chunk(df: DataFrame, strategy: str = "fixed", size: int = 512, overlap_pct:
     return chunk_semantic(df, size, overlap_pct, text_col)
 
 
+@udtf(returnType="chunk_index int, start_char int, end_char int, text string")
+class LineWindows:
+    """Windows of lines as a table function: the extension form for chunkers that are plain Python over one text.
+
+    Its arguments are the text, the lines of a window and the lines between two windows' starts.
+    """
+
+    def eval(self, text: str, size: int, step: int):
+        if not text:
+            return
+        lines = text.split("\n")
+        start = 0
+        for k, at in enumerate(range(0, max(1, len(lines) - size + step), step)):
+            window = "\n".join(lines[at:at + size])
+            yield k, start, start + len(window), window
+            start += sum(len(line) + 1 for line in lines[at:at + step])
+
+
+def chunk_by_table_function(df: DataFrame, function, *args: Column, text_col: str = "content") -> DataFrame:
+    """Chunks of every document by a table function over its text: a lateral join, so all other columns are carried.
+
+    The function returns ``chunk_index``, ``start_char``, ``end_char`` and ``text`` (``LineWindows`` is one).
+    """
+    called = function(F.col(text_col).outer(), *args)
+    return df.lateralJoin(called).drop(text_col)
+
+
+def chunk_lines(df: DataFrame, size: int, step: int, text_col: str = "content") -> DataFrame:
+    """The same windows of lines natively."""
+    lines = F.split(F.col(text_col), "\n", -1)
+    windows = F.transform(F.array(lines), lambda ls: F.transform(
+        F.sequence(F.lit(0), F.greatest(F.ceil((F.size(ls) - size) / F.lit(step)).cast("int"), F.lit(0))), lambda k: F.named_struct(
+            F.lit("chunk_index"), k,
+            F.lit("start_char"), F.length(F.array_join(F.slice(ls, 1, k * step), "\n")) + F.when(k > 0, 1).otherwise(0),
+            F.lit("text"), F.array_join(F.slice(ls, k * step + 1, size), "\n"))))
+    keep = [c for c in df.columns if c != text_col]
+    out = df.filter(F.length(text_col) > 0).select(*keep, F.inline(F.get(windows, 0)))
+    return out.withColumn("end_char", F.col("start_char") + F.length("text"))
+
+
 def document_id(tenant: Column | str = "tenant_id", source_path: Column | str = "source_path",
                 page_number: Column | str | None = "page_number") -> Column:
     """Deterministic document id (the reference draws a random one per run)."""
@@ -252,4 +293,4 @@ def document_id(tenant: Column | str = "tenant_id", source_path: Column | str =
 
 
 __all__ = ["chunk_fixed", "chunk_semantic", "chunk", "sentences", "with_sentences", "bpe_windows",
-           "document_id"]
+           "document_id", "LineWindows", "chunk_by_table_function", "chunk_lines"]

@@ -126,6 +126,25 @@ def q_clean_python_step(spark, sf):
     return clean_text(d, "content", [normalize_whitespace, python_step(spelled)])
 
 
+# ---------------------------------------------------------------- an own chunker
+LINES, LINE_STEP = 4, 3
+
+
+@register("chunk_line_windows", f"""
+WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE length(text) > 0),
+k AS (SELECT doc_id, ls, unnest(range(0, CAST(greatest(ceil((len(ls) - {LINES}) / {float(LINE_STEP)}), 0) AS BIGINT) + 1)) AS chunk_index FROM l),
+w AS (SELECT doc_id, chunk_index, array_to_string(ls[chunk_index*{LINE_STEP}+1:chunk_index*{LINE_STEP}+{LINES}], chr(10)) AS text,
+             length(array_to_string(ls[1:chunk_index*{LINE_STEP}], chr(10))) + CASE WHEN chunk_index > 0 THEN 1 ELSE 0 END AS start_char FROM k)
+SELECT doc_id, chunk_index, CAST(start_char AS BIGINT) AS start_char, CAST(start_char + length(text) AS BIGINT) AS end_char,
+       sha256(text) AS chunk_hash FROM w
+""")
+def q_chunk_line_windows(spark, sf):
+    """Windows of lines by a Python table function, joined laterally to the documents."""
+    d = corpus_documents(spark, sf)
+    c = K.chunk_by_table_function(d, K.LineWindows, F.lit(LINES), F.lit(LINE_STEP))
+    return normalize_types(c.select("doc_id", "chunk_index", "start_char", "end_char", F.sha2("text", 256).alias("chunk_hash")))
+
+
 # ---------------------------------------------------------------- files
 @register("source_files", """
 SELECT 'documents.parquet' AS file_name, count(*) AS n_rows, count(*) AS distinct_rows, count(*) - 1 AS last_row FROM documents

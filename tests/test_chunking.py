@@ -173,3 +173,17 @@ def test_tokenizer_and_chunker_settings(spark, sample_text):
     assert own.first()["text"] == sample_text
     with pytest.raises(ValueError, match="no column chunk_index"):
         K.chunk(d, chunker=lambda df: df.withColumnRenamed("content", "text"))
+
+
+def test_line_windows_by_table_function_and_natively(spark):
+    rows = [(1, "a\nb\nc\nd\ne\nf\ng\nh"), (2, None), (3, ""), (4, "one"), (5, "\n\n"), (6, "é😀\n\nx\ny"), (7, "a\nb\nc\nd\ne")]
+    df = spark.createDataFrame(rows, "k int, content string").withColumn("kept", F.lit("meta"))
+    names = ["k", "kept", "chunk_index", "start_char", "end_char", "text"]
+    for size, step in ((4, 3), (2, 2), (1, 1), (3, 1)):
+        one = sorted(map(tuple, K.chunk_by_table_function(df, K.LineWindows, F.lit(size), F.lit(step)).select(names).collect()))
+        two = sorted(map(tuple, K.chunk_lines(df, size, step).select(names).collect()))
+        assert one == two and {r[0] for r in one} == {1, 4, 5, 6, 7}
+        for k, _, _, a, b, text in one:
+            assert dict(rows)[k][a:b] == text
+    got = K.chunk(df, chunker=lambda d: K.chunk_by_table_function(d, K.LineWindows, F.lit(4), F.lit(3)))
+    assert [r["text"] for r in got.filter("k = 7").orderBy("chunk_index").collect()] == ["a\nb\nc\nd", "d\ne"]
