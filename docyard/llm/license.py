@@ -12,7 +12,8 @@ Positions are running sums of blanks between matches, suppression is running max
 one text's detections: linear in the text, and only counts and rule numbers are shuffled, never the text.
 
 Defined results: a null or empty text has no words and no detection (empty labels, score 0); repeated rows
-are scanned row by row; an empty table gives an empty result; other columns are ignored.
+are scanned row by row; a text with very many detections is one window, sorted outside memory where it must be; an empty table
+gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

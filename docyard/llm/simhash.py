@@ -298,7 +298,10 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, limit: int = MA
 
 
 def keep_one(docs: DataFrame, width: int = SHINGLE_WORDS, limit: int = MAX_BITS) -> DataFrame:
-    """``docs`` with one row of every component (its smallest id); columns as they were."""
+    """``docs`` with one row of every component (its smallest id); columns as they were.
+
+    Rows that repeat an id and a text leave one; where such rows differ in other columns, which one it is is not defined.
+    """
     found = near_duplicates(docs.select("doc_id", "text"), width, limit)
     (keep, turn) = fresh(docs.columns, "_keep", "_turn")
     heads = found.filter("component_id is not null").select(F.col("component_id").alias(keep)).distinct()

@@ -18,6 +18,8 @@ UDF with the classifier's weights in its closure (at most ``MAX_FEATURES`` entri
 Defined results: a null or empty text holds no feature and gets the classifier's base
 probability; without labelled rows of both classes the hand-written voters alone decide
 (score = share-of-voters posterior under default accuracies); repeated rows get equal scores; a row without id is not held out.
+Texts are read whole, a very long one counts each of its features once; an empty table gives an empty result; other columns are
+ignored by the report and carried by the stage. An id on many rows trains as one row.
 """
 
 from __future__ import annotations

@@ -1,5 +1,6 @@
 """The pipeline's stages on planted rows, against what each must do."""
 
+import os
 import random
 
 import corpus_pipeline
@@ -57,6 +58,8 @@ def test_stages_do_their_work(spark, folder):
 def test_run_equals_the_stages(spark, folder):
     base, _ = folder
     got = corpus_pipeline.run(spark, base)
+    last = got.inputFiles()[0].rsplit("/", 2)[0].removeprefix("file://").removeprefix("file:")
+    assert os.listdir(last) == ["5-packing"]  # earlier stages are gone
     now = spark.read.parquet(f"{base}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES:
         now = stage(spark, now, base)
@@ -66,5 +69,5 @@ def test_run_equals_the_stages(spark, folder):
 
 def test_registered():
     names = E.queries()
-    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "toxicity", "line_dedup", "simhash_near_dedup", "packing"]

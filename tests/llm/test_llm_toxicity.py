@@ -77,3 +77,36 @@ def test_without_labels_hand_written_voters_decide(spark):
     got = {r["doc_id"]: r["predicted"] for r in T.toxicity_report(df, T.fit_toxicity(df, none)).collect()}
     assert got == {1: 1, 2: 0, 3: 0}
     assert T.toxicity_report(docs(spark, []), T.fit_toxicity(docs(spark, []), none)).count() == 0
+
+
+def test_one_labelled_id_on_very_many_rows(spark, labelled, monkeypatch):
+    """The bound on labelled ids bounds the rows that are fitted on."""
+    rows, marks, _ = labelled
+    hot = docs(spark, rows + [(10, f"you moron {k}") for k in range(30_000)])
+    taken = []
+    monkeypatch.setattr(T, "fit_label_model", lambda votes: taken.append(len(votes)) or (_ for _ in ()).throw(KeyError))
+    with pytest.raises(KeyError):
+        T.fit_toxicity(hot, marks)
+    train = spark.createDataFrame([(k,) for k in range(900)], "doc_id long").filter(T.training_fold()).count()
+    assert taken == [train]
+
+
+def test_posterior_equals_enumeration_of_both_classes():
+    """The label model's posterior against a plain product over its forest of voters."""
+    rng = np.random.default_rng(8)
+    m, n = 5, 40
+    parent = np.array([-1, 0, 0, 2, -1])
+    table = rng.uniform(0.1, 0.9, size=(m, 2, 2))
+    model = T.LabelModel(0.3, parent, table)
+    votes = rng.integers(0, 2, size=(n, m))
+    want = []
+    for row in votes:
+        both = []
+        for y, prior in ((0, 0.7), (1, 0.3)):
+            p = prior
+            for j in range(m):
+                one = table[j][y][row[parent[j]] if parent[j] >= 0 else 0]
+                p *= one if row[j] else 1 - one
+            both.append(p)
+        want.append(both[1] / sum(both))
+    assert np.allclose(model.posterior(votes), want)
