@@ -154,3 +154,22 @@ def q_source_files(spark, sf):
     d = with_file_rows(read_table(spark, sf, "documents"))
     return d.groupBy("file_name").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("file_row").alias("distinct_rows"),
                                       F.max("file_row").alias("last_row"))
+
+
+# ---------------------------------------------------------------- ids and metadata of documents
+@register("document_ids", f"""
+WITH d AS (SELECT doc_id, 'team-' || source AS tenant_id, printf('%s/%08d.txt', source, doc_id) AS source_path FROM documents),
+j AS (SELECT *, {S.sha1_name('''('{"t":"' || tenant_id || '","p":"' || source_path || '","r":"run-1"}')''')} AS s1 FROM d)
+SELECT doc_id AS given_id, tenant_id, sha256('{{"t":"' || tenant_id || '","p":"' || source_path || '","n":0}}') AS doc_id,
+       {S.uuid5_from_sha1('s1')} AS job_id, 'queued' AS status, 'kind=note,origin=second' AS extra FROM j
+""")
+def q_document_ids(spark, sf):
+    """Every document under a new tenant: its deterministic id, its queued job, and metadata merged twice (the later wins)."""
+    from docyard.sinks.jobs import create_jobs
+    from docyard.sources.loaders import attach_tenant, with_extra
+    d = attach_tenant(corpus_documents(spark, sf).withColumnRenamed("doc_id", "given_id"), F.concat(F.lit("team-"), "tenant_id"))
+    d = with_extra(with_extra(d, {"origin": "first", "kind": "note"}), {"origin": "second"})
+    d = d.withColumn("doc_id", K.document_id("tenant_id", "source_path", None))
+    jobs = create_jobs(d.select("doc_id", "source_path", "tenant_id"), "run-1").select(F.col("doc_id").alias("of"), "job_id", "status")
+    shown = F.array_join(F.transform(F.array_sort(F.map_entries("extra")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    return d.join(jobs, d["doc_id"] == jobs["of"]).select("given_id", "tenant_id", "doc_id", "job_id", "status", shown.alias("extra"))
