@@ -132,7 +132,7 @@ def validate_transitions(events: DataFrame, order_cols=("event_at", "seq"), bloc
     for status, to in _moves().items():
         own_map = F.when((F.col("status") == status) & F.col("job_id").isNotNull(), F.array(*map(F.lit, to))).otherwise(own_map)
     ev = events.withColumns({"_ord": F.struct(*[F.col(c) for c in order_cols]), "_map": own_map,
-                             "_block": F.date_trunc(block, order_cols[0])})
+                             "_block": F.struct(F.date_trunc(block, order_cols[0]))})  # a struct: no time sorts first
     within = Window.partitionBy("job_id", "_block")
     ev = _first_moves(ev, within, "_ord", "_map", {s: f"_moves_{s}" for s in moving})
 

@@ -56,3 +56,15 @@ def test_a_model_that_fails_is_retried_and_checked(spark):
         assert r["embedding"][:4] == [6.0 * r["k"], 3.0 * r["k"], float(r["k"]), float(r["k"])]
     with pytest.raises(Exception, match="not ready yet"):
         embed(df, model_factory=letter_model, vector_size=width, retry=None).collect()
+
+
+def test_rows_without_ids_are_ordered_by_their_place_in_the_files(spark, tmp_path):
+    """Of equal chunks the first row of the first file stays, however Spark reads the files."""
+    from docyard.operators import dedup as D
+    for name in "ba":
+        spark.createDataFrame([("t", "dup", f"{name}{k}") for k in range(3)], "tenant_id string, text string, mark string") \
+             .coalesce(1).write.parquet(f"{tmp_path}/in/part={name}")
+    rows = D.with_identity(with_file_rows(spark.read.parquet(f"{tmp_path}/in").withColumnRenamed("part", "folder")))
+    for parts in (1, 5):
+        kept = D.first_in_batch(rows.repartition(parts), ("folder", "file_name", "file_row")).collect()
+        assert [r["mark"] for r in kept] == ["a0"]

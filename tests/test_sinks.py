@@ -160,6 +160,13 @@ def test_moments_of_a_job_and_rows_of_no_job(spark):
         assert v[9]["rejection"] == "ingestion job not found: k" and not v[2]["valid"] and not v[8]["valid"]
 
 
+def test_requests_without_a_time_come_first(spark):
+    ev = _events(spark, [("j", "running"), ("j", "queued"), ("j", "done")])
+    ev = ev.withColumn("event_at", F.when(F.col("status") != "queued", F.col("event_at")))
+    v = {r["seq"]: r["valid"] for r in J.validate_transitions(ev, block="second").collect()}
+    assert v == {0: True, 1: True, 2: True}
+
+
 def test_log_is_read_twice_and_shuffled_once(spark):
     """The job queries read the log in two scans; a job is never one window."""
     import re
