@@ -2,7 +2,7 @@
 
 Order matters and is kept: the text steps run first, the length check drops
 short rows before the (costlier) language step ever sees them, and the
-language filter runs last.
+language filter runs last. With a language filter the cleaned rows are checkpointed once: their samples are scored by a join.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from docyard.config import IngestConfig
 from docyard.functions.text import apply_steps, default_cleaning_steps, with_column_where
 from docyard.operators.language import LanguageModel, detect_language
+from docyard.session import cut_lineage
 
 
 def python_step(fn: Callable[[str], str]) -> Callable[[Column], Column]:
@@ -46,5 +47,6 @@ def clean_documents(df: DataFrame, cfg: IngestConfig = IngestConfig(), model: La
                              lambda c: F.length(c) >= F.lit(cfg.min_content_chars))
     if model is None or cfg.target_language is None:
         return kept.withColumn("language", F.lit(None).cast("string"))
-    scored = detect_language(kept, model, text_col, cfg.language_confidence_threshold, cfg.language_sample_chars)
+    # the cleaned rows have two readers, the language scores and the join that brings them back: cleaned once, kept once
+    scored = detect_language(cut_lineage(kept), model, text_col, cfg.language_confidence_threshold, cfg.language_sample_chars)
     return scored.filter(F.col("language") == F.lit(cfg.target_language))

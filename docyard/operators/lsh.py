@@ -114,10 +114,11 @@ def cosine_topk_lsh(corpus: DataFrame, queries: DataFrame, k: int = 5, id_col: s
     fit = lambda c: (F.size(c) == width) & ~F.exists(c, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     v = corpus.select(F.col(id_col).alias("_id"), F.col(vec_col).alias("_v")).filter(fit("_v"))
     q = queries.select("query_id", F.col(query_vec_col).alias("_q")).filter(fit("_q"))
-    # the index, kept once: its bucket sizes are counted and its rows dealt from there
+    # index and queries with their buckets, kept once: bucket sizes are counted and rows dealt from there
     index = cut_lineage(v.withColumn("_c", buckets(F.col("_v"), tables, bits, width)))
     stored = index.select("_id", "_v", F.posexplode("_c").alias("_t", "_b"))
-    asked = q.select("query_id", "_q", F.posexplode(visited(F.col("_q"), tables, bits, width, probes)).alias("_at", "_b"))
+    asked = cut_lineage(q.withColumn("_c", visited(F.col("_q"), tables, bits, width, probes))).select(
+        "query_id", "_q", F.posexplode("_c").alias("_at", "_b"))
     asked = asked.withColumn("_t", F.floor(F.col("_at") / probes).cast("int")).drop("_at")
     # buckets too large for one group, with their number of parts: few and narrow
     large = (stored.groupBy("_t", "_b").agg(F.ceil(F.count(F.lit(1)) / SHARD_VECTORS).cast("int").alias("_n"))

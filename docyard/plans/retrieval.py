@@ -14,6 +14,7 @@ from docyard.operators.search import SHARD_VECTORS, MIN_SHARDS, cosine_topk
 from docyard.plans import sqltext as S
 from docyard.plans.catalog import (EMBED_SIZE, FIXED_SQL, OVERLAP_PCT, REPORT_SETTINGS, SIZE, normalize_types, packing_sql,
                                    register)
+from docyard.session import cut_lineage
 from docyard.sources.tables import corpus_documents, read_table
 
 TOPK = 5
@@ -82,8 +83,9 @@ def _setting_chunks(docs: DataFrame) -> DataFrame:
     """The chunks of every setting: setting, id (sorts as document, then chunk), text."""
     out = None
     for n, (strategy, size, pct) in enumerate(REPORT_SETTINGS):
-        c = K.chunk(docs, strategy, size, pct).select(
+        c = K.chunk(docs, strategy, size, pct, offsets=False).select(
             F.lit(n).alias("setting"), F.format_string("%d/%015d/%09d", F.lit(n), "doc_id", "chunk_index").alias("id"), "text")
+        c = c if strategy == "fixed" else cut_lineage(c)  # two readers: sentence packing passes through Python, so it is kept once
         out = c if out is None else out.unionByName(c)
     return out
 
