@@ -7,7 +7,8 @@ turn, with its exact place in the dialogue's text: ``start`` counts code points
 for other speakers).
 
 Places are running sums in two steps, so no task needs a whole conversation: windows over blocks of
-``BLOCK_TURNS`` turn numbers, then a window over the blocks' totals, joined back. Exact repeats of a turn (same number,
+``BLOCK_TURNS`` turn numbers, then a window over the blocks' totals, joined back. They are computed on lengths: a turn is multiplied by
+the participants as a few numbers and meets its text once, when it is shown. Exact repeats of a turn (same number,
 speaker and text) are combined on the map side and rendered once; ``copies`` tells how many there were.
 
 Defined results: a null text is empty, a null or blank role is the speaker ``unknown``; system turns are shown as system
@@ -52,21 +53,29 @@ def _header(role: Column, name: Column) -> Column:
                     F.lit(CLOSE + "\n"))
 
 
+def numbered(conversations: DataFrame) -> DataFrame:
+    """The distinct turns with their order in the block (``at``, from 0) and the length of the shown text; kept once."""
+    block = Window.partitionBy("conv_id", "block").orderBy(F.col("turn").asc_nulls_last(), "speaker", "text")
+    return cut(turns_of(conversations).withColumn("at", F.row_number().over(block) - 1)
+               .withColumn("text", _defused(F.col("text"))).withColumn("chars", F.length("text").cast("long")))
+
+
 def rotate(conversations: DataFrame) -> DataFrame:
     """One row per conversation, perspective and turn, with its place and mask."""
-    turns = turns_of(conversations)
-    views = (turns.filter(F.col("speaker") != SYSTEM).select(F.col("conv_id").alias("of"), F.col("speaker").alias("perspective"))
+    turns = numbered(conversations)
+    # places come from lengths alone: nothing that is multiplied by the participants, sorted or summed holds a text
+    narrow = turns.select("conv_id", "block", "at", "speaker", "chars")
+    views = (narrow.filter(F.col("speaker") != SYSTEM).select(F.col("conv_id").alias("of"), F.col("speaker").alias("perspective"))
              .distinct())
     role = (F.when(F.col("speaker") == F.col("perspective"), F.lit("assistant"))
             .when(F.col("speaker") == SYSTEM, F.lit("system")).otherwise(F.lit("user")))
-    shown = (turns.join(views, turns["conv_id"].eqNullSafe(views["of"])).drop("of")
-             .withColumn("role", role).withColumn("header", _header(F.col("role"), F.col("speaker")))
-             .withColumn("segment", F.concat("header", _defused(F.col("text")), F.lit(END + "\n")))
-             .withColumn("size", F.length("segment").cast("long")))
-    block = Window.partitionBy("conv_id", "perspective", "block").orderBy(F.col("turn").asc_nulls_last(), "speaker", "text")
-    before = block.rowsBetween(Window.unboundedPreceding, -1)
-    placed = cut(shown.withColumn("inner_start", F.coalesce(F.sum("size").over(before), F.lit(0)))
-                 .withColumn("inner_position", F.row_number().over(block) - 1))
+    shown = (narrow.join(views, narrow["conv_id"].eqNullSafe(views["of"])).drop("of")
+             .withColumn("role", role).withColumn("head", F.length(_header(F.col("role"), F.col("speaker"))).cast("long"))
+             .withColumn("size", F.col("head") + F.col("chars") + len(END + "\n")))
+    before = (Window.partitionBy("conv_id", "perspective", "block").orderBy("at")
+              .rowsBetween(Window.unboundedPreceding, -1))
+    placed = cut(shown.select("conv_id", "block", "at", "perspective", "role", "head", "size",
+                              F.coalesce(F.sum("size").over(before), F.lit(0)).alias("inner_start")))
     totals = placed.groupBy("conv_id", "perspective", "block").agg(
         F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"))
     blocks = (Window.partitionBy("conv_id", "perspective").orderBy(F.col("block").asc_nulls_last())
@@ -74,13 +83,20 @@ def rotate(conversations: DataFrame) -> DataFrame:
     ahead = totals.select(F.col("conv_id").alias("c"), F.col("perspective").alias("p"), F.col("block").alias("b"),
                           F.coalesce(F.sum("size").over(blocks), F.lit(0)).alias("block_start"),
                           F.coalesce(F.sum("n").over(blocks), F.lit(0)).alias("block_position"))
-    start = F.col("inner_start") + F.col("block_start")
-    trained = F.col("role") == "assistant"
-    return (placed.join(ahead, placed["conv_id"].eqNullSafe(ahead["c"]) & (placed["perspective"] == ahead["p"])
-                        & placed["block"].eqNullSafe(ahead["b"]))
-            .select("conv_id", "perspective", (F.col("inner_position") + F.col("block_position")).cast("long").alias("position"),
-                    "turn", "role", F.col("speaker").alias("name"), "segment", start.cast("long").alias("start"),
-                    F.when(trained, start + F.length("header")).otherwise(start).cast("long").alias("mask_start"),
+    places = placed.join(ahead, placed["conv_id"].eqNullSafe(ahead["c"]) & (placed["perspective"] == ahead["p"])
+                         & placed["block"].eqNullSafe(ahead["b"])).select(
+        F.col("conv_id").alias("c"), F.col("block").alias("b"), F.col("at").alias("a"), "perspective", "role", "head", "size",
+        (F.col("inner_start") + F.col("block_start")).alias("begin"),
+        (F.col("at") + F.col("block_position")).alias("position"))
+    start, trained = F.col("begin"), F.col("role") == "assistant"
+    # the text is met once, to be shown
+    return (turns.join(places, turns["conv_id"].eqNullSafe(places["c"]) & turns["block"].eqNullSafe(places["b"])
+                       & (turns["at"] == places["a"]))
+            .select("conv_id", "perspective", F.col("position").cast("long").alias("position"),
+                    "turn", "role", F.col("speaker").alias("name"),
+                    F.concat(_header(F.col("role"), F.col("speaker")), "text", F.lit(END + "\n")).alias("segment"),
+                    start.cast("long").alias("start"),
+                    F.when(trained, start + F.col("head")).otherwise(start).cast("long").alias("mask_start"),
                     F.when(trained, start + F.col("size") - 1).otherwise(start).cast("long").alias("mask_end"),
                     "copies"))
 
