@@ -1,3 +1,4 @@
+import functools
 import random
 import zlib
 
@@ -9,9 +10,13 @@ from docyard.llm import packing as P
 from helpers import docs, edge_rows, words
 
 
+@functools.cache
+def tokenizer():
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def ids_of(text):
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    return t.encode(text or "", add_special_tokens=False).ids + [P.END_ID]
+    return tokenizer().encode(text or "", add_special_tokens=False).ids + [P.END_ID]
 
 
 def check(rows, got, capacity=P.CAPACITY):

@@ -7,6 +7,12 @@ import corpus_pipeline
 import pytest
 
 import __spark_entry__ as E
+import test_llm_linededup
+import test_llm_packing
+import test_llm_quality
+import test_llm_simhash
+import test_llm_toxicity
+from docyard.llm import quality, toxicity
 from helpers import docs, words
 
 
@@ -67,6 +73,50 @@ def test_run_equals_the_stages(spark, folder):
     assert sorted(map(tuple, got.select(narrow).collect()), key=str) == sorted(map(tuple, now.select(narrow).collect()), key=str)
 
 
+def brute_quality(rows, rules):
+    """Rows (id, text, source) that neither the base rule nor a learned conjunction rejects, one after the other."""
+    out = []
+    for row in rows:
+        n_words, *_, n_repeat = test_llm_quality.brute(row[1])
+        stats = dict(zip(quality.STATS, quality.count_stats(row[1])))
+        fires = any(all(stats[c.stat] >= c.value if c.at_least else stats[c.stat] < c.value for c in rule) for rule in rules)
+        if n_words >= 50 and 100 * n_repeat <= 50 * n_words and not fires:
+            out.append(row)
+    return out
+
+
+def brute_near_dedup(rows):
+    """Rows whose id is the least of its component (copies of such a row once) and rows without id."""
+    narrow = sorted(((d, t) for d, t, _ in rows if d is not None), key=str)
+    stays = {int(a) for a, _, c in test_llm_simhash.brute_components(narrow) if a == c}
+    seen, out = set(), []
+    for row in rows:
+        if row[0] is None or (row[0] in stays and row[:2] not in seen):
+            seen.add(row[:2])
+            out.append(row)
+    return out
+
+
+def test_run_equals_brute_force(spark, folder):
+    """The whole run against plain Python stages; learned lists and weights are taken as given, each learned on its own input."""
+    base, rows = folder
+    labels = spark.read.parquet(f"{base}/labels.parquet")
+    now = brute_quality(rows, quality.fit_rules(docs(spark, rows), labels))
+    assert 0 < len(now) < len(rows)
+    learned = toxicity.fit_toxicity(docs(spark, now), labels).classifier
+    clean = [r for r in now if test_llm_toxicity.brute_score(learned, r[1]) < toxicity.THRESHOLD]
+    assert 0 < len(clean) < len(now)
+    lines = test_llm_linededup.brute_in_order(clean)
+    now = [(d, text if t is not None else None, s) for (d, t, s), (_, _, _, text) in zip(clean, lines)]
+    assert any(t != c[1] for (_, t, _), c in zip(now, clean))
+    kept = brute_near_dedup(now)
+    assert 0 < len(kept) < len(now)
+    got = corpus_pipeline.run(spark, base).collect()
+    assert {r["doc_id"] for r in got} == {d for d, _, _ in kept}
+    test_llm_packing.check([r[:2] for r in kept], got)  # every id of these texts in exactly one piece, sequences gapless
+    assert sum(r["length"] for r in got) == sum(len(test_llm_packing.ids_of(t)) for _, t, _ in kept)
+
+
 def test_registered():
     names = E.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14))

@@ -1,4 +1,6 @@
+import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -7,6 +9,17 @@ from docyard.llm import toxicity as T
 from helpers import docs, edge_rows, words
 
 
+def brute_score(classifier, text):
+    """A text's score by testing each weight of the classifier against all words, without memory or lookups."""
+    found = re.findall(r"[^\W\d_]+", (text or "").lower())
+    z = classifier.bias
+    for feature, weight in classifier.weights.items():
+        start = feature.removesuffix("*")
+        if feature in found or (feature != start and any(w.startswith(start) and w != start for w in found)):
+            z += weight
+    return 1 / (1 + math.exp(-z))
+
+
 @pytest.fixture(scope="module")
 def labelled(spark):
     rng = random.Random(9)
@@ -33,6 +46,18 @@ def test_held_out_accuracy(spark, labelled):
     assert all(r["predicted"] == int(r["score"] >= 0.7) and 0 <= r["score"] <= 1 for r in got)
 
 
+def test_scores_equal_a_plain_sum_of_weights(spark, labelled):
+    rows, marks, _ = labelled
+    model = T.fit_toxicity(docs(spark, rows), marks)
+    texts = rows[:120] + [r for r in edge_rows() if r[0] is not None] + [(10 ** 6, "Moron! ZLAXIZLAX zlax moronic"), (10 ** 6 + 1, "mor on")]
+    got = T.toxicity_report(docs(spark, texts), model).select("doc_id", "score").collect()
+    want = {}
+    for doc, text in texts:
+        want.setdefault(doc, []).append(brute_score(model.classifier, text))
+    assert len(got) == len(texts)
+    assert all(min(abs(r["score"] - w) for w in want[r["doc_id"]]) < 1e-9 for r in got)
+
+
 def test_labels_of_held_out_rows_are_not_used(spark, labelled):
     from pyspark.sql import functions as F
 
