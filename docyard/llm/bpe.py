@@ -4,7 +4,8 @@ Texts are cut into words by the vocabulary's pattern. The distinct words of an A
 met yet are laid out as symbols in one flat array, with the word of every symbol beside it. Each round looks up
 the rank of every neighbouring pair by binary search over the sorted pair keys, takes each word's lowest rank, and
 merges all its occurrences at once (in a run of overlapping ones every second, from the left). Words without a
-mergeable pair leave the array. A word's ids are kept for the task's later texts, up to a bound.
+mergeable pair leave the array. A word's ids are kept for the task's later texts, up to a bound. A very long word (a blob without
+blanks) has an array of its own, whose rounds touch only the places of the lowest-rank pair: its work is in proportion to its length.
 
 Decoding concatenates the ids' bytes and reads them as UTF-8, bytes that form no character become U+FFFD.
 
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import heapq
 import json
 import unicodedata
 from collections.abc import Iterable, Iterator
@@ -35,6 +37,8 @@ from docyard.llm.packing import byte_alphabet
 KEPT_WORDS = 400_000
 #: Symbols merged together; a larger batch of new words is worked off in parts.
 FLAT_SYMBOLS = 4_000_000
+#: Bytes from which a word is merged in an array of its own.
+LONG_WORD = 2_000
 
 _SPACE = r"\p{White_Space}"
 
@@ -158,6 +162,50 @@ class Vocabulary:
         ids = np.concatenate([d[1] for d in done]).astype("<u4")
         return ids[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(words))
 
+    def merge_long(self, word: bytes) -> np.ndarray:
+        """Ids of one long word. Merged symbols stay in place as gaps; each round looks at its pair's places and their neighbours."""
+        symbols = self.start[np.frombuffer(word, dtype=np.uint8)]
+        end, none = len(symbols), len(self.keys)
+        after, before = np.arange(1, end + 1), np.arange(-1, end - 1)
+        pair = np.full(end, none)  # of each symbol and the one after it; gaps have none
+        pair[:-1] = self._find(symbols[:-1], symbols[1:])
+        waiting: dict[int, list[np.ndarray]] = {}  # places where a pair was seen; some may be out of date
+        ranks: list[tuple[int, int]] = []
+
+        def note(places: np.ndarray) -> None:
+            places = places[pair[places] < none]
+            places = places[np.argsort(pair[places], kind="stable")]
+            cuts = np.flatnonzero(np.diff(pair[places])) + 1
+            for part in np.split(places, cuts) if len(places) else []:
+                p = int(pair[part[0]])
+                if p not in waiting:
+                    heapq.heappush(ranks, (int(self.rank[p]), p))
+                waiting.setdefault(p, []).append(part)
+
+        note(np.arange(end))
+        while ranks:
+            _, p = heapq.heappop(ranks)
+            places = np.unique(np.concatenate(waiting.pop(p)))
+            places = places[pair[places] == p]
+            if not len(places):
+                continue
+            begins = np.append(True, after[places[:-1]] != places[1:])
+            turn = np.arange(len(places))
+            left = places[(turn - np.maximum.accumulate(np.where(begins, turn, 0))) % 2 == 0]
+            right = after[left]
+            symbols[left], pair[right] = self.merged[p], none
+            after[left] = after[right]
+            inner = after[left] < end
+            before[after[left[inner]]] = left[inner]
+            symbols[right] = -1
+            touched = np.unique(np.append(before[left], left))
+            touched = touched[touched >= 0]
+            pair[touched] = none
+            real = touched[after[touched] < end]
+            pair[real] = self._find(symbols[real], symbols[after[real]])
+            note(real)
+        return symbols[symbols >= 0].astype("<u4")
+
     def learn(self, words: Iterable[str]) -> None:
         """Keep the ids of words not met before, merged in parts of at most about FLAT_SYMBOLS symbols."""
         part: list[str] = []
@@ -172,10 +220,19 @@ class Vocabulary:
             self._learn(part)
 
     def _learn(self, part: list[str]) -> None:
-        ids, sizes = self.merge_words([w.encode("utf-8", "surrogatepass") for w in part])
+        short: list[str] = []
+        coded: list[bytes] = []
+        for w in part:
+            code = w.encode("utf-8", "surrogatepass")
+            if len(code) < LONG_WORD:
+                short.append(w)
+                coded.append(code)
+            else:
+                self.known[w] = self.merge_long(code).tobytes()
+        ids, sizes = self.merge_words(coded)
         raw, ends = ids.tobytes(), (np.cumsum(sizes) * 4).tolist()
         at = 0
-        for w, end in zip(part, ends):
+        for w, end in zip(short, ends):
             self.known[w] = raw[at:end]
             at = end
 

@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import public_tokenizers
@@ -75,3 +76,22 @@ def test_query_digests(spark, library, tmp_path):
     assert got == sorted(want, key=str)
     out = {r["doc_id"]: r for r in B.encode_decode(docs(spark, [(1, "a b"), (2, None)])).collect()}
     assert out[1]["decoded"] == "a b" and out[2]["ids"] == [] and B.encode_decode(docs(spark, [])).count() == 0
+
+
+def test_long_words_in_arrays_of_their_own(library, monkeypatch):
+    rng = random.Random(6)
+    texts = ["".join(rng.choices(letters, k=n)) for n in (2_000, 2_001, 9_000, 60_000)
+             for letters in ("a", "ab", "abcdefghijklmnopqrstuvwxyz", "éß漢", "0123456789abcdef")]
+    same(library, texts)
+    monkeypatch.setattr(B, "LONG_WORD", 1)  # every word takes that path
+    B.vocabulary(PATH).known.clear()
+    same(library, ["", "a", "ab", "aaaa aaa aa a", "<|endoftext|>x", "don't stop"] + [t[:300] for t in texts]
+         + ["".join(rng.choice("ab c's\n1é漢😀") for _ in range(rng.randint(0, 60))) for _ in range(300)])
+
+
+def test_long_words_cost_in_proportion_to_their_length():
+    v = B.vocabulary(PATH)
+    word = "".join(random.Random(2).choices("abcdefghijklmnopqrstuvwxyz", k=1_000_000)).encode()
+    start = time.time()
+    v.merge_long(word)
+    assert time.time() - start < 20
