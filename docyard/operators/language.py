@@ -22,6 +22,7 @@ best language (ties: the first by name) is returned when its probability reaches
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -30,10 +31,6 @@ from pyspark.sql import functions as F
 from docyard.functions.text import bind_column, py_strip
 from docyard.session import drop_path, scratch_path
 
-#: A row of the profile that is no gram: what every gram of a sample costs in each language.
-COST = "#cost"
-
-
 def normalized_letters(col: Column | str) -> Column:
     c = F.col(col) if isinstance(col, str) else col
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}]+", " ")), F.lit(" "))
@@ -57,21 +54,18 @@ def train_profile(df: DataFrame, text_col: str = "text", label_col: str = "lang"
 
 
 def gram_counts(normalized: Column) -> Column:
-    """The distinct grams of a normalised text and how often each occurs, by gram."""
-    grams = F.array_sort(F.regexp_extract_all(normalized, F.lit("(?=(.{3}))"), 1))
-    firsts = F.transform(F.array(grams), lambda g: F.struct(g.alias("g"), F.filter(
-        F.transform(g, lambda x, i: F.named_struct(F.lit("gram"), x, F.lit("at"), i, F.lit("first"),
-                                                   ~x.eqNullSafe(F.get(g, i - 1)))), lambda r: r["first"]).alias("f")))
-    return F.get(F.transform(firsts, lambda s: F.transform(s["f"], lambda r, j: F.named_struct(
-        F.lit("gram"), r["gram"], F.lit("n"), F.coalesce(F.get(s["f"], j + 1)["at"], F.size(s["g"])) - r["at"]))), 0)
+    """The grams of a normalised text in order, equal ones as one string of copies (``abcabc``: ``abc`` twice)."""
+    ordered = F.array_join(F.sort_array(F.regexp_extract_all(normalized, F.lit("(?=(.{3}))"), 1)), "")
+    return F.regexp_extract_all(ordered, F.lit(r"((.{3})\2*+)"), 1)
 
 
 @dataclass
 class LanguageModel:
-    """A written profile: ``gram`` and ``weights``, one per language in the order of ``languages``."""
+    """A written profile: ``gram`` and ``weights``, one per language in the order of ``languages``; what any gram costs in each."""
 
     path: str
     languages: list[str]
+    costs: list[float]
     profile: DataFrame
 
     def drop(self) -> None:
@@ -99,22 +93,21 @@ def fit_language_model(df: DataFrame, text_col: str = "text", label_col: str = "
         totals = counts.select(F.explode("counts").alias("lang", "n")).groupBy("lang").agg(F.sum("n").alias("t")).collect()
         totals = {r["lang"]: float(r["t"]) for r in sorted(totals, key=lambda r: r["lang"])}
         weight = lambda lang: F.log(F.coalesce(F.try_element_at("counts", F.lit(lang)), F.lit(0)) + 1.0)
-        grams = counts.select("gram", F.array(*map(weight, totals)).cast("array<double>").alias("weights"))
-        cost = spark.range(1).select(F.lit(COST).alias("gram"), F.array(
-            *[-F.log(F.lit(t + vocabulary)) for t in totals.values()]).cast("array<double>").alias("weights"))
-        grams.unionByName(cost).write.parquet(path)
+        counts.select("gram", F.array(*map(weight, totals)).cast("array<double>").alias("weights")).write.parquet(path)
     finally:
         drop_path(spark, counted)
-    return LanguageModel(path, list(totals), spark.read.parquet(path))
+    return LanguageModel(path, list(totals), [math.log(t + vocabulary) for t in totals.values()], spark.read.parquet(path))
 
 
 def language_scores(samples: DataFrame, model: LanguageModel) -> DataFrame:
     """(_key, _lang, _sure) of each distinct ``_key``; ``samples``: _key and the normalised text _norm."""
-    cost = F.array(F.named_struct(F.lit("gram"), F.lit(COST), F.lit("n"), F.length("_norm") - 2))
-    grams = samples.select("_key", F.inline(F.concat(gram_counts(F.col("_norm")), cost)))
-    scores = [F.sum(F.col("n") * F.get("weights", F.lit(j))) for j in range(len(model.languages))]
-    per = grams.join(model.profile, "gram").groupBy("_key").agg(
-        F.count_if(F.col("gram") == COST).alias("_copies"), F.array(*scores).cast("array<double>").alias("_all"))
+    runs = samples.select("_key", F.posexplode(gram_counts(F.col("_norm"))).alias("at", "run"))
+    grams = runs.select("_key", "at", F.substring("run", 1, 3).alias("gram"), (F.length("run") / 3).alias("n"))
+    scores = [F.coalesce(F.sum(F.col("n") * F.get("weights", F.lit(j))), F.lit(0.0)) - F.sum("n") * cost
+              for j, cost in enumerate(model.costs)]
+    # a sample that occurs several times adds up as often
+    per = grams.join(model.profile, "gram", "left").groupBy("_key").agg(
+        F.count_if(F.col("at") == 0).alias("_copies"), F.array(*scores).cast("array<double>").alias("_all"))
     names = F.array(*map(F.lit, model.languages)).cast("array<string>")
     best = F.array_max("_all")
     odds = F.aggregate("_all", F.lit(0.0), lambda acc, s: acc + F.exp((s - best) / F.col("_copies")))
