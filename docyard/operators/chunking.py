@@ -20,7 +20,7 @@ from pyspark.sql.functions import udtf
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from docyard.functions.arrays import make_pack_udf, prefix_offsets
-from docyard.functions.text import PY_WS, bind_column, py_strip
+from docyard.functions.text import PY_WS, PY_WS_CHARS, bind_column, py_strip
 from docyard.operators.tokenize import bpe_encoding, regex_token_count, regex_tokens
 
 STEP_ERROR = "chunk_overlap_pct must produce a positive chunk step"
@@ -168,8 +168,8 @@ def with_sentences(df: DataFrame, text_col: str = "content", out_col: str = "_se
 
     def one(p, oi):
         o = oi["o"]
-        lead = F.length(p) - F.length(F.regexp_replace(p, rf"\A{PY_WS}+", ""))
-        trail = F.length(p) - F.length(F.regexp_replace(p, rf"{PY_WS}+\z", ""))
+        lead = F.length(p) - F.length(F.ltrim(p, F.lit(PY_WS_CHARS)))
+        trail = F.length(p) - F.length(F.rtrim(p, F.lit(PY_WS_CHARS)))
         stripped = py_strip(p)
         return F.struct(stripped.alias("text"), (o + lead).alias("start_char"),
                         (o + F.length(p) - trail).alias("end_char"),
