@@ -8,18 +8,22 @@ errors from remote models are retried with exponential waits; losing a
 worker is handled by Spark's task retry.
 
 The default, download-free model is signed feature hashing of lower-case word tokens (MD5 picks
-dimension and sign), L2-normalised, as native column expressions: no Python at all.
+dimension and sign), L2-normalised. Words are found by native expressions and counted Arrow batch by Arrow batch: a batch's
+words are dictionary-encoded, so a word is hashed once a batch however often it occurs. ``hashed_runs`` is the sparse form, all native.
 """
 
 from __future__ import annotations
 
+import functools
+import hashlib
 import time
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, FloatType
+from pyspark.sql.types import ArrayType, FloatType, IntegerType
 
 from docyard.functions.text import bind_column
 
@@ -48,6 +52,14 @@ class RetryPolicy:
 
 # Fixed value: what counts as a word of the default model.
 WORD = r"[\p{L}\p{M}\p{N}]+"
+#: Counters filled at once in a Python worker.
+BLOCK_CELLS = 1 << 20
+
+
+def words(text: Column | str) -> Column:
+    """The text's lower-case words in order; none for a missing text."""
+    c = F.col(text) if isinstance(text, str) else text
+    return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(WORD), 0)
 
 
 def _let(value: Column, use) -> Column:
@@ -61,8 +73,6 @@ def hashed_runs(text: Column | str, vector_size: int = 64) -> Column:
     A word's first eight MD5 digits choose its dimension, the ninth its sign (8 to f: minus). The words' codes (place
     and sign in one integer) are sorted; a run of one place is one entry: n is its words counted with their signs.
     """
-    c = F.col(text) if isinstance(text, str) else text
-
     def code(word: Column) -> Column:
         return _let(F.md5(word), lambda digest: (
             F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % vector_size * 2
@@ -78,22 +88,49 @@ def hashed_runs(text: Column | str, vector_size: int = 64) -> Column:
                 F.slice(codes, r["at"] + 1, F.coalesce(F.get(first, j + 1)["at"], F.size(codes)) - r["at"]),
                 F.lit(0), lambda n, x: n + F.lit(1) - F.lit(2) * x.bitwiseAND(F.lit(1))))))
 
-    words = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(WORD), 0)
-    return _let(F.array_sort(F.transform(words, code)), runs)
+    return _let(F.sort_array(F.transform(words(text), code)), runs)
+
+
+def word_places(words: list[str], vector_size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each word's dimension and sign."""
+    digests = np.frombuffer(b"".join(hashlib.md5(w.encode()).digest()[:5] for w in words), dtype=np.uint8).reshape(-1, 5)
+    head = np.ascontiguousarray(digests[:, :4]).view(">u4").ravel().astype(np.int64)
+    return head % vector_size, np.where(digests[:, 4] < 0x80, 1, -1)
+
+
+def dense_counts(words: pa.Array, vector_size: int) -> pa.Array:
+    """Signed word counts per dimension of each row's words; rows are counted in blocks of bounded size."""
+    if isinstance(words, pa.ChunkedArray):
+        words = words.combine_chunks()
+    ends = np.concatenate([[0], np.cumsum(words.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+    coded = words.flatten().dictionary_encode()
+    places, signs = word_places(coded.dictionary.to_pylist(), vector_size)
+    at = coded.indices.to_numpy(zero_copy_only=False)
+    out = np.zeros((len(words), vector_size), dtype=np.int32)
+    block = max(1, BLOCK_CELLS // vector_size)
+    for a in range(0, len(words), block):
+        n = min(block, len(words) - a)
+        mine = at[ends[a]:ends[a + n]]
+        cells = np.repeat(np.arange(n) * vector_size, np.diff(ends[a:a + n + 1])) + places[mine]
+        out[a:a + n] = np.bincount(cells, signs[mine], n * vector_size).reshape(n, vector_size)
+    offsets = pa.array(np.arange(len(words) + 1, dtype=np.int64) * vector_size, pa.int32())
+    return pa.ListArray.from_arrays(offsets, pa.array(out.ravel(), pa.int32()))
+
+
+@functools.lru_cache(maxsize=None)
+def _counts_udf(vector_size: int):
+    @F.arrow_udf(ArrayType(IntegerType()))
+    def hashed_word_counts(words: pa.Array) -> pa.Array:
+        return dense_counts(words, vector_size)
+    return hashed_word_counts
 
 
 def hashed_counts(text: Column | str, vector_size: int = 64) -> Column:
-    """``hashed_runs`` as a dense vector of integers: the gaps between the places are filled with zeros, in one pass.
+    """``hashed_runs`` as a dense vector of integers.
 
     The work grows with words + width, not with their product.
     """
-    def dense(runs: Column) -> Column:
-        gap = lambda a, b: F.array_repeat(F.lit(0), b - a - 1)
-        before = lambda j: F.coalesce(F.get(runs, j - 1)["place"], F.lit(-1))
-        filled = F.flatten(F.transform(runs, lambda r, j: F.concat(gap(before(j), r["place"]), F.array(r["n"]))))
-        return F.concat(filled, gap(before(F.size(runs)), F.lit(vector_size)))
-
-    return _let(hashed_runs(text, vector_size), dense)
+    return _counts_udf(vector_size)(words(text))
 
 
 def hashed_embedding(df: DataFrame, text_col: str, out_col: str, vector_size: int = 64,
@@ -152,8 +189,8 @@ def embed(df: DataFrame, text_col: str = "text", out_col: str = "embedding", mod
 def l2_normalize(col: Column | str) -> Column:
     """Unit-length vector (a zero vector is returned unchanged), computed in double."""
     v = F.transform(F.col(col) if isinstance(col, str) else col, lambda x: x.cast("double"))
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    return F.when(norm > 0, F.transform(v, lambda x: x / norm)).otherwise(v)
+    # the norm is bound: inside the division it would be summed up again for every component
+    return _let(v, lambda v: _let(vector_norm(v), lambda norm: F.when(norm > 0, F.transform(v, lambda x: x / norm)).otherwise(v)))
 
 
 def vector_norm(col: Column | str) -> Column:

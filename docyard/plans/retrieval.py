@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docyard.functions.hashing import chunk_hash
+from docyard.functions.text import bind_column
 from docyard.operators import chunking as K
 from docyard.operators import lsh as L
 from docyard.operators.embed import hashed_counts
@@ -210,7 +211,7 @@ FROM grid LEFT JOIN sums USING (doc_id, chunk_index, pos) GROUP BY doc_id, chunk
 def q_embed_hashed_1024(spark, sf):
     """The counts behind the default model's vectors of every fixed chunk, at a width of 1024."""
     c = K.chunk_fixed(corpus_documents(spark, sf), SIZE, OVERLAP_PCT, offsets=False).select("doc_id", "chunk_index", "text")
-    v = c.select("doc_id", "chunk_index", hashed_counts("text", WIDE).alias("v"))
+    v = bind_column(c, "v", hashed_counts("text", WIDE))
     return normalize_types(v.select(
-        "doc_id", "chunk_index", F.size("v").alias("dim"), F.size(F.filter("v", lambda n: n != 0)).alias("nonzero"),
-        chunk_hash(F.array_join(F.transform("v", lambda n: n.cast("string")), ",")).alias("counts_sha256")))
+        "doc_id", "chunk_index", F.size("v").alias("dim"), F.size(F.array_remove("v", 0)).alias("nonzero"),
+        chunk_hash(F.array_join(F.col("v").cast("array<string>"), ",")).alias("counts_sha256")))

@@ -39,3 +39,26 @@ def test_ascii_text_is_not_translated(spark):
     df = spark.createDataFrame([(t,) for t in rows], "t string").select(T.normalize_unicode("t").alias("n"))
     assert "CASE WHEN" in _plan(df).upper() and "octet_length" in _plan(df)
     assert [r["n"] for r in df.collect()] == ["plain -- 'text'", "\"q\" - - fi x y", "", None]
+
+
+@pytest.mark.parametrize("cells", [1, 7, 1 << 20])
+def test_a_word_is_hashed_once_a_batch(monkeypatch, cells):
+    calls = []
+    plain = E.word_places
+    monkeypatch.setattr(E, "word_places", lambda words, size: (calls.append(len(words)), plain(words, size))[1])
+    monkeypatch.setattr(E, "BLOCK_CELLS", cells)
+    rows = [["a", "b", "a"], [], ["b"] * 500, ["é", "a"]]
+    got = E.dense_counts(pa.array(rows, pa.list_(pa.string())), 5).to_pylist()
+    want = [[0] * 5 for _ in rows]
+    for k, row in enumerate(rows):
+        for w in row:
+            h = hashlib.md5(w.encode()).hexdigest()
+            want[k][int(h[:8], 16) % 5] += 1 if h[8] < "8" else -1
+    assert got == want and calls == [3]
+    assert E.dense_counts(pa.array([], pa.list_(pa.string())), 5).to_pylist() == []
+
+
+def test_norm_is_summed_once_per_vector(spark):
+    df = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],), ([],), (None,)], "v array<double>").select(E.l2_normalize("v").alias("u"))
+    assert _plan(df).count("aggregate(") == 1
+    assert [r["u"] for r in df.collect()] == [[0.6, 0.8], [0.0, 0.0], [], None]
