@@ -62,3 +62,37 @@ def test_norm_is_summed_once_per_vector(spark):
     df = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],), ([],), (None,)], "v array<double>").select(E.l2_normalize("v").alias("u"))
     assert _plan(df).count("aggregate(") == 1
     assert [r["u"] for r in df.collect()] == [[0.6, 0.8], [0.0, 0.0], [], None]
+
+
+def test_training_counts_words_before_grams(spark):
+    texts = [("en", "a bc  bc, d. É2f a"), ("en", "a"), ("de", "über a b"), ("de", "12 ."), ("de", None), (None, "lost text"), ("", "x y")]
+    df = spark.createDataFrame(texts, "lang string, text string")
+    want = {}
+    for lang, t in texts:
+        if lang is None or t is None:
+            continue
+        words = "".join(c if c.isalpha() else " " for c in t.lower()).split()
+        s = " " + " ".join(words) + " "
+        for i in range(len(s) - 2):
+            want[lang, s[i:i + 3]] = want.get((lang, s[i:i + 3]), 0) + 1
+    out = LG.train_profile(df)
+    assert _plan(out).count("Generate explode") == 2     # words, then the grams of distinct words
+    assert {(r["lang"], r["gram"]): r["n"] for r in out.collect()} == want
+
+
+@pytest.mark.parametrize("many", [0, 250_000])
+def test_grams_meet_the_profile_on_an_integer(spark, monkeypatch, many):
+    rows = [("en", "the cat sat on the mat"), ("de", "die katze sitzt auf der matte")] * 3
+    df = spark.createDataFrame([(k, lang, t) for k, (lang, t) in enumerate(rows)], "k int, lang string, text string")
+    model = LG.fit_language_model(df)
+    try:
+        assert model.grams == model.profile.count()
+        monkeypatch.setattr(LG, "MANY_GRAMS", many)
+        more = [(90, None, None), (91, None, ""), (92, None, " 12 \u2003"), (93, None, " \u2003the mat ")]
+        out = LG.detect_language(df.unionByName(spark.createDataFrame(more, df.schema)), model, "text", 0.9, confidence_col="sure")
+        assert "gram_code" in _plan(out)
+        got = {r["k"]: r for r in out.collect()}
+        assert [got[k]["language"] for k in range(6)] == ["en", "de"] * 3 and got[93]["language"] == "en"
+        assert all(got[k]["language"] is None and got[k]["sure"] is None for k in (90, 91, 92))
+    finally:
+        model.drop()
