@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docyard.operators.embed import WORD
+from docyard.operators.embed import words
 
 SHINGLE = 5
 SHARE = 0.8
@@ -19,11 +19,11 @@ SHARE = 0.8
 
 def shingle_hashes(text: Column | str, n: int = SHINGLE) -> Column:
     """Distinct hashes of the text's n-word shingles (lower case); a shorter text is one shingle, one without words none."""
-    c = F.col(text) if isinstance(text, str) else text
-    words = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(WORD), 0)
     starts = lambda w: F.sequence(F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(1)))
-    hashed = F.transform(F.array(words), lambda w: F.when(F.size(w) > 0, F.array_distinct(F.transform(
-        starts(w), lambda i: F.xxhash64(F.array_join(F.slice(w, i, n), " "))))).otherwise(F.array().cast("array<bigint>")))
+    # the words one after the other, unjoined; places behind a short text's end are null, which the hash passes over
+    shingle = lambda w, i: F.xxhash64(*[F.get(w, i + (j - 1)) for j in range(n)])
+    hashed = F.transform(F.array(words(text)), lambda w: F.when(F.size(w) > 0, F.array_distinct(F.transform(
+        starts(w), lambda i: shingle(w, i)))).otherwise(F.array().cast("array<bigint>")))
     return F.get(hashed, 0)
 
 

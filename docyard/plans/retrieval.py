@@ -100,9 +100,13 @@ def chunk_recall(docs: DataFrame, passages: DataFrame, k: int = TOPK, width: int
     chunks = _setting_chunks(docs)
     gold = gold_chunks(passages, chunks, ("setting", "id"))
     settings = F.explode(F.sequence(F.lit(0), F.lit(len(REPORT_SETTINGS) - 1)))
-    asked = passages.select("passage_id", hashed_counts("text", width).alias("v"), settings.alias("setting")).select(
+    # every chunk and passage is embedded once, and kept: the vectors have no other reader than the search
+    texts = chunks.select("setting", "id", "text", F.lit(None).cast(passages.schema["passage_id"].dataType).alias("passage_id"))
+    texts = texts.unionByName(passages.select("passage_id", "text", F.lit(-1).alias("setting")), allowMissingColumns=True)
+    kept = cut_lineage(texts.select("setting", "id", "passage_id", hashed_counts("text", width).alias("v")))
+    vectors = kept.filter("setting >= 0").select("setting", "id", "v")
+    asked = kept.filter("setting < 0").select("passage_id", "v", settings.alias("setting")).select(
         "setting", F.concat_ws("/", "setting", "passage_id").alias("query_id"), "v")
-    vectors = chunks.select("setting", "id", hashed_counts("text", width).alias("v"))
     size = docs.agg(F.sum(F.length("content"))).first()[0] or 0   # a token has four characters or so
     shards = max(MIN_SHARDS, -(-size // (4 * SIZE * SHARD_VECTORS)))
     top = cosine_topk(vectors, asked, k, "id", "v", "v", "setting", shards)

@@ -96,3 +96,11 @@ def test_grams_meet_the_profile_on_an_integer(spark, monkeypatch, many):
         assert all(got[k]["language"] is None and got[k]["sure"] is None for k in (90, 91, 92))
     finally:
         model.drop()
+
+
+def test_shingles_are_hashed_without_joining_their_words(spark):
+    df = spark.createDataFrame([("a b c d e f a b c d e",), ("a b",), ("ab",), ("",), (None,)], "t string").select(
+        F.size(G.shingle_hashes("t")).alias("n"), G.shingle_hashes("t").alias("h"))
+    assert "array_join" not in _plan(df)
+    got = df.collect()
+    assert [r["n"] for r in got] == [6, 1, 1, 0, 0] and got[1]["h"] != got[2]["h"]
